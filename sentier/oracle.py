@@ -63,3 +63,100 @@ UNION ALL SELECT * FROM (SELECT 'recent_negative', concat_ws(' | ', CAST(date AS
 UNION ALL SELECT 'trend', month || ' positive', p FROM trend
 UNION ALL SELECT 'trend', month || ' neutral', u FROM trend
 UNION ALL SELECT 'trend', month || ' negative', g FROM trend"""
+
+# ---------------------------------------------------------------- catalogue
+PHOTO = """CASE WHEN photo IS NOT NULL AND photo <> '' AND regexp_matches(
+  split_part(regexp_replace(split_part(photo, ' ## ', 1), '^\\s+|\\s+$', '', 'g'), ' ', 1), '^https?://')
+  THEN split_part(regexp_replace(split_part(photo, ' ## ', 1), '^\\s+|\\s+$', '', 'g'), ' ', 1)
+  ELSE 'static/imgs/no_photo.jpg' END"""
+ADDR = """trim(regexp_replace(concat_ws(' ', coalesce(adresse1, ''), coalesce(adresse2, ''),
+  coalesce(codepostal, ''), coalesce(commune, '')), '\\s+', ' ', 'g'))"""
+
+ORACLE["places_dedup"] = W("v_places") + """
+SELECT DISTINCT tsid, nom, longitude, latitude, descriptif, photo, adresse1, adresse2, codepostal, commune FROM v_places"""
+
+ORACLE["restaurants_scan"] = W("v_restaurants") + "SELECT * FROM v_restaurants"
+
+_EXPORT = W("v_places", "v_restaurants") + """
+, ex AS (
+  SELECT nom, latitude, longitude, coalesce(descriptif, '') AS descriptif, coalesce(photo, '') AS photo, tsid, 'lieu' AS kind
+  FROM v_places WHERE nom IS NOT NULL AND latitude IS NOT NULL AND longitude IS NOT NULL AND tsid IS NOT NULL
+  UNION ALL
+  SELECT nom, latitude, longitude, '' AS descriptif, '' AS photo, tsid, 'restaurant'
+  FROM v_restaurants WHERE nom IS NOT NULL AND latitude IS NOT NULL AND longitude IS NOT NULL AND tsid IS NOT NULL)
+"""
+ORACLE["map_export"] = _EXPORT + "SELECT * FROM ex"
+ORACLE["map_markers"] = _EXPORT + """SELECT * FROM ex
+WHERE nom <> '' AND descriptif <> '' AND latitude <> 0 AND longitude <> 0"""
+
+ORACLE["place_detail"] = W("v_places", "v_feedback") + f"""
+, first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tsid ORDER BY ord) AS rn FROM v_places
+  WHERE nom IS NOT NULL AND latitude IS NOT NULL AND longitude IS NOT NULL AND tsid IS NOT NULL) WHERE rn = 1)
+SELECT tsid, nom, latitude, longitude, coalesce(descriptif, '') AS descriptif, {ADDR} AS addr,
+  coalesce(codepostal, '') AS codepostal, coalesce(commune, '') AS commune, {PHOTO} AS photo_url
+FROM first WHERE tsid IN (SELECT tsid FROM v_feedback)"""
+
+ORACLE["restaurants_county"] = W("v_restaurants") + """
+SELECT tsid, nom, codepostal, coalesce(specialites, '') AS specialites FROM v_restaurants
+WHERE nom IS NOT NULL AND latitude IS NOT NULL AND longitude IS NOT NULL AND tsid IS NOT NULL
+  AND starts_with(codepostal, '76')"""
+
+ORACLE["place_search"] = W("v_places") + """
+SELECT nom, tsid FROM v_places WHERE coalesce(regexp_matches(nom, '(?i)BLU(e|sh) [a-c]'), false)"""
+
+ORACLE["places_paged"] = W("v_places") + f"""
+SELECT tsid, nom, commune, coalesce(descriptif, '') AS descriptif, {PHOTO} AS photo_url, frequentation_score,
+  row_number() OVER (ORDER BY frequentation_score ASC NULLS LAST, ord) AS rank,
+  CAST(ceil(row_number() OVER (ORDER BY frequentation_score ASC NULLS LAST, ord) / 10) AS BIGINT) AS page
+FROM v_places WHERE starts_with(codepostal, '2')"""
+
+ORACLE["page_counts"] = W("v_places", "v_restaurants", "v_feedback") + """
+SELECT 'monuments' AS list, count(*) AS n_rows, CAST(ceil(count(*) / 10) AS BIGINT) AS n_pages
+  FROM v_places WHERE starts_with(codepostal, '2')
+UNION ALL SELECT 'restaurants', count(*), CAST(ceil(count(*) / 10) AS BIGINT) FROM v_restaurants
+  WHERE nom IS NOT NULL AND latitude IS NOT NULL AND longitude IS NOT NULL AND tsid IS NOT NULL AND starts_with(codepostal, '76')
+UNION ALL SELECT 'feedback', count(*), CAST(ceil(count(*) / 8) AS BIGINT) FROM v_feedback"""
+
+ORACLE["catalogue_union"] = W("v_places", "v_restaurants") + """
+SELECT tsid, nom, ord, latitude, longitude, descriptif, photo, adresse1, adresse2, codepostal, commune,
+  frequentation_score, 'lieu' AS kind, CAST(NULL AS VARCHAR) AS specialites FROM v_places
+UNION ALL SELECT tsid, nom, NULL, latitude, longitude, NULL, NULL, NULL, NULL, codepostal, NULL, NULL,
+  'restaurant', specialites FROM v_restaurants"""
+
+ORACLE["place_address"] = W("v_places") + f"SELECT tsid, {ADDR} AS addr FROM v_places"
+
+ORACLE["restaurant_address"] = W("v_places") + """
+SELECT tsid, coalesce(adresse1, '') || ' ' || coalesce(adresse2, '') || ' ' || coalesce(codepostal, '') || ' '
+  || coalesce(commune, '') AS addr FROM v_places"""
+
+ORACLE["first_photo"] = W("v_places") + f"""
+SELECT tsid, {PHOTO} AS photo_url,
+  CASE WHEN photo IS NULL THEN 'static/imgs/no_photo.jpg' ELSE split_part(photo, ' ## ', 1) END AS photo_raw
+FROM v_places"""
+
+ORACLE["specialty_tags"] = W("v_restaurants") + """
+SELECT tag, count(DISTINCT tsid) AS n_restaurants
+FROM (SELECT tsid, unnest(string_split(specialites, ' ## ')) AS tag FROM v_restaurants WHERE specialites IS NOT NULL)
+GROUP BY tag"""
+
+ORACLE["feature_text"] = W("v_places") + "SELECT tsid, concat_ws(' ', nom, descriptif) AS text FROM v_places"
+
+ORACLE["retrieval_text"] = W("v_places") + """
+SELECT tsid, concat_ws(' ', descriptif, commune, codepostal, adresse1) AS text FROM v_places"""
+
+ORACLE["theme_key"] = """
+SELECT doc_id, strip_accents(regexp_replace(replace(text, ' ', '_'), '[/()]', '', 'g')) AS key FROM documents"""
+
+ORACLE["place_slug"] = """
+SELECT doc_id, lower(regexp_replace(regexp_replace(strip_accents(text), '[^a-zA-Z0-9\\s]', '', 'g'), '\\s+', '_', 'g')) AS slug
+FROM documents"""
+
+ORACLE["description_teaser"] = """
+SELECT doc_id, CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || '...' ELSE text END AS teaser,
+  CASE WHEN len(string_split(text, ' ')) > 30
+    THEN array_to_string(string_split(text, ' ')[1:30], ' ') || '...' ELSE text END AS teaser_words
+FROM documents"""
+
+ORACLE["date_parts"] = """
+SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%Y-%m') AS month, strftime(ts, '%d/%m/%Y') AS day_fr,
+  CAST(isodow(ts) - 1 AS INTEGER) AS weekday, CAST(hour(ts) AS INTEGER) AS hour FROM events"""

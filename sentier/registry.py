@@ -70,3 +70,137 @@ def _q_feedback_concat(spark, sf):
 @register("feedback_dashboard")
 def _q_feedback_dashboard(spark, sf):
     return FB.dashboard_summary(_fb(spark, sf), AS_OF)
+
+
+# ---------------------------------------------------------------- catalogue
+from sentier.functions import text as T  # noqa: E402
+from sentier.plans import catalog as CA  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
+
+def _places(spark, sf):
+    return role(spark, sf, "v_places")
+
+
+def _restos(spark, sf):
+    return role(spark, sf, "v_restaurants")
+
+
+@register("places_dedup")
+def _q_places_dedup(spark, sf):
+    return CA.places_dedup(_places(spark, sf))
+
+
+@register("restaurants_scan")
+def _q_restaurants_scan(spark, sf):
+    return _restos(spark, sf)
+
+
+@register("map_export")
+def _q_map_export(spark, sf):
+    return CA.map_export(_places(spark, sf), _restos(spark, sf))
+
+
+@register("map_markers")
+def _q_map_markers(spark, sf):
+    return CA.map_markers(CA.map_export(_places(spark, sf), _restos(spark, sf)))
+
+
+@register("place_detail")
+def _q_place_detail(spark, sf):
+    return CA.place_detail(_places(spark, sf), _fb(spark, sf))
+
+
+@register("restaurants_county")
+def _q_restaurants_county(spark, sf):
+    return CA.restaurants_county(_restos(spark, sf), "76")
+
+
+@register("place_search")
+def _q_place_search(spark, sf):
+    return CA.place_search(_places(spark, sf), "BLU(e|sh) [a-c]")
+
+
+@register("places_paged")
+def _q_places_paged(spark, sf):
+    return CA.places_paged(_places(spark, sf), "2")
+
+
+@register("page_counts")
+def _q_page_counts(spark, sf):
+    p = _places(spark, sf)
+    return CA.page_counts({
+        "monuments": (p.where(F.col("codepostal").startswith("2")), 10),
+        "restaurants": (CA.restaurants_county(_restos(spark, sf), "76"), 10),
+        "feedback": (_fb(spark, sf), 8),
+    })
+
+
+@register("catalogue_union")
+def _q_catalogue_union(spark, sf):
+    return CA.catalogue_union(_places(spark, sf), _restos(spark, sf))
+
+
+@register("place_address")
+def _q_place_address(spark, sf):
+    p = _places(spark, sf)
+    return p.select("tsid", T.place_address("adresse1", "adresse2", "codepostal", "commune").alias("addr"))
+
+
+@register("restaurant_address")
+def _q_restaurant_address(spark, sf):
+    p = _places(spark, sf)
+    return p.select("tsid", T.restaurant_address("adresse1", "adresse2", "codepostal", "commune").alias("addr"))
+
+
+@register("first_photo")
+def _q_first_photo(spark, sf):
+    p = _places(spark, sf)
+    return p.select("tsid", T.first_photo("photo").alias("photo_url"),
+                    T.first_photo_raw("photo").alias("photo_raw"))
+
+
+@register("specialty_tags")
+def _q_specialty_tags(spark, sf):
+    return CA.specialty_tags(_restos(spark, sf))
+
+
+@register("feature_text")
+def _q_feature_text(spark, sf):
+    p = _places(spark, sf)
+    return p.select("tsid", T.feature_text("nom", "descriptif").alias("text"))
+
+
+@register("retrieval_text")
+def _q_retrieval_text(spark, sf):
+    p = _places(spark, sf)
+    return p.select("tsid", T.feature_text("descriptif", "commune", "codepostal", "adresse1").alias("text"))
+
+
+@register("theme_key")
+def _q_theme_key(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", T.theme_key("text").alias("key"))
+
+
+@register("place_slug")
+def _q_place_slug(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", T.slug("text").alias("slug"))
+
+
+@register("description_teaser")
+def _q_description_teaser(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", T.teaser_chars("text").alias("teaser"), T.teaser_words("text").alias("teaser_words"))
+
+
+@register("date_parts")
+def _q_date_parts(spark, sf):
+    e = table(spark, sf, "events")
+    return e.select("event_id",
+                    F.date_format("ts", "yyyy-MM-dd").alias("day"),
+                    F.date_format("ts", "yyyy-MM").alias("month"),
+                    F.date_format("ts", "dd/MM/yyyy").alias("day_fr"),
+                    F.weekday("ts").alias("weekday"),
+                    F.hour("ts").alias("hour"))
