@@ -160,3 +160,162 @@ FROM documents"""
 ORACLE["date_parts"] = """
 SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%Y-%m') AS month, strftime(ts, '%d/%m/%Y') AS day_fr,
   CAST(isodow(ts) - 1 AS INTEGER) AS weekday, CAST(hour(ts) AS INTEGER) AS hour FROM events"""
+
+
+# ---------------------------------------------------------------- geo + transit
+def _gc_km(p1, l1, p2, l2):
+    """Great-circle km (sphere R = 6371.009) as DuckDB SQL."""
+    a1, o1, a2, o2 = (f"radians({x})" for x in (p1, l1, p2, l2))
+    return (f"(6371.009 * atan2(sqrt(pow(cos({a2}) * sin({o2} - {o1}), 2) + pow(cos({a1}) * sin({a2}) - "
+            f"sin({a1}) * cos({a2}) * cos({o2} - {o1}), 2)), sin({a1}) * sin({a2}) + cos({a1}) * cos({a2}) * "
+            f"cos({o2} - {o1})))")
+
+
+def _geo_m(p1, l1, p2, l2):
+    """WGS-84 metres by Lambert's formula as DuckDB SQL (macro-free text)."""
+    f = "(1 / 298.257223563)"
+    b1 = f"atan((1 - {f}) * tan(radians({p1})))"
+    b2 = f"atan((1 - {f}) * tan(radians({p2})))"
+    dl = f"(radians({l2}) - radians({l1}))"
+    sig = (f"atan2(sqrt(pow(cos({b2}) * sin({dl}), 2) + pow(cos({b1}) * sin({b2}) - sin({b1}) * cos({b2}) * cos({dl}), 2)),"
+           f" sin({b1}) * sin({b2}) + cos({b1}) * cos({b2}) * cos({dl}))")
+    P, Q = f"(({b1} + {b2}) / 2)", f"(({b2} - {b1}) / 2)"
+    x = f"(({sig}) - sin({sig})) * pow(sin({P}), 2) * pow(cos({Q}), 2) / pow(cos(({sig}) / 2), 2)"
+    y = f"(({sig}) + sin({sig})) * pow(cos({P}), 2) * pow(sin({Q}), 2) / pow(sin(({sig}) / 2), 2)"
+    return f"(CASE WHEN ({sig}) = 0 THEN 0.0 ELSE 6378137.0 * (({sig}) - {f} / 2 * (({x}) + ({y}))) END)"
+
+
+ORACLE["geo_distance"] = W("v_requests") + f"""
+SELECT req_id, round({_gc_km('start_lat', 'start_lon', 'end_lat', 'end_lon')}, 6) AS km,
+  round({_gc_km('start_lat', 'start_lon', 'end_lat', 'end_lon')} * 1000, 3) AS meters FROM v_requests"""
+
+ORACLE["geodesic_distance"] = W("v_requests") + f"""
+SELECT req_id, round({_geo_m('start_lat', 'start_lon', 'end_lat', 'end_lon')}, 3) AS meters FROM v_requests"""
+
+ORACLE["postal_distance"] = W("v_places") + """
+SELECT tsid, CASE WHEN regexp_matches(codepostal, '^[0-9]+$') THEN abs(CAST(codepostal AS DOUBLE) - 76000)
+  ELSE 'inf'::DOUBLE END AS postal_dist FROM v_places"""
+
+_GT = W("v_requests", "v_stops", "v_stop_times", "v_trips", "v_routes", "v_shapes")
+_NEAR = f"""
+, sc AS (SELECT r.req_id, s.stop_id, s.stop_name, {_geo_m('r.start_lat', 'r.start_lon', 's.stop_lat', 's.stop_lon')} AS d
+  FROM v_requests r CROSS JOIN v_stops s)
+, start_s AS (SELECT req_id, stop_id, stop_name, d FROM (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY d, stop_id) AS rn
+  FROM sc WHERE d <= 2000) WHERE rn = 1)
+, sr AS (SELECT DISTINCT st.stop_id, t.route_id FROM v_stop_times st JOIN v_trips t USING (trip_id))
+, ec AS (SELECT r.req_id, st.stop_id AS ref_stop_id, s.stop_id AS cand_id,
+    {_geo_m('r.end_lat', 'r.end_lon', 's.stop_lat', 's.stop_lon')} AS d
+  FROM v_requests r JOIN start_s st USING (req_id) CROSS JOIN v_stops s)
+, end_s AS (SELECT req_id, ref_stop_id, cand_id AS end_stop_id, d FROM (
+    SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY d, cand_id) AS rn FROM ec
+    WHERE d <= 2000 AND EXISTS (SELECT 1 FROM sr a JOIN sr b ON a.route_id = b.route_id
+                               WHERE a.stop_id = ec.ref_stop_id AND b.stop_id = ec.cand_id)) WHERE rn = 1)
+"""
+
+ORACLE["nearest_stop"] = _GT + _NEAR + """
+SELECT r.req_id, s.stop_id, s.stop_name, round(s.d, 3) AS dist_m FROM v_requests r LEFT JOIN start_s s USING (req_id)"""
+
+ORACLE["nearest_stop_shared_route"] = _GT + _NEAR + """
+SELECT req_id, ref_stop_id, end_stop_id, round(d, 3) AS end_dist_m FROM end_s"""
+
+_PAIRS = f"""
+, ecp AS (SELECT r.req_id, s.stop_id, {_geo_m('r.end_lat', 'r.end_lon', 's.stop_lat', 's.stop_lon')} AS d
+  FROM v_requests r CROSS JOIN v_stops s)
+, end_p AS (SELECT req_id, stop_id FROM (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY d, stop_id) AS rn
+  FROM ecp WHERE d <= 2000) WHERE rn = 1)
+, pairs AS (SELECT DISTINCT a.stop_id AS start_stop_id, b.stop_id AS end_stop_id FROM start_s a JOIN end_p b USING (req_id))
+, conn AS (SELECT p.start_stop_id, p.end_stop_id, a.trip_id, a.stop_sequence AS stop_sequence_start,
+    b.stop_sequence AS stop_sequence_end
+  FROM pairs p JOIN v_stop_times a ON a.stop_id = p.start_stop_id JOIN v_stop_times b ON b.trip_id = a.trip_id AND b.stop_id = p.end_stop_id)
+"""
+ORACLE["trips_between_stops"] = _GT + _NEAR + _PAIRS + "SELECT * FROM conn"
+
+ORACLE["trips_unconnected"] = _GT + _NEAR + _PAIRS + """
+, lonely AS (SELECT * FROM pairs p WHERE NOT EXISTS (SELECT 1 FROM conn c WHERE c.start_stop_id = p.start_stop_id
+  AND c.end_stop_id = p.end_stop_id))
+, st AS (SELECT DISTINCT trip_id, stop_id FROM v_stop_times)
+SELECT l.start_stop_id, l.end_stop_id, st.trip_id, 'start' AS side FROM lonely l JOIN st ON st.stop_id = l.start_stop_id
+UNION ALL
+SELECT l.start_stop_id, l.end_stop_id, st.trip_id, 'end' FROM lonely l JOIN st ON st.stop_id = l.end_stop_id"""
+
+ORACLE["routes_per_stop"] = _GT + """
+SELECT DISTINCT st.stop_id, t.route_id FROM v_stop_times st JOIN v_trips t USING (trip_id)"""
+
+_MODE = """CASE WHEN contains(lower(route_short_name), 'métro') THEN 'metro'
+  WHEN regexp_matches(lower(route_short_name), '^t[0-9]+$') THEN 'tram' ELSE 'bus' END"""
+
+ORACLE["trip_route_shape"] = _GT + f"""
+SELECT trip_id, route_id, shape_id, route_short_name, {_MODE} AS transport_mode
+FROM v_trips LEFT JOIN v_routes USING (route_id)"""
+
+ORACLE["route_mode"] = W("v_routes") + f"""
+SELECT route_id, route_short_name, {_MODE} AS transport_mode FROM v_routes"""
+
+_KM = f"({_geo_m('start_lat', 'start_lon', 'end_lat', 'end_lon')} / 1000)"
+ORACLE["trip_co2"] = W("v_requests") + f"""
+SELECT req_id, mode, round(km * CASE mode WHEN 'bike' THEN 0.0 WHEN 'bus' THEN 55.9 WHEN 'tram' THEN 1.2
+  WHEN 'metro' THEN 1.42 ELSE 0.0 END, 6) AS co2_g
+FROM (SELECT req_id, {_KM} AS km FROM v_requests)
+CROSS JOIN (VALUES ('bike'), ('bus'), ('tram'), ('metro'), ('walk')) m(mode)"""
+
+ORACLE["trip_coins"] = W("v_requests") + f"""
+SELECT req_id, mode, round(CASE mode WHEN 'bike' THEN floor(km * 150) WHEN 'bus' THEN floor(km * 100)
+  ELSE km * 50 END, 6) AS coins
+FROM (SELECT req_id, {_KM} AS km FROM v_requests)
+CROSS JOIN (VALUES ('bike'), ('bus'), ('walk')) m(mode)"""
+
+_PTS = f"""
+, pts0 AS (SELECT shape_id, seq, lat, lon, CAST(row_number() OVER (PARTITION BY shape_id ORDER BY seq) - 1 AS INTEGER) AS idx,
+   lead(lat) OVER (PARTITION BY shape_id ORDER BY seq) AS next_lat, lead(lon) OVER (PARTITION BY shape_id ORDER BY seq) AS next_lon
+   FROM v_shapes)
+, pts AS (SELECT *, CASE WHEN next_lat IS NULL THEN 0.0 ELSE {_geo_m('lat', 'lon', 'next_lat', 'next_lon')} / 1000 END AS seg_km FROM pts0)
+"""
+ORACLE["path_segments"] = _GT + _PTS + "SELECT shape_id, seq, idx, next_lat, next_lon, round(seg_km, 6) AS seg_km FROM pts"
+ORACLE["path_length"] = _GT + _PTS + """
+SELECT shape_id, round(sum(seg_km), 6) AS length_km, count(*) AS n_points FROM pts GROUP BY shape_id"""
+ORACLE["path_bbox"] = W("v_shapes") + """
+SELECT shape_id, min(lat) AS min_lat, max(lat) AS max_lat, min(lon) AS min_lon, max(lon) AS max_lon FROM v_shapes GROUP BY shape_id"""
+
+_PLAN = _GT + _NEAR + _PTS + f"""
+, pr AS (SELECT s.req_id, s.stop_id AS start_stop_id, e.end_stop_id FROM start_s s JOIN end_s e USING (req_id))
+, tr AS (SELECT pr.req_id, min(a.trip_id) AS trip_id FROM pr JOIN v_stop_times a ON a.stop_id = pr.start_stop_id
+   JOIN v_stop_times b ON b.trip_id = a.trip_id AND b.stop_id = pr.end_stop_id GROUP BY pr.req_id)
+, lg AS (SELECT pr.*, tr.trip_id, t.route_id, t.shape_id, ro.route_short_name,
+    ss.stop_lat AS s_lat, ss.stop_lon AS s_lon, es.stop_lat AS e_lat, es.stop_lon AS e_lon
+  FROM pr JOIN tr USING (req_id) JOIN v_trips t ON t.trip_id = tr.trip_id LEFT JOIN v_routes ro ON ro.route_id = t.route_id
+  JOIN v_stops ss ON ss.stop_id = pr.start_stop_id JOIN v_stops es ON es.stop_id = pr.end_stop_id)
+, vx AS (SELECT lg.req_id,
+    (SELECT idx FROM pts WHERE pts.shape_id = lg.shape_id ORDER BY {_geo_m('lg.s_lat', 'lg.s_lon', 'pts.lat', 'pts.lon')}, idx LIMIT 1) AS start_idx,
+    (SELECT idx FROM pts WHERE pts.shape_id = lg.shape_id ORDER BY {_geo_m('lg.e_lat', 'lg.e_lon', 'pts.lat', 'pts.lon')}, idx LIMIT 1) AS end_idx
+  FROM lg)
+, lg2 AS (SELECT lg.*, vx.start_idx, vx.end_idx, least(vx.start_idx, vx.end_idx) AS lo, greatest(vx.start_idx, vx.end_idx) AS hi
+  FROM lg JOIN vx USING (req_id))
+, lg3 AS (SELECT lg2.*, coalesce((SELECT sum(seg_km) FROM pts WHERE pts.shape_id = lg2.shape_id AND pts.idx >= lg2.lo AND pts.idx < lg2.hi), 0.0) AS transit_km,
+    {_MODE} AS transport_mode FROM lg2)
+, plan AS (
+  SELECT r.req_id,
+    CASE WHEN s.stop_id IS NULL THEN 'no_stop' WHEN e.end_stop_id IS NULL THEN 'no_shared_stop'
+         WHEN l.trip_id IS NULL THEN 'no_trip' ELSE 'ok' END AS status,
+    s.stop_id AS start_stop_id, e.end_stop_id, l.trip_id, l.route_id, l.transport_mode, l.shape_id,
+    l.start_idx, l.end_idx, CAST(l.hi - l.lo + 1 AS INTEGER) AS n_points, l.transit_km,
+    ({_geo_m('r.start_lat', 'r.start_lon', 'l.s_lat', 'l.s_lon')} + {_geo_m('l.e_lat', 'l.e_lon', 'r.end_lat', 'r.end_lon')}) / 1000 AS walk_km,
+    r.start_lat, r.start_lon, r.end_lat, r.end_lon, l.s_lat, l.s_lon, l.e_lat, l.e_lon, l.lo, l.hi
+  FROM v_requests r LEFT JOIN start_s s USING (req_id) LEFT JOIN end_s e USING (req_id) LEFT JOIN lg3 l USING (req_id))
+"""
+ORACLE["plan_transit_trips"] = _PLAN + """
+SELECT req_id, status, start_stop_id, end_stop_id, trip_id, route_id, transport_mode, shape_id, start_idx, end_idx,
+  n_points, round(transit_km, 6) AS transit_km, round(walk_km, 6) AS walk_km,
+  round(transit_km * CASE transport_mode WHEN 'bus' THEN 55.9 WHEN 'tram' THEN 1.2 WHEN 'metro' THEN 1.42 ELSE 0.0 END, 6) AS co2_g,
+  floor((walk_km + transit_km) * 100) AS coins
+FROM plan"""
+
+ORACLE["nearest_vertex"] = _PLAN + "SELECT req_id, shape_id, start_idx, end_idx FROM plan WHERE status = 'ok'"
+
+ORACLE["trip_path"] = _PLAN + """
+, ok AS (SELECT * FROM plan WHERE status = 'ok')
+SELECT req_id, 0 AS pos, start_lat AS lat, start_lon AS lon FROM ok
+UNION ALL SELECT req_id, 1, s_lat, s_lon FROM ok
+UNION ALL SELECT ok.req_id, CAST(2 + CASE WHEN ok.start_idx >= ok.end_idx THEN ok.hi - p.idx ELSE p.idx - ok.lo END AS INTEGER),
+  p.lat, p.lon FROM ok JOIN pts p ON p.shape_id = ok.shape_id AND p.idx BETWEEN ok.lo AND ok.hi
+UNION ALL SELECT req_id, CAST(2 + n_points AS INTEGER), e_lat, e_lon FROM ok
+UNION ALL SELECT req_id, CAST(3 + n_points AS INTEGER), end_lat, end_lon FROM ok"""

@@ -204,3 +204,157 @@ def _q_date_parts(spark, sf):
                     F.date_format("ts", "dd/MM/yyyy").alias("day_fr"),
                     F.weekday("ts").alias("weekday"),
                     F.hour("ts").alias("hour"))
+
+
+# ---------------------------------------------------------------- geo + transit
+from sentier.functions import geo as G  # noqa: E402
+from sentier.functions import mobility as MO  # noqa: E402
+from sentier.plans import transit as TR  # noqa: E402
+
+
+def _gtfs(spark, sf):
+    return {n: role(spark, sf, "v_" + n) for n in ("requests", "stops", "stop_times", "trips", "routes", "shapes")}
+
+
+def _r(c, n=6):
+    return F.round(F.col(c), n).alias(c)
+
+
+@register("geo_distance")
+def _q_geo_distance(spark, sf):
+    r = role(spark, sf, "v_requests")
+    return r.select("req_id", F.round(G.great_circle_km("start_lat", "start_lon", "end_lat", "end_lon"), 6).alias("km"),
+                    F.round(G.great_circle_km("start_lat", "start_lon", "end_lat", "end_lon") * 1000, 3).alias("meters"))
+
+
+@register("geodesic_distance")
+def _q_geodesic_distance(spark, sf):
+    r = role(spark, sf, "v_requests")
+    r = G.with_geodesic_m(r, "m", "start_lat", "start_lon", "end_lat", "end_lon")
+    return r.select("req_id", F.round("m", 3).alias("meters"))
+
+
+@register("postal_distance")
+def _q_postal_distance(spark, sf):
+    p = _places(spark, sf)
+    return p.select("tsid", G.postal_distance(F.col("codepostal"), F.lit("76000")).alias("postal_dist"))
+
+
+@register("nearest_stop")
+def _q_nearest_stop(spark, sf):
+    g = _gtfs(spark, sf)
+    best = TR.nearest_stop(g["requests"], g["stops"], "req_id", "start_lat", "start_lon")
+    return best.select("req_id", "stop_id", "stop_name", _r("dist_m", 3))
+
+
+@register("nearest_stop_shared_route")
+def _q_nearest_shared(spark, sf):
+    g = _gtfs(spark, sf)
+    start = TR.nearest_stop(g["requests"], g["stops"], "req_id", "start_lat", "start_lon")
+    ref = start.where(F.col("stop_id").isNotNull()).select("req_id", F.col("stop_id").alias("ref_stop_id"))
+    sr = TR.stop_routes(g["stop_times"], g["trips"])
+    end = TR.nearest_shared_stop(g["requests"], ref, g["stops"], sr)
+    return ref.join(end, "req_id").select("req_id", "ref_stop_id", "end_stop_id", _r("end_dist_m", 3))
+
+
+def _plain_pairs(g):
+    s = TR.nearest_stop(g["requests"], g["stops"], "req_id", "start_lat", "start_lon")
+    e = TR.nearest_stop(g["requests"], g["stops"], "req_id", "end_lat", "end_lon")
+    return (s.select("req_id", F.col("stop_id").alias("start_stop_id"))
+            .join(e.select("req_id", F.col("stop_id").alias("end_stop_id")), "req_id")
+            .where(F.col("start_stop_id").isNotNull() & F.col("end_stop_id").isNotNull()))
+
+
+@register("trips_between_stops")
+def _q_trips_between(spark, sf):
+    g = _gtfs(spark, sf)
+    return TR.trips_between_stops(_plain_pairs(g), g["stop_times"])
+
+
+@register("trips_unconnected")
+def _q_trips_unconnected(spark, sf):
+    g = _gtfs(spark, sf)
+    return TR.unconnected_stop_trips(_plain_pairs(g), g["stop_times"])
+
+
+@register("routes_per_stop")
+def _q_routes_per_stop(spark, sf):
+    g = _gtfs(spark, sf)
+    return TR.stop_routes(g["stop_times"], g["trips"])
+
+
+@register("trip_route_shape")
+def _q_trip_route_shape(spark, sf):
+    g = _gtfs(spark, sf)
+    return (g["trips"].join(g["routes"], "route_id", "left")
+            .select("trip_id", "route_id", "shape_id", "route_short_name",
+                    MO.route_mode(F.col("route_short_name")).alias("transport_mode")))
+
+
+@register("route_mode")
+def _q_route_mode(spark, sf):
+    r = role(spark, sf, "v_routes")
+    return r.select("route_id", "route_short_name", MO.route_mode(F.col("route_short_name")).alias("transport_mode"))
+
+
+@register("trip_co2")
+def _q_trip_co2(spark, sf):
+    r = G.with_geodesic_m(role(spark, sf, "v_requests"), "m", "start_lat", "start_lon", "end_lat", "end_lon")
+    r = r.select("req_id", (F.col("m") / 1000).alias("km"))
+    m = r.select("req_id", "km", F.explode(F.array(*[F.lit(x) for x in ("bike", "bus", "tram", "metro", "walk")])).alias("mode"))
+    return m.select("req_id", "mode", F.round(MO.co2_grams(F.col("km"), F.col("mode")), 6).alias("co2_g"))
+
+
+@register("trip_coins")
+def _q_trip_coins(spark, sf):
+    r = G.with_geodesic_m(role(spark, sf, "v_requests"), "m", "start_lat", "start_lon", "end_lat", "end_lon")
+    r = r.select("req_id", (F.col("m") / 1000).alias("km"))
+    m = r.select("req_id", "km", F.explode(F.array(*[F.lit(x) for x in ("bike", "bus", "walk")])).alias("mode"))
+    return m.select("req_id", "mode", F.round(MO.trip_coins(F.col("km"), F.col("mode")), 6).alias("coins"))
+
+
+@register("path_segments")
+def _q_path_segments(spark, sf):
+    pts = TR.shape_points(role(spark, sf, "v_shapes"))
+    return pts.select("shape_id", "seq", "idx", "next_lat", "next_lon", _r("seg_km"))
+
+
+@register("path_length")
+def _q_path_length(spark, sf):
+    pts = TR.shape_points(role(spark, sf, "v_shapes"))
+    return pts.groupBy("shape_id").agg(F.round(F.sum("seg_km"), 6).alias("length_km"),
+                                       F.count(F.lit(1)).alias("n_points"))
+
+
+@register("path_bbox")
+def _q_path_bbox(spark, sf):
+    s = role(spark, sf, "v_shapes")
+    return s.groupBy("shape_id").agg(F.min("lat").alias("min_lat"), F.max("lat").alias("max_lat"),
+                                     F.min("lon").alias("min_lon"), F.max("lon").alias("max_lon"))
+
+
+def _plan(spark, sf, with_path=False):
+    g = _gtfs(spark, sf)
+    return TR.plan_transit_trips(g["requests"], g["stops"], g["stop_times"], g["trips"], g["routes"],
+                                 g["shapes"], with_path=with_path)
+
+
+@register("plan_transit_trips")
+def _q_plan_transit(spark, sf):
+    p = _plan(spark, sf)
+    return p.select("req_id", "status", "start_stop_id", "end_stop_id", "trip_id", "route_id", "transport_mode",
+                    "shape_id", "start_idx", "end_idx", "n_points", _r("transit_km"), _r("walk_km"), _r("co2_g"),
+                    "coins")
+
+
+@register("nearest_vertex")
+def _q_nearest_vertex(spark, sf):
+    p = _plan(spark, sf).where(F.col("status") == "ok")
+    return p.select("req_id", "shape_id", "start_idx", "end_idx")
+
+
+@register("trip_path")
+def _q_trip_path(spark, sf):
+    p = _plan(spark, sf, with_path=True).where(F.col("status") == "ok")
+    return p.select("req_id", F.posexplode("path").alias("pos", "pt")).select(
+        "req_id", "pos", F.col("pt.lat").alias("lat"), F.col("pt.lon").alias("lon"))
