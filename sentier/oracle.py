@@ -319,3 +319,80 @@ UNION ALL SELECT ok.req_id, CAST(2 + CASE WHEN ok.start_idx >= ok.end_idx THEN o
   p.lat, p.lon FROM ok JOIN pts p ON p.shape_id = ok.shape_id AND p.idx BETWEEN ok.lo AND ok.hi
 UNION ALL SELECT req_id, CAST(2 + n_points AS INTEGER), e_lat, e_lon FROM ok
 UNION ALL SELECT req_id, CAST(3 + n_points AS INTEGER), end_lat, end_lon FROM ok"""
+
+
+# ---------------------------------------------------------------- vectors, recommendation, retrieval
+ORACLE["vector_knn"] = W("v_queries", "v_vectors") + """
+SELECT qid, tsid, CAST(rn AS INTEGER) AS rank, round(d, 6) AS dist FROM (
+  SELECT q.qid, v.tsid, pow(list_distance(CAST(q.vector AS DOUBLE[]), CAST(v.vector AS DOUBLE[])), 2) AS d,
+    row_number() OVER (PARTITION BY q.qid ORDER BY pow(list_distance(CAST(q.vector AS DOUBLE[]), CAST(v.vector AS DOUBLE[])), 2), v.tsid) AS rn
+  FROM v_queries q CROSS JOIN v_vectors v) WHERE rn <= 100"""
+
+_COS = """CASE WHEN list_dot_product(a.v, a.v) = 0 OR list_dot_product(b.v, b.v) = 0 THEN 0.0
+  ELSE list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) END"""
+
+ORACLE["cosine_pairs"] = W("v_vectors") + f"""
+, vv AS (SELECT tsid, CAST(vector AS DOUBLE[]) AS v FROM v_vectors)
+SELECT tsid, CAST(rn AS INTEGER) AS rank, neighbour, round(c, 6) AS cosine FROM (
+  SELECT a.tsid, b.tsid AS neighbour, {_COS} AS c,
+    row_number() OVER (PARTITION BY a.tsid ORDER BY {_COS} DESC, b.tsid) AS rn
+  FROM vv a JOIN vv b ON a.tsid <> b.tsid) WHERE rn <= 10"""
+
+_RECS = W("v_places", "v_vectors", "v_feedback") + f"""
+, pv AS (SELECT p.tsid, p.nom, p.latitude, p.longitude, p.photo, CAST(v.vector AS DOUBLE[]) AS v
+  FROM v_places p JOIN v_vectors v USING (tsid))
+, sc AS (SELECT a.tsid AS ref_tsid, b.tsid, b.photo, {_gc_km('a.latitude', 'a.longitude', 'b.latitude', 'b.longitude')} AS km,
+    {_COS} - 0.5 * {_gc_km('a.latitude', 'a.longitude', 'b.latitude', 'b.longitude')} AS score
+  FROM pv a JOIN pv b ON a.tsid <> b.tsid)
+, recs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ref_tsid ORDER BY score DESC, tsid) AS rn FROM sc) WHERE rn <= 8)
+"""
+ORACLE["recommend_places"] = _RECS + """
+SELECT ref_tsid, CAST(rn AS INTEGER) AS rank, tsid, round(km * 1000, 3) AS distance_m,
+  CASE WHEN photo IS NULL THEN 'static/imgs/no_photo.jpg' ELSE split_part(photo, ' ## ', 1) END AS photo_url,
+  round(score, 6) AS score FROM recs"""
+
+ORACLE["user_recommendations"] = _RECS + """
+, last AS (SELECT username, tsid FROM (SELECT *, row_number() OVER (PARTITION BY username ORDER BY date DESC, fid DESC) AS rn
+  FROM v_feedback) WHERE rn = 1)
+SELECT l.username, r.ref_tsid, CAST(r.rn AS INTEGER) AS rank, r.tsid AS rec_tsid, round(r.km * 1000, 3) AS distance_m
+FROM last l JOIN recs r ON r.ref_tsid = l.tsid"""
+
+ORACLE["nearest_places"] = W("v_requests", "v_places") + f"""
+SELECT req_id, CAST(rn AS INTEGER) AS rank, tsid, round(d * 1000, 3) AS distance_m FROM (
+  SELECT r.req_id, p.tsid, {_gc_km('r.start_lat', 'r.start_lon', 'p.latitude', 'p.longitude')} AS d,
+    row_number() OVER (PARTITION BY r.req_id ORDER BY {_gc_km('r.start_lat', 'r.start_lon', 'p.latitude', 'p.longitude')}, p.tsid) AS rn
+  FROM v_requests r CROSS JOIN v_places p) WHERE rn <= 10"""
+
+_LOC = W("v_queries", "v_places", "v_vectors") + """
+, com AS (SELECT commune, min(ord) AS first_ord FROM v_places WHERE commune IS NOT NULL GROUP BY commune)
+, loc AS (SELECT qid, commune AS location FROM (SELECT q.qid, c.commune,
+    row_number() OVER (PARTITION BY q.qid ORDER BY c.first_ord) AS rn
+  FROM v_queries q JOIN com c ON contains(lower(q.query), lower(c.commune))) WHERE rn = 1)
+, pst AS (SELECT location, codepostal AS postal FROM (SELECT c.commune AS location, p.codepostal,
+    row_number() OVER (PARTITION BY c.commune ORDER BY p.ord) AS rn
+  FROM com c JOIN v_places p ON contains(lower(p.commune), lower(c.commune))) WHERE rn = 1)
+, ql AS (SELECT q.qid, l.location, s.postal FROM v_queries q LEFT JOIN loc l USING (qid) LEFT JOIN pst s USING (location))
+"""
+ORACLE["query_location"] = _LOC + "SELECT qid, location, postal FROM ql"
+
+_RAG = _LOC + """
+, nn AS (SELECT * FROM (SELECT q.qid, p.tsid, p.codepostal,
+    pow(list_distance(CAST(q.vector AS DOUBLE[]), CAST(v.vector AS DOUBLE[])), 2) AS ed,
+    row_number() OVER (PARTITION BY q.qid ORDER BY pow(list_distance(CAST(q.vector AS DOUBLE[]), CAST(v.vector AS DOUBLE[])), 2), p.tsid) AS rn
+  FROM v_queries q CROSS JOIN (v_places p JOIN v_vectors v USING (tsid))) WHERE rn <= 100)
+, sc AS (SELECT nn.qid, nn.tsid, ql.location, nn.ed,
+    CASE WHEN ql.location IS NULL THEN 0.0 WHEN ql.postal IS NULL THEN 'inf'::DOUBLE
+         WHEN regexp_matches(ql.postal, '^[0-9]+$') AND regexp_matches(nn.codepostal, '^[0-9]+$')
+         THEN abs(CAST(ql.postal AS DOUBLE) - CAST(nn.codepostal AS DOUBLE)) ELSE 'inf'::DOUBLE END AS gd
+  FROM nn JOIN ql USING (qid))
+, rk AS (SELECT *, 0.5 * ed + 0.5 * gd AS cs, row_number() OVER (PARTITION BY qid ORDER BY 0.5 * ed + 0.5 * gd, ed, tsid) AS rn FROM sc)
+"""
+ORACLE["rag_retrieve"] = _RAG + """
+SELECT qid, CAST(rn AS INTEGER) AS rank, tsid, location, round(ed, 6) AS embedding_distance, gd AS geo_distance,
+  round(cs, 6) AS combined_score FROM rk WHERE rn <= 10"""
+
+ORACLE["rag_context"] = _RAG + """
+SELECT r.qid, string_agg('Nom : ' || coalesce(p.nom, 'nan') || ', Description : ' || coalesce(p.descriptif, 'nan')
+    || ', Lieu : ' || coalesce(p.commune, 'nan'), chr(10) ORDER BY r.rn) AS context,
+  string_agg(r.tsid, ',' ORDER BY r.rn) AS tsids
+FROM rk r JOIN v_places p USING (tsid) WHERE r.rn <= 10 GROUP BY r.qid"""

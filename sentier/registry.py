@@ -358,3 +358,69 @@ def _q_trip_path(spark, sf):
     p = _plan(spark, sf, with_path=True).where(F.col("status") == "ok")
     return p.select("req_id", F.posexplode("path").alias("pos", "pt")).select(
         "req_id", "pos", F.col("pt.lat").alias("lat"), F.col("pt.lon").alias("lon"))
+
+
+# ---------------------------------------------------------------- vectors, recommendation, retrieval
+from sentier.operators import vectors as VE  # noqa: E402
+from sentier.plans import rag as RG  # noqa: E402
+from sentier.plans import recommend as RE  # noqa: E402
+
+
+@register("vector_knn")
+def _q_vector_knn(spark, sf):
+    q, v = role(spark, sf, "v_queries"), role(spark, sf, "v_vectors")
+    nn = VE.knn(q, v, 100, q_id="qid", q_vec="vector", v_id="tsid", v_vec="vector", metric="l2sq")
+    return nn.select("qid", F.col("vid").alias("tsid"), "rank", F.round("score", 6).alias("dist"))
+
+
+@register("cosine_pairs")
+def _q_cosine_pairs(spark, sf):
+    v = role(spark, sf, "v_vectors")
+    nn = VE.knn(v, v, 10, q_id="tsid", q_vec="vector", v_id="tsid", v_vec="vector", metric="cosine",
+                exclude_self=True)
+    return nn.select(F.col("qid").alias("tsid"), "rank", F.col("vid").alias("neighbour"),
+                     F.round("score", 6).alias("cosine"))
+
+
+def _recs(spark, sf):
+    return RE.recommend_places(_places(spark, sf), role(spark, sf, "v_vectors"))
+
+
+@register("recommend_places")
+def _q_recommend_places(spark, sf):
+    r = _recs(spark, sf)
+    return r.select("ref_tsid", "rank", "tsid", F.round("distance_m", 3).alias("distance_m"), "photo_url",
+                    F.round("score", 6).alias("score"))
+
+
+@register("nearest_places")
+def _q_nearest_places(spark, sf):
+    r = role(spark, sf, "v_requests")
+    n = RE.nearest_places(r, _places(spark, sf), "req_id", "start_lat", "start_lon", 10)
+    return n.select("req_id", "rank", "tsid", F.round("distance_m", 3).alias("distance_m"))
+
+
+@register("user_recommendations")
+def _q_user_recommendations(spark, sf):
+    u = RE.user_recommendations(_fb(spark, sf), _recs(spark, sf))
+    return u.select("username", "ref_tsid", "rank", "rec_tsid", F.round("distance_m", 3).alias("distance_m"))
+
+
+@register("query_location")
+def _q_query_location(spark, sf):
+    return RG.query_location(role(spark, sf, "v_queries"), _places(spark, sf))
+
+
+def _rag(spark, sf):
+    return RG.rag_retrieve(role(spark, sf, "v_queries"), _places(spark, sf), role(spark, sf, "v_vectors"))
+
+
+@register("rag_retrieve")
+def _q_rag_retrieve(spark, sf):
+    return _rag(spark, sf).select("qid", "rank", "tsid", "location", F.round("embedding_distance", 6).alias("embedding_distance"),
+                                  "geo_distance", F.round("combined_score", 6).alias("combined_score"))
+
+
+@register("rag_context")
+def _q_rag_context(spark, sf):
+    return RG.rag_context(_rag(spark, sf), _places(spark, sf))
