@@ -396,3 +396,67 @@ SELECT r.qid, string_agg('Nom : ' || coalesce(p.nom, 'nan') || ', Description :
     || ', Lieu : ' || coalesce(p.commune, 'nan'), chr(10) ORDER BY r.rn) AS context,
   string_agg(r.tsid, ',' ORDER BY r.rn) AS tsids
 FROM rk r JOIN v_places p USING (tsid) WHERE r.rn <= 10 GROUP BY r.qid"""
+
+
+# ---------------------------------------------------------------- loyalty
+ORACLE["user_levels"] = W("v_wallet") + """
+SELECT user_id, coins, CAST(floor(experience / 1000) AS INTEGER) AS level,
+  CAST((floor(experience / 1000) + 1) * 1000 - experience AS INTEGER) AS coins_for_next_level FROM v_wallet"""
+
+ORACLE["user_badges"] = W("v_wallet") + """
+, b AS (SELECT * FROM (VALUES ('Incontournable de la Normandie', 'A visité la Cathédrale de Rouen'),
+  ('Connaisseur de la région', 'A visité 50% de la Normandie'),
+  ('Ami des deux roues', 'S''est déplacé en vélo sur plus de 10 km')) t(badge, description))
+, ex AS (SELECT user_id, CAST(generate_subscripts(string_split(badges, ';'), 1) - 1 AS INTEGER) AS pos,
+  unnest(string_split(badges, ';')) AS badge FROM v_wallet WHERE badges IS NOT NULL)
+SELECT ex.user_id, ex.pos, ex.badge, coalesce(b.description, 'Description non disponible') AS description
+FROM ex LEFT JOIN b USING (badge)"""
+
+_TIERS = """
+, tiers AS (SELECT * FROM (VALUES (1, 1000, 2000, 3), (2, 2000, 3000, 3), (3, 3000, 5000, 3), (4, 5000, NULL, 3))
+  t(tier, min_nc, max_nc, n_rewards))
+, hi AS (SELECT w.user_id, w.coins, coalesce(max(t.tier) FILTER (WHERE t.min_nc <= w.coins AND (t.max_nc IS NULL OR w.coins < t.max_nc)), 0) AS hi
+  FROM v_wallet w CROSS JOIN tiers t GROUP BY w.user_id, w.coins)
+"""
+ORACLE["tier_access"] = W("v_wallet") + _TIERS + """
+SELECT h.user_id, h.coins, t.tier, t.min_nc, coalesce(CAST(t.max_nc AS VARCHAR), '∞') AS max_nc, t.tier <= h.hi AS accessible
+FROM hi h CROSS JOIN tiers t"""
+
+ORACLE["tiers_dim"] = W("v_wallet") + _TIERS + """
+SELECT t.tier, count(*) AS n_users, t.n_rewards FROM hi h JOIN tiers t ON t.tier <= h.hi GROUP BY t.tier, t.n_rewards"""
+
+ORACLE["tier_progress"] = W("v_wallet") + _TIERS + """
+SELECT h.user_id, h.coins, h.hi AS current_tier,
+  CASE WHEN h.hi > 0 THEN least((h.hi - 1) * 100.0 / 3, 100.0) ELSE 0.0 END AS position_pct,
+  CASE WHEN h.hi > 0 AND h.hi < 4 THEN h.hi + 1 END AS next_tier,
+  CASE WHEN h.hi > 0 AND h.hi < 4 THEN (SELECT min_nc FROM tiers WHERE tier = h.hi + 1) - h.coins END AS coins_needed
+FROM hi h"""
+
+_LEDGER = W("v_wallet", "v_spends").replace("WITH ", "WITH RECURSIVE ", 1) + """
+, sp AS (SELECT s.user_id, s.event_id, s.cost, row_number() OVER (PARTITION BY s.user_id ORDER BY s.event_id) AS rn
+  FROM v_spends s JOIN v_wallet USING (user_id))
+, rec(user_id, rn, bal, acc, ok) AS (
+  SELECT user_id, CAST(0 AS BIGINT), coins, 0, false FROM v_wallet
+  UNION ALL
+  SELECT r.user_id, r.rn + 1,
+    CASE WHEN sp.cost > 0 AND r.bal >= sp.cost THEN r.bal - sp.cost ELSE r.bal END,
+    r.acc + CASE WHEN sp.cost > 0 AND r.bal >= sp.cost THEN 1 ELSE 0 END,
+    sp.cost > 0 AND r.bal >= sp.cost
+  FROM rec r JOIN sp ON sp.user_id = r.user_id AND sp.rn = r.rn + 1)
+"""
+ORACLE["wallet_balances"] = _LEDGER + """
+SELECT user_id, arg_max(bal, rn) AS balance, CAST(arg_max(acc, rn) AS BIGINT) AS n_accepted,
+  CAST(max(rn) - arg_max(acc, rn) AS BIGINT) AS n_rejected FROM rec GROUP BY user_id"""
+
+ORACLE["wallet_ledger"] = _LEDGER + """
+SELECT sp.user_id, sp.event_id, sp.cost, r.ok AS accepted, r.bal AS balance
+FROM sp JOIN rec r ON r.user_id = sp.user_id AND r.rn = sp.rn"""
+
+ORACLE["users_insert_new"] = """
+WITH ex AS (SELECT 'user' || c_custkey AS username, c_name AS name FROM customer WHERE c_acctbal > 0)
+, reg AS (SELECT lower(upper('User' || o_custkey)) AS username, min('Nom ' || o_custkey) AS name
+  FROM orders WHERE o_orderstatus = 'P' GROUP BY 1)
+SELECT username, name FROM ex
+UNION ALL SELECT username, name FROM reg WHERE username NOT IN (SELECT username FROM ex)"""
+
+ORACLE["users_snapshot"] = ORACLE["users_insert_new"]

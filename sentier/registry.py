@@ -424,3 +424,73 @@ def _q_rag_retrieve(spark, sf):
 @register("rag_context")
 def _q_rag_context(spark, sf):
     return RG.rag_context(_rag(spark, sf), _places(spark, sf))
+
+
+# ---------------------------------------------------------------- loyalty
+from sentier.plans import loyalty as LO  # noqa: E402
+from sentier.session import shared_path  # noqa: E402
+
+
+def _wallet(spark, sf):
+    return role(spark, sf, "v_wallet")
+
+
+@register("user_levels")
+def _q_user_levels(spark, sf):
+    return LO.user_levels(_wallet(spark, sf))
+
+
+@register("user_badges")
+def _q_user_badges(spark, sf):
+    return LO.user_badges(_wallet(spark, sf), LO.badges_dim(spark))
+
+
+@register("tier_access")
+def _q_tier_access(spark, sf):
+    return LO.tier_access(_wallet(spark, sf))
+
+
+@register("tiers_dim")
+def _q_tiers_dim(spark, sf):
+    """Users per tier band, with the band's rewards count (dimension x wallet)."""
+    acc = LO.tier_access(_wallet(spark, sf)).where(F.col("accessible"))
+    d = LO.tiers_dim(spark).select("tier", F.size("rewards").alias("n_rewards"))
+    return acc.groupBy("tier").agg(F.count(F.lit(1)).alias("n_users")).join(F.broadcast(d), "tier")
+
+
+@register("tier_progress")
+def _q_tier_progress(spark, sf):
+    return LO.tier_progress(_wallet(spark, sf))
+
+
+@register("wallet_balances")
+def _q_wallet_balances(spark, sf):
+    return LO.wallet_balances(_wallet(spark, sf), role(spark, sf, "v_spends"))
+
+
+@register("wallet_ledger")
+def _q_wallet_ledger(spark, sf):
+    return LO.wallet_ledger(_wallet(spark, sf), role(spark, sf, "v_spends"))
+
+
+def _registrations(spark, sf):
+    o = table(spark, sf, "orders").where(F.col("o_orderstatus") == "P")
+    return o.select(F.upper(F.concat(F.lit("User"), F.col("o_custkey"))).alias("username"),
+                    F.concat(F.lit("Nom "), F.col("o_custkey")).alias("name"))
+
+
+def _existing_users(spark, sf):
+    c = table(spark, sf, "customer").where(F.col("c_acctbal") > 0)
+    return c.select(F.concat(F.lit("user"), F.col("c_custkey")).alias("username"), F.col("c_name").alias("name"))
+
+
+@register("users_insert_new")
+def _q_users_insert_new(spark, sf):
+    return LO.users_insert_new(_existing_users(spark, sf), _registrations(spark, sf))
+
+
+@register("users_snapshot")
+def _q_users_snapshot(spark, sf):
+    from sentier.sources import files as FI
+    users = LO.users_insert_new(_existing_users(spark, sf), _registrations(spark, sf))
+    return FI.write_snapshot(users, shared_path(spark, "users"))
