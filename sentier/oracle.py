@@ -460,3 +460,81 @@ SELECT username, name FROM ex
 UNION ALL SELECT username, name FROM reg WHERE username NOT IN (SELECT username FROM ex)"""
 
 ORACLE["users_snapshot"] = ORACLE["users_insert_new"]
+
+
+# ---------------------------------------------------------------- calendar
+_AG = """
+WITH ag AS (SELECT event_id AS uid, event_type || ' #' || event_id AS title, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS start,
+  strftime(ts + INTERVAL 2 DAY, '%Y-%m-%dT%H:%M:%S') AS "end", props AS description, 'Rue ' || user_id AS location,
+  strftime(ts, '%Y-%m-%d') AS day, strftime(ts + INTERVAL 2 DAY, '%Y-%m-%dT%H:%M:%S') AS later FROM events)
+"""
+ORACLE["json_flatten"] = _AG + """
+SELECT uid, title AS "title.fr", start AS "firstTiming.begin", "end" AS "lastTiming.end", description AS "description.fr",
+  location AS "location.address" FROM ag"""
+ORACLE["event_calendar"] = _AG + 'SELECT uid, title, start, "end", description, location, day FROM ag'
+ORACLE["json_event_pages"] = ORACLE["event_calendar"]
+ORACLE["events_per_day"] = _AG + "SELECT day, count(*) AS n_events FROM ag GROUP BY day"
+ORACLE["events_by_day_nested"] = _AG + """
+SELECT day, count(*) OVER (PARTITION BY day) AS n_events, CAST(row_number() OVER (PARTITION BY day ORDER BY start, uid) AS INTEGER) AS pos,
+  uid, start, title FROM ag"""
+ORACLE["events_upcoming"] = _AG + """
+SELECT uid, title, start FROM ag WHERE start >= '2024-01-15T00:00:00' OR later >= '2024-01-15T00:00:00'"""
+
+# ---------------------------------------------------------------- feedback ingest
+_THEMES_SQL = "[" + ", ".join("'" + t.replace("'", "''") + "'" for t in __import__("sentier.constants", fromlist=["THEMES"]).THEMES) + "]"
+_EXPL = W("v_raw_feedback") + f"""
+, parsed AS (SELECT *, CASE WHEN json_valid(raw) THEN from_json(raw, '{{"results":[{{"verbatim":"VARCHAR","theme":"VARCHAR","sentiment":"VARCHAR"}}]}}').results END AS res
+  FROM v_raw_feedback)
+, chk AS (SELECT *, coalesce(res IS NOT NULL AND len(res) > 0 AND list_bool_and(list_transform(res, lambda x:
+    x.verbatim IS NOT NULL AND list_contains({_THEMES_SQL}, x.theme) AND list_contains(['Négatif', 'Neutre', 'Positif'], x.sentiment))), false) AS ok
+  FROM parsed)
+, items AS (SELECT *, CASE WHEN ok THEN res ELSE [{{'verbatim': feedback, 'theme': 'Autres', 'sentiment': 'Neutre'}}] END AS its FROM chk)
+, ex AS (SELECT fid, username, longitude, latitude, nom, feedback, CAST(generate_subscripts(its, 1) - 1 AS INTEGER) AS pos, unnest(its) AS it FROM items)
+, exploded AS (SELECT fid, username, longitude, latitude, nom, feedback, pos, it.verbatim AS verbatim, it.theme AS theme,
+  it.sentiment AS sentiment FROM ex)
+"""
+ORACLE["verbatim_explode"] = _EXPL + "SELECT fid, pos, verbatim, theme, sentiment FROM exploded"
+
+_TSID = """
+, pk AS (SELECT round(longitude, 7) AS lo, round(latitude, 7) AS la, arg_min(tsid, ord) AS tp FROM v_places
+  WHERE latitude IS NOT NULL AND longitude IS NOT NULL GROUP BY 1, 2)
+, rk AS (SELECT round(longitude, 7) AS lo, round(latitude, 7) AS la, min(tsid) AS tr FROM v_restaurants
+  WHERE latitude IS NOT NULL AND longitude IS NOT NULL GROUP BY 1, 2)
+"""
+ORACLE["feedback_tsid"] = W("v_raw_feedback") + _TSID + """
+SELECT f.fid, coalesce(pk.tp, rk.tr, 'XXXXXX') AS tsid FROM v_raw_feedback f
+LEFT JOIN pk ON pk.lo = round(f.longitude, 7) AND pk.la = round(f.latitude, 7)
+LEFT JOIN rk ON rk.lo = round(f.longitude, 7) AND rk.la = round(f.latitude, 7)"""
+
+_ING = _EXPL + _TSID + """
+, ing AS (SELECT e.*, coalesce(pk.tp, rk.tr, 'XXXXXX') AS tsid, DATE '2001-12-01' AS date FROM exploded e
+  LEFT JOIN pk ON pk.lo = round(e.longitude, 7) AND pk.la = round(e.latitude, 7)
+  LEFT JOIN rk ON rk.lo = round(e.longitude, 7) AND rk.la = round(e.latitude, 7))
+"""
+ORACLE["ingest_feedback"] = _ING + """
+SELECT fid, username, longitude, latitude, nom, feedback, pos, verbatim, theme, sentiment, tsid, date FROM ing"""
+
+ORACLE["feedback_append"] = _ING.replace("WITH ", "WITH v_feedback AS (" + __import__("sentier.sources.tables", fromlist=["ROLE_VIEWS"]).ROLE_VIEWS["v_feedback"].replace("{orders}", "orders").strip() + "),\n", 1) + """
+SELECT month, source, sentiment, count(*) AS n FROM (
+  SELECT strftime(date, '%Y-%m') AS month, 'history' AS source, sentiment FROM v_feedback
+  UNION ALL SELECT strftime(date, '%Y-%m'), 'ingest', sentiment FROM ing) GROUP BY 1, 2, 3"""
+
+ORACLE["feedback_restore"] = W("v_feedback") + """
+SELECT fid, username, date, tsid, nom, theme, sentiment, feedback FROM v_feedback"""
+
+# ---------------------------------------------------------------- accessibility
+_ACC = W("v_places", "v_access") + """
+, j AS (SELECT p.tsid, a.name IS NOT NULL AS matched, a.entree_pmr, a.accueil_personnels FROM v_places p
+  LEFT JOIN v_access a ON a.name = p.nom)
+"""
+ORACLE["accessibility_join"] = _ACC + """
+SELECT tsid, matched, CASE WHEN matched THEN coalesce(entree_pmr, false) END AS entree_pmr,
+  CASE WHEN matched THEN false END AS stationnement_pmr,
+  CASE WHEN matched THEN coalesce(accueil_personnels, 'Non disponible') END AS accueil_personnels,
+  CASE WHEN matched THEN '' END AS labels FROM j"""
+ORACLE["accessibility_labels"] = _ACC + """
+SELECT tsid, CASE WHEN matched AND entree_pmr THEN 'Oui' ELSE 'Non disponible' END AS entree_pmr,
+  'Non disponible' AS sanitaires_adaptes,
+  CASE WHEN matched AND coalesce(accueil_personnels, 'Non disponible') <> '' THEN coalesce(accueil_personnels, 'Non disponible')
+       ELSE 'Non disponible' END AS accueil_personnels,
+  'Non disponible' AS labels FROM j"""

@@ -145,3 +145,74 @@ def dashboard_summary(fb: DataFrame, as_of) -> DataFrame:
                                    F.col("trend_negative").alias("value")))).alias("p"))
     trend = trend.select("panel", "p.label", "p.value")
     return s.unionByName(t).unionByName(tn).unionByName(rn).unionByName(trend)
+
+
+# ---------------------------------------------------------------- ingest
+CLASSIFIED_SCHEMA = "results array<struct<verbatim:string,theme:string,sentiment:string>>"
+
+
+def verbatim_explode(raw: DataFrame) -> DataFrame:
+    """parse the model's JSON; if any item has an unknown theme or
+    sentiment, the JSON is malformed, or the list is empty, the whole comment
+    falls back to one row (verbatim = text, 'Autres', 'Neutre'). Then one row
+    per item with its position."""
+    parsed = F.from_json(F.col("raw"), CLASSIFIED_SCHEMA)
+    themes = F.array(*[F.lit(t) for t in K.THEMES])
+    sents = F.array(*[F.lit(s) for s in K.SENTIMENTS])
+    res = parsed["results"]
+    ok = (res.isNotNull() & (F.size(res) > 0)
+          & F.forall(res, lambda r: r["verbatim"].isNotNull() & F.array_contains(themes, r["theme"])
+                     & F.array_contains(sents, r["sentiment"])))
+    fallback = F.array(F.struct(F.col("feedback").alias("verbatim"), F.lit(K.FALLBACK_THEME).alias("theme"),
+                                F.lit(K.FALLBACK_SENTIMENT).alias("sentiment")))
+    items = F.when(F.coalesce(ok, F.lit(False)), res).otherwise(fallback)
+    cols = [c for c in raw.columns if c != "raw"]
+    return (raw.select(*cols, F.posexplode(items).alias("pos", "it"))
+            .select(*cols, "pos", "it.verbatim", "it.theme", "it.sentiment"))
+
+
+def _coord_key(c: str) -> F.Column:
+    return F.round(F.col(c), 7)
+
+
+def resolve_tsid(rows: DataFrame, places: DataFrame, restaurants: DataFrame) -> DataFrame:
+    """TSID of the place at exactly (lon, lat), else of the restaurant
+    there, else 'XXXXXX'. Each catalogue is first reduced to one row per
+    coordinate (first place in file order, smallest restaurant id)."""
+    def by_coord(df, order, name):
+        k = df.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()).select(
+            _coord_key("longitude").alias("_lon"), _coord_key("latitude").alias("_lat"), "tsid", F.col(order).alias("_o"))
+        return k.groupBy("_lon", "_lat").agg(F.min_by("tsid", "_o").alias(name))
+    keyed = rows.withColumn("_lon", _coord_key("longitude")).withColumn("_lat", _coord_key("latitude"))
+    out = (keyed.join(by_coord(places, "ord", "_tp"), ["_lon", "_lat"], "left")
+           .join(by_coord(restaurants, "tsid", "_tr"), ["_lon", "_lat"], "left"))
+    return out.withColumn("tsid", F.coalesce("_tp", "_tr", F.lit(K.UNKNOWN_TSID))).drop("_lon", "_lat", "_tp", "_tr")
+
+
+def ingest_feedback(raw: DataFrame, places: DataFrame, restaurants: DataFrame, ingest_date) -> DataFrame:
+    """validate/explode the classification, resolve the place, stamp the date."""
+    ex = verbatim_explode(raw)
+    return resolve_tsid(ex, places, restaurants).withColumn("date", _as_of(ingest_date))
+
+
+FEEDBACK_TABLE_COLUMNS = ["fid", "username", "date", "tsid", "nom", "theme", "sentiment", "feedback", "verbatim"]
+
+
+def to_feedback_table(df: DataFrame, source: str) -> DataFrame:
+    for c in FEEDBACK_TABLE_COLUMNS:
+        if c not in df.columns:
+            df = df.withColumn(c, F.lit(None).cast("string"))
+    return (df.select(*FEEDBACK_TABLE_COLUMNS)
+            .withColumn("source", F.lit(source))
+            .withColumn("month", F.date_format("date", "yyyy-MM")))
+
+
+def append_feedback(table_path: str, batch: DataFrame) -> None:
+    """Partitioned append (month); earlier files are never rewritten."""
+    batch.write.mode("append").partitionBy("month").parquet(table_path)
+
+
+def restore_feedback(spark, backup_path: str, current_path: str) -> DataFrame:
+    """Replace the current table by its backup copy."""
+    spark.read.parquet(backup_path).write.mode("overwrite").partitionBy("month").parquet(current_path)
+    return spark.read.parquet(current_path)

@@ -494,3 +494,117 @@ def _q_users_snapshot(spark, sf):
     from sentier.sources import files as FI
     users = LO.users_insert_new(_existing_users(spark, sf), _registrations(spark, sf))
     return FI.write_snapshot(users, shared_path(spark, "users"))
+
+
+# ---------------------------------------------------------------- calendar
+from sentier.plans import calendar as CL  # noqa: E402
+from sentier.sources import files as FI  # noqa: E402
+
+CAL_AS_OF = "2024-01-15T00:00:00"
+
+
+def _agenda(spark, sf):
+    return CL.agenda_from_events(table(spark, sf, "events"))
+
+
+@register("json_flatten")
+def _q_json_flatten(spark, sf):
+    return FI.flatten(_agenda(spark, sf).drop("timings"))
+
+
+@register("event_calendar")
+def _q_event_calendar(spark, sf):
+    return CL.event_calendar(_agenda(spark, sf))
+
+
+@register("events_per_day")
+def _q_events_per_day(spark, sf):
+    return CL.events_per_day(CL.event_calendar(_agenda(spark, sf)))
+
+
+@register("events_by_day_nested")
+def _q_events_by_day(spark, sf):
+    return CL.events_by_day(CL.event_calendar(_agenda(spark, sf)))
+
+
+@register("events_upcoming")
+def _q_events_upcoming(spark, sf):
+    return CL.events_upcoming(_agenda(spark, sf), CAL_AS_OF)
+
+
+@register("json_event_pages")
+def _q_json_event_pages(spark, sf):
+    agenda = _agenda(spark, sf)
+    path = shared_path(spark, "agenda-pages")
+    CL.event_pages(agenda).write.mode("errorifexists").json(path)
+    page_schema = CL.event_pages(agenda).schema
+    events = FI.read_event_pages(spark, path, page_schema)
+    return CL.calendar_rows(FI.flatten(events.drop("timings")))
+
+
+# ---------------------------------------------------------------- feedback ingest
+INGEST_DATE = "2001-12-01"
+
+
+def _raw(spark, sf):
+    return role(spark, sf, "v_raw_feedback")
+
+
+@register("verbatim_explode")
+def _q_verbatim_explode(spark, sf):
+    return FB.verbatim_explode(_raw(spark, sf)).select("fid", "pos", "verbatim", "theme", "sentiment")
+
+
+@register("feedback_tsid")
+def _q_feedback_tsid(spark, sf):
+    r = _raw(spark, sf).select("fid", "longitude", "latitude")
+    return FB.resolve_tsid(r, _places(spark, sf), _restos(spark, sf)).select("fid", "tsid")
+
+
+def _ingested(spark, sf):
+    return FB.ingest_feedback(_raw(spark, sf), _places(spark, sf), _restos(spark, sf), INGEST_DATE)
+
+
+@register("ingest_feedback")
+def _q_ingest_feedback(spark, sf):
+    return _ingested(spark, sf).select("fid", "username", "longitude", "latitude", "nom", "feedback", "pos",
+                                       "verbatim", "theme", "sentiment", "tsid", "date")
+
+
+@register("feedback_append")
+def _q_feedback_append(spark, sf):
+    path = shared_path(spark, "feedback")
+    FB.append_feedback(path, FB.to_feedback_table(_fb(spark, sf), "history"))
+    FB.append_feedback(path, FB.to_feedback_table(_ingested(spark, sf), "ingest"))
+    t = spark.read.parquet(path)
+    return t.groupBy("month", "source", "sentiment").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("feedback_restore")
+def _q_feedback_restore(spark, sf):
+    bak, cur = shared_path(spark, "feedback-bak"), shared_path(spark, "feedback-cur")
+    FB.append_feedback(bak, FB.to_feedback_table(_fb(spark, sf), "history"))
+    FB.append_feedback(cur, FB.to_feedback_table(_ingested(spark, sf), "ingest"))
+    t = FB.restore_feedback(spark, bak, cur)
+    return t.select("fid", "username", "date", "tsid", "nom", "theme", "sentiment", "feedback")
+
+
+# ---------------------------------------------------------------- accessibility
+from sentier.plans import access as AC  # noqa: E402
+
+
+def _access(spark, sf):
+    return AC.accessibility_join(_places(spark, sf), role(spark, sf, "v_access"))
+
+
+@register("accessibility_join")
+def _q_accessibility_join(spark, sf):
+    a = _access(spark, sf)
+    return a.select("tsid", "matched", "entree_pmr", "stationnement_pmr", "accueil_personnels",
+                    F.array_join("labels", "|").alias("labels"))
+
+
+@register("accessibility_labels")
+def _q_accessibility_labels(spark, sf):
+    return AC.accessibility_labels(_access(spark, sf)).select("tsid", "entree_pmr", "sanitaires_adaptes",
+                                                               "accueil_personnels", "labels")

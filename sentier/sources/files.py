@@ -63,9 +63,9 @@ def read_station_feed(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return doc.select("last_updated", F.inline("data.stations"))
 
 
-def read_event_pages(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_event_pages(spark: SparkSession, path: str, schema) -> DataFrame:
     """Landed event pages (``{"events": [...], "after": ...}``) → one row per event."""
-    pages = spark.read.schema(schema).option("multiLine", True).json(path)
+    pages = spark.read.schema(schema).json(path)
     return pages.select(F.explode("events").alias("e")).select("e.*")
 
 

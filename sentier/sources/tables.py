@@ -102,6 +102,44 @@ FROM {embeddings} WHERE vec_id < 40""",
 SELECT concat('P', vec_id) AS tsid, embedding AS vector FROM {embeddings}""",
 }
 
+
+
+def _raw_feedback_view() -> str:
+    """Classified comments as the app's model returned them, in a 4-cycle:
+    valid two-item JSON, malformed JSON, unknown theme, empty list."""
+    from sentier.constants import SENTIMENTS, THEMES
+
+    def pick(values, expr):
+        whens = " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values))
+        return f"CASE {expr} {whens} END"
+    item = ("'{{\"verbatim\": \"{tag} ', c.conv_id, '-', c.turn, '\", \"theme\": \"', {theme}, "
+            "'\", \"sentiment\": \"', {sent}, '\"}}'")
+    a = item.format(tag="a", theme=pick(THEMES, "c.conv_id % 12"), sent=pick(SENTIMENTS, "c.turn % 3"))
+    b = item.format(tag="b", theme=pick(THEMES, "(c.conv_id + 1) % 12"), sent=pick(SENTIMENTS, "(c.turn + 1) % 3"))
+    return f"""
+SELECT c.conv_id * 1000 + c.turn AS fid, concat('user', c.conv_id % 50) AS username,
+  CASE c.turn % 3 WHEN 0 THEN p.longitude WHEN 1 THEN r.longitude ELSE 0.5 END AS longitude,
+  CASE c.turn % 3 WHEN 0 THEN p.latitude WHEN 1 THEN r.latitude ELSE 49.5 END AS latitude,
+  concat('Lieu ', c.conv_id) AS nom, c.text AS feedback,
+  CASE c.turn % 4
+    WHEN 0 THEN concat('{{"results": [', {a}, ', ', {b}, ']}}')
+    WHEN 1 THEN '{{"results": [{{"verbatim": '
+    WHEN 2 THEN concat('{{"results": [{{"verbatim": "c ', c.conv_id, '", "theme": "Météo", "sentiment": "Positif"}}]}}')
+    ELSE '{{"results": []}}' END AS raw
+FROM {{conversations}} c LEFT JOIN {{v_places}} p ON p.ord = c.conv_id
+  LEFT JOIN {{v_restaurants}} r ON r.tsid = concat('R', c.conv_id)"""
+
+
+def _escape_braces(text: str, placeholders: tuple[str, ...]) -> str:
+    """Literal braces doubled (str.format style), placeholders kept single."""
+    text = text.replace("{", "{{").replace("}", "}}")
+    for name in placeholders:
+        text = text.replace("{{" + name + "}}", "{" + name + "}")
+    return text
+
+
+ROLE_VIEWS["v_raw_feedback"] = _escape_braces(_raw_feedback_view(), ("conversations", "v_places", "v_restaurants"))
+
 _PLACEHOLDER = re.compile(r"\{(\w+)\}")
 
 
@@ -134,5 +172,6 @@ def oracle_ctes(*names: str) -> str:
     parts = []
     for n in ordered:
         body = _PLACEHOLDER.sub(lambda m: m.group(1), ROLE_VIEWS[n]).strip()
+        body = body.replace("{{", "{").replace("}}", "}")
         parts.append(f"{n} AS (\n{body}\n)")
     return "WITH " + ",\n".join(parts) + "\n"
