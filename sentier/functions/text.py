@@ -112,3 +112,11 @@ def name_matches(name, query: str, regex: bool = True) -> Column:
     else:
         hit = F.lower(n).contains(query.lower())
     return F.coalesce(hit, F.lit(False))
+
+
+def json_clean(cols: list[str]) -> Column:
+    """a record as JSON with null (and NaN) fields left out."""
+    fields = []
+    for c in cols:
+        fields.append(F.col(c).alias(c))
+    return F.to_json(F.struct(*fields), {"ignoreNullFields": "true"})

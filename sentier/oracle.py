@@ -538,3 +538,74 @@ SELECT tsid, CASE WHEN matched AND entree_pmr THEN 'Oui' ELSE 'Non disponible' E
   CASE WHEN matched AND coalesce(accueil_personnels, 'Non disponible') <> '' THEN coalesce(accueil_personnels, 'Non disponible')
        ELSE 'Non disponible' END AS accueil_personnels,
   'Non disponible' AS labels FROM j"""
+
+
+# ---------------------------------------------------------------- sources, bikes
+ORACLE["csv_semicolon_roundtrip"] = W("v_places") + "SELECT * FROM v_places"
+
+ORACLE["gtfs_scan_counts"] = W("v_stops", "v_stop_times", "v_trips", "v_routes", "v_shapes") + """
+SELECT 'routes' AS table_name, count(*) AS n_rows FROM v_routes
+UNION ALL SELECT 'shapes', count(*) FROM v_shapes UNION ALL SELECT 'stop_times', count(*) FROM v_stop_times
+UNION ALL SELECT 'stops', count(*) FROM v_stops UNION ALL SELECT 'trips', count(*) FROM v_trips"""
+
+ORACLE["json_stations_inline"] = W("v_stations") + """
+SELECT CAST(station_id AS VARCHAR) AS station_id, name, lat, lon FROM v_stations"""
+
+ORACLE["stations_joined"] = W("v_stations") + """
+SELECT CAST(station_id AS VARCHAR) AS station_id, name, lat, lon, CAST(num_bikes_available AS INTEGER) AS num_bikes_available,
+  CAST(num_docks_available AS INTEGER) AS num_docks_available FROM v_stations"""
+
+ORACLE["geojson_points"] = W("v_places") + """
+SELECT ord AS id, longitude AS lon, latitude AS lat,
+  json_object('amenity', 'drinking_water', 'name', nom)::VARCHAR AS properties FROM v_places
+WHERE descriptif IS NOT NULL AND starts_with(descriptif, 'PROMO') AND latitude BETWEEN 49.0 AND 50.0 AND longitude BETWEEN -1.7 AND 1.5"""
+
+ORACLE["json_clean"] = _PLAN + """
+SELECT req_id, '{' || concat_ws(',', '"status":' || to_json(status), '"start_stop_id":' || start_stop_id,
+  '"end_stop_id":' || end_stop_id, '"trip_id":' || trip_id, '"transport_mode":' || to_json(transport_mode)) || '}' AS json
+FROM plan"""
+
+ORACLE["vector_store_roundtrip"] = W("v_vectors") + """
+SELECT tsid, CAST(len(vector) AS INTEGER) AS dim,
+  round(sqrt(list_dot_product(CAST(vector AS DOUBLE[]), CAST(vector AS DOUBLE[]))), 6) AS norm FROM v_vectors"""
+
+ORACLE["embed_incremental"] = W("v_places", "v_vectors") + """
+SELECT tsid, 'store' AS source, CAST(len(vector) AS INTEGER) AS dim FROM v_vectors
+UNION ALL SELECT tsid, 'new', 64 FROM v_places WHERE tsid NOT IN (SELECT tsid FROM v_vectors)"""
+
+_HIST = """
+, hist AS (SELECT user_id AS station_id, CAST(isodow(ts) - 1 AS INTEGER) AS weekday, CAST(hour(ts) AS INTEGER) AS hour, value FROM events)
+, base AS (SELECT station_id, weekday, hour, avg(value) AS predicted, count(*) AS n_obs FROM hist GROUP BY 1, 2, 3)
+, now AS (SELECT station_id, predicted FROM base WHERE weekday = 0 AND hour = 8)
+"""
+ORACLE["availability_baseline"] = "WITH x AS (SELECT 1)" + _HIST + """
+SELECT station_id, weekday, hour, round(predicted, 6) AS predicted, n_obs FROM base"""
+
+_NS = W("v_requests", "v_stations") + _HIST + f"""
+, d AS (SELECT r.*, s.station_id, s.num_bikes_available AS nb, s.num_docks_available AS nd, s.lat, s.lon,
+    {_geo_m('r.start_lat', 'r.start_lon', 's.lat', 's.lon')} AS ds, {_geo_m('r.end_lat', 'r.end_lon', 's.lat', 's.lon')} AS de
+  FROM v_requests r CROSS JOIN v_stations s)
+, s0 AS (SELECT req_id, arg_min(station_id, (ds, station_id)) AS sid, min(ds) AS dm FROM d WHERE nb > 0 GROUP BY req_id)
+, e0 AS (SELECT req_id, arg_min(station_id, (de, station_id)) AS sid, min(de) AS dm FROM d WHERE nd > 0 GROUP BY req_id)
+, s1 AS (SELECT req_id, arg_min(d.station_id, (ds, d.station_id)) AS sid, min(ds) AS dm FROM d JOIN now n ON n.station_id = d.station_id
+  WHERE n.predicted > 0 GROUP BY req_id)
+, e1 AS (SELECT req_id, arg_min(d.station_id, (de, d.station_id)) AS sid FROM d JOIN now n ON n.station_id = d.station_id
+  WHERE n.predicted > 0 GROUP BY req_id)
+"""
+ORACLE["nearest_station"] = _NS + """
+SELECT s0.req_id, s0.sid AS start_station_id, round(s0.dm, 3) AS start_dist_m, e0.sid AS end_station_id, round(e0.dm, 3) AS end_dist_m
+FROM s0 JOIN e0 USING (req_id)"""
+
+ORACLE["nearest_station_predicted"] = _NS + "SELECT req_id, sid AS station_id, round(dm, 3) AS dist_m FROM s1"
+
+ORACLE["plan_bike_trips"] = _NS + f"""
+, ch AS (SELECT r.req_id, r.start_lat, r.start_lon, r.end_lat, r.end_lon,
+    CASE WHEN coalesce(ps.predicted, 0) < 1 THEN s1.sid ELSE s0.sid END AS start_station_id,
+    CASE WHEN coalesce(pe.predicted, 0) < 1 THEN e1.sid ELSE e0.sid END AS end_station_id
+  FROM v_requests r LEFT JOIN s0 USING (req_id) LEFT JOIN e0 USING (req_id) LEFT JOIN s1 USING (req_id) LEFT JOIN e1 USING (req_id)
+  LEFT JOIN now ps ON ps.station_id = s0.sid LEFT JOIN now pe ON pe.station_id = e0.sid)
+, km AS (SELECT ch.*, ({_geo_m('ch.start_lat', 'ch.start_lon', 'a.lat', 'a.lon')} + {_geo_m('a.lat', 'a.lon', 'b.lat', 'b.lon')}
+    + {_geo_m('b.lat', 'b.lon', 'ch.end_lat', 'ch.end_lon')}) / 1000 AS total_km
+  FROM ch LEFT JOIN v_stations a ON a.station_id = ch.start_station_id LEFT JOIN v_stations b ON b.station_id = ch.end_station_id)
+SELECT req_id, start_station_id, end_station_id, round(total_km, 6) AS total_km, floor(total_km * 150) AS coins,
+  'velo' AS transport_mode FROM km"""

@@ -144,3 +144,25 @@ def slug_collisions(df: DataFrame, name_col: str, key_col: str) -> DataFrame:
     return (df.select(T.slug(name_col).alias("slug"), key_col)
             .groupBy("slug").agg(F.countDistinct(key_col).alias("n_keys"))
             .where(F.col("n_keys") > 1))
+
+
+def osm_nodes_from_places(places: DataFrame) -> DataFrame:
+    """Fixture mapping: places as OSM nodes (id, lat, lon, tags); the amenity
+    tag comes from the description ('PROMO' kinds are drinking water)."""
+    amenity = F.when(F.col("descriptif").startswith("PROMO"), F.lit("drinking_water")).otherwise(F.lit("bench"))
+    tags = F.when(F.col("descriptif").isNull(), F.create_map().cast("map<string,string>")).otherwise(
+        F.create_map(F.lit("amenity"), amenity, F.lit("name"), F.col("nom")))
+    return places.select(F.col("ord").alias("id"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon"),
+                         tags.alias("tags"))
+
+
+def water_features(nodes: DataFrame, bbox=K.WATER_BBOX, amenity: str = "drinking_water") -> DataFrame:
+    """S17 + P14: nodes inside the box with the amenity tag as GeoJSON point
+    features (coordinates in lon, lat order); ``feature`` holds one JSON
+    feature per row, ready for a line-delimited FeatureCollection."""
+    s, w, n, e = bbox
+    sel = nodes.where(F.col("lat").between(s, n) & F.col("lon").between(w, e)
+                      & (F.element_at("tags", "amenity") == amenity))
+    geom = F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates"))
+    feat = F.to_json(F.struct(F.lit("Feature").alias("type"), geom.alias("geometry"), F.col("tags").alias("properties")))
+    return sel.select("id", "lon", "lat", F.to_json("tags").alias("properties"), feat.alias("feature"))

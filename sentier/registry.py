@@ -608,3 +608,166 @@ def _q_accessibility_join(spark, sf):
 def _q_accessibility_labels(spark, sf):
     return AC.accessibility_labels(_access(spark, sf)).select("tsid", "entree_pmr", "sanitaires_adaptes",
                                                                "accueil_personnels", "labels")
+
+
+# ---------------------------------------------------------------- sources and sinks
+@register("csv_semicolon_roundtrip")
+def _q_csv_roundtrip(spark, sf):
+    p = _places(spark, sf)
+    path = shared_path(spark, "places-csv")
+    FI.write_csv(p, path, sep=";")
+    return FI.read_csv(spark, path, p.schema, sep=";")
+
+
+def _gtfs_frames(spark, sf):
+    g = _gtfs(spark, sf)
+    return {
+        "stops": g["stops"].select(F.col("stop_id").cast("string"), "stop_name", "stop_lat", "stop_lon"),
+        "stop_times": g["stop_times"].select(F.col("trip_id").cast("string"), F.col("stop_id").cast("string"),
+                                             "stop_sequence"),
+        "trips": g["trips"].select(*[F.col(c).cast("string") for c in ("trip_id", "route_id", "shape_id")]),
+        "routes": g["routes"].select(F.col("route_id").cast("string"), "route_short_name"),
+        "shapes": g["shapes"].select(F.col("shape_id").cast("string"), F.col("lat").alias("shape_pt_lat"),
+                                     F.col("lon").alias("shape_pt_lon"), F.col("seq").cast("int").alias("shape_pt_sequence")),
+    }
+
+
+@register("gtfs_scan_counts")
+def _q_gtfs_scan_counts(spark, sf):
+    base = shared_path(spark, "gtfs")
+    for name, df in _gtfs_frames(spark, sf).items():
+        df.write.mode("errorifexists").option("header", True).csv(f"{base}/{name}.txt")
+    feed = FI.read_gtfs(spark, base)
+    out = None
+    for name in sorted(feed):
+        one = feed[name].agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _landed_stations(spark, sf):
+    """Station feeds landed as GBFS JSON documents of at most 1000 stations."""
+    from sentier.operators.ranking import global_row_number
+    st = role(spark, sf, "v_stations").withColumn("station_id", F.col("station_id").cast("string"))
+    ranked = global_row_number(st, [F.col("station_id")], "_r").withColumn("_doc", F.floor((F.col("_r") - 1) / 1000))
+    base = shared_path(spark, "gbfs")
+    info = ranked.groupBy("_doc").agg(F.array_sort(F.collect_list(F.struct("station_id", "name", "lat", "lon"))).alias("stations"))
+    status = ranked.groupBy("_doc").agg(F.array_sort(F.collect_list(F.struct(
+        "station_id", F.col("num_bikes_available").cast("int").alias("num_bikes_available"),
+        F.col("num_docks_available").cast("int").alias("num_docks_available")))).alias("stations"))
+    info.select(F.lit(1).cast("long").alias("last_updated"), F.struct("stations").alias("data")).write.json(f"{base}/info")
+    status.select(F.lit(1).cast("long").alias("last_updated"), F.struct("stations").alias("data")).write.json(f"{base}/status")
+    return (FI.read_station_feed(spark, f"{base}/info", FI.STATION_INFO_SCHEMA),
+            FI.read_station_feed(spark, f"{base}/status", FI.STATION_STATUS_SCHEMA))
+
+
+@register("json_stations_inline")
+def _q_json_stations(spark, sf):
+    info, _ = _landed_stations(spark, sf)
+    return info.select("station_id", "name", "lat", "lon")
+
+
+@register("geojson_points")
+def _q_geojson_points(spark, sf):
+    from sentier.plans.catalog import osm_nodes_from_places, water_features
+    return water_features(osm_nodes_from_places(_places(spark, sf))).select("id", "lon", "lat", "properties")
+
+
+@register("json_clean")
+def _q_json_clean(spark, sf):
+    from sentier.functions.text import json_clean
+    p = _plan(spark, sf)
+    return p.select("req_id", json_clean(["status", "start_stop_id", "end_stop_id", "trip_id", "transport_mode"]).alias("json"))
+
+
+@register("vector_store_roundtrip")
+def _q_vector_store(spark, sf):
+    v = role(spark, sf, "v_vectors").withColumn("norm", VE.norm("vector"))
+    back = FI.write_snapshot(v, shared_path(spark, "vectors"))
+    return back.select("tsid", F.size("vector").alias("dim"), F.round("norm", 6).alias("norm"))
+
+
+@register("embed_incremental")
+def _q_embed_incremental(spark, sf):
+    from sentier.plans.ml import embed_incremental
+    store = FI.write_snapshot(role(spark, sf, "v_vectors"), shared_path(spark, "vectors"))
+    items = _places(spark, sf).select("tsid", T.feature_text("nom", "descriptif").alias("text"))
+    out = embed_incremental(store, items, "tsid", "text", 64)
+    return out.select("tsid", "source", F.size("vector").alias("dim"))
+
+
+@register("embed_places")
+def _q_embed_places(spark, sf):
+    from sentier.plans.ml import embed_texts
+    items = _places(spark, sf).select("tsid", T.feature_text("nom", "descriptif").alias("text"))
+    return embed_texts(items, "text", 64).select("tsid", "vector")
+
+
+@register("classify_text")
+def _q_classify_text(spark, sf):
+    from sentier.plans.ml import classify_texts
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    lab = docs.join(table(spark, sf, "labels").select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id")
+    return classify_texts(lab, docs, "text", "label").select("doc_id", "prediction")
+
+
+# ---------------------------------------------------------------- bikes
+from sentier.plans import bikes as BK  # noqa: E402
+
+BIKE_WEEKDAY, BIKE_HOUR = 0, 8
+
+
+def _history(spark, sf):
+    return table(spark, sf, "events").select(F.col("user_id").alias("station_id"), "ts", "value")
+
+
+@register("stations_joined")
+def _q_stations_joined(spark, sf):
+    info, status = _landed_stations(spark, sf)
+    return BK.stations_joined(info, status)
+
+
+def _stations(spark, sf):
+    return role(spark, sf, "v_stations")
+
+
+@register("nearest_station")
+def _q_nearest_station(spark, sf):
+    r, st = role(spark, sf, "v_requests"), _stations(spark, sf)
+    s = BK.nearest_station(r, st, "req_id", "start_lat", "start_lon", "bikes")
+    e = BK.nearest_station(r, st, "req_id", "end_lat", "end_lon", "docks")
+    return (s.select("req_id", F.col("station_id").alias("start_station_id"), F.round("dist_m", 3).alias("start_dist_m"))
+            .join(e.select("req_id", F.col("station_id").alias("end_station_id"), F.round("dist_m", 3).alias("end_dist_m")),
+                  "req_id"))
+
+
+@register("availability_baseline")
+def _q_availability_baseline(spark, sf):
+    b = BK.availability_baseline(_history(spark, sf))
+    return b.select("station_id", "weekday", "hour", F.round("predicted", 6).alias("predicted"), "n_obs")
+
+
+@register("nearest_station_predicted")
+def _q_nearest_station_predicted(spark, sf):
+    now = BK.predictions_at(BK.availability_baseline(_history(spark, sf)), BIKE_WEEKDAY, BIKE_HOUR)
+    n = BK.nearest_station_predicted(role(spark, sf, "v_requests"), _stations(spark, sf), now, "req_id",
+                                     "start_lat", "start_lon")
+    return n.select("req_id", "station_id", F.round("dist_m", 3).alias("dist_m"))
+
+
+@register("plan_bike_trips")
+def _q_plan_bike_trips(spark, sf):
+    preds = BK.availability_baseline(_history(spark, sf))
+    p = BK.plan_bike_trips(role(spark, sf, "v_requests"), _stations(spark, sf), preds, BIKE_WEEKDAY, BIKE_HOUR)
+    return p.select("req_id", "start_station_id", "end_station_id", F.round("total_km", 6).alias("total_km"), "coins",
+                    "transport_mode")
+
+
+@register("availability_model")
+def _q_availability_model(spark, sf):
+    h = _history(spark, sf)
+    model = BK.availability_model(h)
+    grid = _stations(spark, sf).select(F.col("station_id").cast("string").alias("station_id"),
+                                       F.lit(BIKE_WEEKDAY).alias("weekday"), F.lit(BIKE_HOUR).alias("hour"),
+                                       F.lit(0.0).alias("value"))
+    return model.transform(grid).select("station_id", "weekday", "hour", "prediction")

@@ -20,7 +20,8 @@ def write_snapshot(df: DataFrame, path: str, fmt: str = "parquet") -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ";") -> None:
-    df.write.mode("errorifexists").options(sep=sep, header=True, quote='"', escape='"').csv(path)
+    df.write.mode("errorifexists").options(sep=sep, header=True, quote='"', escape='"',
+                                           ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, sep: str = ";",
@@ -28,7 +29,8 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, sep: st
     """Delimited text with header and an explicit schema (quoted
     multi-line text allowed)."""
     return (spark.read.schema(schema)
-            .options(sep=sep, header=True, quote='"', escape='"', multiLine=multiline, mode="FAILFAST")
+            .options(sep=sep, header=True, quote='"', escape='"', multiLine=multiline, mode="FAILFAST",
+                     ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
             .csv(path))
 
 
