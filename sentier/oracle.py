@@ -609,3 +609,11 @@ ORACLE["plan_bike_trips"] = _NS + f"""
   FROM ch LEFT JOIN v_stations a ON a.station_id = ch.start_station_id LEFT JOIN v_stations b ON b.station_id = ch.end_station_id)
 SELECT req_id, start_station_id, end_station_id, round(total_km, 6) AS total_km, floor(total_km * 150) AS coins,
   'velo' AS transport_mode FROM km"""
+
+
+# ---------------------------------------------------------------- streaming (same answers as batch)
+ORACLE["stream_feedback_ingest"] = ORACLE["ingest_feedback"]
+ORACLE["stream_wallet"] = ORACLE["wallet_ledger"]
+ORACLE["stream_sentiment_windows"] = W("v_feedback") + """
+SELECT CAST(DATE '1970-01-01' + CAST(floor(datediff('day', DATE '1970-01-01', date) / 30) * 30 AS INTEGER) AS VARCHAR) AS window_start,
+  sentiment, count(*) AS n FROM v_feedback GROUP BY 1, 2"""

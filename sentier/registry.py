@@ -771,3 +771,42 @@ def _q_availability_model(spark, sf):
                                        F.lit(BIKE_WEEKDAY).alias("weekday"), F.lit(BIKE_HOUR).alias("hour"),
                                        F.lit(0.0).alias("value"))
     return model.transform(grid).select("station_id", "weekday", "hour", "prediction")
+
+
+# ---------------------------------------------------------------- streaming
+from sentier.streaming import common as SC  # noqa: E402
+from sentier.streaming import feedback_stream as SF  # noqa: E402
+from sentier.streaming import sentiment_windows as SW  # noqa: E402
+from sentier.streaming import wallet_stream as SWA  # noqa: E402
+
+
+@register("stream_feedback_ingest")
+def _q_stream_feedback_ingest(spark, sf):
+    raw = _raw(spark, sf).withColumn("received_at", F.timestamp_seconds(F.lit(1007164800)))
+    src = shared_path(spark, "raw-feedback")
+    SC.land_in_order(raw, src, "fid", 4)
+    # a replayed file (every comment made away from any catalogue point lands
+    # twice): the stream must drop the duplicates
+    raw.where(F.col("longitude") == 0.5).coalesce(1).write.mode("append").parquet(src)
+    out = SF.ingest_stream(spark, src, raw.schema, _places(spark, sf), _restos(spark, sf), INGEST_DATE,
+                           shared_path(spark, "feedback-sink"), shared_path(spark, "ckpt-feedback"))
+    return out.select("fid", "username", "longitude", "latitude", "nom", "feedback", "pos", "verbatim", "theme",
+                      "sentiment", "tsid", "date")
+
+
+@register("stream_sentiment_windows")
+def _q_stream_sentiment_windows(spark, sf):
+    fb = _fb(spark, sf)
+    src = shared_path(spark, "feedback-src")
+    SC.land_in_order(fb, src, "date", 6)
+    return SW.sentiment_windows_stream(spark, src, fb.schema, shared_path(spark, "windows-sink"),
+                                       shared_path(spark, "ckpt-windows"))
+
+
+@register("stream_wallet")
+def _q_stream_wallet(spark, sf):
+    sp = role(spark, sf, "v_spends")
+    src = shared_path(spark, "spends-src")
+    SC.land_in_order(sp, src, "event_id", 4)
+    return SWA.wallet_stream(spark, src, sp.schema, _wallet(spark, sf), shared_path(spark, "wallet-sink"),
+                             shared_path(spark, "ckpt-wallet"))
