@@ -617,3 +617,22 @@ ORACLE["stream_wallet"] = ORACLE["wallet_ledger"]
 ORACLE["stream_sentiment_windows"] = W("v_feedback") + """
 SELECT CAST(DATE '1970-01-01' + CAST(floor(datediff('day', DATE '1970-01-01', date) / 30) * 30 AS INTEGER) AS VARCHAR) AS window_start,
   sentiment, count(*) AS n FROM v_feedback GROUP BY 1, 2"""
+
+ORACLE["shape_slice"] = _PLAN + """
+SELECT ok.req_id, CAST(CASE WHEN ok.start_idx >= ok.end_idx THEN ok.hi - p.idx ELSE p.idx - ok.lo END AS INTEGER) AS pos,
+  p.lat, p.lon FROM (SELECT * FROM plan WHERE status = 'ok') ok JOIN pts p ON p.shape_id = ok.shape_id AND p.idx BETWEEN ok.lo AND ok.hi"""
+
+ORACLE["user_collection"] = W("v_wallet") + _TIERS + """
+, b AS (SELECT * FROM (VALUES ('Incontournable de la Normandie', 'A visité la Cathédrale de Rouen'),
+  ('Connaisseur de la région', 'A visité 50% de la Normandie'),
+  ('Ami des deux roues', 'S''est déplacé en vélo sur plus de 10 km')) t(badge, description))
+, ex AS (SELECT user_id, generate_subscripts(string_split(badges, ';'), 1) AS pos,
+  unnest(string_split(badges, ';')) AS badge FROM v_wallet WHERE badges IS NOT NULL)
+, bl AS (SELECT ex.user_id, string_agg(ex.badge || ': ' || coalesce(b.description, 'Description non disponible'), ' | ' ORDER BY ex.pos) AS badges
+  FROM ex LEFT JOIN b USING (badge) GROUP BY ex.user_id)
+SELECT w.user_id, w.coins, CAST(floor(w.experience / 1000) AS INTEGER) AS level,
+  CAST((floor(w.experience / 1000) + 1) * 1000 - w.experience AS INTEGER) AS coins_for_next_level,
+  coalesce(bl.badges, '') AS badges, h.hi AS current_tier,
+  CASE WHEN h.hi > 0 AND h.hi < 4 THEN h.hi + 1 END AS next_tier,
+  CASE WHEN h.hi > 0 AND h.hi < 4 THEN (SELECT min_nc FROM tiers WHERE tier = h.hi + 1) - h.coins END AS coins_needed
+FROM v_wallet w LEFT JOIN bl USING (user_id) JOIN hi h USING (user_id)"""

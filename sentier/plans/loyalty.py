@@ -148,3 +148,18 @@ def users_insert_new(existing: DataFrame, registrations: DataFrame) -> DataFrame
            .groupBy("username").agg(F.min("name").alias("name"))
            .join(existing.select("username"), "username", "left_anti"))
     return existing.select("username", "name").unionByName(new)
+
+
+def user_collection(wallet: DataFrame, badges: DataFrame) -> DataFrame:
+    """The collection page for every user: coins, level, coins to the
+    next level, badges with descriptions (in order), current tier and the
+    coins still needed for the next one."""
+    lv = user_levels(wallet)
+    bd = (user_badges(wallet, badges)
+          .groupBy("user_id")
+          .agg(F.array_sort(F.collect_list(F.struct("pos", "badge", "description"))).alias("_b"))
+          .select("user_id", F.array_join(F.transform("_b", lambda x: F.concat(x["badge"], F.lit(": "), x["description"])),
+                                          " | ").alias("badges")))
+    tp = tier_progress(wallet).select("user_id", "current_tier", "next_tier", "coins_needed")
+    return (lv.join(bd, "user_id", "left").join(tp, "user_id")
+            .withColumn("badges", F.coalesce("badges", F.lit(""))))

@@ -169,11 +169,26 @@ def plan_transit_trips(requests: DataFrame, stops: DataFrame, stop_times: DataFr
     cols = ["req_id", "status", "start_stop_id", "end_stop_id", "trip_id", "route_id", "transport_mode",
             "shape_id", "start_idx", "end_idx", "n_points", "transit_km", "walk_km", "co2_g", "coins"]
     res = out.select(*cols)
+    if with_path == "slice":
+        return shape_slices(out.where(F.col("status") == "ok"), pts)
     if with_path:
         res = res.join(trip_paths(out.where(F.col("status") == "ok"), pts), "req_id", "left")
     return res
 
 
+def shape_slices(legs: DataFrame, pts: DataFrame) -> DataFrame:
+    """the shape vertices between the two stop vertices of each trip, one
+    row per vertex with its position in travel order (reversed when the trip
+    runs from a later to an earlier vertex). Rows, not arrays: a long shape
+    never has to fit in one value."""
+    j = legs.select("req_id", "shape_id", "start_idx", "end_idx").join(
+        pts.select("shape_id", "idx", "lat", "lon"), "shape_id")
+    lo, hi = F.least("start_idx", "end_idx"), F.greatest("start_idx", "end_idx")
+    j = j.where(F.col("idx").between(lo, hi))
+    pos = F.when(F.col("start_idx") >= F.col("end_idx"), hi - F.col("idx")).otherwise(F.col("idx") - lo)
+    return j.select("req_id", pos.cast("int").alias("pos"), "lat", "lon")
+
+
 def trip_paths(legs: DataFrame, pts: DataFrame) -> DataFrame:
     """F21 + U2: the full path of each planned trip: walk leg, shape slice
     (reversed when the trip runs end to start), walk leg, as one array."""

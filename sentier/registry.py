@@ -810,3 +810,13 @@ def _q_stream_wallet(spark, sf):
     SC.land_in_order(sp, src, "event_id", 4)
     return SWA.wallet_stream(spark, src, sp.schema, _wallet(spark, sf), shared_path(spark, "wallet-sink"),
                              shared_path(spark, "ckpt-wallet"))
+
+
+@register("shape_slice")
+def _q_shape_slice(spark, sf):
+    return _plan(spark, sf, with_path="slice")
+
+
+@register("user_collection")
+def _q_user_collection(spark, sf):
+    return LO.user_collection(_wallet(spark, sf), LO.badges_dim(spark))
