@@ -70,6 +70,38 @@ def with_geodesic_m(df, out: str, lat1, lon1, lat2, lon2):
     return df.select(*keep, F.when(sigma == 0, F.lit(0.0)).otherwise(d).alias(out))
 
 
+def point_terms(df, lat: str, lon: str, prefix: str, metric: str):
+    """Per-point terms of the distance formulas, computed once per row of each
+    side before a join so the per-pair expression stays small: latitude
+    (reduced latitude on the ellipsoid) and its sine/cosine, longitude in radians."""
+    if metric == "geodesic":
+        beta = F.atan(F.lit(1 - K.WGS84_F) * F.tan(F.radians(F.col(lat))))
+    else:
+        beta = F.radians(F.col(lat))
+    df = df.withColumn(prefix + "b", beta)
+    return df.withColumns({prefix + "sb": F.sin(F.col(prefix + "b")), prefix + "cb": F.cos(F.col(prefix + "b")),
+                           prefix + "l": F.radians(F.col(lon))})
+
+
+def pair_distance_km(metric: str, a: str, b: str) -> Column:
+    """Distance between two points given by their ``point_terms`` prefixes."""
+    dl = F.col(b + "l") - F.col(a + "l")
+    sdl, cdl = F.sin(dl), F.cos(dl)
+    sb1, cb1, sb2, cb2 = F.col(a + "sb"), F.col(a + "cb"), F.col(b + "sb"), F.col(b + "cb")
+    num = F.sqrt(F.pow(cb2 * sdl, 2) + F.pow(cb1 * sb2 - sb1 * cb2 * cdl, 2))
+    den = sb1 * sb2 + cb1 * cb2 * cdl
+    sigma = F.atan2(num, den)
+    if metric == "sphere":
+        return F.lit(K.GREAT_CIRCLE_RADIUS_KM) * sigma
+    f = K.WGS84_F
+    p = (F.col(a + "b") + F.col(b + "b")) / 2
+    q = (F.col(b + "b") - F.col(a + "b")) / 2
+    x = (sigma - F.sin(sigma)) * F.pow(F.sin(p), 2) * F.pow(F.cos(q), 2) / F.pow(F.cos(sigma / 2), 2)
+    y = F.try_divide((sigma + F.sin(sigma)) * F.pow(F.cos(p), 2) * F.pow(F.sin(q), 2), F.pow(F.sin(sigma / 2), 2))
+    d = F.lit(K.WGS84_A_M / 1000.0) * (sigma - F.lit(f / 2) * (x + F.coalesce(y, F.lit(0.0))))
+    return d
+
+
 def with_distance_km(df, out: str, metric: str, lat1, lon1, lat2, lon2):
     if metric == "geodesic":
         df = with_geodesic_m(df, "_gm" + out, lat1, lon1, lat2, lon2)

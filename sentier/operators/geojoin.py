@@ -28,7 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sentier.functions.geo import with_distance_km
+from sentier.functions.geo import pair_distance_km, point_terms
 from sentier.operators.ranking import top_k_per_group
 
 BOUND_RADIUS_KM = 6300.0       # below every radius of curvature of the Earth
@@ -43,34 +43,34 @@ def _geom(radius_km: float):
     return theta, h
 
 
-def _band_width(band: Column, theta: float, h: float) -> tuple[Column, Column]:
-    """(number of cells, effective cell width in degrees) for a latitude band."""
+def _with_band_cells(df: DataFrame, band: Column, theta: float, h: float, out: str) -> DataFrame:
+    """Add ``{out}n`` = number of longitude cells in the latitude band ``band``
+    (1 near the poles), in small staged projections."""
+    s = math.sin(min(theta, math.pi) / 2)
     lo = band * F.lit(h) - F.lit(90.0 + h)
     hi = (band + 2) * F.lit(h) - F.lit(90.0)
     max_abs = F.least(F.greatest(F.abs(lo), F.abs(hi)), F.lit(90.0))
-    cosm = F.cos(F.radians(max_abs))
-    s = math.sin(min(theta, math.pi) / 2)
-    ratio = F.lit(s) / cosm
-    width = F.when((cosm <= F.lit(s)) | (ratio >= 1), F.lit(360.0)).otherwise(
-        F.degrees(2 * F.asin(F.least(ratio, F.lit(1.0)))))
-    n = F.floor(F.lit(360.0) / width)
-    n = F.when(n < 3, F.lit(1)).otherwise(n).cast("long")
-    return n, F.lit(360.0) / n
+    df = df.withColumn(out + "r", F.lit(s) / F.greatest(F.cos(F.radians(max_abs)), F.lit(1e-12)))
+    r = F.col(out + "r")
+    width = F.when(r >= 1, F.lit(360.0)).otherwise(F.degrees(2 * F.asin(r)))
+    df = df.withColumn(out + "n", F.floor(F.lit(360.0) / width).cast("long")).drop(out + "r")
+    n = F.col(out + "n")
+    return df.withColumn(out + "n", F.when(n < 3, F.lit(1).cast("long")).otherwise(n))
 
 
 def _band(lat: Column, h: float) -> Column:
     return F.floor((lat + F.lit(90.0)) / F.lit(h)).cast("long")
 
 
-def _cell(lon: Column, n: Column, width: Column) -> Column:
-    return F.pmod(F.floor((lon + F.lit(180.0)) / width).cast("long"), n)
+def _cell_of(lon: Column, n: Column) -> Column:
+    return F.pmod(F.floor((lon + F.lit(180.0)) * n / F.lit(360.0)).cast("long"), n)
 
 
 def point_cells(points: DataFrame, lat: str, lon: str, radius_km: float) -> DataFrame:
     theta, h = _geom(radius_km)
-    b = _band(F.col(lat), h)
-    n, w = _band_width(b, theta, h)
-    return points.withColumns({"_band": b, "_cell": _cell(F.col(lon), n, w)})
+    p = points.withColumn("_band", _band(F.col(lat), h))
+    p = _with_band_cells(p, F.col("_band"), theta, h, "_p")
+    return p.withColumn("_cell", _cell_of(F.col(lon), F.col("_pn"))).drop("_pn")
 
 
 def query_cells(queries: DataFrame, lat: str, lon: str, radius_km: float) -> DataFrame:
@@ -78,13 +78,12 @@ def query_cells(queries: DataFrame, lat: str, lon: str, radius_km: float) -> Dat
     q = queries.withColumn("_qb", _band(F.col(lat), h))
     keys = []
     for i, db in enumerate((-1, 0, 1)):
-        bb = F.col("_qb") + db
-        n, w = _band_width(bb, theta, h)
-        q = q.withColumns({f"_qn{i}": n, f"_qw{i}": w,
-                           f"_qc{i}": F.floor((F.col(lon) + F.lit(180.0)) / w).cast("long")})
+        q = _with_band_cells(q, F.col("_qb") + db, theta, h, f"_q{i}")
+        q = q.withColumn(f"_qc{i}", F.floor((F.col(lon) + F.lit(180.0)) * F.col(f"_q{i}n") / F.lit(360.0)).cast("long"))
         for dc in (-1, 0, 1):
-            keys.append(F.struct(bb.alias("_band"), F.pmod(F.col(f"_qc{i}") + dc, F.col(f"_qn{i}")).alias("_cell")))
-    tmp = ["_qb"] + [f"_q{x}{i}" for i in range(3) for x in "nwc"]
+            keys.append(F.struct((F.col("_qb") + db).alias("_band"),
+                                 F.pmod(F.col(f"_qc{i}") + dc, F.col(f"_q{i}n")).alias("_cell")))
+    tmp = ["_qb"] + [f"_q{i}n" for i in range(3)] + [f"_qc{i}" for i in range(3)]
     q = q.withColumn("_k", F.explode(F.array_distinct(F.array(*keys)))).drop(*tmp)
     return q.select("*", "_k._band", "_k._cell").drop("_k")
 
@@ -108,8 +107,8 @@ def radius_join(queries: DataFrame, points: DataFrame, radius_km: float, *,
     Columns of both inputs must not clash. ``broadcast=None`` decides from a
     row count of ``points``; ``q_key`` (a query id column) drives the salt.
     """
-    pc = point_cells(points, p_lat, p_lon, radius_km)
-    qc = query_cells(queries, q_lat, q_lon, radius_km)
+    pc = point_terms(point_cells(points, p_lat, p_lon, radius_km), p_lat, p_lon, "_pt", metric)
+    qc = point_terms(query_cells(queries, q_lat, q_lon, radius_km), q_lat, q_lon, "_qt", metric)
     if broadcast is None:
         broadcast = _bounded(points, BROADCAST_MAX_ROWS)
     if broadcast:
@@ -121,7 +120,8 @@ def radius_join(queries: DataFrame, points: DataFrame, radius_km: float, *,
         pairs = qc.join(pc, ["_band", "_cell", "_salt"]).drop("_salt")
     else:
         pairs = qc.join(pc, ["_band", "_cell"])
-    pairs = with_distance_km(pairs.drop("_band", "_cell"), dist_col, metric, q_lat, q_lon, p_lat, p_lon)
+    terms = [c for c in pairs.columns if c.startswith("_pt") or c.startswith("_qt")]
+    pairs = pairs.withColumn(dist_col, pair_distance_km(metric, "_qt", "_pt")).drop("_band", "_cell", *terms)
     return pairs.where(F.col(dist_col) <= F.lit(radius_km))
 
 

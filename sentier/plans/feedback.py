@@ -119,30 +119,33 @@ def feedback_dashboard(fb: DataFrame, as_of) -> dict[str, DataFrame]:
 
 
 def dashboard_summary(fb: DataFrame, as_of) -> DataFrame:
-    """C4 as one long table (panel, label, value) — one job, one scan.
+    """C4 as one long table (panel, label, value).
 
-    Each panel is a small aggregate; the union lets a single action produce
-    the whole dashboard.
+    The feedback table is read twice, not once per panel: one grouped pass
+    (sentiment, theme, place, month, before-cutoff) feeds the count panels
+    (its shuffle is reused by every branch), and a pushed-down negative filter
+    feeds the top-5 most recent rows.
     """
-    d = feedback_dashboard(fb, as_of)
-    s = d["sentiment_counts"].select(F.lit("sentiment").alias("panel"), F.col("label"),
-                                     F.col("n").alias("value"))
-    t = d["theme_counts"].select(F.lit("theme").alias("panel"), F.col("theme").alias("label"),
-                                 F.col("n").alias("value"))
-    tn = d["top_negative_places"].select(F.lit("top_negative").alias("panel"),
-                                         F.col("nom").alias("label"), F.col("n_negative").alias("value"))
-    rn = d["recent_negatives"].select(F.lit("recent_negative").alias("panel"),
-                                      F.concat_ws(" | ", F.col("date").cast("string"), "nom", "feedback").alias("label"),
-                                      F.col("fid").alias("value"))
-    tr = d["sentiment_trend"]
-    trend = tr.select(F.lit("trend").alias("panel"),
-                      F.explode(F.array(
-                          F.struct(F.concat(F.col("month"), F.lit(" positive")).alias("label"),
-                                   F.col("trend_positive").alias("value")),
-                          F.struct(F.concat(F.col("month"), F.lit(" neutral")).alias("label"),
-                                   F.col("trend_neutral").alias("value")),
-                          F.struct(F.concat(F.col("month"), F.lit(" negative")).alias("label"),
-                                   F.col("trend_negative").alias("value")))).alias("p"))
+    cutoff = F.date_sub(_as_of(as_of), K.TREND_CUTOFF_DAYS)
+    base = (fb.groupBy("sentiment", "theme", "nom", F.date_format("date", "yyyy-MM").alias("month"),
+                       (F.col("date") < cutoff).alias("before"))
+            .agg(F.count(F.lit(1)).alias("c")))
+    s = (base.where(F.col("sentiment").isNotNull()).groupBy("sentiment").agg(F.sum("c").alias("value"))
+         .select(F.lit("sentiment").alias("panel"), capitalize_first(F.col("sentiment")).alias("label"), "value"))
+    t = (base.where(F.col("theme").isNotNull()).groupBy("theme").agg(F.sum("c").alias("value"))
+         .select(F.lit("theme").alias("panel"), F.col("theme").alias("label"), "value"))
+    tn = (base.where(F.col("sentiment") == K.SENTIMENT_NEGATIVE).groupBy("nom").agg(F.sum("c").alias("value"))
+          .orderBy(F.desc("value"), F.asc("nom")).limit(K.TOP_NEGATIVE_N)
+          .select(F.lit("top_negative").alias("panel"), F.col("nom").alias("label"), "value"))
+    rn = recent_negatives(fb).select(F.lit("recent_negative").alias("panel"),
+                                     F.concat_ws(" | ", F.col("date").cast("string"), "nom", "feedback").alias("label"),
+                                     F.col("fid").alias("value"))
+    tr = (base.where(F.col("before"))
+          .groupBy("month").pivot("sentiment", list(K.SENTIMENTS)).agg(F.sum("c")).na.fill(0))
+    names = {K.SENTIMENT_POSITIVE: "positive", K.SENTIMENT_NEUTRAL: "neutral", K.SENTIMENT_NEGATIVE: "negative"}
+    trend = tr.select(F.lit("trend").alias("panel"), F.explode(F.array(*[
+        F.struct(F.concat(F.col("month"), F.lit(" " + names[x])).alias("label"), F.col(x).cast("long").alias("value"))
+        for x in (K.SENTIMENT_POSITIVE, K.SENTIMENT_NEUTRAL, K.SENTIMENT_NEGATIVE)])).alias("p"))
     trend = trend.select("panel", "p.label", "p.value")
     return s.unionByName(t).unionByName(tn).unionByName(rn).unionByName(trend)
 

@@ -40,22 +40,31 @@ def stop_routes(stop_times: DataFrame, trips: DataFrame) -> DataFrame:
             .select("stop_id", "route_id").distinct())
 
 
-def nearest_shared_stop(requests: DataFrame, ref: DataFrame, stops: DataFrame, sr: DataFrame,
+def stop_route_sets(sr: DataFrame) -> DataFrame:
+    """One sorted route set per stop. Its size is bounded by the number of
+    distinct routes (a dimension), not by how many trips call at the stop."""
+    return sr.groupBy("stop_id").agg(F.array_sort(F.collect_set("route_id")).alias("routes"))
+
+
+def nearest_shared_stop(requests: DataFrame, ref: DataFrame, stops: DataFrame, routes_by_stop: DataFrame,
                         radius_km: float = RADIUS_KM, broadcast: bool | None = None) -> DataFrame:
     """Per request, the nearest stop to the end point (within the radius)
     sharing at least one route with the request's reference stop.
 
-    ``ref`` is (req_id, ref_stop_id). Candidates come from the radius join
-    first; the route check is then a semi-join of (candidate, route-of-ref)
-    against the distinct stop-route table — no stop x stop pairs per route.
+    ``ref`` is (req_id, ref_stop_id); ``routes_by_stop`` comes from
+    ``stop_route_sets``. Candidates come from the radius join first; the route
+    test is ``arrays_overlap`` of the two stops' route sets — no stop x stop
+    pairs per route and no per-route row expansion.
     """
     cand = radius_join(requests.select("req_id", "end_lat", "end_lon"),
                        stops.select(F.col("stop_id").alias("cand_id"), "stop_lat", "stop_lon"),
                        radius_km, q_lat="end_lat", q_lon="end_lon", p_lat="stop_lat", p_lon="stop_lon",
                        metric="geodesic", dist_col="dist_km", q_key="req_id", broadcast=broadcast)
     cand = cand.join(ref, "req_id")
-    ref_routes = cand.join(sr.withColumnRenamed("stop_id", "ref_stop_id"), "ref_stop_id")
-    shared = ref_routes.join(sr.withColumnRenamed("stop_id", "cand_id"), ["cand_id", "route_id"], "left_semi")
+    shared = (cand.join(routes_by_stop.select(F.col("stop_id").alias("ref_stop_id"), F.col("routes").alias("_ra")),
+                        "ref_stop_id")
+              .join(routes_by_stop.select(F.col("stop_id").alias("cand_id"), F.col("routes").alias("_rc")), "cand_id")
+              .where(F.arrays_overlap("_ra", "_rc")))
     best = (shared.groupBy("req_id")
             .agg(F.min_by(F.struct("cand_id", "dist_km"), F.struct("dist_km", "cand_id")).alias("b"))
             .select("req_id", F.col("b.cand_id").alias("end_stop_id"), (F.col("b.dist_km") * 1000).alias("end_dist_m")))
@@ -118,7 +127,7 @@ def plan_transit_trips(requests: DataFrame, stops: DataFrame, stop_times: DataFr
     start = start.select("req_id", F.col("stop_id").alias("start_stop_id"),
                          F.col("dist_m").alias("start_dist_m")).checkpoint()
     has_start = start.where(F.col("start_stop_id").isNotNull())
-    sr = stop_routes(stop_times, trips)
+    sr = stop_route_sets(stop_routes(stop_times, trips)).checkpoint()
     end = nearest_shared_stop(requests, has_start.select("req_id", F.col("start_stop_id").alias("ref_stop_id")),
                               stops_s, sr, broadcast=bc).checkpoint()
 
