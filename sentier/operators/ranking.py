@@ -29,9 +29,13 @@ def global_row_number(df: DataFrame, order_cols: list[Column], col: str = "rank"
     numbering to be deterministic.
     """
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Materialised once (reliable checkpoint): the per-partition sizes and the
+    # rows must see the very same partitions, which two reads of one adaptive
+    # shuffle do not guarantee (they may be coalesced differently).
     ranged = (df.repartitionByRange(n, *order_cols)
               .sortWithinPartitions(*order_cols)
               .withColumn("_mid", F.monotonically_increasing_id())
+              .checkpoint()
               .withColumn("_pid", F.shiftright(F.col("_mid"), _LOCAL_BITS))
               .withColumn("_loc", F.col("_mid") - F.shiftleft(F.col("_pid"), _LOCAL_BITS)))
     sizes = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
@@ -47,3 +51,22 @@ def global_row_number(df: DataFrame, order_cols: list[Column], col: str = "rank"
 
 def page_of(rank_col: str, per_page: int) -> Column:
     return F.ceil(F.col(rank_col) / F.lit(per_page)).cast("long")
+
+
+def rank_within_groups(df: DataFrame, group_cols: list[str], order_cols: list[Column], col: str = "pos",
+                       count_col: str | None = None, broadcast_max_groups: int = 2_000_000) -> DataFrame:
+    """1-based position of each row inside its group, plus (optionally) the
+    group size, without a window partitioned by the group: the global order
+    (group, order) is numbered by ``global_row_number`` — range partitioning
+    spreads a hot group over many tasks — and each group's first number is
+    subtracted. Group keys must be non-null and ``order_cols`` a total order.
+    """
+    g = global_row_number(df, [F.col(c) for c in group_cols] + list(order_cols), "_g")
+    starts = g.groupBy(*group_cols).agg(F.min("_g").alias("_s"), F.count(F.lit(1)).alias("_n"))
+    small = starts.limit(broadcast_max_groups + 1).count() <= broadcast_max_groups
+    j = g.join(F.broadcast(starts) if small else starts, group_cols)
+    j = j.withColumn(col, (F.col("_g") - F.col("_s") + 1).cast("long"))
+    if count_col:
+        j = j.withColumnRenamed("_n", count_col)
+    drop = ["_g", "_s"] + ([] if count_col else ["_n"])
+    return j.drop(*drop)

@@ -43,9 +43,11 @@ SELECT fid, username, date, tsid, nom, feedback, theme, sentiment,
 FROM s WHERE rn BETWEEN 17 AND 24"""
 
 ORACLE["feedback_concat"] = W("v_feedback") + """
-SELECT tsid, strftime(date, '%Y-%m') AS month, string_agg(feedback, ';' ORDER BY fid) AS corpus,
+SELECT tsid, month, CAST(floor((rn - 1) / 1000) AS BIGINT) AS chunk, string_agg(feedback, ';' ORDER BY fid) AS corpus,
   count(*) AS n_feedback
-FROM v_feedback WHERE feedback IS NOT NULL GROUP BY 1, 2"""
+FROM (SELECT tsid, strftime(date, '%Y-%m') AS month, fid, feedback,
+  row_number() OVER (PARTITION BY tsid, strftime(date, '%Y-%m') ORDER BY fid) AS rn
+  FROM v_feedback WHERE feedback IS NOT NULL) GROUP BY 1, 2, 3"""
 
 ORACLE["feedback_dashboard"] = W("v_feedback") + f"""
 , neg AS (SELECT * FROM v_feedback WHERE sentiment = 'Négatif')
@@ -475,7 +477,7 @@ ORACLE["event_calendar"] = _AG + 'SELECT uid, title, start, "end", description,
 ORACLE["json_event_pages"] = ORACLE["event_calendar"]
 ORACLE["events_per_day"] = _AG + "SELECT day, count(*) AS n_events FROM ag GROUP BY day"
 ORACLE["events_by_day_nested"] = _AG + """
-SELECT day, count(*) OVER (PARTITION BY day) AS n_events, CAST(row_number() OVER (PARTITION BY day ORDER BY start, uid) AS INTEGER) AS pos,
+SELECT day, count(*) OVER (PARTITION BY day) AS n_events, row_number() OVER (PARTITION BY day ORDER BY start, uid) AS pos,
   uid, start, title FROM ag"""
 ORACLE["events_upcoming"] = _AG + """
 SELECT uid, title, start FROM ag WHERE start >= '2024-01-15T00:00:00' OR later >= '2024-01-15T00:00:00'"""

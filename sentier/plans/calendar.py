@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sentier.operators.ranking import rank_within_groups
 from sentier.sources.files import flatten
 
 ISO = "yyyy-MM-dd'T'HH:mm:ss"
@@ -48,12 +49,10 @@ def events_per_day(cal: DataFrame) -> DataFrame:
 
 def events_by_day(cal: DataFrame) -> DataFrame:
     """The per-day grouping the calendar widget builds, as rows (day,
-    day count, position in the day, event) — no per-day list is collected,
-    so a crowded day does not have to fit in one row."""
-    w = Window.partitionBy("day").orderBy("start", "uid")
-    return (cal.withColumn("pos", F.row_number().over(w))
-            .withColumn("n_events", F.count(F.lit(1)).over(Window.partitionBy("day")))
-            .select("day", "n_events", "pos", "uid", "start", "title"))
+    day count, position in the day, event). No per-day list is collected and
+    no window is partitioned by day, so a crowded day is spread over tasks."""
+    ranked = rank_within_groups(cal, ["day"], [F.col("start"), F.col("uid")], "pos", "n_events")
+    return ranked.select("day", "n_events", "pos", "uid", "start", "title")
 
 
 def events_upcoming(agenda: DataFrame, as_of: str) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from sentier import constants as K
 from sentier.functions.text import capitalize_first
+from sentier.operators.ranking import rank_within_groups
 
 
 def _as_of(as_of) -> F.Column:
@@ -98,11 +99,16 @@ def feedback_paged(fb: DataFrame, page: int = 1, per_page: int = K.FEEDBACK_PER_
             .withColumn("page", F.lit(page)))
 
 
-def feedback_concat(fb: DataFrame, sep: str = ";") -> DataFrame:
-    """The corpus string, bounded per (place, month) so no single row or
-    task holds the whole table. Null texts are skipped."""
-    return (fb.where(F.col("feedback").isNotNull())
-            .groupBy("tsid", F.date_format("date", "yyyy-MM").alias("month"))
+def feedback_concat(fb: DataFrame, sep: str = ";", max_per_chunk: int = 1000) -> DataFrame:
+    """The ';'-joined corpus, per (place, month) and cut into chunks of at
+    most ``max_per_chunk`` comments in fid order, so no row, group or task has
+    to hold an unbounded text (a hot place-month becomes several chunks).
+    Null texts are skipped."""
+    src = (fb.where(F.col("feedback").isNotNull())
+           .select("tsid", F.date_format("date", "yyyy-MM").alias("month"), "fid", "feedback"))
+    ranked = rank_within_groups(src, ["tsid", "month"], [F.col("fid")], "pos")
+    chunked = ranked.withColumn("chunk", F.floor((F.col("pos") - 1) / max_per_chunk).cast("long"))
+    return (chunked.groupBy("tsid", "month", "chunk")
             .agg(F.expr(f"listagg(feedback, '{sep}') WITHIN GROUP (ORDER BY fid)").alias("corpus"),
                  F.count(F.lit(1)).alias("n_feedback")))
 

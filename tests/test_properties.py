@@ -112,3 +112,27 @@ def test_global_row_number_matches_sort(spark):
     want = sorted(rows, key=lambda r: (r[1] is None, r[1] if r[1] is not None else 0, r[0]))
     assert [g[1] for g in got] == [w[0] for w in want]
     assert [g[0] for g in got] == list(range(1, 3001))
+
+
+def test_rank_within_groups_and_chunks(spark):
+    from sentier.operators.ranking import rank_within_groups
+    from sentier.plans.feedback import feedback_concat
+    import datetime as dt
+    rnd = random.Random(11)
+    # one hot group holding most rows, many small ones
+    rows = [(i, "hot" if i % 3 else f"g{i % 17}", dt.date(2020, 1, 1), f"t{i}") for i in range(2500)]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "fid long, tsid string, date date, feedback string").repartition(6)
+    got = rank_within_groups(df, ["tsid"], [F.col("fid")], "pos", "n")
+    got = {r.fid: (r.pos, r.n) for r in got.collect()}
+    by = {}
+    for fid, g, _, _ in sorted(rows):
+        by.setdefault(g, []).append(fid)
+    for g, fids in by.items():
+        for i, fid in enumerate(fids):
+            assert got[fid] == (i + 1, len(fids))
+    chunks = feedback_concat(df, max_per_chunk=100).where("tsid = 'hot'").collect()
+    assert sum(r.n_feedback for r in chunks) == len(by["hot"])
+    assert max(r.n_feedback for r in chunks) == 100
+    whole = ";".join(r.corpus for r in sorted(chunks, key=lambda r: r.chunk))
+    assert whole == ";".join(f"t{f}" for f in by["hot"])
