@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from sentier.functions.geo import pair_distance_km, point_terms
 from sentier.operators.ranking import top_k_per_group
+from sentier.session import materialize
 
 BOUND_RADIUS_KM = 6300.0       # below every radius of curvature of the Earth
 MARGIN = 1.02
@@ -43,19 +44,19 @@ def _geom(radius_km: float):
     return theta, h
 
 
-def _with_band_cells(df: DataFrame, band: Column, theta: float, h: float, out: str) -> DataFrame:
-    """Add ``{out}n`` = number of longitude cells in the latitude band ``band``
-    (1 near the poles), in small staged projections."""
+def _band_ratio(band: Column, theta: float, h: float) -> Column:
+    """sin(theta/2) / cos(highest |latitude| of bands band-1..band+1)."""
     s = math.sin(min(theta, math.pi) / 2)
     lo = band * F.lit(h) - F.lit(90.0 + h)
     hi = (band + 2) * F.lit(h) - F.lit(90.0)
     max_abs = F.least(F.greatest(F.abs(lo), F.abs(hi)), F.lit(90.0))
-    df = df.withColumn(out + "r", F.lit(s) / F.greatest(F.cos(F.radians(max_abs)), F.lit(1e-12)))
-    r = F.col(out + "r")
-    width = F.when(r >= 1, F.lit(360.0)).otherwise(F.degrees(2 * F.asin(r)))
-    df = df.withColumn(out + "n", F.floor(F.lit(360.0) / width).cast("long")).drop(out + "r")
-    n = F.col(out + "n")
-    return df.withColumn(out + "n", F.when(n < 3, F.lit(1).cast("long")).otherwise(n))
+    return F.lit(s) / F.greatest(F.cos(F.radians(max_abs)), F.lit(1e-12))
+
+
+def _cells_from_ratio(r: Column) -> Column:
+    """Number of longitude cells of a band (1 when fewer than 3 fit)."""
+    n = F.floor(F.lit(360.0) / F.when(r >= 1, F.lit(360.0)).otherwise(F.degrees(2 * F.asin(r)))).cast("long")
+    return F.when(n < 3, F.lit(1).cast("long")).otherwise(n)
 
 
 def _band(lat: Column, h: float) -> Column:
@@ -69,21 +70,26 @@ def _cell_of(lon: Column, n: Column) -> Column:
 def point_cells(points: DataFrame, lat: str, lon: str, radius_km: float) -> DataFrame:
     theta, h = _geom(radius_km)
     p = points.withColumn("_band", _band(F.col(lat), h))
-    p = _with_band_cells(p, F.col("_band"), theta, h, "_p")
-    return p.withColumn("_cell", _cell_of(F.col(lon), F.col("_pn"))).drop("_pn")
+    p = p.withColumn("_pr", _band_ratio(F.col("_band"), theta, h))
+    p = p.withColumn("_pn", _cells_from_ratio(F.col("_pr")))
+    return p.withColumn("_cell", _cell_of(F.col(lon), F.col("_pn"))).drop("_pr", "_pn")
 
 
 def query_cells(queries: DataFrame, lat: str, lon: str, radius_km: float) -> DataFrame:
+    """Each query row once per grid cell that may hold a point within the
+    radius (3 bands x 3 cells, fewer near the poles). Built in four staged
+    projections so no generated method grows large."""
     theta, h = _geom(radius_km)
     q = queries.withColumn("_qb", _band(F.col(lat), h))
+    q = q.withColumns({f"_qr{i}": _band_ratio(F.col("_qb") + db, theta, h) for i, db in enumerate((-1, 0, 1))})
+    q = q.withColumns({f"_qn{i}": _cells_from_ratio(F.col(f"_qr{i}")) for i in range(3)})
     keys = []
     for i, db in enumerate((-1, 0, 1)):
-        q = _with_band_cells(q, F.col("_qb") + db, theta, h, f"_q{i}")
-        q = q.withColumn(f"_qc{i}", F.floor((F.col(lon) + F.lit(180.0)) * F.col(f"_q{i}n") / F.lit(360.0)).cast("long"))
+        c = F.floor((F.col(lon) + F.lit(180.0)) * F.col(f"_qn{i}") / F.lit(360.0)).cast("long")
         for dc in (-1, 0, 1):
             keys.append(F.struct((F.col("_qb") + db).alias("_band"),
-                                 F.pmod(F.col(f"_qc{i}") + dc, F.col(f"_q{i}n")).alias("_cell")))
-    tmp = ["_qb"] + [f"_q{i}n" for i in range(3)] + [f"_qc{i}" for i in range(3)]
+                                 F.pmod(c + dc, F.col(f"_qn{i}")).alias("_cell")))
+    tmp = ["_qb"] + [f"_q{x}{i}" for i in range(3) for x in "rn"]
     q = q.withColumn("_k", F.explode(F.array_distinct(F.array(*keys)))).drop(*tmp)
     return q.select("*", "_k._band", "_k._cell").drop("_k")
 
@@ -141,9 +147,22 @@ def nearest_within(queries: DataFrame, points: DataFrame, radius_km: float, *,
     return queries.join(best, q_key, "left")
 
 
+def suggest_start_km(points: DataFrame, lat: str, lon: str, k: int) -> float:
+    """First search radius: the radius holding about 2k points if they were
+    spread evenly over their bounding box (one aggregate over the points)."""
+    r = points.agg(F.count(F.lit(1)).alias("n"), F.min(lat).alias("a"), F.max(lat).alias("b"),
+                   F.min(lon).alias("c"), F.max(lon).alias("d")).first()
+    if not r or not r["n"]:
+        return 1.0
+    h = max((r["b"] - r["a"]) * 111.2, 1.0)
+    w = max((r["d"] - r["c"]) * 111.2 * math.cos(math.radians((r["a"] + r["b"]) / 2)), 1.0)
+    density = r["n"] / (h * w)
+    return float(min(max(math.sqrt(2 * k / (math.pi * density)), 0.05), 2000.0))
+
+
 def nearest_k(queries: DataFrame, points: DataFrame, k: int, *, q_key: str, p_key: str,
               q_lat: str, q_lon: str, p_lat: str, p_lon: str, metric: str = "sphere",
-              start_km: float = 1.0, growth: float = 4.0, dist_col: str = "dist_km",
+              start_km: float | None = None, growth: float = 4.0, dist_col: str = "dist_km",
               rank_col: str = "rank", exclude_self: bool = False,
               broadcast: bool | None = None) -> DataFrame:
     """Exact k nearest points of every query, unbounded distance.
@@ -154,6 +173,8 @@ def nearest_k(queries: DataFrame, points: DataFrame, k: int, *, q_key: str, p_ke
     the point key. ``exclude_self`` drops pairs whose keys are equal (self-join).
     """
     q = queries.select(q_key, q_lat, q_lon)
+    if start_km is None:
+        start_km = suggest_start_km(points, p_lat, p_lon, k)
     if broadcast is None:
         broadcast = _bounded(points, BROADCAST_MAX_ROWS)
     pending = q
@@ -166,14 +187,14 @@ def nearest_k(queries: DataFrame, points: DataFrame, k: int, *, q_key: str, p_ke
                             dist_col=dist_col, broadcast=broadcast, q_key=q_key)
         if exclude_self:
             pairs = pairs.where(F.col(q_key) != F.col(p_key))
-        ranked = top_k_per_group(pairs.select(q_key, p_key, dist_col), [q_key],
-                                 [F.col(dist_col), F.col(p_key)], k, rank_col).checkpoint()
+        ranked = materialize(top_k_per_group(pairs.select(q_key, p_key, dist_col), [q_key],
+                                             [F.col(dist_col), F.col(p_key)], k, rank_col), "nearest-round")
         if last:
             pieces.append(ranked)
             break
         done = ranked.where(F.col(rank_col) == k).select(q_key)
         pieces.append(ranked.join(done, q_key, "left_semi"))
-        pending = pending.join(done, q_key, "left_anti").checkpoint()
+        pending = materialize(pending.join(done, q_key, "left_anti"), "nearest-pending")
         if pending.isEmpty():
             break
         radius *= growth

@@ -29,13 +29,13 @@ def global_row_number(df: DataFrame, order_cols: list[Column], col: str = "rank"
     numbering to be deterministic.
     """
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Materialised once (reliable checkpoint): the per-partition sizes and the
+    # Materialised once (written to the shared folder): the per-partition sizes and the
     # rows must see the very same partitions, which two reads of one adaptive
     # shuffle do not guarantee (they may be coalesced differently).
-    ranged = (df.repartitionByRange(n, *order_cols)
-              .sortWithinPartitions(*order_cols)
-              .withColumn("_mid", F.monotonically_increasing_id())
-              .checkpoint()
+    from sentier.session import materialize
+    ranged = (materialize(df.repartitionByRange(n, *order_cols)
+                          .sortWithinPartitions(*order_cols)
+                          .withColumn("_mid", F.monotonically_increasing_id()), "row-numbers")
               .withColumn("_pid", F.shiftright(F.col("_mid"), _LOCAL_BITS))
               .withColumn("_loc", F.col("_mid") - F.shiftleft(F.col("_pid"), _LOCAL_BITS)))
     sizes = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))

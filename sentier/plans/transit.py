@@ -19,6 +19,7 @@ from sentier import constants as K
 from sentier.functions.geo import with_geodesic_m
 from sentier.functions.mobility import co2_grams, route_mode, trip_coins
 from sentier.operators.geojoin import fits_broadcast, nearest_within, radius_join
+from sentier.session import materialize
 
 RADIUS_KM = K.NEAREST_STOP_MAX_M / 1000.0
 
@@ -124,12 +125,12 @@ def plan_transit_trips(requests: DataFrame, stops: DataFrame, stop_times: DataFr
     start = nearest_stop(requests.select("req_id", "start_lat", "start_lon"), stops_s,
                          "req_id", "start_lat", "start_lon", broadcast=bc)
     # one row per request: checkpointed so the branches below share it
-    start = start.select("req_id", F.col("stop_id").alias("start_stop_id"),
-                         F.col("dist_m").alias("start_dist_m")).checkpoint()
+    start = materialize(start.select("req_id", F.col("stop_id").alias("start_stop_id"),
+                                     F.col("dist_m").alias("start_dist_m")), "start-stops")
     has_start = start.where(F.col("start_stop_id").isNotNull())
-    sr = stop_route_sets(stop_routes(stop_times, trips)).checkpoint()
-    end = nearest_shared_stop(requests, has_start.select("req_id", F.col("start_stop_id").alias("ref_stop_id")),
-                              stops_s, sr, broadcast=bc).checkpoint()
+    sr = materialize(stop_route_sets(stop_routes(stop_times, trips)), "stop-routes")
+    end = materialize(nearest_shared_stop(requests, has_start.select("req_id", F.col("start_stop_id").alias("ref_stop_id")),
+                              stops_s, sr, broadcast=bc), "end-stops")
 
     pairs = has_start.join(end, "req_id")
     trip = (trips_between_stops(pairs, stop_times)
@@ -157,7 +158,7 @@ def plan_transit_trips(requests: DataFrame, stops: DataFrame, stop_times: DataFr
                   ["shape_id", "hi"], "left"))
     legs = legs.withColumn("transit_km", F.coalesce(F.col("_chi") - F.col("_clo"), F.lit(0.0)))
     legs = legs.withColumn("n_points", F.when(F.col("hi").isNull(), F.lit(0)).otherwise(F.col("hi") - F.col("lo") + 1))
-    legs = legs.withColumn("transport_mode", route_mode(F.col("route_short_name"))).checkpoint()
+    legs = materialize(legs.withColumn("transport_mode", route_mode(F.col("route_short_name"))), "legs")
 
     out = (requests.join(start, "req_id", "left").join(end, "req_id", "left")
            .join(legs.select("req_id", "trip_id", "route_id", "route_short_name", "shape_id", "start_idx",
