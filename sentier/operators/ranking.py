@@ -70,3 +70,33 @@ def rank_within_groups(df: DataFrame, group_cols: list[str], order_cols: list[Co
         j = j.withColumnRenamed("_n", count_col)
     drop = ["_g", "_s"] + ([] if count_col else ["_n"])
     return j.drop(*drop)
+
+
+def running_sum_within_groups(df: DataFrame, group_cols: list[str], order_cols: list[Column], value: str,
+                              out: str, exclusive: bool = True, num_partitions: int | None = None) -> DataFrame:
+    """Running sum of ``value`` inside each group in ``order_cols`` order
+    (``exclusive``: sum of the rows before; else including the row), without
+    a window partitioned by the group.
+
+    Rows are range-partitioned on (group, order); each range partition is
+    summed locally (a bounded partition, not a group), partition totals give
+    offsets (one row per partition), and the global running sum at the
+    group's first row is subtracted. A hot group simply spans several range
+    partitions. ``order_cols`` must be a total order inside a group.
+    """
+    from sentier.session import materialize
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col(c) for c in group_cols] + list(order_cols)
+    ranged = materialize(df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+                         .withColumn("_pid", F.spark_partition_id()), "running-sum")
+    local = ranged.withColumn("_loc", F.sum(value).over(
+        Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    totals = ranged.groupBy("_pid").agg(F.sum(value).alias("_t"))
+    offs = totals.select("_pid", (F.sum("_t").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, 0))
+                                  - F.col("_t")).alias("_off"))
+    g = local.join(F.broadcast(offs), "_pid").withColumn("_cum", F.col("_off") + F.col("_loc"))
+    first = g.groupBy(*group_cols).agg(F.min_by(F.col("_cum") - F.col(value), F.struct(*order_cols)).alias("_gs"))
+    small = first.limit(2_000_001).count() <= 2_000_000
+    g = g.join(F.broadcast(first) if small else first, group_cols)
+    val = F.col("_cum") - F.col("_gs") - (F.col(value) if exclusive else F.lit(0.0))
+    return g.withColumn(out, val).drop("_pid", "_loc", "_off", "_cum", "_gs")

@@ -19,6 +19,7 @@ from sentier import constants as K
 from sentier.functions.geo import with_geodesic_m
 from sentier.functions.mobility import co2_grams, route_mode, trip_coins
 from sentier.operators.geojoin import fits_broadcast, nearest_within, radius_join
+from sentier.operators.ranking import rank_within_groups, running_sum_within_groups
 from sentier.session import materialize
 
 RADIUS_KM = K.NEAREST_STOP_MAX_M / 1000.0
@@ -95,17 +96,36 @@ def unconnected_stop_trips(pairs: DataFrame, stop_times: DataFrame) -> DataFrame
     return a.unionByName(b)
 
 
-def shape_points(shapes: DataFrame) -> DataFrame:
-    """Shape vertices with a 0-based position and the segment to the next
-    vertex (W3), plus the running length before each vertex (A8)."""
-    w = Window.partitionBy("shape_id").orderBy("seq")
-    pts = (shapes.withColumn("idx", F.row_number().over(w) - 1)
-           .withColumn("next_lat", F.lead("lat").over(w))
-           .withColumn("next_lon", F.lead("lon").over(w)))
+WINDOW_GROUP_MAX = 2_000_000   # largest group a window may sort in one task
+
+
+def shape_points(shapes: DataFrame, max_window_group: int = WINDOW_GROUP_MAX) -> DataFrame:
+    """Shape vertices with a 0-based position (idx), the next vertex and the
+    segment to it (W3), and the length before each vertex (cum_km, A8).
+
+    The size of the longest shape is measured first. Within the bound, plain
+    windows per shape are used; beyond it no window is partitioned by shape:
+    positions come from ``rank_within_groups``, the next vertex from an
+    equi-join on the unique (shape_id, idx) key and the running length from
+    ``running_sum_within_groups``, so one huge shape spans many tasks."""
+    base = shapes.select("shape_id", "seq", "lat", "lon")
+    longest = base.groupBy("shape_id").count().agg(F.max("count")).first()[0] or 0
+    if longest <= max_window_group:
+        w = Window.partitionBy("shape_id").orderBy("seq")
+        pts = (base.withColumn("idx", (F.row_number().over(w) - 1).cast("int"))
+               .withColumn("next_lat", F.lead("lat").over(w)).withColumn("next_lon", F.lead("lon").over(w)))
+    else:
+        pts = rank_within_groups(base, ["shape_id"], [F.col("seq")], "_pos")
+        pts = pts.withColumn("idx", (F.col("_pos") - 1).cast("int")).drop("_pos")
+        nxt = pts.select("shape_id", (F.col("idx") - 1).alias("idx"), F.col("lat").alias("next_lat"),
+                         F.col("lon").alias("next_lon"))
+        pts = pts.join(nxt, ["shape_id", "idx"], "left")
     pts = with_geodesic_m(pts, "_seg", "lat", "lon", "next_lat", "next_lon")
     pts = pts.withColumn("seg_km", F.coalesce(F.col("_seg") / 1000.0, F.lit(0.0))).drop("_seg")
-    cum = Window.partitionBy("shape_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    return pts.withColumn("cum_km", F.coalesce(F.sum("seg_km").over(cum), F.lit(0.0)))
+    if longest <= max_window_group:
+        cum = Window.partitionBy("shape_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+        return pts.withColumn("cum_km", F.coalesce(F.sum("seg_km").over(cum), F.lit(0.0)))
+    return running_sum_within_groups(pts, ["shape_id"], [F.col("idx")], "seg_km", "cum_km", exclusive=True)
 
 
 def nearest_vertex(combos: DataFrame, pts: DataFrame, stop_key: str, lat: str, lon: str, out: str) -> DataFrame:
@@ -144,7 +164,7 @@ def plan_transit_trips(requests: DataFrame, stops: DataFrame, stop_times: DataFr
                                 F.col("stop_lon").alias("s_lon")), "start_stop_id")
             .join(st.select(F.col("stop_id").alias("end_stop_id"), F.col("stop_lat").alias("e_lat"),
                             F.col("stop_lon").alias("e_lon")), "end_stop_id"))
-    pts = shape_points(shapes)
+    pts = materialize(shape_points(shapes), "shape-points")
     si = nearest_vertex(legs, pts, "start_stop_id", "s_lat", "s_lon", "start_idx")
     ei = nearest_vertex(legs, pts, "end_stop_id", "e_lat", "e_lon", "end_idx")
     legs = legs.join(si, ["shape_id", "start_stop_id"], "left").join(ei, ["shape_id", "end_stop_id"], "left")

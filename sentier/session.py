@@ -67,11 +67,15 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df, name: str = "stage"):
-    """Cut lineage by writing ``df`` as Parquet under the shared checkpoint
-    folder and reading it back: one job (a reliable ``checkpoint()`` computes
-    its input twice unless it is also cached), and the files survive the loss
-    of any executor."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.mode("errorifexists").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Cut lineage with a reliable checkpoint in the shared checkpoint folder,
+    computing ``df`` once: it is cached for the checkpoint's count job, the
+    checkpoint files are written from the cache (a bare ``checkpoint()`` would
+    recompute the input), then the cache is released. ``name`` is kept for
+    call-site readability."""
+    ensure_checkpoint_dir(df.sparkSession)
+    df = df.persist()
+    try:
+        out = df.checkpoint(eager=True)
+    finally:
+        df.unpersist(blocking=False)
+    return out

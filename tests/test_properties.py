@@ -136,3 +136,28 @@ def test_rank_within_groups_and_chunks(spark):
     assert max(r.n_feedback for r in chunks) == 100
     whole = ";".join(r.corpus for r in sorted(chunks, key=lambda r: r.chunk))
     assert whole == ";".join(f"t{f}" for f in by["hot"])
+
+
+def test_running_sum_within_groups(spark):
+    from sentier.operators.ranking import running_sum_within_groups
+    rnd = random.Random(13)
+    rows = [("hot" if rnd.random() < 0.6 else f"s{rnd.randrange(20)}", i, float(rnd.randrange(100))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, seq long, v double").repartition(5)
+    got = running_sum_within_groups(df, ["g"], [F.col("seq")], "v", "cum", exclusive=True, num_partitions=6)
+    got = {(r.g, r.seq): r.cum for r in got.collect()}
+    acc = {}
+    for g, seq, v in sorted(rows, key=lambda r: (r[0], r[1])):
+        assert abs(got[(g, seq)] - acc.get(g, 0.0)) < 1e-6
+        acc[g] = acc.get(g, 0.0) + v
+
+
+def test_shape_points_paths_agree(spark):
+    from sentier.plans.transit import shape_points
+    from sentier.sources.tables import role
+    from conftest import SMOKE
+    shapes = role(spark, SMOKE, "v_shapes")
+    a = {(r.shape_id, r.idx): (r.next_lat, r.next_lon, round(r.seg_km, 9), round(r.cum_km, 9))
+         for r in shape_points(shapes).collect()}
+    b = {(r.shape_id, r.idx): (r.next_lat, r.next_lon, round(r.seg_km, 9), round(r.cum_km, 9))
+         for r in shape_points(shapes, max_window_group=0).collect()}
+    assert a == b and len(a) > 0
