@@ -120,10 +120,7 @@ def radius_join(queries: DataFrame, points: DataFrame, radius_km: float, *,
     if broadcast:
         pairs = qc.join(F.broadcast(pc), ["_band", "_cell"])
     elif salt > 1:
-        sk = F.col(q_key) if q_key else F.xxhash64(*[F.col(c) for c in queries.columns])
-        qc = qc.withColumn("_salt", F.pmod(F.xxhash64(sk), F.lit(salt)))
-        pc = pc.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long"))))
-        pairs = qc.join(pc, ["_band", "_cell", "_salt"]).drop("_salt")
+        pairs = _salted_join(qc, pc, salt, q_key)
     else:
         pairs = qc.join(pc, ["_band", "_cell"])
     terms = [c for c in pairs.columns if c.startswith("_pt") or c.startswith("_qt")]
@@ -131,6 +128,26 @@ def radius_join(queries: DataFrame, points: DataFrame, radius_km: float, *,
     return pairs.where(F.col(dist_col) <= F.lit(radius_km))
 
 
+def _salted_join(qc: DataFrame, pc: DataFrame, salt: int, q_key: str | None) -> DataFrame:
+    """Shuffle join on the cell key where only hot cells are split: query rows
+    of a hot cell are spread over ``salt`` sub-keys and that cell's points are
+    copied to each; every other cell joins on salt 0 with a single copy."""
+    n_parts = int(qc.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = qc.groupBy("_band", "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    hot = counts.where(F.col("_n") * n_parts > F.lit(total)).select("_band", "_cell", F.lit(True).alias("_hot"))
+    # at most n_parts cells exceed 1/n_parts of the rows: a proven bound
+    sk = F.col(q_key) if q_key else F.xxhash64(*[F.col(c) for c in qc.columns if not c.startswith("_")])
+    q = (qc.join(F.broadcast(hot), ["_band", "_cell"], "left")
+         .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(sk), F.lit(salt))).otherwise(F.lit(0)))
+         .drop("_hot"))
+    p = (pc.join(F.broadcast(hot), ["_band", "_cell"], "left")
+         .withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long")))
+                                        .otherwise(F.array(F.lit(0).cast("long")))))
+         .drop("_hot"))
+    return q.join(p, ["_band", "_cell", "_salt"]).drop("_salt")
+
+
 def nearest_within(queries: DataFrame, points: DataFrame, radius_km: float, *,
                    q_key: str, p_key: str, q_lat: str, q_lon: str, p_lat: str, p_lon: str,
                    metric: str = "sphere", dist_col: str = "dist_km",

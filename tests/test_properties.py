@@ -161,3 +161,17 @@ def test_shape_points_paths_agree(spark):
     b = {(r.shape_id, r.idx): (r.next_lat, r.next_lon, round(r.seg_km, 9), round(r.cum_km, 9))
          for r in shape_points(shapes, max_window_group=0).collect()}
     assert a == b and len(a) > 0
+
+
+def test_radius_join_with_hot_cell(spark):
+    rnd = random.Random(17)
+    q = [(i, 49.44 + rnd.random() * 0.001, 1.09 + rnd.random() * 0.001) for i in range(400)]   # one hot cell
+    q += [(400 + i, rnd.uniform(48, 51), rnd.uniform(-1, 3)) for i in range(100)]
+    p = [(i, rnd.uniform(49.3, 49.6), rnd.uniform(0.9, 1.3)) for i in range(300)]
+    qd = spark.createDataFrame(q, "qid long, qlat double, qlon double")
+    pd_ = spark.createDataFrame(p, "pid long, plat double, plon double")
+    got = radius_join(qd, pd_, 5.0, q_lat="qlat", q_lon="qlon", p_lat="plat", p_lon="plon",
+                      broadcast=False, q_key="qid", salt=4)
+    got = sorted((r.qid, r.pid) for r in got.collect())
+    want = sorted((a[0], b[0]) for a in q for b in p if _gc(a[1], a[2], b[1], b[2]) <= 5.0)
+    assert got == want
