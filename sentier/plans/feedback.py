@@ -99,6 +99,19 @@ def feedback_paged(fb: DataFrame, page: int = 1, per_page: int = K.FEEDBACK_PER_
             .withColumn("page", F.lit(page)))
 
 
+def feedback_page_after(fb: DataFrame, after_date=None, after_fid=None,
+                        per_page: int = K.FEEDBACK_PER_PAGE) -> DataFrame:
+    """O2, keyset form: the page that follows the row (after_date, after_fid)
+    in (date desc, fid asc) order. Cost does not grow with the page number,
+    unlike ``offset``; pass ``None`` for the first page."""
+    cur = fb
+    if after_date is not None:
+        d = _as_of(after_date)
+        cur = fb.where((F.col("date") < d) | ((F.col("date") == d) & (F.col("fid") > F.lit(after_fid))))
+    return (cur.orderBy(F.desc_nulls_last("date"), F.asc("fid")).limit(per_page)
+            .select("fid", "username", "date", "tsid", "nom", "feedback", "theme", "sentiment"))
+
+
 def feedback_concat(fb: DataFrame, sep: str = ";", max_per_chunk: int = 1000) -> DataFrame:
     """The ';'-joined corpus, per (place, month) and cut into chunks of at
     most ``max_per_chunk`` comments in fid order, so no row, group or task has

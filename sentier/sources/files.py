@@ -85,3 +85,28 @@ def flatten(df: DataFrame, sep: str = ".") -> DataFrame:
                 cols.append(ref.alias(sep.join(path)))
         return cols
     return df.select(*walk(df.schema, []))
+
+
+def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The table at ``path`` with a fixed schema, or an empty table of
+    that schema when nothing has been written there yet."""
+    from pyspark.errors import AnalysisException
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+
+
+def compute_if_absent(spark: SparkSession, path: str, build, schema=None) -> DataFrame:
+    """Reuse the committed output at ``path`` (a write is committed
+    atomically with its success marker) or run ``build()`` and commit it."""
+    from pyspark.errors import AnalysisException
+    try:
+        reader = spark.read.schema(schema) if schema is not None else spark.read
+        df = reader.parquet(path)
+        df.schema  # resolves the files
+        return df
+    except AnalysisException:
+        out = build()
+        out.write.mode("errorifexists").parquet(path)
+        return spark.read.schema(out.schema).parquet(path)

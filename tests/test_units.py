@@ -82,3 +82,30 @@ def test_geodesic_close_to_reference_values(spark):
     df = spark.createDataFrame([(48.8566, 2.3522, 51.5074, -0.1278)], "a double, b double, c double, d double")
     m = df.select(G.geodesic_m("a", "b", "c", "d")).first()[0]
     assert abs(m - 343923.0) < 300
+
+
+def test_keyset_pages_equal_offset_pages(spark):
+    from conftest import SMOKE
+    from sentier.plans import feedback as FB
+    from sentier.sources.tables import role
+    fb = role(spark, SMOKE, "v_feedback")
+    after = None
+    for page in range(1, 4):
+        off = [r.fid for r in FB.feedback_paged(fb, page=page).orderBy("rank_in_page").collect()]
+        rows = FB.feedback_page_after(fb, *(after or (None, None))).collect()
+        assert [r.fid for r in rows] == off
+        after = (rows[-1].date, rows[-1].fid)
+
+
+def test_read_or_empty_and_compute_if_absent(spark, tmp_path):
+    from sentier.sources import files as FI
+    empty = FI.read_or_empty(spark, str(tmp_path / "missing"), "fid long, sentiment string")
+    assert empty.count() == 0 and empty.columns == ["fid", "sentiment"]
+    calls = []
+
+    def build():
+        calls.append(1)
+        return spark.range(5).withColumnRenamed("id", "x")
+    a = FI.compute_if_absent(spark, str(tmp_path / "store"), build)
+    b = FI.compute_if_absent(spark, str(tmp_path / "store"), build)
+    assert a.count() == b.count() == 5 and len(calls) == 1
