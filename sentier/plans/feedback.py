@@ -141,14 +141,16 @@ def dashboard_summary(fb: DataFrame, as_of) -> DataFrame:
     """C4 as one long table (panel, label, value).
 
     The feedback table is read twice, not once per panel: one grouped pass
-    (sentiment, theme, place, month, before-cutoff) feeds the count panels
-    (its shuffle is reused by every branch), and a pushed-down negative filter
-    feeds the top-5 most recent rows.
+    (sentiment, theme, place, month, before-cutoff) is materialised and feeds
+    the four count panels, and a pushed-down negative filter feeds the top-5
+    most recent rows. (Left to the optimiser, each panel's filter is pushed
+    below the shared aggregate and every panel scans the table again.)
     """
+    from sentier.session import materialize
     cutoff = F.date_sub(_as_of(as_of), K.TREND_CUTOFF_DAYS)
-    base = (fb.groupBy("sentiment", "theme", "nom", F.date_format("date", "yyyy-MM").alias("month"),
-                       (F.col("date") < cutoff).alias("before"))
-            .agg(F.count(F.lit(1)).alias("c")))
+    base = materialize(fb.groupBy("sentiment", "theme", "nom", F.date_format("date", "yyyy-MM").alias("month"),
+                                  (F.col("date") < cutoff).alias("before"))
+                       .agg(F.count(F.lit(1)).alias("c")), "dashboard-base")
     s = (base.where(F.col("sentiment").isNotNull()).groupBy("sentiment").agg(F.sum("c").alias("value"))
          .select(F.lit("sentiment").alias("panel"), capitalize_first(F.col("sentiment")).alias("label"), "value"))
     t = (base.where(F.col("theme").isNotNull()).groupBy("theme").agg(F.sum("c").alias("value"))
