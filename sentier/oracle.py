@@ -26,8 +26,8 @@ SELECT nom, count(*) AS n_negative FROM v_feedback WHERE sentiment = 'Négatif'
 GROUP BY nom ORDER BY n_negative DESC, nom LIMIT 3"""
 
 ORACLE["recent_negatives"] = W("v_feedback") + """
-SELECT fid, date, nom, feedback FROM v_feedback WHERE sentiment = 'Négatif'
-ORDER BY date DESC, fid LIMIT 5"""
+SELECT fid, CAST(date AS VARCHAR) AS date, nom, feedback FROM v_feedback WHERE sentiment = 'Négatif'
+ORDER BY v_feedback.date DESC, fid LIMIT 5"""
 
 ORACLE["sentiment_trend"] = W("v_feedback") + f"""
 SELECT strftime(date, '%Y-%m') AS month,
@@ -38,7 +38,7 @@ FROM v_feedback WHERE date < {AS_OF} - 120 GROUP BY 1"""
 
 ORACLE["feedback_paged"] = W("v_feedback") + """
 , s AS (SELECT *, row_number() OVER (ORDER BY date DESC, fid) AS rn, count(*) OVER () AS total FROM v_feedback)
-SELECT fid, username, date, tsid, nom, feedback, theme, sentiment,
+SELECT fid, username, CAST(date AS VARCHAR) AS date, tsid, nom, feedback, theme, sentiment,
   CAST(rn - 16 AS INTEGER) AS rank_in_page, (24 < total) AS has_next, true AS has_prev, CAST(3 AS INTEGER) AS page
 FROM s WHERE rn BETWEEN 17 AND 24"""
 
@@ -120,7 +120,7 @@ UNION ALL SELECT 'restaurants', count(*), CAST(ceil(count(*) / 10) AS BIGINT) FR
 UNION ALL SELECT 'feedback', count(*), CAST(ceil(count(*) / 8) AS BIGINT) FROM v_feedback"""
 
 ORACLE["catalogue_union"] = W("v_places", "v_restaurants") + """
-SELECT tsid, nom, ord, latitude, longitude, descriptif, photo, adresse1, adresse2, codepostal, commune,
+SELECT tsid, nom, CAST(ord AS VARCHAR) AS ord, latitude, longitude, descriptif, photo, adresse1, adresse2, codepostal, commune,
   frequentation_score, 'lieu' AS kind, CAST(NULL AS VARCHAR) AS specialites FROM v_places
 UNION ALL SELECT tsid, nom, NULL, latitude, longitude, NULL, NULL, NULL, NULL, codepostal, NULL, NULL,
   'restaurant', specialites FROM v_restaurants"""
@@ -215,7 +215,8 @@ _NEAR = f"""
 """
 
 ORACLE["nearest_stop"] = _GT + _NEAR + """
-SELECT r.req_id, s.stop_id, s.stop_name, round(s.d, 3) AS dist_m FROM v_requests r LEFT JOIN start_s s USING (req_id)"""
+SELECT r.req_id, CAST(s.stop_id AS VARCHAR) AS stop_id, s.stop_name, round(s.d, 3) AS dist_m
+FROM v_requests r LEFT JOIN start_s s USING (req_id)"""
 
 ORACLE["nearest_stop_shared_route"] = _GT + _NEAR + """
 SELECT req_id, ref_stop_id, end_stop_id, round(d, 3) AS end_dist_m FROM end_s"""
@@ -305,8 +306,10 @@ _PLAN = _GT + _NEAR + _PTS + f"""
   FROM v_requests r LEFT JOIN start_s s USING (req_id) LEFT JOIN end_s e USING (req_id) LEFT JOIN lg3 l USING (req_id))
 """
 ORACLE["plan_transit_trips"] = _PLAN + """
-SELECT req_id, status, start_stop_id, end_stop_id, trip_id, route_id, transport_mode, shape_id, start_idx, end_idx,
-  n_points, round(transit_km, 6) AS transit_km, round(walk_km, 6) AS walk_km,
+SELECT req_id, status, CAST(start_stop_id AS VARCHAR) AS start_stop_id, CAST(end_stop_id AS VARCHAR) AS end_stop_id,
+  CAST(trip_id AS VARCHAR) AS trip_id, CAST(route_id AS VARCHAR) AS route_id, transport_mode, CAST(shape_id AS VARCHAR) AS shape_id,
+  CAST(start_idx AS DOUBLE) AS start_idx, CAST(end_idx AS DOUBLE) AS end_idx,
+  CAST(n_points AS DOUBLE) AS n_points, round(transit_km, 6) AS transit_km, round(walk_km, 6) AS walk_km,
   round(transit_km * CASE transport_mode WHEN 'bus' THEN 55.9 WHEN 'tram' THEN 1.2 WHEN 'metro' THEN 1.42 ELSE 0.0 END, 6) AS co2_g,
   floor((walk_km + transit_km) * 100) AS coins
 FROM plan"""
@@ -430,8 +433,8 @@ SELECT t.tier, count(*) AS n_users, t.n_rewards FROM hi h JOIN tiers t ON t.tier
 ORACLE["tier_progress"] = W("v_wallet") + _TIERS + """
 SELECT h.user_id, h.coins, h.hi AS current_tier,
   CASE WHEN h.hi > 0 THEN least((h.hi - 1) * 100.0 / 3, 100.0) ELSE 0.0 END AS position_pct,
-  CASE WHEN h.hi > 0 AND h.hi < 4 THEN h.hi + 1 END AS next_tier,
-  CASE WHEN h.hi > 0 AND h.hi < 4 THEN (SELECT min_nc FROM tiers WHERE tier = h.hi + 1) - h.coins END AS coins_needed
+  CAST(CASE WHEN h.hi > 0 AND h.hi < 4 THEN h.hi + 1 END AS DOUBLE) AS next_tier,
+  CAST(CASE WHEN h.hi > 0 AND h.hi < 4 THEN (SELECT min_nc FROM tiers WHERE tier = h.hi + 1) - h.coins END AS DOUBLE) AS coins_needed
 FROM hi h"""
 
 _LEDGER = W("v_wallet", "v_spends").replace("WITH ", "WITH RECURSIVE ", 1) + """
@@ -514,7 +517,8 @@ _ING = _EXPL + _TSID + """
   LEFT JOIN rk ON rk.lo = round(e.longitude, 7) AND rk.la = round(e.latitude, 7))
 """
 ORACLE["ingest_feedback"] = _ING + """
-SELECT fid, username, longitude, latitude, nom, feedback, pos, verbatim, theme, sentiment, tsid, date FROM ing"""
+SELECT fid, username, longitude, latitude, nom, feedback, pos, verbatim, theme, sentiment, tsid,
+  CAST(date AS VARCHAR) AS date FROM ing"""
 
 ORACLE["feedback_append"] = _ING.replace("WITH ", "WITH v_feedback AS (" + __import__("sentier.sources.tables", fromlist=["ROLE_VIEWS"]).ROLE_VIEWS["v_feedback"].replace("{orders}", "orders").strip() + "),\n", 1) + """
 SELECT month, source, sentiment, count(*) AS n FROM (
@@ -522,7 +526,7 @@ SELECT month, source, sentiment, count(*) AS n FROM (
   UNION ALL SELECT strftime(date, '%Y-%m'), 'ingest', sentiment FROM ing) GROUP BY 1, 2, 3"""
 
 ORACLE["feedback_restore"] = W("v_feedback") + """
-SELECT fid, username, date, tsid, nom, theme, sentiment, feedback FROM v_feedback"""
+SELECT fid, username, CAST(date AS VARCHAR) AS date, tsid, nom, theme, sentiment, feedback FROM v_feedback"""
 
 # ---------------------------------------------------------------- accessibility
 _ACC = W("v_places", "v_access") + """
@@ -530,8 +534,8 @@ _ACC = W("v_places", "v_access") + """
   LEFT JOIN v_access a ON a.name = p.nom)
 """
 ORACLE["accessibility_join"] = _ACC + """
-SELECT tsid, matched, CASE WHEN matched THEN coalesce(entree_pmr, false) END AS entree_pmr,
-  CASE WHEN matched THEN false END AS stationnement_pmr,
+SELECT tsid, matched, CAST(CASE WHEN matched THEN coalesce(entree_pmr, false) END AS VARCHAR) AS entree_pmr,
+  CAST(CASE WHEN matched THEN false END AS VARCHAR) AS stationnement_pmr,
   CASE WHEN matched THEN coalesce(accueil_personnels, 'Non disponible') END AS accueil_personnels,
   CASE WHEN matched THEN '' END AS labels FROM j"""
 ORACLE["accessibility_labels"] = _ACC + """
@@ -635,6 +639,6 @@ ORACLE["user_collection"] = W("v_wallet") + _TIERS + """
 SELECT w.user_id, w.coins, CAST(floor(w.experience / 1000) AS INTEGER) AS level,
   CAST((floor(w.experience / 1000) + 1) * 1000 - w.experience AS INTEGER) AS coins_for_next_level,
   coalesce(bl.badges, '') AS badges, h.hi AS current_tier,
-  CASE WHEN h.hi > 0 AND h.hi < 4 THEN h.hi + 1 END AS next_tier,
-  CASE WHEN h.hi > 0 AND h.hi < 4 THEN (SELECT min_nc FROM tiers WHERE tier = h.hi + 1) - h.coins END AS coins_needed
+  CAST(CASE WHEN h.hi > 0 AND h.hi < 4 THEN h.hi + 1 END AS DOUBLE) AS next_tier,
+  CAST(CASE WHEN h.hi > 0 AND h.hi < 4 THEN (SELECT min_nc FROM tiers WHERE tier = h.hi + 1) - h.coins END AS DOUBLE) AS coins_needed
 FROM v_wallet w LEFT JOIN bl USING (user_id) JOIN hi h USING (user_id)"""

@@ -47,9 +47,24 @@ def _q_top_negative(spark, sf):
     return FB.top_negative_places(_fb(spark, sf))
 
 
+def _as_text(df, *cols):
+    """Nullable ids / flags leave the registry as text (NULL stays NULL), so
+    the engines' different pandas nullable types cannot split the hash."""
+    return df.withColumns({c: F.col(c).cast("string") for c in cols})
+
+
+def _as_double(df, *cols):
+    return df.withColumns({c: F.col(c).cast("double") for c in cols})
+
+
+def _iso_date(df):
+    """Dates leave the registry as ISO text so both engines hash them alike."""
+    return df.withColumn("date", F.col("date").cast("string"))
+
+
 @register("recent_negatives")
 def _q_recent_negatives(spark, sf):
-    return FB.recent_negatives(_fb(spark, sf))
+    return _iso_date(FB.recent_negatives(_fb(spark, sf)))
 
 
 @register("sentiment_trend")
@@ -59,7 +74,7 @@ def _q_sentiment_trend(spark, sf):
 
 @register("feedback_paged")
 def _q_feedback_paged(spark, sf):
-    return FB.feedback_paged(_fb(spark, sf), page=3)
+    return _iso_date(FB.feedback_paged(_fb(spark, sf), page=3))
 
 
 @register("feedback_concat")
@@ -138,7 +153,7 @@ def _q_page_counts(spark, sf):
 
 @register("catalogue_union")
 def _q_catalogue_union(spark, sf):
-    return CA.catalogue_union(_places(spark, sf), _restos(spark, sf))
+    return _as_text(CA.catalogue_union(_places(spark, sf), _restos(spark, sf)), "ord")
 
 
 @register("place_address")
@@ -244,7 +259,7 @@ def _q_postal_distance(spark, sf):
 def _q_nearest_stop(spark, sf):
     g = _gtfs(spark, sf)
     best = TR.nearest_stop(g["requests"], g["stops"], "req_id", "start_lat", "start_lon")
-    return best.select("req_id", "stop_id", "stop_name", _r("dist_m", 3))
+    return _as_text(best.select("req_id", "stop_id", "stop_name", _r("dist_m", 3)), "stop_id")
 
 
 @register("nearest_stop_shared_route")
@@ -342,9 +357,11 @@ def _plan(spark, sf, with_path=False):
 @register("plan_transit_trips")
 def _q_plan_transit(spark, sf):
     p = _plan(spark, sf)
-    return p.select("req_id", "status", "start_stop_id", "end_stop_id", "trip_id", "route_id", "transport_mode",
-                    "shape_id", "start_idx", "end_idx", "n_points", _r("transit_km"), _r("walk_km"), _r("co2_g"),
-                    "coins")
+    p = p.select("req_id", "status", "start_stop_id", "end_stop_id", "trip_id", "route_id", "transport_mode",
+                 "shape_id", "start_idx", "end_idx", "n_points", _r("transit_km"), _r("walk_km"), _r("co2_g"),
+                 "coins")
+    p = _as_text(p, "start_stop_id", "end_stop_id", "trip_id", "route_id", "shape_id")
+    return _as_double(p, "start_idx", "end_idx", "n_points")
 
 
 @register("nearest_vertex")
@@ -460,7 +477,7 @@ def _q_tiers_dim(spark, sf):
 
 @register("tier_progress")
 def _q_tier_progress(spark, sf):
-    return LO.tier_progress(_wallet(spark, sf))
+    return _as_double(LO.tier_progress(_wallet(spark, sf)), "next_tier", "coins_needed")
 
 
 @register("wallet_balances")
@@ -567,8 +584,8 @@ def _ingested(spark, sf):
 
 @register("ingest_feedback")
 def _q_ingest_feedback(spark, sf):
-    return _ingested(spark, sf).select("fid", "username", "longitude", "latitude", "nom", "feedback", "pos",
-                                       "verbatim", "theme", "sentiment", "tsid", "date")
+    return _iso_date(_ingested(spark, sf).select("fid", "username", "longitude", "latitude", "nom", "feedback",
+                                                 "pos", "verbatim", "theme", "sentiment", "tsid", "date"))
 
 
 @register("feedback_append")
@@ -586,7 +603,7 @@ def _q_feedback_restore(spark, sf):
     FB.append_feedback(bak, FB.to_feedback_table(_fb(spark, sf), "history"))
     FB.append_feedback(cur, FB.to_feedback_table(_ingested(spark, sf), "ingest"))
     t = FB.restore_feedback(spark, bak, cur)
-    return t.select("fid", "username", "date", "tsid", "nom", "theme", "sentiment", "feedback")
+    return _iso_date(t.select("fid", "username", "date", "tsid", "nom", "theme", "sentiment", "feedback"))
 
 
 # ---------------------------------------------------------------- accessibility
@@ -600,8 +617,9 @@ def _access(spark, sf):
 @register("accessibility_join")
 def _q_accessibility_join(spark, sf):
     a = _access(spark, sf)
-    return a.select("tsid", "matched", "entree_pmr", "stationnement_pmr", "accueil_personnels",
-                    F.array_join("labels", "|").alias("labels"))
+    a = a.select("tsid", "matched", "entree_pmr", "stationnement_pmr", "accueil_personnels",
+                 F.array_join("labels", "|").alias("labels"))
+    return _as_text(a, "entree_pmr", "stationnement_pmr")
 
 
 @register("accessibility_labels")
@@ -790,8 +808,8 @@ def _q_stream_feedback_ingest(spark, sf):
     raw.where(F.col("longitude") == 0.5).coalesce(1).write.mode("append").parquet(src)
     out = SF.ingest_stream(spark, src, raw.schema, _places(spark, sf), _restos(spark, sf), INGEST_DATE,
                            shared_path(spark, "feedback-sink"), shared_path(spark, "ckpt-feedback"))
-    return out.select("fid", "username", "longitude", "latitude", "nom", "feedback", "pos", "verbatim", "theme",
-                      "sentiment", "tsid", "date")
+    return _iso_date(out.select("fid", "username", "longitude", "latitude", "nom", "feedback", "pos", "verbatim",
+                                "theme", "sentiment", "tsid", "date"))
 
 
 @register("stream_sentiment_windows")
@@ -819,4 +837,4 @@ def _q_shape_slice(spark, sf):
 
 @register("user_collection")
 def _q_user_collection(spark, sf):
-    return LO.user_collection(_wallet(spark, sf), LO.badges_dim(spark))
+    return _as_double(LO.user_collection(_wallet(spark, sf), LO.badges_dim(spark)), "next_tier", "coins_needed")
