@@ -164,6 +164,13 @@ def nearest_within(queries: DataFrame, points: DataFrame, radius_km: float, *,
     return queries.join(best, q_key, "left")
 
 
+def spark_empty(queries: DataFrame, q_key: str, p_key: str, dist_col: str, rank_col: str,
+                points: DataFrame) -> DataFrame:
+    schema = f"{q_key} {dict(queries.dtypes)[q_key]}, {p_key} {dict(points.dtypes)[p_key]}, " \
+             f"{dist_col} double, {rank_col} int"
+    return queries.sparkSession.createDataFrame([], schema)
+
+
 def suggest_start_km(points: DataFrame, lat: str, lon: str, k: int) -> float:
     """First search radius: the radius holding about 2k points if they were
     spread evenly over their bounding box (one aggregate over the points)."""
@@ -195,9 +202,10 @@ def nearest_k(queries: DataFrame, points: DataFrame, k: int, *, q_key: str, p_ke
     if broadcast is None:
         broadcast = _bounded(points, BROADCAST_MAX_ROWS)
     pending = q
+    n_pending = q.count()
     pieces = []
     radius = start_km
-    while True:
+    while n_pending:
         last = radius >= MAX_DISTANCE_KM
         pairs = radius_join(pending, points.select(p_key, p_lat, p_lon), min(radius, MAX_DISTANCE_KM),
                             q_lat=q_lat, q_lon=q_lon, p_lat=p_lat, p_lon=p_lon, metric=metric,
@@ -210,11 +218,16 @@ def nearest_k(queries: DataFrame, points: DataFrame, k: int, *, q_key: str, p_ke
             pieces.append(ranked)
             break
         done = ranked.where(F.col(rank_col) == k).select(q_key)
+        n_done = done.count()                       # reads the materialised round only
         pieces.append(ranked.join(done, q_key, "left_semi"))
-        pending = materialize(pending.join(done, q_key, "left_anti"), "nearest-pending")
-        if pending.isEmpty():
+        if n_done == n_pending:
             break
+        # the next round's queries: an anti-join over materialised rounds only
+        pending = pending.join(done, q_key, "left_anti")
+        n_pending -= n_done
         radius *= growth
+    if not pieces:
+        return spark_empty(queries, q_key, p_key, dist_col, rank_col, points)
     out = pieces[0]
     for p in pieces[1:]:
         out = out.unionByName(p)
