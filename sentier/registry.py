@@ -786,9 +786,8 @@ def _q_availability_model(spark, sf):
     h = _history(spark, sf)
     model = BK.availability_model(h)
     grid = _stations(spark, sf).select(F.col("station_id").cast("string").alias("station_id"),
-                                       F.lit(BIKE_WEEKDAY).alias("weekday"), F.lit(BIKE_HOUR).alias("hour"),
-                                       F.lit(0.0).alias("value"))
-    return model.transform(grid).select("station_id", "weekday", "hour", "prediction")
+                                       F.lit(BIKE_WEEKDAY).alias("weekday"), F.lit(BIKE_HOUR).alias("hour"))
+    return BK.predict_availability(model, grid)
 
 
 # ---------------------------------------------------------------- streaming

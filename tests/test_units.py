@@ -109,3 +109,14 @@ def test_read_or_empty_and_compute_if_absent(spark, tmp_path):
     a = FI.compute_if_absent(spark, str(tmp_path / "store"), build)
     b = FI.compute_if_absent(spark, str(tmp_path / "store"), build)
     assert a.count() == b.count() == 5 and len(calls) == 1
+
+
+def test_unknown_station_gets_null_prediction(spark):
+    import datetime as dt
+    from sentier.plans import bikes as BK
+    hist = spark.createDataFrame([(s, dt.datetime(2024, 1, 1 + d, h), float(s + h)) for s in (1, 2, 3)
+                                  for d in range(3) for h in (8, 9)], "station_id long, ts timestamp, value double")
+    model = BK.availability_model(hist, num_trees=3)
+    req = spark.createDataFrame([("1", 0, 8), ("99", 0, 8)], "station_id string, weekday int, hour int")
+    got = {r.station_id: r.prediction for r in BK.predict_availability(model, req).collect()}
+    assert got["1"] is not None and got["99"] is None
