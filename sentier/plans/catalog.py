@@ -164,5 +164,6 @@ def water_features(nodes: DataFrame, bbox=K.WATER_BBOX, amenity: str = "drinking
     sel = nodes.where(F.col("lat").between(s, n) & F.col("lon").between(w, e)
                       & (F.element_at("tags", "amenity") == amenity))
     geom = F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates"))
-    feat = F.to_json(F.struct(F.lit("Feature").alias("type"), geom.alias("geometry"), F.col("tags").alias("properties")))
+    feat = F.to_json(F.struct(F.lit("Feature").alias("type"), F.col("id"), geom.alias("geometry"),
+                              F.col("tags").alias("properties")))
     return sel.select("id", "lon", "lat", F.to_json("tags").alias("properties"), feat.alias("feature"))

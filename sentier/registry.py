@@ -688,7 +688,13 @@ def _q_json_stations(spark, sf):
 @register("geojson_points")
 def _q_geojson_points(spark, sf):
     from sentier.plans.catalog import osm_nodes_from_places, water_features
-    return water_features(osm_nodes_from_places(_places(spark, sf))).select("id", "lon", "lat", "properties")
+    feats = water_features(osm_nodes_from_places(_places(spark, sf)))
+    path = shared_path(spark, "water-geojson")
+    FI.write_geojson_seq(feats, path)
+    back = FI.read_geojson_seq(spark, path)
+    # round trip through the sink: coordinates come back in (lon, lat) order
+    return back.select("id", F.col("geometry.coordinates")[0].alias("lon"),
+                       F.col("geometry.coordinates")[1].alias("lat"), F.to_json("properties").alias("properties"))
 
 
 @register("json_clean")

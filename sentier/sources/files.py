@@ -110,3 +110,17 @@ def compute_if_absent(spark: SparkSession, path: str, build, schema=None) -> Dat
         out = build()
         out.write.mode("errorifexists").parquet(path)
         return spark.read.schema(out.schema).parquet(path)
+
+
+FEATURE_SCHEMA = ("type string, id long, geometry struct<type: string, coordinates: array<double>>, "
+                  "properties map<string, string>")
+
+
+def write_geojson_seq(features: DataFrame, path: str, feature_col: str = "feature") -> None:
+    """S17 sink: line-delimited GeoJSON (RFC 8142), one Feature per line,
+    written in parallel; no single document has to hold every feature."""
+    features.select(F.col(feature_col).alias("value")).write.mode("errorifexists").text(path)
+
+
+def read_geojson_seq(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path).select(F.from_json("value", FEATURE_SCHEMA).alias("f")).select("f.*")
