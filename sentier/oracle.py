@@ -210,8 +210,8 @@ _NEAR = f"""
   FROM v_requests r JOIN start_s st USING (req_id) CROSS JOIN v_stops s)
 , end_s AS (SELECT req_id, ref_stop_id, cand_id AS end_stop_id, d FROM (
     SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY d, cand_id) AS rn FROM ec
-    WHERE d <= 2000 AND EXISTS (SELECT 1 FROM sr a JOIN sr b ON a.route_id = b.route_id
-                               WHERE a.stop_id = ec.ref_stop_id AND b.stop_id = ec.cand_id)) WHERE rn = 1)
+    WHERE d <= 2000 AND (ref_stop_id, cand_id) IN (SELECT (a.stop_id, b.stop_id) FROM sr a JOIN sr b ON a.route_id = b.route_id))
+  WHERE rn = 1)
 """
 
 ORACLE["nearest_stop"] = _GT + _NEAR + """

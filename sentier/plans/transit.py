@@ -63,10 +63,14 @@ def nearest_shared_stop(requests: DataFrame, ref: DataFrame, stops: DataFrame, r
                        radius_km, q_lat="end_lat", q_lon="end_lon", p_lat="stop_lat", p_lon="stop_lon",
                        metric="geodesic", dist_col="dist_km", q_key="req_id", broadcast=broadcast)
     cand = cand.join(ref, "req_id")
-    shared = (cand.join(routes_by_stop.select(F.col("stop_id").alias("ref_stop_id"), F.col("routes").alias("_ra")),
-                        "ref_stop_id")
-              .join(routes_by_stop.select(F.col("stop_id").alias("cand_id"), F.col("routes").alias("_rc")), "cand_id")
-              .where(F.arrays_overlap("_ra", "_rc")))
+    # the route test once per distinct (reference stop, candidate stop) pair,
+    # then joined back to the (request, candidate) rows
+    pairs = cand.select("ref_stop_id", "cand_id").distinct()
+    ok = (pairs.join(routes_by_stop.select(F.col("stop_id").alias("ref_stop_id"), F.col("routes").alias("_ra")),
+                     "ref_stop_id")
+          .join(routes_by_stop.select(F.col("stop_id").alias("cand_id"), F.col("routes").alias("_rc")), "cand_id")
+          .where(F.arrays_overlap("_ra", "_rc")).select("ref_stop_id", "cand_id"))
+    shared = cand.join(ok, ["ref_stop_id", "cand_id"], "left_semi")
     best = (shared.groupBy("req_id")
             .agg(F.min_by(F.struct("cand_id", "dist_km"), F.struct("dist_km", "cand_id")).alias("b"))
             .select("req_id", F.col("b.cand_id").alias("end_stop_id"), (F.col("b.dist_km") * 1000).alias("end_dist_m")))

@@ -23,6 +23,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 # Role views (fixture mapping, fixed text shared with the DuckDB oracle).
+# Every view covers its whole source table (no id subsets): requests are all
+# orders, questions all embeddings, shapes all events; the accessibility
+# table keeps the parts with p_size <= 30 so that some places have no match.
 ROLE_VIEWS: dict[str, str] = {
     "v_places": """
 SELECT concat('P', p_partkey) AS tsid, concat(p_name, ' ', p_partkey) AS nom, p_partkey AS ord,
@@ -61,7 +64,7 @@ FROM {supplier}""",
 SELECT l_orderkey AS trip_id, l_suppkey AS stop_id, min(l_linenumber) AS stop_sequence
 FROM {lineitem} GROUP BY l_orderkey, l_suppkey""",
     "v_trips": """
-SELECT o_orderkey AS trip_id, o_custkey AS route_id, o_orderkey % 15 AS shape_id FROM {orders}""",
+SELECT o_orderkey AS trip_id, o_custkey AS route_id, o_orderkey % 150 AS shape_id FROM {orders}""",
     "v_routes": """
 SELECT c_custkey AS route_id, CASE c_custkey % 4 WHEN 0 THEN 'Métro' WHEN 1 THEN concat('T', c_custkey % 9)
   WHEN 2 THEN 'TEOR' ELSE concat('F', c_custkey % 9) END AS route_short_name
@@ -70,14 +73,14 @@ FROM {customer}""",
 SELECT user_id AS shape_id, event_id AS seq,
   CAST(494000 + (event_id * 613) % 1000 AS DOUBLE) / 10000 AS lat,
   CAST(10500 + (event_id * 977) % 1500 AS DOUBLE) / 10000 AS lon
-FROM {events} WHERE user_id < 15""",
+FROM {events}""",
     "v_requests": """
 SELECT o_orderkey AS req_id,
   CAST(494000 + (o_orderkey * 3571) % 1000 + CASE WHEN o_orderkey % 10 = 0 THEN 5000 ELSE 0 END AS DOUBLE) / 10000 AS start_lat,
   CAST(10500 + (o_orderkey * 2221) % 1500 AS DOUBLE) / 10000 AS start_lon,
   CAST(494000 + (o_custkey * 4409) % 1000 + CASE WHEN o_orderkey % 10 = 1 THEN 5000 ELSE 0 END AS DOUBLE) / 10000 AS end_lat,
   CAST(10500 + (o_custkey * 5081) % 1500 AS DOUBLE) / 10000 AS end_lon
-FROM {orders} WHERE o_orderkey < 200""",
+FROM {orders}""",
     "v_stations": """
 SELECT stop_id AS station_id, stop_name AS name, stop_lat AS lat, stop_lon AS lon,
   (stop_id * 13) % 7 AS num_bikes_available, (stop_id * 11) % 5 AS num_docks_available
@@ -94,10 +97,10 @@ SELECT event_id, user_id, CAST(floor(value * 10) AS INT) AS cost FROM {events} W
 SELECT concat(p_name, ' ', p_partkey) AS name,
   CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_partkey % 2 = 0 END AS entree_pmr,
   CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_type END AS accueil_personnels
-FROM {part} WHERE p_partkey % 5 < 3""",
+FROM {part} WHERE p_size <= 30""",
     "v_queries": """
 SELECT vec_id AS qid, embedding AS vector, concat('que voir vers nation_', vec_id % 25, ' ?') AS query
-FROM {embeddings} WHERE vec_id < 40""",
+FROM {embeddings}""",
     "v_vectors": """
 SELECT concat('P', vec_id) AS tsid, embedding AS vector FROM {embeddings}""",
 }
