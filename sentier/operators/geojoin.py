@@ -28,7 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sentier.functions.geo import pair_distance_km, point_terms
+from sentier.functions.geo import point_terms, with_pair_distance_km
 from sentier.operators.ranking import top_k_per_group
 from sentier.session import materialize
 
@@ -107,9 +107,14 @@ def _bounded(df: DataFrame, max_rows: int) -> bool:
 def radius_join(queries: DataFrame, points: DataFrame, radius_km: float, *,
                 q_lat: str, q_lon: str, p_lat: str, p_lon: str,
                 metric: str = "sphere", dist_col: str = "dist_km",
-                broadcast: bool | None = None, salt: int = 8, q_key: str | None = None) -> DataFrame:
+                broadcast: bool | None = None, salt: int = 8, q_key: str | None = None,
+                exact_filter: bool = True) -> DataFrame:
     """All (query, point) pairs with distance <= ``radius_km`` (exact).
 
+    ``exact_filter=False`` returns every pair of neighbouring cells with its
+    distance (a superset that contains all pairs within the radius), for
+    callers that rank first and test the radius on far fewer rows.
+
     Columns of both inputs must not clash. ``broadcast=None`` decides from a
     row count of ``points``; ``q_key`` (a query id column) drives the salt.
     """
@@ -124,8 +129,8 @@ def radius_join(queries: DataFrame, points: DataFrame, radius_km: float, *,
     else:
         pairs = qc.join(pc, ["_band", "_cell"])
     terms = [c for c in pairs.columns if c.startswith("_pt") or c.startswith("_qt")]
-    pairs = pairs.withColumn(dist_col, pair_distance_km(metric, "_qt", "_pt")).drop("_band", "_cell", *terms)
-    return pairs.where(F.col(dist_col) <= F.lit(radius_km))
+    pairs = with_pair_distance_km(pairs, dist_col, metric, "_qt", "_pt").drop("_band", "_cell", *terms)
+    return pairs.where(F.col(dist_col) <= F.lit(radius_km)) if exact_filter else pairs
 
 
 def _salted_join(qc: DataFrame, pc: DataFrame, salt: int, q_key: str | None) -> DataFrame:
@@ -151,16 +156,18 @@ def _salted_join(qc: DataFrame, pc: DataFrame, salt: int, q_key: str | None) ->
 def nearest_within(queries: DataFrame, points: DataFrame, radius_km: float, *,
                    q_key: str, p_key: str, q_lat: str, q_lon: str, p_lat: str, p_lon: str,
                    metric: str = "sphere", dist_col: str = "dist_km",
-                   broadcast: bool | None = None) -> DataFrame:
+                   broadcast: bool | None = None, pair_filter=None) -> DataFrame:
     """For every query its nearest point within the radius (ties: the
-    smallest point key), or NULL point columns when there is none."""
-    pairs = radius_join(queries.select(q_key, q_lat, q_lon), points, radius_km,
-                        q_lat=q_lat, q_lon=q_lon, p_lat=p_lat, p_lon=p_lon, metric=metric,
-                        dist_col=dist_col, broadcast=broadcast, q_key=q_key)
-    pcols = [c for c in points.columns] + [dist_col]
-    best = (pairs.groupBy(q_key)
-            .agg(F.min_by(F.struct(*pcols), F.struct(F.col(dist_col), F.col(p_key))).alias("_b"))
-            .select(q_key, "_b.*"))
+    smallest point key), or NULL point columns when there is none.
+
+    Runs the exact ring search of ``nearest_k`` capped at the radius: a query
+    is settled in the first ring holding a point, so dense areas never score
+    every pair within the full radius."""
+    best = nearest_k(queries.select(q_key, q_lat, q_lon), points.select(p_key, p_lat, p_lon), 1,
+                     q_key=q_key, p_key=p_key, q_lat=q_lat, q_lon=q_lon, p_lat=p_lat, p_lon=p_lon,
+                     metric=metric, dist_col=dist_col, broadcast=broadcast, max_km=radius_km,
+                     pair_filter=pair_filter)
+    best = best.select(q_key, p_key, dist_col).join(points, p_key)
     return queries.join(best, q_key, "left")
 
 
@@ -188,7 +195,8 @@ def nearest_k(queries: DataFrame, points: DataFrame, k: int, *, q_key: str, p_ke
               q_lat: str, q_lon: str, p_lat: str, p_lon: str, metric: str = "sphere",
               start_km: float | None = None, growth: float = 4.0, dist_col: str = "dist_km",
               rank_col: str = "rank", exclude_self: bool = False,
-              broadcast: bool | None = None) -> DataFrame:
+              broadcast: bool | None = None, max_km: float | None = None,
+              pair_filter=None) -> DataFrame:
     """Exact k nearest points of every query, unbounded distance.
 
     Round r joins the still-unresolved queries within radius ``start*growth^r``;
@@ -205,15 +213,22 @@ def nearest_k(queries: DataFrame, points: DataFrame, k: int, *, q_key: str, p_ke
     n_pending = q.count()
     pieces = []
     radius = start_km
+    cap = min(MAX_DISTANCE_KM, max_km) if max_km else MAX_DISTANCE_KM
     while n_pending:
-        last = radius >= MAX_DISTANCE_KM
-        pairs = radius_join(pending, points.select(p_key, p_lat, p_lon), min(radius, MAX_DISTANCE_KM),
+        last = radius >= cap
+        r = min(radius, cap)
+        # every point within r lies in the query's neighbour cells, so the
+        # radius is tested after ranking, on at most k rows per query
+        pairs = radius_join(pending, points.select(p_key, p_lat, p_lon), r,
                             q_lat=q_lat, q_lon=q_lon, p_lat=p_lat, p_lon=p_lon, metric=metric,
-                            dist_col=dist_col, broadcast=broadcast, q_key=q_key)
+                            dist_col=dist_col, broadcast=broadcast, q_key=q_key, exact_filter=False)
         if exclude_self:
             pairs = pairs.where(F.col(q_key) != F.col(p_key))
+        if pair_filter is not None:
+            pairs = pair_filter(pairs)
         ranked = materialize(top_k_per_group(pairs.select(q_key, p_key, dist_col), [q_key],
-                                             [F.col(dist_col), F.col(p_key)], k, rank_col), "nearest-round")
+                                             [F.col(dist_col), F.col(p_key)], k, rank_col)
+                             .where(F.col(dist_col) <= F.lit(r)), "nearest-round")
         if last:
             pieces.append(ranked)
             break

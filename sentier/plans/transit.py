@@ -58,23 +58,25 @@ def nearest_shared_stop(requests: DataFrame, ref: DataFrame, stops: DataFrame, r
     test is ``arrays_overlap`` of the two stops' route sets — no stop x stop
     pairs per route and no per-route row expansion.
     """
-    cand = radius_join(requests.select("req_id", "end_lat", "end_lon"),
-                       stops.select(F.col("stop_id").alias("cand_id"), "stop_lat", "stop_lon"),
-                       radius_km, q_lat="end_lat", q_lon="end_lon", p_lat="stop_lat", p_lon="stop_lon",
-                       metric="geodesic", dist_col="dist_km", q_key="req_id", broadcast=broadcast)
-    cand = cand.join(ref, "req_id")
-    # the route test once per distinct (reference stop, candidate stop) pair,
-    # then joined back to the (request, candidate) rows
-    pairs = cand.select("ref_stop_id", "cand_id").distinct()
-    ok = (pairs.join(routes_by_stop.select(F.col("stop_id").alias("ref_stop_id"), F.col("routes").alias("_ra")),
-                     "ref_stop_id")
-          .join(routes_by_stop.select(F.col("stop_id").alias("cand_id"), F.col("routes").alias("_rc")), "cand_id")
-          .where(F.arrays_overlap("_ra", "_rc")).select("ref_stop_id", "cand_id"))
-    shared = cand.join(ok, ["ref_stop_id", "cand_id"], "left_semi")
-    best = (shared.groupBy("req_id")
-            .agg(F.min_by(F.struct("cand_id", "dist_km"), F.struct("dist_km", "cand_id")).alias("b"))
-            .select("req_id", F.col("b.cand_id").alias("end_stop_id"), (F.col("b.dist_km") * 1000).alias("end_dist_m")))
-    return best
+    ra = routes_by_stop.select(F.col("stop_id").alias("ref_stop_id"), F.col("routes").alias("_ra"))
+    rc = routes_by_stop.select(F.col("stop_id").alias("cand_id"), F.col("routes").alias("_rc"))
+
+    def shares_route(pairs: DataFrame) -> DataFrame:
+        # the route test once per distinct (reference stop, candidate stop)
+        # pair of this ring, joined back to the (request, candidate) rows
+        cand = pairs.join(ref, "req_id")
+        uniq = cand.select("ref_stop_id", "cand_id").distinct()
+        ok = (uniq.join(ra, "ref_stop_id").join(rc, "cand_id")
+              .where(F.arrays_overlap("_ra", "_rc")).select("ref_stop_id", "cand_id"))
+        return cand.join(ok, ["ref_stop_id", "cand_id"], "left_semi").drop("ref_stop_id")
+
+    q = requests.select("req_id", "end_lat", "end_lon").join(ref.select("req_id"), "req_id", "left_semi")
+    best = nearest_within(q, stops.select(F.col("stop_id").alias("cand_id"), "stop_lat", "stop_lon"), radius_km,
+                          q_key="req_id", p_key="cand_id", q_lat="end_lat", q_lon="end_lon", p_lat="stop_lat",
+                          p_lon="stop_lon", metric="geodesic", dist_col="dist_km", broadcast=broadcast,
+                          pair_filter=shares_route)
+    return (best.where(F.col("cand_id").isNotNull())
+            .select("req_id", F.col("cand_id").alias("end_stop_id"), (F.col("dist_km") * 1000).alias("end_dist_m")))
 
 
 def trips_between_stops(pairs: DataFrame, stop_times: DataFrame) -> DataFrame:
