@@ -322,8 +322,8 @@ SELECT req_id, 0 AS pos, start_lat AS lat, start_lon AS lon FROM ok
 UNION ALL SELECT req_id, 1, s_lat, s_lon FROM ok
 UNION ALL SELECT ok.req_id, CAST(2 + CASE WHEN ok.start_idx >= ok.end_idx THEN ok.hi - p.idx ELSE p.idx - ok.lo END AS INTEGER),
   p.lat, p.lon FROM ok JOIN pts p ON p.shape_id = ok.shape_id AND p.idx BETWEEN ok.lo AND ok.hi
-UNION ALL SELECT req_id, CAST(2 + n_points AS INTEGER), e_lat, e_lon FROM ok
-UNION ALL SELECT req_id, CAST(3 + n_points AS INTEGER), end_lat, end_lon FROM ok"""
+UNION ALL SELECT req_id, CAST(2 + coalesce(n_points, 0) AS INTEGER), e_lat, e_lon FROM ok
+UNION ALL SELECT req_id, CAST(3 + coalesce(n_points, 0) AS INTEGER), end_lat, end_lon FROM ok"""
 
 
 # ---------------------------------------------------------------- vectors, recommendation, retrieval

@@ -183,7 +183,8 @@ def plan_transit_trips(requests: DataFrame, stops: DataFrame, stop_times: DataFr
             .join(cum.select("shape_id", F.col("idx").alias("hi"), F.col("cum_km").alias("_chi")),
                   ["shape_id", "hi"], "left"))
     legs = legs.withColumn("transit_km", F.coalesce(F.col("_chi") - F.col("_clo"), F.lit(0.0)))
-    legs = legs.withColumn("n_points", F.when(F.col("hi").isNull(), F.lit(0)).otherwise(F.col("hi") - F.col("lo") + 1))
+    # NULL when the trip's shape is missing (no slice exists)
+    legs = legs.withColumn("n_points", F.col("hi") - F.col("lo") + 1)
     legs = materialize(legs.withColumn("transport_mode", route_mode(F.col("route_short_name"))), "legs")
 
     out = (requests.join(start, "req_id", "left").join(end, "req_id", "left")
@@ -236,7 +237,8 @@ def trip_paths(legs: DataFrame, pts: DataFrame) -> DataFrame:
     sl = sl.withColumn("transit_path", F.transform(
         F.when(F.col("start_idx") >= F.col("end_idx"), F.reverse("_pts")).otherwise(F.col("_pts")),
         lambda p: F.struct(p["lat"].alias("lat"), p["lon"].alias("lon")))).drop("_pts")
-    j = legs.join(sl, ["shape_id", "start_idx", "end_idx"])
+    # a trip whose shape is missing keeps its two walking legs
+    j = legs.join(sl, ["shape_id", "start_idx", "end_idx"], "left")
     pt = lambda a, b: F.struct(F.col(a).alias("lat"), F.col(b).alias("lon"))
     path = F.concat(F.array(pt("start_lat", "start_lon"), pt("s_lat", "s_lon")),
                     F.coalesce(F.col("transit_path"), F.array()),
