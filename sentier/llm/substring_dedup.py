@@ -13,7 +13,7 @@ and built in two steps that each move every key once:
    smallest hash in it (equal windows have equal seeds, about one seed per five
    words). Blocks of seeds tell which seeds more than one document holds; a
    window whose seed is held once can't repeat and is dropped here.
-2. *Windows.* For the rest, blocks keyed by a 96-bit window hash give the
+2. *Windows.* For the rest, blocks keyed by seed and 64-bit window hash give the
    smallest document id that holds the window.
 
 Keys repeated inside a task's chunk of documents are settled in that chunk and
@@ -42,7 +42,8 @@ from sentier.llm import shared  # noqa: F401  (ships the kernels)
 from sentier.llm.textvec import (as_long, gram_hashes, merged, mix, small_batches, text_bytes, whole_windows,
                                  word_hashes, word_spans)
 
-_KEYS = "part long, key long, check int, doc_id long, known boolean"
+_SEEDS = "part long, key long, doc_id long"
+_KEYS = "part long, known boolean, doc_id long, checks array<long>"
 _SPANS = T.StructType([
     T.StructField("row", T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])),
     T.StructField("n_words", T.LongType()),
@@ -78,45 +79,30 @@ def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return col.fill_null(0).to_numpy(zero_copy_only=False), np.asarray(col.is_valid())
 
 
-def _rows(part, key, check, doc, known) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(as_long(part)), pa.array(as_long(key)), pa.array(check), pa.array(doc), pa.array(known)],
-        names=["part", "key", "check", "doc_id", "known"])
-
-
-def _settle(key: np.ndarray, check: np.ndarray, ids: np.ndarray, keep_first: bool) -> Iterator[pa.RecordBatch]:
-    """One chunk's (key, id) rows, each pair once. A key held by one id goes to
-    the key's block. A key held by several is known to repeat: one row (its
-    smallest id) goes to the block, the others are marked known and dealt by a
-    key of their own. With ``keep_first`` the smallest id's row is only an open
-    question for the block; else it is known too."""
+def _pairs(key: np.ndarray, check: np.ndarray, ids: np.ndarray):
+    """The distinct (key, check, id) of a chunk in that order, whether a row is
+    its (key, check)'s first, and whether several ids hold its (key, check)."""
     order = np.lexsort((ids, check, key))
     key, check, ids = key[order], check[order], ids[order]
-    if not len(key):
-        return
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (check[1:] != check[:-1])
     row = new.copy()
     row[1:] |= ids[1:] != ids[:-1]
     key, check, ids, new = key[row], check[row], ids[row], new[row]
     group = np.cumsum(new) - 1
-    many = np.bincount(group)[group] > 1
-    own = mix(key ^ mix(ids.view(np.uint64) + np.uint64(7)))
-    if keep_first:
-        known = ~new
-        yield _rows(np.where(known, own, key), key, check, ids, known)
-    else:
-        known = many
-        yield _rows(np.where(known, own, key), key, check, ids, known)
-        head = many & new
-        if head.any():  # stands for all holders in this chunk; names no document
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(as_long(key[head])), pa.array(as_long(key[head])), pa.array(check[head]),
-                 pa.array(ids[head], mask=np.ones(head.sum(), bool)), pa.array(np.zeros(head.sum(), bool))],
-                names=["part", "key", "check", "doc_id", "known"])
+    return key, check, ids, new, np.bincount(group)[group] > 1 if len(group) else new
+
+
+def _own(key: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """A key that spreads the rows of one block key over all blocks."""
+    return mix(key ^ mix(ids.view(np.uint64) + np.uint64(7)))
 
 
 def _seed_rows(window: int, k: int):
+    """Seeds of a chunk. One that a single document of the chunk holds is asked
+    of its block (key null). One that several hold is known to be shared: each
+    holder's row goes its own way, and one row without a document tells the
+    block about them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in merged(batches, "text"):
             ids, ok = _ids(b)
@@ -124,25 +110,47 @@ def _seed_rows(window: int, k: int):
             new = np.ones(len(seeds), bool)
             new[1:] = (seeds[1:] != seeds[:-1]) | (doc[1:] != doc[:-1])
             new &= ok[doc]
-            s = seeds[new]
-            yield from _settle(s, np.zeros(len(s), np.int32), ids[doc[new]], keep_first=False)
+            key = seeds[new]
+            key, _, ids, head, many = _pairs(key, np.zeros(len(key), np.int8), ids[doc[new]])
+            head &= many
+            none = np.ones(int(head.sum()), bool)
+            for part, name, holder in (
+                    (np.where(many, _own(key, ids), key), pa.array(as_long(key), mask=~many), pa.array(ids)),
+                    (key[head], pa.nulls(len(none), pa.int64()), pa.array(ids[head], mask=none))):
+                yield pa.RecordBatch.from_arrays([pa.array(as_long(part)), name, holder],
+                                                 names=["part", "key", "doc_id"])
     return run
 
 
 def _window_rows(window: int, k: int):
+    """Windows of a chunk as one row per seed and document. A window's smallest
+    holder in the chunk is an open question for the seed's block; the others
+    are known to repeat it and go their own way."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in merged(batches, "text"):
+            b = b.filter(b.column("keys").is_valid())
+            if not b.num_rows:
+                continue
             ids, ok = _ids(b)
             _, _, _, _, w, at, seeds, doc = _windows(b, window, k)
             hit = _listed(b.column("keys"), seeds, doc)
             hit &= ok[doc]
-            key, check = _window_keys(w, at[hit], window)
-            yield from _settle(key, check, ids[doc[hit]], keep_first=True)
+            key, check, ids, first, _ = _pairs(seeds[hit], _window_keys(w, at[hit], window), ids[doc[hit]])
+            order = np.lexsort((ids, key, first))
+            key, check, ids, known = key[order], check[order], ids[order], ~first[order]
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (ids[1:] != ids[:-1]) | (known[1:] != known[:-1])
+            head = np.flatnonzero(new)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(head, len(key)), pa.int32()), pa.array(as_long(check)))
+            key, ids, known = key[head], ids[head], known[head]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(as_long(np.where(known, _own(key, ids), key))), pa.array(known), pa.array(ids), lists],
+                names=["part", "known", "doc_id", "checks"])
     return run
 
 
-def _window_keys(w: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    return gram_hashes(w, window, salt=2)[at], (gram_hashes(w, window, salt=3)[at] >> np.uint64(33)).astype(np.int32)
+def _window_keys(w: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
+    return gram_hashes(w, window, salt=2)[at] if len(at) else np.zeros(0, np.uint64)
 
 
 def _listed(lists: pa.Array, values: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -162,8 +170,7 @@ def _spans(window: int, k: int):
             some = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) > 0
             live = some[doc]
             at, doc = at[live], doc[live]
-            key, check = _window_keys(w, at, window)
-            hit = _listed(lists, key ^ (check.astype(np.uint64) << np.uint64(33)), doc)
+            hit = _listed(lists, _window_keys(w, at, window), doc)
             at, doc = at[hit], doc[hit]
             # greedy factors: a run of matched windows at consecutive words is
             # one factor; a factor that begins inside the last one extends it
@@ -189,23 +196,40 @@ def duplicate_spans(docs: DataFrame, window: int = 13, seed_words: int = 3) -> D
     """(row struct<doc_id, text>, n_words, spans array<struct<start, length>>):
     for each row the word spans covered by a ``window`` that also starts in a
     document with a smaller id, left to right, disjoint."""
+    return _parse(docs, window, seed_words, _spans(window, seed_words), _SPANS)
+
+
+def kept_digest(docs: DataFrame, window: int = 13, seed_words: int = 3) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of what ``duplicate_spans`` leave,
+    taken in the same task that finds them."""
+    spans = _spans(window, seed_words)
+    return _parse(docs, window, seed_words, lambda batches: _digest(spans(batches)),
+                  "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+def _parse(docs: DataFrame, window: int, seed_words: int, kernel, schema) -> DataFrame:
     small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    seeds = texts.mapInArrow(_seed_rows(window, seed_words), _KEYS).repartition("part")
+    seeds = texts.mapInArrow(_seed_rows(window, seed_words), _SEEDS).repartition("part")
     block = Window.partitionBy("part")
-    shared_seeds = (seeds.withColumn("_n", F.count(F.lit(1)).over(block))
-                    .where((F.col("known") | (F.col("_n") > 1)) & F.col("doc_id").isNotNull())
-                    .groupBy("doc_id").agg(F.collect_list("key").alias("keys")))
+    shared_seeds = _lists(seeds.withColumn("_n", F.count(F.lit(1)).over(block))
+                          .where((F.col("key").isNotNull() | (F.col("_n") > 1)) & F.col("doc_id").isNotNull())
+                          .select("doc_id", F.coalesce("key", "part").alias("key")))
+    # Left joins on both sides: the same exchange of the texts serves twice.
     by_doc = texts.repartition("doc_id")
-    windows = (by_doc.join(shared_seeds.hint("shuffle_hash"), "doc_id", "inner")
-               .mapInArrow(_window_rows(window, seed_words), _KEYS).repartition("part"))
-    block = Window.partitionBy("part", "key", "check")
-    repeats = (windows.withColumn("_low", F.min("doc_id").over(block))
-               .where(F.col("known") | (F.col("doc_id") > F.col("_low")))
-               .select("doc_id", F.col("key").bitwiseXOR(F.shiftleft(F.col("check").cast("long"), 33)).alias("key"))
-               .groupBy("doc_id").agg(F.collect_list("key").alias("keys")))
+    windows = (by_doc.join(shared_seeds.hint("shuffle_hash"), "doc_id", "left")
+               .mapInArrow(_window_rows(window, seed_words), _KEYS).repartition("part")
+               .select("part", "known", "doc_id", F.explode("checks").alias("key")))
+    block = Window.partitionBy("part", "key")
+    repeats = _lists(windows.withColumn("_low", F.min("doc_id").over(block))
+                     .where(F.col("known") | (F.col("doc_id") > F.col("_low"))).select("doc_id", "key"))
     return (by_doc.join(repeats.hint("shuffle_hash"), "doc_id", "left")
-            .mapInArrow(_spans(window, seed_words), _SPANS))
+            .mapInArrow(kernel, schema))
+
+
+def _lists(keys: DataFrame) -> DataFrame:
+    """The keys of each document, at most one per word of it."""
+    return keys.repartition("doc_id").groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,8 +250,3 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [row.field("doc_id"), b.column("n_words"), pa.array(removed, pa.int64()), pa.array(digest, pa.string())],
             names=["doc_id", "n_words", "n_removed", "kept_sha256"])
-
-
-def kept_digest(spans: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 of what the spans leave."""
-    return spans.mapInArrow(_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
