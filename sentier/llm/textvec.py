@@ -21,7 +21,7 @@ _M1 = np.uint64(0xBF58476D1CE4E5B9)
 _M2 = np.uint64(0x94D049BB133111EB)
 LONG_WORD = 512  # bytes; longer words are hashed one by one
 BATCH_ROWS = 256
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -82,14 +82,16 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
-def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, first): byte spans of all words, and for each text the
-    index of its first word (one more entry than texts)."""
+def word_spans(data: np.ndarray, off: np.ndarray,
+               sep: np.ndarray = _SEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, first): byte spans of all words (runs of bytes not in
+    ``sep``), and for each text the index of its first word (one more entry
+    than texts)."""
     n = len(data)
     if n == 0:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(off), np.int64)
-    word = ~_SEP[data]
+    word = ~sep[data]
     begin = word.copy()
     begin[1:] &= ~word[:-1]
     cut = off[(off > 0) & (off < n)]
