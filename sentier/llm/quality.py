@@ -177,17 +177,23 @@ def _score(weights: np.ndarray, cuts: np.ndarray, names: list[str]):
     return run
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with its score, expected_grade and p_top (the chance of the top
-    grade)."""
+def score(docs: DataFrame, model: Model,
+          outputs: tuple[str, str, str] = ("score", "expected_grade", "p_top")) -> DataFrame:
+    """``docs`` with its score, expected grade and the chance of the top grade,
+    under the names in ``outputs``."""
     small_batches(docs.sparkSession)
-    own = [c for c in docs.columns if c not in ("score", "expected_grade", "p_top", "_text")]
-    fields = [docs.schema[c] for c in own] + [T.StructField(c, T.DoubleType()) for c in ("score", "expected_grade", "p_top")]
-    schema = T.StructType(fields)
+    own = [c for c in docs.columns if c not in (*outputs, "_text")]
+    schema = T.StructType([docs.schema[c] for c in own] + [T.StructField(c, T.DoubleType()) for c in outputs])
     return (docs.select(*[F.col(f"`{c}`") for c in own], F.col("text").cast("string").alias("_text"))
             .mapInArrow(_score(model.weights, model.cuts, schema.names), schema))
 
 
+def select_top(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose chance of the top grade is at least ``least``."""
+    names = ("_score", "_grade", "_p_top")
+    return score(docs, model, names).where(F.col("_p_top") >= least).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def graded(labels: DataFrame) -> DataFrame:
     """Grades of the labels table: 0 low quality, 1 sound but toxic, 2 clean."""
     q, t = F.col("quality"), F.col("toxic")
