@@ -168,7 +168,7 @@ def _score(weights: np.ndarray, cuts: np.ndarray, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in merged(batches, "_text"):
             bucket, value, owner = features(b.column("_text"))
-            s = np.bincount(owner, weights[bucket] * value, b.num_rows)
+            s = np.bincount(owner, weights[bucket] * value, b.num_rows).astype(np.float64)
             tails = _sigmoid(s[:, None] - cuts[None, :])
             yield pa.RecordBatch.from_arrays(
                 [b.column(i) for i in range(b.num_columns - 1)]
