@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sentier import constants as K
 
-# --- fixed values: Latin-1 letters and their NFKD base letters (53 pairs).
+# --- fixed values: Latin-1 letters and their NFKD base letters (53 pairs); the
+# usual texts need no more, other letters are decomposed in full.
 ACCENTED = "ÀÁÂÃÄÅàáâãäåÇçÈÉÊËèéêëÌÍÎÏìíîïÑñÒÓÔÕÖòóôõöÙÚÛÜùúûüÝýÿ"
 UNACCENTED = "AAAAAAaaaaaaCcEEEEeeeeIIIIiiiiNnOOOOOoooooUUUUuuuuYyy"
 
@@ -73,20 +78,35 @@ def feature_text(*cols) -> Column:
     return F.concat_ws(" ", *[_c(c).cast("string") for c in cols])
 
 
-def strip_accents(c) -> Column:
-    return F.translate(_c(c), ACCENTED, UNACCENTED)
+def _base_letters(form: str, marks):
+    """Arrow UDF: decompose, then drop the characters that ``marks`` names."""
+    @F.pandas_udf(T.StringType())
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t if t is None else "".join(
+            ch for ch in unicodedata.normalize(form, t) if not marks(ch)))
+    return run
+
+
+_nfkd = _base_letters("NFKD", lambda ch: unicodedata.combining(ch) != 0)
+_nfd = _base_letters("NFD", lambda ch: "\u0300" <= ch <= "\u036f")
+
+
+def _stripped(c, rest) -> Column:
+    """Base letters. Only texts with characters beyond ASCII and the table go
+    to Python."""
+    plain = F.translate(_c(c), ACCENTED, UNACCENTED)
+    return F.when(plain.rlike(r"[^\x00-\x7F]"), rest(_c(c))).otherwise(plain)
 
 
 def theme_key(c) -> Column:
     """F8: NFKD key of a theme name: spaces to '_', drop '/()', drop accents."""
-    s = F.regexp_replace(F.regexp_replace(_c(c), " ", "_"), r"[/()]", "")
-    return strip_accents(s)
+    return F.regexp_replace(F.regexp_replace(_stripped(c, _nfkd), " ", "_"), r"[/()]", "")
 
 
 def slug(c) -> Column:
-    """accents stripped, non-alphanumerics dropped, whitespace runs to
+    """accents stripped (NFD), non-alphanumerics dropped, whitespace runs to
     '_', lower case."""
-    s = F.regexp_replace(strip_accents(_c(c)), r"[^a-zA-Z0-9\s]", "")
+    s = F.regexp_replace(_stripped(c, _nfd), r"[^a-zA-Z0-9\s]", "")
     return F.lower(F.regexp_replace(s, r"\s+", "_"))
 
 
@@ -108,15 +128,24 @@ def name_matches(name, query: str, regex: bool = True) -> Column:
     query as a regular expression like the app; otherwise a literal."""
     n = _c(name)
     if regex:
-        hit = n.rlike("(?i)" + query)
+        hit = n.rlike("(?iu)" + query)
     else:
         hit = F.lower(n).contains(query.lower())
     return F.coalesce(hit, F.lit(False))
 
 
-def json_clean(cols: list[str]) -> Column:
-    """a record as JSON with null (and NaN) fields left out."""
-    fields = []
-    for c in cols:
-        fields.append(F.col(c).alias(c))
+def _without_nan(c: Column, dt: T.DataType) -> Column:
+    if isinstance(dt, (T.DoubleType, T.FloatType)):
+        return F.when(~F.isnan(c), c)
+    if isinstance(dt, T.StructType):
+        inner = F.struct(*[_without_nan(c[f.name], f.dataType).alias(f.name) for f in dt.fields])
+        return F.when(c.isNotNull(), inner) if dt.fields else c
+    if isinstance(dt, T.ArrayType):
+        return F.transform(c, lambda x: _without_nan(x, dt.elementType))
+    return c
+
+
+def json_clean(df: DataFrame, cols: list[str]) -> Column:
+    """a record as JSON with null and NaN fields left out, at any depth."""
+    fields = [_without_nan(F.col(c), df.schema[c].dataType).alias(c) for c in cols]
     return F.to_json(F.struct(*fields), {"ignoreNullFields": "true"})

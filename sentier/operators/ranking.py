@@ -53,18 +53,26 @@ def page_of(rank_col: str, per_page: int) -> Column:
     return F.ceil(F.col(rank_col) / F.lit(per_page)).cast("long")
 
 
+def _same(a: DataFrame, b: DataFrame, cols: list[str]) -> DataFrame:
+    """Inner join on ``cols`` in which NULL keys meet NULL keys."""
+    b = b.withColumnsRenamed({c: f"_key_{c}" for c in cols})
+    on = F.lit(True)
+    for c in cols:
+        on = on & F.col(c).eqNullSafe(F.col(f"_key_{c}"))
+    return a.join(b, on).drop(*[f"_key_{c}" for c in cols])
+
+
 def rank_within_groups(df: DataFrame, group_cols: list[str], order_cols: list[Column], col: str = "pos",
-                       count_col: str | None = None, broadcast_max_groups: int = 2_000_000) -> DataFrame:
+                       count_col: str | None = None) -> DataFrame:
     """1-based position of each row inside its group, plus (optionally) the
     group size, without a window partitioned by the group: the global order
-    (group, order) is numbered by ``global_row_number`` — range partitioning
-    spreads a hot group over many tasks — and each group's first number is
-    subtracted. Group keys must be non-null and ``order_cols`` a total order.
+    (group, order) is numbered by ``global_row_number`` (range partitioning
+    spreads a hot group over many tasks) and each group's first number is
+    subtracted. NULL keys form a group; ``order_cols`` must be a total order.
     """
     g = global_row_number(df, [F.col(c) for c in group_cols] + list(order_cols), "_g")
     starts = g.groupBy(*group_cols).agg(F.min("_g").alias("_s"), F.count(F.lit(1)).alias("_n"))
-    small = starts.limit(broadcast_max_groups + 1).count() <= broadcast_max_groups
-    j = g.join(F.broadcast(starts) if small else starts, group_cols)
+    j = _same(g, starts.select(*group_cols, "_s", "_n"), group_cols)
     j = j.withColumn(col, (F.col("_g") - F.col("_s") + 1).cast("long"))
     if count_col:
         j = j.withColumnRenamed("_n", count_col)
@@ -78,25 +86,21 @@ def running_sum_within_groups(df: DataFrame, group_cols: list[str], order_cols:
     (``exclusive``: sum of the rows before; else including the row), without
     a window partitioned by the group.
 
-    Rows are range-partitioned on (group, order); each range partition is
-    summed locally (a bounded partition, not a group), partition totals give
-    offsets (one row per partition), and the global running sum at the
-    group's first row is subtracted. A hot group simply spans several range
-    partitions. ``order_cols`` must be a total order inside a group.
+    Rows are range-partitioned on (group, order). Each partition sums its own
+    rows of a group, and a group's totals in earlier partitions (one row per
+    group and partition) are its offset there, so only values of the group
+    itself are ever added. A hot group simply spans several partitions. NULL
+    keys form a group; ``order_cols`` must be a total order inside a group.
     """
     from sentier.session import materialize
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col(c) for c in group_cols] + list(order_cols)
     ranged = materialize(df.repartitionByRange(n, *order).sortWithinPartitions(*order)
                          .withColumn("_pid", F.spark_partition_id()), "running-sum")
-    local = ranged.withColumn("_loc", F.sum(value).over(
-        Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
-    totals = ranged.groupBy("_pid").agg(F.sum(value).alias("_t"))
-    offs = totals.select("_pid", (F.sum("_t").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, 0))
-                                  - F.col("_t")).alias("_off"))
-    g = local.join(F.broadcast(offs), "_pid").withColumn("_cum", F.col("_off") + F.col("_loc"))
-    first = g.groupBy(*group_cols).agg(F.min_by(F.col("_cum") - F.col(value), F.struct(*order_cols)).alias("_gs"))
-    small = first.limit(2_000_001).count() <= 2_000_000
-    g = g.join(F.broadcast(first) if small else first, group_cols)
-    val = F.col("_cum") - F.col("_gs") - (F.col(value) if exclusive else F.lit(0.0))
-    return g.withColumn(out, val).drop("_pid", "_loc", "_off", "_cum", "_gs")
+    keys = [*group_cols, "_pid"]
+    upto = Window.partitionBy(*keys).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
+    local = ranged.withColumn("_loc", F.coalesce(F.sum(value).over(upto), F.lit(0.0)))
+    totals = ranged.groupBy(*keys).agg(F.sum(value).alias("_t"))
+    earlier = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = totals.select(*keys, F.coalesce(F.sum("_t").over(earlier), F.lit(0.0)).alias("_off"))
+    return _same(local, offs, keys).withColumn(out, F.col("_off") + F.col("_loc")).drop("_pid", "_loc", "_off")

@@ -458,9 +458,9 @@ SELECT sp.user_id, sp.event_id, sp.cost, r.ok AS accepted, r.bal AS balance
 FROM sp JOIN rec r ON r.user_id = sp.user_id AND r.rn = sp.rn"""
 
 ORACLE["users_insert_new"] = """
-WITH ex AS (SELECT 'user' || c_custkey AS username, c_name AS name FROM customer WHERE c_acctbal > 0)
-, reg AS (SELECT lower(upper('User' || o_custkey)) AS username, min('Nom ' || o_custkey) AS name
-  FROM orders WHERE o_orderstatus = 'P' GROUP BY 1)
+WITH ex AS (SELECT 'user' || c_custkey AS username, c_name AS name FROM customer)
+, reg AS (SELECT lower(upper(CASE WHEN o_orderstatus = 'P' THEN 'Guest' ELSE 'User' END || o_custkey)) AS username,
+  min('Nom ' || o_custkey) AS name FROM orders GROUP BY 1)
 SELECT username, name FROM ex
 UNION ALL SELECT username, name FROM reg WHERE username NOT IN (SELECT username FROM ex)"""
 
@@ -531,7 +531,7 @@ SELECT fid, username, CAST(date AS VARCHAR) AS date, tsid, nom, theme, sentiment
 # ---------------------------------------------------------------- accessibility
 _ACC = W("v_places", "v_access") + """
 , j AS (SELECT p.tsid, a.name IS NOT NULL AS matched, a.entree_pmr, a.accueil_personnels FROM v_places p
-  LEFT JOIN v_access a ON a.name = p.nom)
+  LEFT JOIN (SELECT * FROM v_access QUALIFY row_number() OVER (PARTITION BY name ORDER BY ord) = 1) a ON a.name = p.nom)
 """
 ORACLE["accessibility_join"] = _ACC + """
 SELECT tsid, matched, CAST(CASE WHEN matched THEN coalesce(entree_pmr, false) END AS VARCHAR) AS entree_pmr,

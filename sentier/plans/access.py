@@ -25,12 +25,13 @@ def _complete(access: DataFrame) -> DataFrame:
 
 
 def accessibility_join(places: DataFrame, access: DataFrame, order_col: str | None = None) -> DataFrame:
-    """The first accessibility row with the place's exact name.
+    """The first accessibility row with the place's exact name, by
+    ``order_col`` (without one: the least row, so that reruns agree).
     Unmatched places get NULL everywhere; a matched row's missing values get
     typed defaults (False, 'Non disponible', [])."""
     a = _complete(access)
     a = a.select("name", *FIELDS, *([order_col] if order_col else []))
-    key = F.col(order_col) if order_col else F.monotonically_increasing_id()
+    key = F.col(order_col) if order_col else F.struct(*FIELDS)
     first = (a.withColumn("_o", key).groupBy("name")
              .agg(F.min_by(F.struct(*FIELDS), F.col("_o")).alias("_a"))
              .select("name", "_a.*").withColumn("matched", F.lit(True)))

@@ -88,8 +88,9 @@ def restaurants_county(restaurants: DataFrame, county: str = "76") -> DataFrame:
 
 
 def place_search(places: DataFrame, query: str, regex: bool = True) -> DataFrame:
-    """Case-insensitive (regex) name search, nulls never match."""
-    if len(query) < 2:
+    """Case-insensitive (regex) name search, nulls never match; an empty
+    query finds nothing."""
+    if not query:
         return places.select("nom", "tsid").limit(0)
     return places.where(T.name_matches("nom", query, regex)).select("nom", "tsid")
 

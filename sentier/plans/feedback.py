@@ -236,7 +236,9 @@ def append_feedback(table_path: str, batch: DataFrame) -> None:
     batch.write.mode("append").partitionBy("month").parquet(table_path)
 
 
-def restore_feedback(spark, backup_path: str, current_path: str) -> DataFrame:
-    """Replace the current table by its backup copy."""
-    spark.read.parquet(backup_path).write.mode("overwrite").partitionBy("month").parquet(current_path)
-    return spark.read.parquet(current_path)
+def restore_feedback(spark, backup_path: str, snapshot_path: str) -> DataFrame:
+    """The backup as a new committed snapshot, which the caller then takes
+    as the current table. The live table is not touched, so a restore that fails
+    half way loses nothing."""
+    spark.read.parquet(backup_path).write.mode("errorifexists").partitionBy("month").parquet(snapshot_path)
+    return spark.read.parquet(snapshot_path)

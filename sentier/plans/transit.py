@@ -81,20 +81,35 @@ def nearest_shared_stop(requests: DataFrame, ref: DataFrame, stops: DataFrame, r
 
 def trips_between_stops(pairs: DataFrame, stop_times: DataFrame) -> DataFrame:
     """Every trip calling at both stops of each (start_stop_id,
-    end_stop_id) pair, in either direction, with both sequence numbers."""
+    end_stop_id) pair, in either direction, with both sequence numbers.
+
+    The stop times of a trip are paired with one another, so the work is bounded
+    by the length of trips, not by how many trips call at a hub; the needed
+    pairs then filter the result."""
     p = pairs.select("start_stop_id", "end_stop_id").distinct()
     s = stop_times.select("trip_id", F.col("stop_id").alias("start_stop_id"),
                           F.col("stop_sequence").alias("stop_sequence_start"))
     e = stop_times.select("trip_id", F.col("stop_id").alias("end_stop_id"),
                           F.col("stop_sequence").alias("stop_sequence_end"))
-    return p.join(s, "start_stop_id").join(e, ["trip_id", "end_stop_id"])
+    return s.join(e, "trip_id").join(p, ["start_stop_id", "end_stop_id"], "left_semi")
+
+
+def first_trips(pairs: DataFrame, stop_times: DataFrame) -> DataFrame:
+    """The smallest trip id per needed pair. All trips' stop pairs are reduced
+    to their first trip (map-side combined) before they meet the needed pairs."""
+    st = stop_times.select("trip_id", "stop_id").distinct()
+    both = (st.withColumnRenamed("stop_id", "start_stop_id")
+            .join(st.withColumnRenamed("stop_id", "end_stop_id"), "trip_id"))
+    p = pairs.select("start_stop_id", "end_stop_id").distinct()
+    return (both.join(p, ["start_stop_id", "end_stop_id"], "left_semi")
+            .groupBy("start_stop_id", "end_stop_id").agg(F.min("trip_id").alias("trip_id")))
 
 
 def unconnected_stop_trips(pairs: DataFrame, stop_times: DataFrame) -> DataFrame:
     """J5 fallback: for pairs with no common trip, the distinct trips of each
     end as rows (side = 'start' | 'end'), never collected into one list."""
     p = pairs.select("start_stop_id", "end_stop_id").distinct()
-    linked = trips_between_stops(p, stop_times).select("start_stop_id", "end_stop_id").distinct()
+    linked = first_trips(p, stop_times).select("start_stop_id", "end_stop_id")
     lonely = p.join(linked, ["start_stop_id", "end_stop_id"], "left_anti")
     st = stop_times.select("trip_id", "stop_id").distinct()
     a = lonely.join(st.withColumnRenamed("stop_id", "start_stop_id"), "start_stop_id").withColumn("side", F.lit("start"))
@@ -102,35 +117,22 @@ def unconnected_stop_trips(pairs: DataFrame, stop_times: DataFrame) -> DataFrame
     return a.unionByName(b)
 
 
-WINDOW_GROUP_MAX = 2_000_000   # largest group a window may sort in one task
-
-
-def shape_points(shapes: DataFrame, max_window_group: int = WINDOW_GROUP_MAX) -> DataFrame:
+def shape_points(shapes: DataFrame) -> DataFrame:
     """Shape vertices with a 0-based position (idx), the next vertex and the
     segment to it (W3), and the length before each vertex (cum_km, A8).
 
-    The size of the longest shape is measured first. Within the bound, plain
-    windows per shape are used; beyond it no window is partitioned by shape:
-    positions come from ``rank_within_groups``, the next vertex from an
-    equi-join on the unique (shape_id, idx) key and the running length from
+    No window is partitioned by shape: positions come from
+    ``rank_within_groups``, the next vertex from an equi-join on the unique
+    (shape_id, idx) key and the running length from
     ``running_sum_within_groups``, so one huge shape spans many tasks."""
     base = shapes.select("shape_id", "seq", "lat", "lon")
-    longest = base.groupBy("shape_id").count().agg(F.max("count")).first()[0] or 0
-    if longest <= max_window_group:
-        w = Window.partitionBy("shape_id").orderBy("seq")
-        pts = (base.withColumn("idx", (F.row_number().over(w) - 1).cast("int"))
-               .withColumn("next_lat", F.lead("lat").over(w)).withColumn("next_lon", F.lead("lon").over(w)))
-    else:
-        pts = rank_within_groups(base, ["shape_id"], [F.col("seq")], "_pos")
-        pts = pts.withColumn("idx", (F.col("_pos") - 1).cast("int")).drop("_pos")
-        nxt = pts.select("shape_id", (F.col("idx") - 1).alias("idx"), F.col("lat").alias("next_lat"),
-                         F.col("lon").alias("next_lon"))
-        pts = pts.join(nxt, ["shape_id", "idx"], "left")
+    pts = rank_within_groups(base, ["shape_id"], [F.col("seq"), F.col("lat"), F.col("lon")], "_pos")
+    pts = pts.withColumn("idx", (F.col("_pos") - 1).cast("int")).drop("_pos")
+    nxt = pts.select(F.col("shape_id").alias("_s"), (F.col("idx") - 1).alias("_i"), F.col("lat").alias("next_lat"),
+                     F.col("lon").alias("next_lon"))
+    pts = pts.join(nxt, F.col("shape_id").eqNullSafe(F.col("_s")) & (F.col("idx") == F.col("_i")), "left").drop("_s", "_i")
     pts = with_geodesic_m(pts, "_seg", "lat", "lon", "next_lat", "next_lon")
     pts = pts.withColumn("seg_km", F.coalesce(F.col("_seg") / 1000.0, F.lit(0.0))).drop("_seg")
-    if longest <= max_window_group:
-        cum = Window.partitionBy("shape_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-        return pts.withColumn("cum_km", F.coalesce(F.sum("seg_km").over(cum), F.lit(0.0)))
     return running_sum_within_groups(pts, ["shape_id"], [F.col("idx")], "seg_km", "cum_km", exclusive=True)
 
 
@@ -159,8 +161,7 @@ def plan_transit_trips(requests: DataFrame, stops: DataFrame, stop_times: DataFr
                               stops_s, sr, broadcast=bc), "end-stops")
 
     pairs = has_start.join(end, "req_id")
-    trip = (trips_between_stops(pairs, stop_times)
-            .groupBy("start_stop_id", "end_stop_id").agg(F.min("trip_id").alias("trip_id")))
+    trip = first_trips(pairs, stop_times)
     legs = (pairs.join(trip, ["start_stop_id", "end_stop_id"])
             .join(trips.select("trip_id", "route_id", "shape_id"), "trip_id")
             .join(routes.select("route_id", "route_short_name"), "route_id", "left"))
@@ -171,9 +172,13 @@ def plan_transit_trips(requests: DataFrame, stops: DataFrame, stop_times: DataFr
             .join(st.select(F.col("stop_id").alias("end_stop_id"), F.col("stop_lat").alias("e_lat"),
                             F.col("stop_lon").alias("e_lon")), "end_stop_id"))
     pts = materialize(shape_points(shapes), "shape-points")
-    si = nearest_vertex(legs, pts, "start_stop_id", "s_lat", "s_lon", "start_idx")
-    ei = nearest_vertex(legs, pts, "end_stop_id", "e_lat", "e_lon", "end_idx")
-    legs = legs.join(si, ["shape_id", "start_stop_id"], "left").join(ei, ["shape_id", "end_stop_id"], "left")
+    # both ends in one pass: the nearest vertex per distinct (shape, stop)
+    ends = legs.select("shape_id", F.col("start_stop_id").alias("stop_id"), F.col("s_lat").alias("lat0"),
+                       F.col("s_lon").alias("lon0")).union(legs.select("shape_id", "end_stop_id", "e_lat", "e_lon"))
+    near = materialize(nearest_vertex(ends, pts, "stop_id", "lat0", "lon0", "_idx"), "vertices")
+    for end_key, out_col in (("start_stop_id", "start_idx"), ("end_stop_id", "end_idx")):
+        legs = legs.join(near.select("shape_id", F.col("stop_id").alias(end_key), F.col("_idx").alias(out_col)),
+                         ["shape_id", end_key], "left")
     legs = (legs.withColumn("lo", F.least("start_idx", "end_idx"))
             .withColumn("hi", F.greatest("start_idx", "end_idx"))
             .withColumn("reversed", F.col("start_idx") >= F.col("end_idx")))

@@ -491,14 +491,14 @@ def _q_wallet_ledger(spark, sf):
 
 
 def _registrations(spark, sf):
-    o = table(spark, sf, "orders").where(F.col("o_orderstatus") == "P")
-    return o.select(F.upper(F.concat(F.lit("User"), F.col("o_custkey"))).alias("username"),
+    # everyone who ordered registers; customers are known, their guests are new
+    who = F.when(F.col("o_orderstatus") == "P", F.lit("Guest")).otherwise(F.lit("User"))
+    return table(spark, sf, "orders").select(F.upper(F.concat(who, F.col("o_custkey"))).alias("username"),
                     F.concat(F.lit("Nom "), F.col("o_custkey")).alias("name"))
 
 
 def _existing_users(spark, sf):
-    c = table(spark, sf, "customer").where(F.col("c_acctbal") > 0)
-    return c.select(F.concat(F.lit("user"), F.col("c_custkey")).alias("username"), F.col("c_name").alias("name"))
+    return table(spark, sf, "customer").select(F.concat(F.lit("user"), F.col("c_custkey")).alias("username"), F.col("c_name").alias("name"))
 
 
 @register("users_insert_new")
@@ -599,10 +599,10 @@ def _q_feedback_append(spark, sf):
 
 @register("feedback_restore")
 def _q_feedback_restore(spark, sf):
-    bak, cur = shared_path(spark, "feedback-bak"), shared_path(spark, "feedback-cur")
+    bak, cur, new = (shared_path(spark, f"feedback-{n}") for n in ("bak", "cur", "restored"))
     FB.append_feedback(bak, FB.to_feedback_table(_fb(spark, sf), "history"))
     FB.append_feedback(cur, FB.to_feedback_table(_ingested(spark, sf), "ingest"))
-    t = FB.restore_feedback(spark, bak, cur)
+    t = FB.restore_feedback(spark, bak, new)
     return _iso_date(t.select("fid", "username", "date", "tsid", "nom", "theme", "sentiment", "feedback"))
 
 
@@ -611,7 +611,7 @@ from sentier.plans import access as AC  # noqa: E402
 
 
 def _access(spark, sf):
-    return AC.accessibility_join(_places(spark, sf), role(spark, sf, "v_access"))
+    return AC.accessibility_join(_places(spark, sf), role(spark, sf, "v_access"), "ord")
 
 
 @register("accessibility_join")
@@ -664,7 +664,8 @@ def _q_gtfs_scan_counts(spark, sf):
 
 
 def _landed_stations(spark, sf):
-    """Station feeds landed as GBFS JSON documents of at most 1000 stations."""
+    """Station feeds landed as GBFS JSON documents of at most 1000 stations, one
+    document per line."""
     from sentier.operators.ranking import global_row_number
     st = role(spark, sf, "v_stations").withColumn("station_id", F.col("station_id").cast("string"))
     ranked = global_row_number(st, [F.col("station_id")], "_r").withColumn("_doc", F.floor((F.col("_r") - 1) / 1000))
@@ -701,7 +702,7 @@ def _q_geojson_points(spark, sf):
 def _q_json_clean(spark, sf):
     from sentier.functions.text import json_clean
     p = _plan(spark, sf)
-    return p.select("req_id", json_clean(["status", "start_stop_id", "end_stop_id", "trip_id", "transport_mode"]).alias("json"))
+    return p.select("req_id", json_clean(p, ["status", "start_stop_id", "end_stop_id", "trip_id", "transport_mode"]).alias("json"))
 
 
 @register("vector_store_roundtrip")

@@ -10,8 +10,14 @@ import os
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
+import sentier
+
+# Python kernels travel with the job, so workers need not have the package.
+cloudpickle.register_pickle_by_value(sentier)
+
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -53,7 +59,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
-        # only reached when the cluster names no shared folder (local tests)
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        # one machine (tests): a folder of its own
         d = tempfile.mkdtemp(prefix="sentier-ckpt-", dir="/tmp")
         try:
             spark.conf.set("spark.checkpoint.dir", d)
@@ -71,15 +79,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df, name: str = "stage"):
-    """Cut lineage with a reliable checkpoint in the shared checkpoint folder,
-    computing ``df`` once: it is cached for the checkpoint's count job, the
-    checkpoint files are written from the cache (a bare ``checkpoint()`` would
-    recompute the input), then the cache is released. ``name`` is kept for
-    call-site readability."""
-    ensure_checkpoint_dir(df.sparkSession)
-    df = df.persist()
-    try:
-        out = df.checkpoint(eager=True)
-    finally:
-        df.unpersist(blocking=False)
-    return out
+    """Cut lineage: write ``df`` as Parquet to the shared folder and read it back.
+    It is computed once, and no executor keeps a copy of its own."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

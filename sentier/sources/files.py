@@ -25,9 +25,9 @@ def write_csv(df: DataFrame, path: str, sep: str = ";") -> None:
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, sep: str = ";",
-             multiline: bool = True) -> DataFrame:
-    """Delimited text with header and an explicit schema (quoted
-    multi-line text allowed)."""
+             multiline: bool = False) -> DataFrame:
+    """Delimited text with header and an explicit schema. ``multiline``
+    allows line breaks inside quotes, at the price of one task per file."""
     return (spark.read.schema(schema)
             .options(sep=sep, header=True, quote='"', escape='"', multiLine=multiline, mode="FAILFAST",
                      ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
@@ -60,8 +60,9 @@ STATION_STATUS_SCHEMA = ("data struct<stations: array<struct<station_id: string,
 
 
 def read_station_feed(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Landed GBFS JSON documents → one row per station (``inline``)."""
-    doc = spark.read.schema(schema).option("multiLine", True).json(path)
+    """Landed GBFS JSON documents, one per line (a file may hold many), to
+    one row per station (``inline``). Broken documents fail the read."""
+    doc = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
     return doc.select("last_updated", F.inline("data.stations"))
 
 
@@ -87,29 +88,28 @@ def flatten(df: DataFrame, sep: str = ".") -> DataFrame:
     return df.select(*walk(df.schema, []))
 
 
+def _committed(spark: SparkSession, path: str) -> bool:
+    """Whether a finished write stands at ``path`` (its success marker)."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/_SUCCESS")
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
     """The table at ``path`` with a fixed schema, or an empty table of
-    that schema when nothing has been written there yet."""
-    from pyspark.errors import AnalysisException
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
+    that schema when nothing has been committed there yet. Other read errors
+    are raised."""
+    return spark.read.schema(schema).parquet(path) if _committed(spark, path) else spark.createDataFrame([], schema)
 
 
 def compute_if_absent(spark: SparkSession, path: str, build, schema=None) -> DataFrame:
-    """Reuse the committed output at ``path`` (a write is committed
-    atomically with its success marker) or run ``build()`` and commit it."""
-    from pyspark.errors import AnalysisException
-    try:
-        reader = spark.read.schema(schema) if schema is not None else spark.read
-        df = reader.parquet(path)
-        df.schema  # resolves the files
-        return df
-    except AnalysisException:
+    """Reuse the committed output at ``path`` or run ``build()`` and commit
+    it. The leftovers of a write that never finished are written over."""
+    if not _committed(spark, path):
         out = build()
-        out.write.mode("errorifexists").parquet(path)
-        return spark.read.schema(out.schema).parquet(path)
+        schema = schema or out.schema
+        out.write.mode("overwrite").parquet(path)
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    return reader.parquet(path)
 
 
 FEATURE_SCHEMA = ("type string, id long, geometry struct<type: string, coordinates: array<double>>, "

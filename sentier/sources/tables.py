@@ -25,7 +25,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # Role views (fixture mapping, fixed text shared with the DuckDB oracle).
 # Every view covers its whole source table (no id subsets): requests are all
 # orders, questions all embeddings, shapes all events; the accessibility
-# table keeps the parts with p_size <= 30 so that some places have no match.
+# table names the parts with p_size > 30 otherwise, so that some places have no
+# match, and names some twice (the first by ord counts). Trips map onto all shapes.
 ROLE_VIEWS: dict[str, str] = {
     "v_places": """
 SELECT concat('P', p_partkey) AS tsid, concat(p_name, ' ', p_partkey) AS nom, p_partkey AS ord,
@@ -51,7 +52,8 @@ SELECT concat('R', s_suppkey) AS tsid, s_name AS nom,
 FROM {supplier}""",
     "v_feedback": """
 SELECT o_orderkey AS fid, concat('user', o_custkey) AS username, CAST(o_orderdate AS DATE) AS date,
-  concat('P', o_custkey % 50) AS tsid, concat('Lieu ', o_custkey % 50) AS nom, o_orderpriority AS theme,
+  concat('P', o_custkey + o_orderkey % 3) AS tsid,
+  concat('Lieu ', o_custkey + o_orderkey % 3) AS nom, o_orderpriority AS theme,
   CASE o_orderstatus WHEN 'F' THEN 'Négatif' WHEN 'O' THEN 'Neutre' ELSE 'Positif' END AS sentiment,
   concat('avis ', o_orderkey, ' ', o_orderpriority) AS feedback
 FROM {orders}""",
@@ -64,7 +66,7 @@ FROM {supplier}""",
 SELECT l_orderkey AS trip_id, l_suppkey AS stop_id, min(l_linenumber) AS stop_sequence
 FROM {lineitem} GROUP BY l_orderkey, l_suppkey""",
     "v_trips": """
-SELECT o_orderkey AS trip_id, o_custkey AS route_id, o_orderkey % 150 AS shape_id FROM {orders}""",
+SELECT o_orderkey AS trip_id, o_custkey AS route_id, CAST(floor(o_custkey / 10) AS BIGINT) AS shape_id FROM {orders}""",
     "v_routes": """
 SELECT c_custkey AS route_id, CASE c_custkey % 4 WHEN 0 THEN 'Métro' WHEN 1 THEN concat('T', c_custkey % 9)
   WHEN 2 THEN 'TEOR' ELSE concat('F', c_custkey % 9) END AS route_short_name
@@ -94,10 +96,12 @@ FROM {customer}""",
     "v_spends": """
 SELECT event_id, user_id, CAST(floor(value * 10) AS INT) AS cost FROM {events} WHERE event_type = 'purchase'""",
     "v_access": """
-SELECT concat(p_name, ' ', p_partkey) AS name,
+SELECT concat(CASE WHEN p_size <= 30 THEN '' ELSE 'ancien ' END, p_name, ' ', p_partkey) AS name, p_partkey AS ord,
   CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_partkey % 2 = 0 END AS entree_pmr,
   CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_type END AS accueil_personnels
-FROM {part} WHERE p_size <= 30""",
+FROM {part}
+UNION ALL SELECT concat(p_name, ' ', p_partkey) AS name, p_partkey + 1000000000 AS ord, TRUE, 'doublon'
+FROM {part} WHERE p_partkey % 5 = 0 AND p_size <= 40""",
     "v_queries": """
 SELECT vec_id AS qid, embedding AS vector, concat('que voir vers nation_', vec_id % 25, ' ?') AS query
 FROM {embeddings}""",

@@ -4,22 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-
-
-def land_in_order(df: DataFrame, path: str, order_col: str, n_files: int) -> None:
-    """Land a table as ``n_files`` parquet files in ``order_col`` order, one
-    write per file so modification times follow the order (file sources
-    pick files oldest first)."""
-    bounds = df.select(F.percentile_approx(order_col, [i / n_files for i in range(1, n_files)], 10000)
-                       .alias("q")).first()["q"] if n_files > 1 else []
-    edges = [None] + list(bounds) + [None]
-    for i in range(n_files):
-        part = df
-        if edges[i] is not None:
-            part = part.where(F.col(order_col) > F.lit(edges[i]))
-        if edges[i + 1] is not None:
-            part = part.where(F.col(order_col) <= F.lit(edges[i + 1]))
-        part.coalesce(1).write.mode("append").parquet(path)
+from pyspark.sql import types as T
+
+
+def land_in_order(df: DataFrame, path: str, order_col: str, n_slices: int) -> None:
+    """Land a table as ``n_slices`` writes in ``order_col`` order (NULLs first),
+    so modification times follow the order (file sources pick files oldest
+    first). The table is read twice: for the bounds and for one shuffle that
+    puts each slice in files of its own; a slice has as many files as its size
+    asks for."""
+    bounds = df.select(F.percentile_approx(order_col, [i / n_slices for i in range(1, n_slices)], 10000)
+                       .alias("q")).first()["q"] if n_slices > 1 else []
+    part = F.lit(0)
+    for q in bounds or []:
+        part = part + F.coalesce((F.col(order_col) > F.lit(q)).cast("int"), F.lit(0))
+    staged = f"{path.rstrip('/')}-slices"
+    df.withColumn("_slice", part).write.partitionBy("_slice").parquet(staged)
+    slices = df.sparkSession.read.schema(T.StructType([*df.schema.fields, T.StructField("_slice", T.IntegerType())])).parquet(staged)
+    for i in range(len(bounds or []) + 1):
+        slices.where(F.col("_slice") == i).drop("_slice").write.mode("append").parquet(path)
 
 
 def idempotent_sink(path: str):

@@ -151,16 +151,103 @@ def test_running_sum_within_groups(spark):
         acc[g] = acc.get(g, 0.0) + v
 
 
-def test_shape_points_paths_agree(spark):
+def test_shape_points_match_a_plain_loop(spark):
     from sentier.plans.transit import shape_points
     from sentier.sources.tables import role
     from conftest import SMOKE
     shapes = role(spark, SMOKE, "v_shapes")
-    a = {(r.shape_id, r.idx): (r.next_lat, r.next_lon, round(r.seg_km, 9), round(r.cum_km, 9))
-         for r in shape_points(shapes).collect()}
-    b = {(r.shape_id, r.idx): (r.next_lat, r.next_lon, round(r.seg_km, 9), round(r.cum_km, 9))
-         for r in shape_points(shapes, max_window_group=0).collect()}
-    assert a == b and len(a) > 0
+    got = {(r.shape_id, r.idx): r for r in shape_points(shapes).collect()}
+    by = {}
+    for r in shapes.collect():
+        by.setdefault(r.shape_id, []).append((r.seq, r.lat, r.lon))
+    assert len(got) == sum(map(len, by.values())) > 0
+    for shape, pts in by.items():
+        cum = 0.0
+        for i, (_, lat, lon) in enumerate(sorted(pts)):
+            r = got[(shape, i)]
+            assert (r.lat, r.lon) == (lat, lon) and abs(r.cum_km - cum) < 1e-9
+            assert (r.next_lat is None) == (i == len(pts) - 1)
+            cum += r.seg_km
+
+
+def test_running_sum_is_not_touched_by_other_groups(spark):
+    from sentier.operators.ranking import running_sum_within_groups
+    rows = [("a", i, 1e12) for i in range(10)] + [("b", 0, 0.1), ("b", 1, 0.2), ("b", 2, 0.3)] + [(None, i, 1.0) for i in range(4)]
+    df = spark.createDataFrame(rows, "g string, seq long, v double")
+    got = running_sum_within_groups(df, ["g"], [F.col("seq")], "v", "cum", num_partitions=5).collect()
+    assert sorted(r.cum for r in got if r.g == "b") == [0.0, 0.1, 0.1 + 0.2]
+    assert sorted(r.cum for r in got if r.g is None) == [0.0, 1.0, 2.0, 3.0]
+
+
+def test_null_groups_keep_their_rows(spark):
+    import datetime as dt
+    from sentier.operators.ranking import rank_within_groups
+    from sentier.plans.feedback import feedback_concat
+    rows = [(1, "a", dt.date(2020, 1, 1), "x"), (2, None, dt.date(2020, 1, 1), "y"), (3, "a", None, "z"), (4, None, None, "w")]
+    df = spark.createDataFrame(rows, "fid long, tsid string, date date, feedback string")
+    assert rank_within_groups(df, ["tsid"], [F.col("fid")], "pos", "n").count() == 4
+    assert sum(r.n_feedback for r in feedback_concat(df).collect()) == 4
+
+
+def test_landing_keeps_every_row(spark, tmp_path):
+    from sentier.streaming.common import land_in_order
+    df = spark.range(100).select("id", F.when(F.col("id") % 5 != 0, F.col("id")).alias("k"))
+    land_in_order(df, f"{tmp_path}/x", "k", 4)
+    assert spark.read.parquet(f"{tmp_path}/x").count() == 100
+
+
+def test_station_feeds_of_many_documents(spark, tmp_path):
+    from sentier.sources import files as FI
+    st = spark.range(5000).select(F.floor(F.col("id") / 1000).alias("d"), F.struct(
+        F.col("id").cast("string").alias("station_id"), F.lit("n").alias("name"), F.lit(1.0).alias("lat"),
+        F.lit(2.0).alias("lon")).alias("s"))
+    docs = st.groupBy("d").agg(F.collect_list("s").alias("stations"))
+    docs.select(F.lit(1).cast("long").alias("last_updated"), F.struct("stations").alias("data")).coalesce(1).write.json(f"{tmp_path}/i")
+    assert FI.read_station_feed(spark, f"{tmp_path}/i", FI.STATION_INFO_SCHEMA).count() == 5000
+
+
+def test_absent_and_broken_tables_differ(spark, tmp_path):
+    import pytest
+    from sentier.sources import files as FI
+    path = f"{tmp_path}/t"
+    assert FI.read_or_empty(spark, path, "a long").count() == 0
+    built = []
+    for _ in range(2):
+        out = FI.compute_if_absent(spark, path, lambda: built.append(1) or spark.range(3).withColumnRenamed("id", "a"))
+        assert out.count() == 3
+    assert len(built) == 1 and FI.read_or_empty(spark, path, "a long").count() == 3
+    (tmp_path / "t" / "part-bad.parquet").write_bytes(b"no parquet")
+    with pytest.raises(Exception):
+        FI.read_or_empty(spark, path, "a long").collect()
+
+
+def test_knn_with_null_vectors_ties_and_many_blocks(spark, monkeypatch):
+    from sentier.operators import vectors as V
+    monkeypatch.setattr(V, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(V, "VECTOR_BLOCK", 11)
+    rows = [(i, [1.0, 0.0]) for i in range(60)] + [(100 + i, [0.0, float(i + 1)]) for i in range(20)]
+    rows += [(900, None), (901, [1.0]), (902, [1.0, None]), (903, [0.0, 0.0])]
+    v = spark.createDataFrame(rows, "id long, vec array<double>")
+    args = dict(q_id="id", q_vec="vec", v_id="id", v_vec="vec")
+    got = {}
+    for r in V.knn(v, v, 3, metric="l2sq", exclude_self=True, **args).orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append(r.vid)
+    assert got[5] == [0, 1, 2] and got[0] == [1, 2, 3] and got[105] == [104, 106, 103]
+    assert set(got) == {r[0] for r in rows} - {900, 901, 902}
+    cos = V.knn(v.where("id = 100"), v, 4, metric="cosine", **args).orderBy("rank").collect()
+    assert [r.vid for r in cos] == [100, 101, 102, 103] and all(abs(r.score - 1.0) < 1e-12 for r in cos)
+
+
+def test_trips_of_a_hub(spark):
+    from sentier.plans import transit as TR
+    # 40 trips call at the hub, each also at a stop of its own; stops 900, 901 share no trip
+    st = spark.createDataFrame([(t, 0, 1) for t in range(40)] + [(t, 100 + t, 2) for t in range(40)] + [(50, 900, 1), (51, 901, 1)],
+                               "trip_id long, stop_id long, stop_sequence int")
+    pairs = spark.createDataFrame([(0, 105), (105, 0), (900, 901)], "start_stop_id long, end_stop_id long")
+    got = sorted((r.start_stop_id, r.end_stop_id, r.trip_id, r.stop_sequence_start) for r in TR.trips_between_stops(pairs, st).collect())
+    assert got == [(0, 105, 5, 1), (105, 0, 5, 2)]
+    lonely = sorted((r.start_stop_id, r.side, r.trip_id) for r in TR.unconnected_stop_trips(pairs, st).collect())
+    assert lonely == [(900, "end", 51), (900, "start", 50)]
 
 
 def test_radius_join_with_hot_cell(spark):

@@ -120,3 +120,42 @@ def test_unknown_station_gets_null_prediction(spark):
     req = spark.createDataFrame([("1", 0, 8), ("99", 0, 8)], "station_id string, weekday int, hour int")
     got = {r.station_id: r.prediction for r in BK.predict_availability(model, req).collect()}
     assert got["1"] is not None and got["99"] is None
+
+
+def test_accents_beyond_latin1(spark):
+    df = spark.createDataFrame([("Škoda (ő) ﬁn",), ("é decomposed",), (None,), ("Château/x",)], "t string")
+    got = [tuple(r) for r in df.select(T.theme_key("t"), T.slug("t")).collect()]
+    assert got == [("Skoda_o_fin", "skoda_o_n"), ("e_decomposed", "e_decomposed"), (None, None), ("Chateaux", "chateaux")]
+
+
+def test_search_ignores_case_of_accented_letters(spark):
+    from sentier.plans.catalog import place_search
+    df = spark.createDataFrame([("1", "Château fort"), ("2", "Musée"), ("3", None)], "tsid string, nom string")
+    assert [r.tsid for r in place_search(df, "CHÂTEAU").collect()] == ["1"]
+    assert [r.tsid for r in place_search(df, "m").collect()] == ["2"]
+    assert place_search(df, "").collect() == []
+
+
+def test_json_clean_drops_nan_at_any_depth(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(nan, (1.0, nan), [(nan, "x")])], "a double, b struct<c:double,d:double>, e array<struct<f:double,g:string>>")
+    assert df.select(T.json_clean(df, ["a", "b", "e"])).first()[0] == '{"b":{"c":1.0},"e":[{"g":"x"}]}'
+
+
+def test_negative_alpha_is_refused(spark):
+    import pytest
+    from sentier.plans.recommend import recommend_places
+    with pytest.raises(ValueError):
+        recommend_places(None, None, alpha=-1.0)
+
+
+def test_kernels_run_where_the_package_is_not_installed(tmp_path):
+    """A job started from another folder: workers can't import the package."""
+    import subprocess
+    import sys
+    from conftest import ROOT, SMOKE
+    code = (f"import sys; sys.path.insert(0, {ROOT!r})\nimport __spark_entry__ as e\n"
+            "from sentier.session import build_session\ns = build_session('local[2]', 2)\n"
+            f"print('rows', e.queries()['vector_knn'](s, {SMOKE!r}).count())")
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True)
+    assert "rows" in out.stdout, out.stderr[-2000:]
