@@ -25,8 +25,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sentier.functions.geo import point_terms, with_pair_distance_km
 from sentier.operators.ranking import top_k_per_group
@@ -35,7 +36,7 @@ from sentier.session import materialize
 BOUND_RADIUS_KM = 6300.0       # below every radius of curvature of the Earth
 MARGIN = 1.02
 MAX_DISTANCE_KM = 20100.0      # more than half the longest great circle
-BROADCAST_MAX_ROWS = 2_000_000
+BROADCAST_MAX_BYTES = 64 << 20
 
 
 def _geom(radius_km: float):
@@ -94,63 +95,70 @@ def query_cells(queries: DataFrame, lat: str, lon: str, radius_km: float) -> Dat
     return q.select("*", "_k._band", "_k._cell").drop("_k")
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
-    """Size check behind every broadcast of a point table."""
-    return _bounded(df, max_rows)
-
-
-def _bounded(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (one cheap limited count)."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def fits_broadcast(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> bool:
+    """Size check behind every broadcast of a point table: rows counted as far as
+    the bound goes, times the bytes that the schema's columns take in memory."""
+    width = 16 + sum(8 if isinstance(f.dataType, T.NumericType) else 48 for f in df.schema.fields)
+    most = max_bytes // width
+    return df.limit(most + 1).count() <= most
 
 
 def radius_join(queries: DataFrame, points: DataFrame, radius_km: float, *,
                 q_lat: str, q_lon: str, p_lat: str, p_lon: str,
                 metric: str = "sphere", dist_col: str = "dist_km",
-                broadcast: bool | None = None, salt: int = 8, q_key: str | None = None,
-                exact_filter: bool = True) -> DataFrame:
+                broadcast: bool | None = None, q_key: str | None = None,
+                exact_filter: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
     """All (query, point) pairs with distance <= ``radius_km`` (exact).
 
     ``exact_filter=False`` returns every pair of neighbouring cells with its
     distance (a superset that contains all pairs within the radius), for
     callers that rank first and test the radius on far fewer rows.
 
-    Columns of both inputs must not clash. ``broadcast=None`` decides from a
-    row count of ``points``; ``q_key`` (a query id column) drives the salt.
+    Columns of both inputs must not clash, but for those in ``by``, which a
+    query and a point must share. ``broadcast=None`` decides from the size of
+    ``points``; ``q_key`` (a query id column) drives the salt.
     """
     pc = point_terms(point_cells(points, p_lat, p_lon, radius_km), p_lat, p_lon, "_pt", metric)
     qc = point_terms(query_cells(queries, q_lat, q_lon, radius_km), q_lat, q_lon, "_qt", metric)
     if broadcast is None:
-        broadcast = _bounded(points, BROADCAST_MAX_ROWS)
+        broadcast = fits_broadcast(points)
     if broadcast:
-        pairs = qc.join(F.broadcast(pc), ["_band", "_cell"])
-    elif salt > 1:
-        pairs = _salted_join(qc, pc, salt, q_key)
+        pairs = qc.join(F.broadcast(pc), ["_band", "_cell", *by])
     else:
-        pairs = qc.join(pc, ["_band", "_cell"])
+        pairs = _salted_join(qc, pc, q_key, by)
     terms = [c for c in pairs.columns if c.startswith("_pt") or c.startswith("_qt")]
     pairs = with_pair_distance_km(pairs, dist_col, metric, "_qt", "_pt").drop("_band", "_cell", *terms)
     return pairs.where(F.col(dist_col) <= F.lit(radius_km)) if exact_filter else pairs
 
 
-def _salted_join(qc: DataFrame, pc: DataFrame, salt: int, q_key: str | None) -> DataFrame:
-    """Shuffle join on the cell key where only hot cells are split: query rows
-    of a hot cell are spread over ``salt`` sub-keys and that cell's points are
-    copied to each; every other cell joins on salt 0 with a single copy."""
+def _salted_join(qc: DataFrame, pc: DataFrame, q_key: str | None, by: tuple[str, ...] = ()) -> DataFrame:
+    """Shuffle join on the cell key where hot cells are split: a cell with n
+    times its share (1 / partitions) of the queries or of the points is cut into
+    n pieces of that side, each meeting all of the other side's rows there; every
+    other cell joins in one piece."""
     n_parts = int(qc.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counts = qc.groupBy("_band", "_cell").agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n")).first()[0] or 0
-    hot = counts.where(F.col("_n") * n_parts > F.lit(total)).select("_band", "_cell", F.lit(True).alias("_hot"))
-    # at most n_parts cells exceed 1/n_parts of the rows: a proven bound
-    sk = F.col(q_key) if q_key else F.xxhash64(*[F.col(c) for c in qc.columns if not c.startswith("_")])
-    q = (qc.join(F.broadcast(hot), ["_band", "_cell"], "left")
-         .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(sk), F.lit(salt))).otherwise(F.lit(0)))
-         .drop("_hot"))
-    p = (pc.join(F.broadcast(hot), ["_band", "_cell"], "left")
-         .withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long")))
-                                        .otherwise(F.array(F.lit(0).cast("long")))))
-         .drop("_hot"))
-    return q.join(p, ["_band", "_cell", "_salt"]).drop("_salt")
+
+    def pieces(df: DataFrame, out: str) -> DataFrame:
+        counts = df.groupBy("_band", "_cell").agg(F.count(F.lit(1)).alias("_n"))
+        total = counts.agg(F.sum("_n")).first()[0] or 0
+        share = F.ceil(F.col("_n") * n_parts / F.lit(max(total, 1))).cast("int")
+        # at most n_parts cells exceed 1/n_parts of the rows: a proven bound
+        return counts.select("_band", "_cell", share.alias(out)).where(F.col(out) > 1)
+
+    hot = pieces(qc, "_qs").join(pieces(pc, "_ps"), ["_band", "_cell"], "full")
+    hot = hot.select("_band", "_cell", F.coalesce("_qs", F.lit(1)).alias("_qs"), F.coalesce("_ps", F.lit(1)).alias("_ps"))
+    hot = F.broadcast(materialize(hot, "hot-cells"))
+
+    def dealt(df: DataFrame, key: Column, own: str, other: str) -> DataFrame:
+        mine, theirs = F.coalesce(own, F.lit(1)), F.coalesce(other, F.lit(1))
+        return (df.join(hot, ["_band", "_cell"], "left")
+                .withColumn(own + "i", F.pmod(F.xxhash64(key), mine).cast("int"))
+                .withColumn(other + "i", F.explode(F.sequence(F.lit(0), theirs - 1))).drop("_qs", "_ps"))
+
+    whole = lambda df: F.xxhash64(*[F.col(c) for c in df.columns if not c.startswith("_")])
+    q = dealt(qc, F.col(q_key) if q_key else whole(qc), "_qs", "_ps")
+    p = dealt(pc, whole(pc), "_ps", "_qs")
+    return q.join(p, ["_band", "_cell", *by, "_qsi", "_psi"]).drop("_qsi", "_psi")
 
 
 def nearest_within(queries: DataFrame, points: DataFrame, radius_km: float, *,
@@ -191,35 +199,119 @@ def suggest_start_km(points: DataFrame, lat: str, lon: str, k: int) -> float:
     return float(min(max(math.sqrt(2 * k / (math.pi * density)), 0.05), 2000.0))
 
 
+RING_ROUNDS = 2                # ring rounds before the rest goes by cells
+FINEST_LEVEL, LEVEL_STEP = 19, 2     # cubes of about 24 m; each level splits an edge in four
+ELLIPSOID_SLACK = 1.015        # how far WGS-84 and sphere distances differ at most
+
+
+def _on_sphere(df: DataFrame, lat: str, lon: str) -> DataFrame:
+    a, b = F.radians(lat), F.radians(lon)
+    return df.withColumns({"_x": F.cos(a) * F.cos(b), "_y": F.cos(a) * F.sin(b), "_z": F.sin(a)})
+
+
+def _cube(level: int) -> Column:
+    """Key of the level's cube around (_x, _y, _z)."""
+    n = 1 << level
+    i = [F.least(F.floor((F.col(c) + 1.0) * (n / 2)), F.lit(n - 1)).cast("long") for c in ("_x", "_y", "_z")]
+    return _cube_key(*i)
+
+
+def _cube_key(x: Column, y: Column, z: Column) -> Column:
+    return F.shiftleft(x, 40).bitwiseOR(F.shiftleft(y, 20)).bitwiseOR(z)
+
+
+def _coarser(cube: Column, by: int) -> Column:
+    part = lambda at: F.shiftright(F.shiftright(cube, at).bitwiseAND(F.lit((1 << 20) - 1)), by)
+    return _cube_key(part(40), part(20), part(0))
+
+
+def far_pairs(queries: DataFrame, points: DataFrame, k: int, *, q_key: str, p_key: str, q_lat: str, q_lon: str,
+              p_lat: str, p_lon: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(query, point) pairs that hold the k nearest points of every query, however
+    far away. The points' cubes on the unit sphere form levels, each cube with its
+    count and bounding box. From the top, a query keeps the cubes that are not
+    farther than the distance within which k points are sure to lie, and descends
+    into those: a few cubes a level at any distance."""
+    pts = _on_sphere(points.select(p_key, p_lat, p_lon, *by), p_lat, p_lon).withColumn("_cube", _cube(FINEST_LEVEL))
+    box = [f(c).alias(f"{n}{c}") for c in ("_x", "_y", "_z") for n, f in (("lo", F.min), ("hi", F.max))]
+    finest = materialize(pts.groupBy(*by, "_cube").agg(F.count(F.lit(1)).alias("_n"), *box), "cubes")
+    q = materialize(_on_sphere(queries.select(q_key, q_lat, q_lon, *by), q_lat, q_lon), "far-queries")
+
+    def cubes(level: int) -> DataFrame:
+        up = FINEST_LEVEL - level
+        again = [f(f"{n}{c}").alias(f"{n}{c}") for c in ("_x", "_y", "_z") for n, f in (("lo", F.min), ("hi", F.max))]
+        return (finest.groupBy(*by, _coarser(F.col("_cube"), up).alias("_cube")).agg(F.sum("_n").alias("_n"), *again)
+                .withColumn("_up", _coarser(F.col("_cube"), LEVEL_STEP)))
+
+    gap = lambda c: F.greatest(F.lit(0.0), F.col(f"lo{c}") - F.col(c), F.col(c) - F.col(f"hi{c}"))
+    span = lambda c: F.greatest(F.abs(F.col(f"lo{c}") - F.col(c)), F.abs(F.col(f"hi{c}") - F.col(c)))
+    length = lambda f: F.sqrt(f("_x") * f("_x") + f("_y") * f("_y") + f("_z") * f("_z"))
+    level = 1
+    # the top level has at most eight cubes
+    top = F.broadcast(cubes(level).drop("_up"))
+    cand = q.join(top, list(by)) if by else q.join(top)
+    order = Window.partitionBy(q_key).orderBy("_most", "_cube").rowsBetween(Window.unboundedPreceding, 0)
+    while True:
+        cand = cand.withColumn("_least", length(gap)).withColumn("_most", length(span))
+        cand = cand.withColumn("_sure", F.when(F.sum("_n").over(order) >= k, F.col("_most")))
+        limit = F.min("_sure").over(Window.partitionBy(q_key))
+        kept = materialize(cand.withColumn("_limit", limit)
+                           .where(F.col("_limit").isNull() | (F.col("_least") <= F.col("_limit") * ELLIPSOID_SLACK + 1e-9))
+                           .select(q_key, q_lat, q_lon, *by, "_x", "_y", "_z", "_cube", "_n"), "far-cubes")
+        size = kept.agg(F.sum("_n"), F.count_distinct(q_key)).first()
+        if level >= FINEST_LEVEL or (size[0] or 0) <= 8 * k * (size[1] or 0):
+            break
+        level += LEVEL_STEP
+        nxt = cubes(level)
+        cand = kept.drop("_n").withColumnRenamed("_cube", "_up").join(nxt, [*by, "_up"]).drop("_up")
+    at = pts.drop("_x", "_y", "_z").withColumn("_cube", _coarser(F.col("_cube"), FINEST_LEVEL - level))
+    return kept.select(q_key, q_lat, q_lon, *by, "_cube").join(at, [*by, "_cube"]).drop("_cube")
+
+
 def nearest_k(queries: DataFrame, points: DataFrame, k: int, *, q_key: str, p_key: str,
               q_lat: str, q_lon: str, p_lat: str, p_lon: str, metric: str = "sphere",
               start_km: float | None = None, growth: float = 4.0, dist_col: str = "dist_km",
               rank_col: str = "rank", exclude_self: bool = False,
               broadcast: bool | None = None, max_km: float | None = None,
-              pair_filter=None) -> DataFrame:
+              pair_filter=None, by: tuple[str, ...] = ()) -> DataFrame:
     """Exact k nearest points of every query, unbounded distance.
 
     Round r joins the still-unresolved queries within radius ``start*growth^r``;
     a query is resolved once it has k points inside the radius (nothing outside
-    can be nearer), or when the radius covers the whole globe. Ties are broken by
-    the point key. ``exclude_self`` drops pairs whose keys are equal (self-join).
+    can be nearer). Without a largest radius, the queries left after
+    ``RING_ROUNDS`` rounds are far from k points, and ``far_pairs`` finds their
+    candidates. Ties are broken by the point key. ``exclude_self`` drops pairs
+    whose keys are equal (self-join); ``by`` names columns that a query and its
+    points must share.
     """
-    q = queries.select(q_key, q_lat, q_lon)
+    q = queries.select(q_key, q_lat, q_lon, *by)
     if start_km is None:
         start_km = suggest_start_km(points, p_lat, p_lon, k)
     if broadcast is None:
-        broadcast = _bounded(points, BROADCAST_MAX_ROWS)
+        broadcast = fits_broadcast(points)
     pending = q
     n_pending = q.count()
     pieces = []
     radius = start_km
     cap = min(MAX_DISTANCE_KM, max_km) if max_km else MAX_DISTANCE_KM
+    rounds = 0
     while n_pending:
+        if max_km is None and pair_filter is None and rounds == RING_ROUNDS:
+            pairs = far_pairs(pending, points, k + (1 if exclude_self else 0), q_key=q_key, p_key=p_key, q_lat=q_lat,
+                              q_lon=q_lon, p_lat=p_lat, p_lon=p_lon, by=by)
+            pairs = point_terms(point_terms(pairs, p_lat, p_lon, "_pt", metric), q_lat, q_lon, "_qt", metric)
+            pairs = with_pair_distance_km(pairs, dist_col, metric, "_qt", "_pt")
+            if exclude_self:
+                pairs = pairs.where(F.col(q_key) != F.col(p_key))
+            pieces.append(top_k_per_group(pairs.select(q_key, p_key, dist_col), [q_key],
+                                          [F.col(dist_col), F.col(p_key)], k, rank_col))
+            break
+        rounds += 1
         last = radius >= cap
         r = min(radius, cap)
         # every point within r lies in the query's neighbour cells, so the
         # radius is tested after ranking, on at most k rows per query
-        pairs = radius_join(pending, points.select(p_key, p_lat, p_lon), r,
+        pairs = radius_join(pending, points.select(p_key, p_lat, p_lon, *by), r, by=by,
                             q_lat=q_lat, q_lon=q_lon, p_lat=p_lat, p_lon=p_lon, metric=metric,
                             dist_col=dist_col, broadcast=broadcast, q_key=q_key, exact_filter=False)
         if exclude_self:

@@ -580,41 +580,71 @@ SELECT tsid, 'store' AS source, CAST(len(vector) AS INTEGER) AS dim FROM v_vecto
 UNION ALL SELECT tsid, 'new', 64 FROM v_places WHERE tsid NOT IN (SELECT tsid FROM v_vectors)"""
 
 _HIST = """
-, hist AS (SELECT user_id AS station_id, CAST(isodow(ts) - 1 AS INTEGER) AS weekday, CAST(hour(ts) AS INTEGER) AS hour, value FROM events)
-, base AS (SELECT station_id, weekday, hour, avg(value) AS predicted, count(*) AS n_obs FROM hist GROUP BY 1, 2, 3)
-, now AS (SELECT station_id, predicted FROM base WHERE weekday = 0 AND hour = 8)
+, base AS (SELECT station_id, CAST(isodow(ts) - 1 AS INTEGER) AS weekday, CAST(hour(ts) AS INTEGER) AS hour,
+  avg(bikes) AS predicted_bikes, avg(docks) AS predicted_docks, count(*) AS n_obs FROM v_bike_history GROUP BY 1, 2, 3)
 """
-ORACLE["availability_baseline"] = "WITH x AS (SELECT 1)" + _HIST + """
-SELECT station_id, weekday, hour, round(predicted, 6) AS predicted, n_obs FROM base"""
+ORACLE["availability_baseline"] = W("v_bike_history") + _HIST + """
+SELECT station_id, weekday, hour, round(predicted_bikes, 6) AS predicted_bikes, round(predicted_docks, 6) AS predicted_docks,
+  n_obs FROM base"""
 
-_NS = W("v_requests", "v_stations") + _HIST + f"""
+ORACLE["availability_model"] = W("v_stations", "v_bike_history") + """
+, ids AS (SELECT station_id, EXISTS (SELECT 1 FROM v_bike_history h WHERE h.station_id = s.station_id) AS known FROM v_stations s
+  UNION ALL SELECT -1, false)
+SELECT station_id, 0 AS weekday, CAST(hour AS INTEGER) AS hour, CASE WHEN known THEN true END AS bikes_in_range,
+  CASE WHEN known THEN true END AS docks_in_range FROM ids CROSS JOIN (SELECT unnest(range(24)) AS hour)"""
+
+_NS_TAIL = _HIST + f"""
 , d AS (SELECT r.*, s.station_id, s.num_bikes_available AS nb, s.num_docks_available AS nd, s.lat, s.lon,
-    {_geo_m('r.start_lat', 'r.start_lon', 's.lat', 's.lon')} AS ds, {_geo_m('r.end_lat', 'r.end_lon', 's.lat', 's.lon')} AS de
-  FROM v_requests r CROSS JOIN v_stations s)
+    {_geo_m('r.start_lat', 'r.start_lon', 's.lat', 's.lon')} AS ds, {_geo_m('r.end_lat', 'r.end_lon', 's.lat', 's.lon')} AS de,
+    b.predicted_bikes AS pb, b.predicted_docks AS pd
+  FROM v_requests r CROSS JOIN v_stations s
+  LEFT JOIN base b ON b.station_id = s.station_id AND b.weekday = r.weekday AND b.hour = r.hour)
 , s0 AS (SELECT req_id, arg_min(station_id, (ds, station_id)) AS sid, min(ds) AS dm FROM d WHERE nb > 0 GROUP BY req_id)
 , e0 AS (SELECT req_id, arg_min(station_id, (de, station_id)) AS sid, min(de) AS dm FROM d WHERE nd > 0 GROUP BY req_id)
-, s1 AS (SELECT req_id, arg_min(d.station_id, (ds, d.station_id)) AS sid, min(ds) AS dm FROM d JOIN now n ON n.station_id = d.station_id
-  WHERE n.predicted > 0 GROUP BY req_id)
-, e1 AS (SELECT req_id, arg_min(d.station_id, (de, d.station_id)) AS sid FROM d JOIN now n ON n.station_id = d.station_id
-  WHERE n.predicted > 0 GROUP BY req_id)
+, s1 AS (SELECT req_id, arg_min(station_id, (ds, station_id)) AS sid, min(ds) AS dm FROM d WHERE pb > 0 GROUP BY req_id)
+, e1 AS (SELECT req_id, arg_min(station_id, (de, station_id)) AS sid, min(de) AS dm FROM d WHERE pd > 0 GROUP BY req_id)
+"""
+_NS = W("v_requests", "v_stations", "v_bike_history") + _NS_TAIL
+_BIKE = f"""
+, ch AS (SELECT r.req_id, r.mode, r.start_lat, r.start_lon, r.end_lat, r.end_lon, ps.predicted_bikes AS pred_bikes, pe.predicted_docks AS pred_docks,
+    CASE WHEN coalesce(ps.predicted_bikes, 0) < 1 THEN s1.sid ELSE s0.sid END AS start_station_id,
+    CASE WHEN coalesce(pe.predicted_docks, 0) < 1 THEN e1.sid ELSE e0.sid END AS end_station_id
+  FROM v_requests r LEFT JOIN s0 USING (req_id) LEFT JOIN e0 USING (req_id) LEFT JOIN s1 USING (req_id) LEFT JOIN e1 USING (req_id)
+  LEFT JOIN base ps ON ps.station_id = s0.sid AND ps.weekday = r.weekday AND ps.hour = r.hour
+  LEFT JOIN base pe ON pe.station_id = e0.sid AND pe.weekday = r.weekday AND pe.hour = r.hour)
+, bike AS (SELECT ch.*, a.name AS start_station, a.lat AS start_station_lat, a.num_bikes_available AS start_bikes,
+    b.name AS end_station, b.lon AS end_station_lon, b.num_docks_available AS end_docks,
+    {_geo_m('a.lat', 'a.lon', 'b.lat', 'b.lon')} / 1000 AS bike_km,
+    ({_geo_m('ch.start_lat', 'ch.start_lon', 'a.lat', 'a.lon')} + {_geo_m('a.lat', 'a.lon', 'b.lat', 'b.lon')}
+    + {_geo_m('b.lat', 'b.lon', 'ch.end_lat', 'ch.end_lon')}) / 1000 AS total_km
+  FROM ch LEFT JOIN v_stations a ON a.station_id = ch.start_station_id LEFT JOIN v_stations b ON b.station_id = ch.end_station_id)
 """
 ORACLE["nearest_station"] = _NS + """
 SELECT s0.req_id, s0.sid AS start_station_id, round(s0.dm, 3) AS start_dist_m, e0.sid AS end_station_id, round(e0.dm, 3) AS end_dist_m
 FROM s0 JOIN e0 USING (req_id)"""
 
-ORACLE["nearest_station_predicted"] = _NS + "SELECT req_id, sid AS station_id, round(dm, 3) AS dist_m FROM s1"
-
-ORACLE["plan_bike_trips"] = _NS + f"""
-, ch AS (SELECT r.req_id, r.start_lat, r.start_lon, r.end_lat, r.end_lon,
-    CASE WHEN coalesce(ps.predicted, 0) < 1 THEN s1.sid ELSE s0.sid END AS start_station_id,
-    CASE WHEN coalesce(pe.predicted, 0) < 1 THEN e1.sid ELSE e0.sid END AS end_station_id
-  FROM v_requests r LEFT JOIN s0 USING (req_id) LEFT JOIN e0 USING (req_id) LEFT JOIN s1 USING (req_id) LEFT JOIN e1 USING (req_id)
-  LEFT JOIN now ps ON ps.station_id = s0.sid LEFT JOIN now pe ON pe.station_id = e0.sid)
-, km AS (SELECT ch.*, ({_geo_m('ch.start_lat', 'ch.start_lon', 'a.lat', 'a.lon')} + {_geo_m('a.lat', 'a.lon', 'b.lat', 'b.lon')}
-    + {_geo_m('b.lat', 'b.lon', 'ch.end_lat', 'ch.end_lon')}) / 1000 AS total_km
-  FROM ch LEFT JOIN v_stations a ON a.station_id = ch.start_station_id LEFT JOIN v_stations b ON b.station_id = ch.end_station_id)
-SELECT req_id, start_station_id, end_station_id, round(total_km, 6) AS total_km, floor(total_km * 150) AS coins,
-  'velo' AS transport_mode FROM km"""
+ORACLE["nearest_station_predicted"] = _NS + """
+SELECT r.req_id, s1.sid AS bikes_at, round(s1.dm, 3) AS bikes_m, e1.sid AS docks_at, round(e1.dm, 3) AS docks_m
+FROM v_requests r LEFT JOIN s1 USING (req_id) LEFT JOIN e1 USING (req_id)"""
+
+ORACLE["plan_bike_trips"] = _NS + _BIKE + """
+SELECT req_id, start_station_id, start_station, start_station_lat, start_bikes, end_station_id, end_station, end_station_lon,
+  end_docks, round(pred_bikes, 6) AS pred_bikes, round(pred_docks, 6) AS pred_docks, round(bike_km, 6) AS bike_km,
+  round(total_km, 6) AS total_km, floor(total_km * 150) AS coins, 'velo' AS transport_mode FROM bike"""
+
+
+ORACLE["find_routes"] = (W("v_requests", "v_stops", "v_stop_times", "v_trips", "v_routes", "v_shapes", "v_stations", "v_bike_history")
+                         + _PLAN[len(_GT):] + _NS_TAIL + _BIKE + """
+, ask AS (SELECT req_id, coalesce(mode, 'bike') AS mode FROM v_requests)
+SELECT a.req_id, a.mode,
+  CASE WHEN a.mode = 'bike' THEN CASE WHEN b.total_km IS NULL THEN 'no_station' ELSE 'ok' END
+    WHEN a.mode = 'bus' THEN CASE WHEN p.status = 'ok' THEN 'ok' ELSE 'no_route' END ELSE 'bad_mode' END AS status,
+  CASE WHEN a.mode = 'bike' THEN CAST(b.start_station_id AS VARCHAR) WHEN a.mode = 'bus' AND p.status = 'ok' THEN CAST(p.start_stop_id AS VARCHAR) END AS start_id,
+  CASE WHEN a.mode = 'bike' THEN CAST(b.end_station_id AS VARCHAR) WHEN a.mode = 'bus' AND p.status = 'ok' THEN CAST(p.end_stop_id AS VARCHAR) END AS end_id,
+  round(CASE WHEN a.mode = 'bike' THEN b.total_km WHEN a.mode = 'bus' AND p.status = 'ok' THEN p.walk_km + p.transit_km END, 6) AS total_km,
+  CASE WHEN a.mode = 'bike' THEN floor(b.total_km * 150) WHEN a.mode = 'bus' AND p.status = 'ok' THEN floor((p.walk_km + p.transit_km) * 100) END AS coins,
+  CASE WHEN a.mode = 'bike' THEN 'velo' WHEN a.mode = 'bus' AND p.status = 'ok' THEN p.transport_mode END AS transport_mode
+FROM ask a LEFT JOIN bike b USING (req_id) LEFT JOIN plan p USING (req_id)""")
 
 
 # ---------------------------------------------------------------- streaming (same answers as batch)

@@ -739,11 +739,8 @@ def _q_classify_text(spark, sf):
 # ---------------------------------------------------------------- bikes
 from sentier.plans import bikes as BK  # noqa: E402
 
-BIKE_WEEKDAY, BIKE_HOUR = 0, 8
-
-
 def _history(spark, sf):
-    return table(spark, sf, "events").select(F.col("user_id").alias("station_id"), "ts", "value")
+    return role(spark, sf, "v_bike_history")
 
 
 @register("stations_joined")
@@ -769,32 +766,53 @@ def _q_nearest_station(spark, sf):
 @register("availability_baseline")
 def _q_availability_baseline(spark, sf):
     b = BK.availability_baseline(_history(spark, sf))
-    return b.select("station_id", "weekday", "hour", F.round("predicted", 6).alias("predicted"), "n_obs")
+    return b.select("station_id", "weekday", "hour", F.round("predicted_bikes", 6).alias("predicted_bikes"),
+                    F.round("predicted_docks", 6).alias("predicted_docks"), "n_obs")
 
 
 @register("nearest_station_predicted")
 def _q_nearest_station_predicted(spark, sf):
-    now = BK.predictions_at(BK.availability_baseline(_history(spark, sf)), BIKE_WEEKDAY, BIKE_HOUR)
-    n = BK.nearest_station_predicted(role(spark, sf, "v_requests"), _stations(spark, sf), now, "req_id",
-                                     "start_lat", "start_lon")
-    return n.select("req_id", "station_id", F.round("dist_m", 3).alias("dist_m"))
+    preds, r, st = BK.availability_baseline(_history(spark, sf)), role(spark, sf, "v_requests"), _stations(spark, sf)
+    n = BK.nearest_station_predicted(r, st, preds, "req_id", "start_lat", "start_lon", "bikes")
+    e = BK.nearest_station_predicted(r, st, preds, "req_id", "end_lat", "end_lon", "docks")
+    return (r.select("req_id").join(n.select("req_id", F.col("station_id").alias("bikes_at"), F.round("dist_m", 3).alias("bikes_m")), "req_id", "left")
+            .join(e.select("req_id", F.col("station_id").alias("docks_at"), F.round("dist_m", 3).alias("docks_m")), "req_id", "left"))
+
+
+def _bike_trips(spark, sf, requests):
+    return BK.plan_bike_trips(requests, _stations(spark, sf), BK.availability_baseline(_history(spark, sf)))
 
 
 @register("plan_bike_trips")
 def _q_plan_bike_trips(spark, sf):
-    preds = BK.availability_baseline(_history(spark, sf))
-    p = BK.plan_bike_trips(role(spark, sf, "v_requests"), _stations(spark, sf), preds, BIKE_WEEKDAY, BIKE_HOUR)
-    return p.select("req_id", "start_station_id", "end_station_id", F.round("total_km", 6).alias("total_km"), "coins",
+    p = _bike_trips(spark, sf, role(spark, sf, "v_requests"))
+    return p.select("req_id", "start_station_id", "start_station", "start_station_lat", "start_bikes", "end_station_id",
+                    "end_station", "end_station_lon", "end_docks", F.round("pred_bikes", 6).alias("pred_bikes"),
+                    F.round("pred_docks", 6).alias("pred_docks"), F.round("bike_km", 6).alias("bike_km"),
+                    F.round("total_km", 6).alias("total_km"), "coins", "transport_mode")
+
+
+@register("find_routes")
+def _q_find_routes(spark, sf):
+    g = _gtfs(spark, sf)
+    r = BK.find_routes(role(spark, sf, "v_requests"), lambda q: _bike_trips(spark, sf, q),
+                       lambda q: TR.plan_transit_trips(q, g["stops"], g["stop_times"], g["trips"], g["routes"], g["shapes"]))
+    return r.select("req_id", "mode", "status", "start_id", "end_id", F.round("total_km", 6).alias("total_km"), "coins",
                     "transport_mode")
 
 
 @register("availability_model")
 def _q_availability_model(spark, sf):
+    """Every station at every hour of a Monday, and one that nobody knows; both
+    predictions lie in the range that history has."""
     h = _history(spark, sf)
-    model = BK.availability_model(h)
-    grid = _stations(spark, sf).select(F.col("station_id").cast("string").alias("station_id"),
-                                       F.lit(BIKE_WEEKDAY).alias("weekday"), F.lit(BIKE_HOUR).alias("hour"))
-    return BK.predict_availability(model, grid)
+    ids = _stations(spark, sf).select("station_id").union(spark.range(1).select(F.lit(-1).cast("long")))
+    slots = ids.withColumn("weekday", F.lit(0)).withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(23))))
+    p = BK.predict_availability(BK.availability_model(h), BK.station_means(h), slots)
+    lim = h.agg(*[f(c).alias(f"{n}_{c}") for c in ("bikes", "docks") for n, f in (("lo", F.min), ("hi", F.max))])
+    inside = lambda c: F.col(f"predicted_{c}").between(F.col(f"lo_{c}") - 1e-6, F.col(f"hi_{c}") + 1e-6)
+    return p.join(F.broadcast(lim)).select("station_id", "weekday", "hour", inside("bikes").alias("bikes_in_range"),
+                                           inside("docks").alias("docks_in_range"))
 
 
 # ---------------------------------------------------------------- streaming

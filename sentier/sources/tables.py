@@ -81,8 +81,12 @@ SELECT o_orderkey AS req_id,
   CAST(494000 + (o_orderkey * 3571) % 1000 + CASE WHEN o_orderkey % 10 = 0 THEN 5000 ELSE 0 END AS DOUBLE) / 10000 AS start_lat,
   CAST(10500 + (o_orderkey * 2221) % 1500 AS DOUBLE) / 10000 AS start_lon,
   CAST(494000 + (o_custkey * 4409) % 1000 + CASE WHEN o_orderkey % 10 = 1 THEN 5000 ELSE 0 END AS DOUBLE) / 10000 AS end_lat,
-  CAST(10500 + (o_custkey * 5081) % 1500 AS DOUBLE) / 10000 AS end_lon
+  CAST(10500 + (o_custkey * 5081) % 1500 AS DOUBLE) / 10000 AS end_lon,
+  CAST(o_orderkey % 7 AS INT) AS weekday, CAST(o_orderkey % 24 AS INT) AS hour,
+  CASE o_orderkey % 5 WHEN 0 THEN 'bus' WHEN 1 THEN NULL WHEN 2 THEN 'car' ELSE 'bike' END AS mode
 FROM {orders}""",
+    "v_bike_history": """
+SELECT user_id AS station_id, ts, value AS bikes, CAST(event_id % 17 AS DOUBLE) AS docks FROM {events}""",
     "v_stations": """
 SELECT stop_id AS station_id, stop_name AS name, stop_lat AS lat, stop_lon AS lon,
   (stop_id * 13) % 7 AS num_bikes_available, (stop_id * 11) % 5 AS num_docks_available

@@ -36,7 +36,7 @@ def test_radius_join_equals_brute_force(spark):
             qd = spark.createDataFrame(q, "qid long, qlat double, qlon double")
             pd_ = spark.createDataFrame(p, "pid long, plat double, plon double")
             got = radius_join(qd, pd_, radius, q_lat="qlat", q_lon="qlon", p_lat="plat", p_lon="plon",
-                              broadcast=bc, q_key="qid", salt=3)
+                              broadcast=bc, q_key="qid")
             got = {(r.qid, r.pid) for r in got.collect()}
             want = {(a[0], b[0]) for a in q for b in p if _gc(a[1], a[2], b[1], b[2]) <= radius}
             # tolerate only pairs within 1e-6 km of the edge
@@ -258,7 +258,26 @@ def test_radius_join_with_hot_cell(spark):
     qd = spark.createDataFrame(q, "qid long, qlat double, qlon double")
     pd_ = spark.createDataFrame(p, "pid long, plat double, plon double")
     got = radius_join(qd, pd_, 5.0, q_lat="qlat", q_lon="qlon", p_lat="plat", p_lon="plon",
-                      broadcast=False, q_key="qid", salt=4)
+                      broadcast=False, q_key="qid")
     got = sorted((r.qid, r.pid) for r in got.collect())
     want = sorted((a[0], b[0]) for a in q for b in p if _gc(a[1], a[2], b[1], b[2]) <= 5.0)
     assert got == want
+
+
+def test_nearest_k_of_far_queries(spark):
+    from sentier.operators.geojoin import far_pairs, nearest_k
+    rnd = random.Random(23)
+    p = [(i, rnd.uniform(49.3, 49.6), rnd.uniform(0.9, 1.3)) for i in range(2000)]
+    q = [(i, rnd.uniform(49.3, 49.6), rnd.uniform(0.9, 1.3)) for i in range(90)]
+    q += [(90 + i, rnd.uniform(-80, 80), rnd.uniform(-180, 180)) for i in range(10)]
+    qd = spark.createDataFrame(q, "qid long, qlat double, qlon double")
+    pd_ = spark.createDataFrame(p, "pid long, plat double, plon double")
+    names = dict(q_key="qid", p_key="pid", q_lat="qlat", q_lon="qlon", p_lat="plat", p_lon="plon")
+    got = {}
+    for r in nearest_k(qd, pd_, 3, **names).collect():
+        got.setdefault(r.qid, {})[r["rank"]] = r.pid
+    for key, lat, lon in q:
+        want = [b[0] for b in sorted(p, key=lambda b: (_gc(lat, lon, b[1], b[2]), b[0]))[:3]]
+        assert [got[key][i] for i in (1, 2, 3)] == want
+    pairs = far_pairs(qd.where("qid >= 90"), pd_, 3, **names).count()
+    assert pairs <= 10 * 24 * 2          # of 20,000: a constant per query
