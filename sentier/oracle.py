@@ -647,6 +647,11 @@ SELECT a.req_id, a.mode,
 FROM ask a LEFT JOIN bike b USING (req_id) LEFT JOIN plan p USING (req_id)""")
 
 
+# ---------------------------------------------------------------- models: what SQL can say about their output
+ORACLE["embed_places"] = W("v_places") + "SELECT tsid, 64 AS dim, 1.0 AS norm FROM v_places"
+ORACLE["classify_text"] = "SELECT doc_id, true AS has_quality, true AS has_toxic, true AS held_out_agrees FROM documents"
+
+
 # ---------------------------------------------------------------- streaming (same answers as batch)
 ORACLE["stream_feedback_ingest"] = ORACLE["ingest_feedback"]
 ORACLE["stream_wallet"] = ORACLE["wallet_ledger"]

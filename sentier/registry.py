@@ -445,7 +445,7 @@ def _q_rag_context(spark, sf):
 
 # ---------------------------------------------------------------- loyalty
 from sentier.plans import loyalty as LO  # noqa: E402
-from sentier.session import shared_path  # noqa: E402
+from sentier.session import materialize, shared_path  # noqa: E402
 
 
 def _wallet(spark, sf):
@@ -553,9 +553,9 @@ def _q_events_upcoming(spark, sf):
 def _q_json_event_pages(spark, sf):
     agenda = _agenda(spark, sf)
     path = shared_path(spark, "agenda-pages")
-    CL.event_pages(agenda).write.mode("errorifexists").json(path)
-    page_schema = CL.event_pages(agenda).schema
-    events = FI.read_event_pages(spark, path, page_schema)
+    pages = CL.event_pages(agenda)
+    pages.write.mode("errorifexists").json(path)
+    events = FI.read_event_pages(spark, path, pages.schema)
     return CL.calendar_rows(FI.flatten(events.drop("timings")))
 
 
@@ -725,15 +725,28 @@ def _q_embed_incremental(spark, sf):
 def _q_embed_places(spark, sf):
     from sentier.plans.ml import embed_texts
     items = _places(spark, sf).select("tsid", T.feature_text("nom", "descriptif").alias("text"))
-    return embed_texts(items, "text", 64).select("tsid", "vector")
+    out = embed_texts(items, "text", 64)
+    return out.select("tsid", F.size("vector").alias("dim"), F.round(VE.norm("vector"), 3).alias("norm"))
 
 
 @register("classify_text")
 def _q_classify_text(spark, sf):
+    """Two targets (quality, toxic) for every document, fitted on three quarters
+    of the labels; the rest say whether at least three in four agree."""
     from sentier.plans.ml import classify_texts
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    lab = docs.join(table(spark, sf, "labels").select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id")
-    return classify_texts(lab, docs, "text", "label").select("doc_id", "prediction")
+    docs = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    lab = table(spark, sf, "labels").na.drop()
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0
+    out, agrees = docs.select("doc_id"), []
+    for target in ("quality", "toxic"):
+        fit = docs.join(lab.where(~held).select("doc_id", F.col(target).cast("double").alias("label")), "doc_id")
+        scored = classify_texts(fit, docs, "text", "label").select("doc_id", F.col("prediction").cast("int").alias(f"p_{target}"))
+        out = out.join(scored, "doc_id", "left")
+        agrees.append(F.avg((F.col(f"p_{target}") == F.col(target)).cast("int")) >= 0.75)
+    out = materialize(out, "classified")
+    ok = out.join(lab.where(held), "doc_id").agg((agrees[0] & agrees[1]).alias("held_out_agrees"))
+    return out.join(F.broadcast(ok)).select("doc_id", F.col("p_quality").isin(0, 1).alias("has_quality"),
+                                            F.col("p_toxic").isin(0, 1).alias("has_toxic"), "held_out_agrees")
 
 
 # ---------------------------------------------------------------- bikes
