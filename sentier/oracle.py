@@ -84,7 +84,7 @@ _EXPORT = W("v_places", "v_restaurants") + """
   SELECT nom, latitude, longitude, coalesce(descriptif, '') AS descriptif, coalesce(photo, '') AS photo, tsid, 'lieu' AS kind
   FROM v_places WHERE nom IS NOT NULL AND latitude IS NOT NULL AND longitude IS NOT NULL AND tsid IS NOT NULL
   UNION ALL
-  SELECT nom, latitude, longitude, '' AS descriptif, '' AS photo, tsid, 'restaurant'
+  SELECT nom, latitude, longitude, coalesce(descriptif, ''), coalesce(photo, ''), tsid, 'restaurant'
   FROM v_restaurants WHERE nom IS NOT NULL AND latitude IS NOT NULL AND longitude IS NOT NULL AND tsid IS NOT NULL)
 """
 ORACLE["map_export"] = _EXPORT + "SELECT * FROM ex"
@@ -120,10 +120,26 @@ UNION ALL SELECT 'restaurants', count(*), CAST(ceil(count(*) / 10) AS BIGINT) FR
 UNION ALL SELECT 'feedback', count(*), CAST(ceil(count(*) / 8) AS BIGINT) FROM v_feedback"""
 
 ORACLE["catalogue_union"] = W("v_places", "v_restaurants") + """
-SELECT tsid, nom, CAST(ord AS VARCHAR) AS ord, latitude, longitude, descriptif, photo, adresse1, adresse2, codepostal, commune,
-  frequentation_score, 'lieu' AS kind, CAST(NULL AS VARCHAR) AS specialites FROM v_places
-UNION ALL SELECT tsid, nom, NULL, latitude, longitude, NULL, NULL, NULL, NULL, codepostal, NULL, NULL,
-  'restaurant', specialites FROM v_restaurants"""
+SELECT * REPLACE (CAST(ord AS VARCHAR) AS ord, CAST(vegetarien AS VARCHAR) AS vegetarien) FROM (
+  SELECT *, 'lieu' AS kind FROM v_places UNION ALL BY NAME SELECT *, 'restaurant' AS kind FROM v_restaurants)"""
+
+ORACLE["restaurants_paged"] = W("v_restaurants") + f"""
+SELECT tsid, nom, coalesce(commune, '') AS commune, coalesce(descriptif, '') AS descriptif, {PHOTO} AS photo_url,
+  coalesce(specialites, '') AS specialites, row_number() OVER (ORDER BY tsid) AS rank,
+  CAST(ceil(row_number() OVER (ORDER BY tsid) / 10) AS BIGINT) AS page
+FROM v_restaurants WHERE starts_with(codepostal, '76')"""
+
+ORACLE["restaurant_detail"] = W("v_restaurants", "v_access") + """
+SELECT r.tsid, r.nom, coalesce(r.adresse1, '') || ' ' || coalesce(r.adresse2, '') || ' ' || coalesce(r.codepostal, '') || ' ' ||
+  coalesce(r.commune, '') AS addr, coalesce(r.telephone, '') AS telephone, coalesce(r.web, '') AS web,
+  coalesce(CAST(r.vegetarien AS VARCHAR), '') AS vegetarien, a.name IS NOT NULL AS matched,
+  CASE WHEN a.name IS NULL THEN NULL ELSE coalesce(a.accueil_personnels, 'Non disponible') END AS accueil_personnels
+FROM v_restaurants r LEFT JOIN (SELECT * FROM v_access QUALIFY row_number() OVER (PARTITION BY name ORDER BY ord) = 1) a ON a.name = r.nom"""
+
+ORACLE["geojson_nodes"] = W("v_places") + """
+SELECT ord AS id, longitude AS lon, latitude AS lat, CASE WHEN descriptif IS NULL THEN '{}' ELSE json_object('amenity',
+  CASE WHEN starts_with(descriptif, 'PROMO') THEN 'drinking_water' ELSE 'bench' END, 'name', nom)::VARCHAR END AS properties
+FROM v_places"""
 
 ORACLE["place_address"] = W("v_places") + f"SELECT tsid, {ADDR} AS addr FROM v_places"
 
@@ -144,7 +160,7 @@ GROUP BY tag"""
 ORACLE["feature_text"] = W("v_places") + "SELECT tsid, concat_ws(' ', nom, descriptif) AS text FROM v_places"
 
 ORACLE["retrieval_text"] = W("v_places") + """
-SELECT tsid, concat_ws(' ', descriptif, commune, codepostal, adresse1) AS text FROM v_places"""
+SELECT tsid, concat_ws(' ', descriptif, commune, codepostal, adresse1, envies, equipements, type) AS text FROM v_places"""
 
 ORACLE["theme_key"] = """
 SELECT doc_id, strip_accents(regexp_replace(replace(text, ' ', '_'), '[/()]', '', 'g')) AS key FROM documents"""

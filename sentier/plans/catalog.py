@@ -116,6 +116,26 @@ def places_page(places: DataFrame, page: int, county: str = "76", per_page: int
             .select("tsid", "nom", "commune", T.first_photo("photo").alias("photo_url")))
 
 
+def restaurants_paged(restaurants: DataFrame, county: str = "76", per_page: int = K.PLACES_PER_PAGE) -> DataFrame:
+    """The county's restaurants in catalogue order (tsid), with rank and page,
+    first photo, description and specialities (blank if missing)."""
+    sub = restaurants.na.drop(subset=REQUIRED).where(F.col("codepostal").startswith(county))
+    ranked = global_row_number(sub, [F.asc("tsid")])
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    return (ranked.select("tsid", "nom", blank("commune"), blank("descriptif"), T.first_photo("photo").alias("photo_url"),
+                          blank("specialites"), "rank").withColumn("page", page_of("rank", per_page)))
+
+
+def restaurant_detail(restaurants: DataFrame, keys: DataFrame, access: DataFrame) -> DataFrame:
+    """P4 for restaurants: the asked rows with address and accessibility by name."""
+    from sentier.plans.access import accessibility_join
+    hit = restaurants.na.drop(subset=REQUIRED).join(keys.select("tsid").distinct(), "tsid", "left_semi")
+    info = accessibility_join(hit, access, "ord").select("tsid", "matched", "accueil_personnels")
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    return (hit.select("tsid", "nom", T.restaurant_address("adresse1", "adresse2", "codepostal", "commune").alias("addr"),
+                       blank("telephone"), blank("web"), blank("vegetarien")).join(info, "tsid"))
+
+
 def page_counts(lists: dict[str, tuple[DataFrame, int]]) -> DataFrame:
     """Rows and ceil page count for each named list."""
     out = None
@@ -157,14 +177,22 @@ def osm_nodes_from_places(places: DataFrame) -> DataFrame:
                          tags.alias("tags"))
 
 
-def water_features(nodes: DataFrame, bbox=K.WATER_BBOX, amenity: str = "drinking_water") -> DataFrame:
-    """S17 + P14: nodes inside the box with the amenity tag as GeoJSON point
-    features (coordinates in lon, lat order); ``feature`` holds one JSON
+def _as_feature(nodes: DataFrame) -> DataFrame:
+    geom = F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates"))
+    tags = F.coalesce("tags", F.create_map().cast("map<string,string>"))
+    feat = F.to_json(F.struct(F.lit("Feature").alias("type"), F.col("id"), geom.alias("geometry"), tags.alias("properties")))
+    return nodes.select("id", "lon", "lat", F.to_json(tags).alias("properties"), feat.alias("feature"))
+
+
+def node_features(nodes: DataFrame) -> DataFrame:
+    """Every node as a GeoJSON point feature (coordinates in lon, lat
+    order), untagged ones with empty properties; ``feature`` holds one JSON
     feature per row, ready for a line-delimited FeatureCollection."""
+    return _as_feature(nodes)
+
+
+def water_features(nodes: DataFrame, bbox=K.WATER_BBOX, amenity: str = "drinking_water") -> DataFrame:
+    """The features of nodes inside the box with the amenity tag."""
     s, w, n, e = bbox
-    sel = nodes.where(F.col("lat").between(s, n) & F.col("lon").between(w, e)
-                      & (F.element_at("tags", "amenity") == amenity))
-    geom = F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates"))
-    feat = F.to_json(F.struct(F.lit("Feature").alias("type"), F.col("id"), geom.alias("geometry"),
-                              F.col("tags").alias("properties")))
-    return sel.select("id", "lon", "lat", F.to_json("tags").alias("properties"), feat.alias("feature"))
+    return _as_feature(nodes.where(F.col("lat").between(s, n) & F.col("lon").between(w, e)
+                                   & (F.element_at("tags", "amenity") == amenity)))

@@ -141,6 +141,17 @@ def _q_places_paged(spark, sf):
     return CA.places_paged(_places(spark, sf), "2")
 
 
+@register("restaurants_paged")
+def _q_restaurants_paged(spark, sf):
+    return CA.restaurants_paged(_restos(spark, sf))
+
+
+@register("restaurant_detail")
+def _q_restaurant_detail(spark, sf):
+    r = _restos(spark, sf)
+    return CA.restaurant_detail(r, r.select("tsid"), role(spark, sf, "v_access"))
+
+
 @register("page_counts")
 def _q_page_counts(spark, sf):
     p = _places(spark, sf)
@@ -153,7 +164,7 @@ def _q_page_counts(spark, sf):
 
 @register("catalogue_union")
 def _q_catalogue_union(spark, sf):
-    return _as_text(CA.catalogue_union(_places(spark, sf), _restos(spark, sf)), "ord")
+    return _as_text(CA.catalogue_union(_places(spark, sf), _restos(spark, sf)), "ord", "vegetarien")
 
 
 @register("place_address")
@@ -189,7 +200,7 @@ def _q_feature_text(spark, sf):
 @register("retrieval_text")
 def _q_retrieval_text(spark, sf):
     p = _places(spark, sf)
-    return p.select("tsid", T.feature_text("descriptif", "commune", "codepostal", "adresse1").alias("text"))
+    return p.select("tsid", T.feature_text("descriptif", "commune", "codepostal", "adresse1", "envies", "equipements", "type").alias("text"))
 
 
 @register("theme_key")
@@ -698,6 +709,17 @@ def _q_geojson_points(spark, sf):
                        F.col("geometry.coordinates")[1].alias("lat"), F.to_json("properties").alias("properties"))
 
 
+@register("geojson_nodes")
+def _q_geojson_nodes(spark, sf):
+    """Every node of the extract, also those without tags (empty properties)."""
+    from sentier.plans.catalog import node_features, osm_nodes_from_places
+    path = shared_path(spark, "nodes-geojson")
+    FI.write_geojson_seq(node_features(osm_nodes_from_places(_places(spark, sf))), path)
+    back = FI.read_geojson_seq(spark, path)
+    return back.select("id", F.col("geometry.coordinates")[0].alias("lon"),
+                       F.col("geometry.coordinates")[1].alias("lat"), F.to_json("properties").alias("properties"))
+
+
 @register("json_clean")
 def _q_json_clean(spark, sf):
     from sentier.functions.text import json_clean
@@ -837,12 +859,16 @@ from sentier.streaming import wallet_stream as SWA  # noqa: E402
 
 @register("stream_feedback_ingest")
 def _q_stream_feedback_ingest(spark, sf):
-    raw = _raw(spark, sf).withColumn("received_at", F.timestamp_seconds(F.lit(1007164800)))
+    # received over three hours in fid order, landed in four slices of 45 minutes
+    raw = materialize(_raw(spark, sf), "raw")
+    lo, hi = raw.agg(F.min("fid"), F.max("fid")).first()
+    share = (F.col("fid") - F.lit(lo or 0)) / F.lit(max((hi or 0) - (lo or 0), 1))
+    raw = raw.withColumn("received_at", F.timestamp_seconds(F.lit(1007164800.0) + share * 10800))
     src = shared_path(spark, "raw-feedback")
     SC.land_in_order(raw, src, "fid", 4)
-    # a replayed file (every comment made away from any catalogue point lands
-    # twice): the stream must drop the duplicates
-    raw.where(F.col("longitude") == 0.5).coalesce(1).write.mode("append").parquet(src)
+    # every comment made away from any catalogue point lands twice: duplicates
+    # of the last hour are found in state, older ones are late; neither counts
+    raw.where(F.col("longitude") == 0.5).write.mode("append").parquet(src)
     out = SF.ingest_stream(spark, src, raw.schema, _places(spark, sf), _restos(spark, sf), INGEST_DATE,
                            shared_path(spark, "feedback-sink"), shared_path(spark, "ckpt-feedback"))
     return _iso_date(out.select("fid", "username", "longitude", "latitude", "nom", "feedback", "pos", "verbatim",

@@ -41,14 +41,20 @@ SELECT concat('P', p_partkey) AS tsid, concat(p_name, ' ', p_partkey) AS nom, p_
   CASE WHEN p_partkey % 10 = 0 THEN 'n/a' WHEN p_partkey % 13 = 0 THEN NULL
     ELSE CAST(14000 + (p_partkey * 31) % 63000 AS STRING) END AS codepostal,
   concat('NATION_', p_partkey % 25) AS commune,
-  CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_retailprice END AS frequentation_score
+  CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_retailprice END AS frequentation_score,
+  p_brand AS envies, CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE concat('taille ', p_size) END AS equipements, p_type AS type
 FROM {part}""",
     "v_restaurants": """
 SELECT concat('R', s_suppkey) AS tsid, s_name AS nom,
   CAST(494000 + (s_suppkey * 7919) % 1000 AS DOUBLE) / 10000 AS latitude,
   CAST(10500 + (s_suppkey * 104729) % 1500 AS DOUBLE) / 10000 AS longitude,
   CASE WHEN s_suppkey % 2 = 0 THEN '76000' ELSE '27000' END AS codepostal,
-  CASE s_suppkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 'Cidre ## Crêpes' ELSE 'Poisson' END AS specialites
+  CASE s_suppkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 'Cidre ## Crêpes' ELSE 'Poisson' END AS specialites,
+  CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE concat('table de ', s_name) END AS descriptif,
+  CASE s_suppkey % 3 WHEN 0 THEN NULL WHEN 1 THEN concat(' https://img/r', s_suppkey, '.jpg credit ## x') ELSE 'photo' END AS photo,
+  concat(s_suppkey, ' quai ') AS adresse1, CASE WHEN s_suppkey % 5 = 0 THEN 'bis' ELSE NULL END AS adresse2,
+  concat('NATION_', s_nationkey) AS commune, concat('02 35 ', s_suppkey) AS telephone,
+  concat('http://resto', s_suppkey, '.fr') AS web, s_suppkey % 2 = 1 AS vegetarien
 FROM {supplier}""",
     "v_feedback": """
 SELECT o_orderkey AS fid, concat('user', o_custkey) AS username, CAST(o_orderdate AS DATE) AS date,
