@@ -4,7 +4,8 @@ Texts are normalised alike: A-Z lower-cased, words are runs of digits, letters
 a-z and non-ASCII characters. The items' windows of ``n`` words (an item with
 fewer, but not none, is one window) are the table, keyed by a 64-bit hash. Every
 document's windows are scanned against it in one generated loop; a hash hit
-counts only if the words themselves agree. Words inside a found window are hit;
+counts only if the words themselves agree (a second hash of them, if the table is
+too large to broadcast). Words inside a found window are hit;
 documents lose those spans or are dropped.
 
 The table is broadcast while it holds at most ``BROADCAST_BYTES``; a larger one
@@ -79,10 +80,17 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
         # a start without a whole window gets a key of its own: no hot null
         tries = tries.withColumn("key", F.coalesce("key", F.xxhash64("row", "at")))
         table = grams.withColumnRenamed("size", "gram_size")
-        table = F.broadcast(table) if weight <= BROADCAST_BYTES else table
-        joined = tries.join(table, "key", "left")
+        own = F.concat_ws(" ", F.slice("w", F.col("at") + 1, F.col("size")))
+        if weight <= BROADCAST_BYTES:
+            # the window's words are put together for hash hits only
+            joined, verified = tries.join(F.broadcast(table), "key", "left"), own == F.col("gram")
+        else:
+            # only hashes are shuffled: a second one, of the joined words, verifies
+            tries = tries.withColumn("check", F.xxhash64(F.lit(1), own)).drop("w")
+            table = table.withColumn("gram_check", F.xxhash64(F.lit(1), F.col("gram")))
+            joined, verified = tries.join(table, "key", "left"), F.col("check") == F.col("gram_check")
         same = F.coalesce((F.col("gram_size") == F.col("size")) & (F.col("at") + F.col("size") <= F.col("n_words"))
-                          & (F.concat_ws(" ", F.slice("w", F.col("at") + 1, F.col("size"))) == F.col("gram")), F.lit(False))
+                          & verified, F.lit(False))
         found = (joined.withColumn("hit", F.when(F.col("gram").isNotNull(), same).otherwise(F.lit(False)))
                  .where(F.col("hit") | (F.col("at") == 0))
                  .select("row", "doc_id", "n_words",
