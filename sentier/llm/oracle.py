@@ -1,5 +1,7 @@
 """DuckDB twins of the registered queries that SQL can express."""
 
+from sentier.llm.license_scan import COSINE, FILE_COSINE, NOTICES
+
 ORACLE: dict[str, str] = {}
 
 ORACLE["op7_substring_dedup"] = r"""
@@ -134,3 +136,50 @@ SELECT doc_id, CAST(length(hx) // 2 + 1 AS BIGINT) AS size,
   row_number() OVER (PARTITION BY shard ORDER BY h) - 1 AS slot, CAST(grown_shard AS INT) AS grown_shard
 FROM s, tab
 """
+
+
+def _license_sql() -> str:
+
+    rows = ", ".join(f"('{k}', '{v}')" for k, v in sorted(NOTICES.items()))
+    terms = "list_filter(list_distinct(regexp_split_to_array(lower({}), '[^a-z0-9]+')), lambda x: x <> '')"
+    return f"""
+WITH tpl(template, txt) AS (VALUES {rows}),
+cell AS (SELECT template, unnest({terms.format('txt')}) AS term FROM tpl),
+voc AS (SELECT list(DISTINCT term) AS v FROM cell),
+f AS (SELECT doc_id, '/' || coalesce(source, '~') || '/' || coalesce(lang, '~') || '/' ||
+  coalesce(CAST(CAST(floor(doc_id / 1000.0) AS BIGINT) AS VARCHAR), '~') || '/' ||
+  coalesce(CAST(CAST(floor(doc_id / 100.0) AS BIGINT) AS VARCHAR), '~') AS dir,
+  coalesce(CAST(doc_id AS VARCHAR), '~') || '.txt' AS name, "text" AS txt FROM documents),
+n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM f),
+df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_intersect({terms.format("coalesce(txt, '')")}, v)) AS term FROM f, voc) GROUP BY term),
+idf AS (SELECT term, pow(ln((1.0 + n) / (1.0 + coalesce(df, 0))) + 1.0, 2) AS w2 FROM (SELECT DISTINCT term FROM cell) LEFT JOIN df USING (term), n),
+pieces AS (
+  SELECT doc_id, false AS whole, generate_subscripts(string_split(txt, chr(10)), 1) AS line, unnest(string_split(txt, chr(10))) AS txt FROM f WHERE txt IS NOT NULL
+  UNION ALL SELECT doc_id, true, 0, coalesce(txt, '') FROM f),
+sparse AS (SELECT doc_id, whole, line, t, list_intersect(t, v) AS hit FROM (SELECT *, {terms.format('txt')} AS t FROM pieces), voc),
+cand AS (SELECT doc_id, whole, line, hit, len(t) - len(hit) AS others FROM sparse
+  WHERE len(hit) > 0 AND len(hit) >= len(t) * (CASE WHEN whole THEN {FILE_COSINE * FILE_COSINE!r} ELSE {COSINE * COSINE!r} END)),
+hits AS (SELECT doc_id, whole, line, others, term, w2 FROM (SELECT doc_id, whole, line, others, unnest(hit) AS term FROM cand) JOIN idf USING (term)),
+norms AS (SELECT doc_id, whole, line, sum(w2) + max(others) * max((SELECT pow(ln(1.0 + n) + 1.0, 2) FROM n)) AS n2 FROM hits GROUP BY ALL),
+m AS (SELECT template, sum(w2) AS m2 FROM cell JOIN idf USING (term) GROUP BY template),
+dots AS (SELECT h.doc_id, h.whole, h.line, template, sum(h.w2) AS dot FROM hits h JOIN cell USING (term) GROUP BY ALL),
+cos AS (SELECT doc_id, whole, line, template, round(dot / sqrt(n2 * m2), 6) AS cosine
+  FROM dots JOIN norms USING (doc_id, whole, line) JOIN m USING (template)),
+best AS (SELECT * FROM cos WHERE cosine >= CASE WHEN whole THEN {FILE_COSINE} ELSE {COSINE} END
+  QUALIFY row_number() OVER (PARTITION BY doc_id, whole ORDER BY cosine DESC, template, line) = 1),
+own AS (SELECT doc_id, arg_min(template, CAST(whole AS INT)) AS template, arg_min(cosine, CAST(whole AS INT)) AS cosine, bool_or(whole) AS is_file
+  FROM best GROUP BY doc_id),
+slim AS (SELECT f.doc_id, f.dir, f.name, o.template, o.cosine, coalesce(o.is_file, false) AS is_file FROM f LEFT JOIN own o USING (doc_id)),
+stated AS (SELECT dir AS up, template AS lic FROM slim WHERE is_file
+  QUALIFY row_number() OVER (PARTITION BY dir ORDER BY cosine DESC, template) = 1),
+ups AS (SELECT dir, array_to_string(string_split(dir, '/')[1:k], '/') AS up FROM (
+  SELECT dir, unnest(range(1, len(string_split(dir, '/')) + 1)) AS k FROM (SELECT DISTINCT dir FROM slim))),
+near AS (SELECT dir, arg_max(up, length(up)) AS up, arg_max(lic, length(up)) AS lic FROM ups JOIN stated USING (up) GROUP BY dir)
+SELECT doc_id, dir || '/' || name AS path, coalesce(template, lic) AS license,
+  CASE WHEN is_file THEN 'file' WHEN template IS NOT NULL THEN 'header' WHEN lic IS NOT NULL THEN 'inherited' ELSE 'none' END AS how,
+  cosine, CASE WHEN template IS NULL AND lic IS NOT NULL THEN up || '/' END AS from_dir
+FROM slim LEFT JOIN near USING (dir)
+"""
+
+
+ORACLE["op5_license_scan"] = _license_sql()
