@@ -20,8 +20,8 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
 _M2 = np.uint64(0x94D049BB133111EB)
 LONG_WORD = 512  # bytes; longer words are hashed one by one
-BATCH_ROWS = 256
-CHUNK_BYTES = 2 << 20
+BATCH_ROWS = 32
+CHUNK_BYTES = 1 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
