@@ -35,6 +35,7 @@ from sentier.session import materialize
 
 BOUND_RADIUS_KM = 6300.0       # below every radius of curvature of the Earth
 MARGIN = 1.02
+WGS84_E2 = 0.00669437999014    # first eccentricity squared (fixed value)
 MAX_DISTANCE_KM = 20100.0      # more than half the longest great circle
 BROADCAST_MAX_BYTES = 64 << 20
 
@@ -200,13 +201,23 @@ def suggest_start_km(points: DataFrame, lat: str, lon: str, k: int) -> float:
 
 
 RING_ROUNDS = 2                # ring rounds before the rest goes by cells
-FINEST_LEVEL, LEVEL_STEP = 19, 2     # cubes of about 24 m; each level splits an edge in four
-ELLIPSOID_SLACK = 1.015        # how far WGS-84 and sphere distances differ at most
+FINEST_LEVEL, LEVEL_STEP = 19, 3     # cubes of about 24 m; each level splits an edge in eight
 
 
-def _on_sphere(df: DataFrame, lat: str, lon: str) -> DataFrame:
+def _in_space(df: DataFrame, lat: str, lon: str, metric: str) -> DataFrame:
+    """Coordinates in space, in units of the (equatorial) radius: on the sphere,
+    where chords order as great circles do, or on the WGS-84 ellipsoid."""
     a, b = F.radians(lat), F.radians(lon)
-    return df.withColumns({"_x": F.cos(a) * F.cos(b), "_y": F.cos(a) * F.sin(b), "_z": F.sin(a)})
+    e2 = 0.0 if metric == "sphere" else WGS84_E2
+    n = 1.0 / F.sqrt(1.0 - e2 * F.sin(a) * F.sin(a))
+    return df.withColumns({"_x": n * F.cos(a) * F.cos(b), "_y": n * F.cos(a) * F.sin(b), "_z": n * (1.0 - e2) * F.sin(a)})
+
+
+def _slack(chord: Column, metric: str) -> Column:
+    """A chord as long as any that belongs to a distance no longer than this
+    one's: on the ellipsoid the radius of curvature varies by less than a percent,
+    and counts with the square of the chord."""
+    return chord * (1.0 + 1e-9) if metric == "sphere" else chord * (1.0 + 1e-5 + 0.002 * chord * chord)
 
 
 def _cube(level: int) -> Column:
@@ -226,16 +237,16 @@ def _coarser(cube: Column, by: int) -> Column:
 
 
 def far_pairs(queries: DataFrame, points: DataFrame, k: int, *, q_key: str, p_key: str, q_lat: str, q_lon: str,
-              p_lat: str, p_lon: str, by: tuple[str, ...] = ()) -> DataFrame:
+              p_lat: str, p_lon: str, by: tuple[str, ...] = (), metric: str = "sphere") -> DataFrame:
     """(query, point) pairs that hold the k nearest points of every query, however
-    far away. The points' cubes on the unit sphere form levels, each cube with its
+    far away. The points' cubes in space form levels, each cube with its
     count and bounding box. From the top, a query keeps the cubes that are not
     farther than the distance within which k points are sure to lie, and descends
     into those: a few cubes a level at any distance."""
-    pts = _on_sphere(points.select(p_key, p_lat, p_lon, *by), p_lat, p_lon).withColumn("_cube", _cube(FINEST_LEVEL))
+    pts = _in_space(points.select(p_key, p_lat, p_lon, *by), p_lat, p_lon, metric).withColumn("_cube", _cube(FINEST_LEVEL))
     box = [f(c).alias(f"{n}{c}") for c in ("_x", "_y", "_z") for n, f in (("lo", F.min), ("hi", F.max))]
     finest = materialize(pts.groupBy(*by, "_cube").agg(F.count(F.lit(1)).alias("_n"), *box), "cubes")
-    q = materialize(_on_sphere(queries.select(q_key, q_lat, q_lon, *by), q_lat, q_lon), "far-queries")
+    q = materialize(_in_space(queries.select(q_key, q_lat, q_lon, *by), q_lat, q_lon, metric), "far-queries")
 
     def cubes(level: int) -> DataFrame:
         up = FINEST_LEVEL - level
@@ -247,16 +258,17 @@ def far_pairs(queries: DataFrame, points: DataFrame, k: int, *, q_key: str, p_ke
     span = lambda c: F.greatest(F.abs(F.col(f"lo{c}") - F.col(c)), F.abs(F.col(f"hi{c}") - F.col(c)))
     length = lambda f: F.sqrt(f("_x") * f("_x") + f("_y") * f("_y") + f("_z") * f("_z"))
     level = 1
-    # the top level has at most eight cubes
-    top = F.broadcast(cubes(level).drop("_up"))
-    cand = q.join(top, list(by)) if by else q.join(top)
+    # the top level has eight cubes
+    half = [F.lit(i).cast("long") for i in (0, 1)]
+    eight = F.array(*[_cube_key(x, y, z) for x in half for y in half for z in half])
+    cand = q.withColumn("_cube", F.explode(eight)).join(cubes(level).drop("_up"), [*by, "_cube"])
     order = Window.partitionBy(q_key).orderBy("_most", "_cube").rowsBetween(Window.unboundedPreceding, 0)
     while True:
         cand = cand.withColumn("_least", length(gap)).withColumn("_most", length(span))
         cand = cand.withColumn("_sure", F.when(F.sum("_n").over(order) >= k, F.col("_most")))
         limit = F.min("_sure").over(Window.partitionBy(q_key))
         kept = materialize(cand.withColumn("_limit", limit)
-                           .where(F.col("_limit").isNull() | (F.col("_least") <= F.col("_limit") * ELLIPSOID_SLACK + 1e-9))
+                           .where(F.col("_limit").isNull() | (F.col("_least") <= _slack(F.col("_limit"), metric) + 1e-9))
                            .select(q_key, q_lat, q_lon, *by, "_x", "_y", "_z", "_cube", "_n"), "far-cubes")
         size = kept.agg(F.sum("_n"), F.count_distinct(q_key)).first()
         if level >= FINEST_LEVEL or (size[0] or 0) <= 8 * k * (size[1] or 0):
@@ -298,7 +310,8 @@ def nearest_k(queries: DataFrame, points: DataFrame, k: int, *, q_key: str, p_ke
     while n_pending:
         if max_km is None and pair_filter is None and rounds == RING_ROUNDS:
             pairs = far_pairs(pending, points, k + (1 if exclude_self else 0), q_key=q_key, p_key=p_key, q_lat=q_lat,
-                              q_lon=q_lon, p_lat=p_lat, p_lon=p_lon, by=by)
+                              q_lon=q_lon, p_lat=p_lat, p_lon=p_lon, by=by,
+                              metric=metric)
             pairs = point_terms(point_terms(pairs, p_lat, p_lon, "_pt", metric), q_lat, q_lon, "_qt", metric)
             pairs = with_pair_distance_km(pairs, dist_col, metric, "_qt", "_pt")
             if exclude_self:
