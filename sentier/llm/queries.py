@@ -38,7 +38,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, quality.graded(_table(spark, sf_dir, "labels")))
-    return quality.score(docs, model).select("doc_id", "expected_grade", "p_top", (F.col("p_top") >= 0.5).alias("keep"))
+    return quality.score(docs, model).select("doc_id", "expected_grade", "p_top", (F.col("p_top") >= quality.KEEP).alias("keep"))
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
