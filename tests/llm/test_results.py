@@ -133,7 +133,8 @@ def test_quality_on_held_out_labels(spark):
     model = quality.fit(docs, grades.join(test, "doc_id", "left_anti"))
     out = quality.score(docs.join(test, "doc_id"), model).select("grade", "expected_grade", "p_top").toPandas()
     assert (model.cuts[1:] >= model.cuts[:-1]).all()
-    assert ((out.p_top >= 0.5) == (out.grade == 2)).mean() > 0.98
+    assert ((out.p_top >= quality.KEEP) == (out.grade == 2)).mean() > 0.95
+    assert (out.p_top[out.grade == 2] >= quality.KEEP).mean() > 0.97
     means = out.groupby("grade").expected_grade.mean()
     assert means[0] < means[1] < means[2]
 
@@ -182,7 +183,7 @@ def test_pipeline_stages_against_brute_force(spark):
     names = [n for n, _ in corpus_pipeline.STAGES]
     stage = dict(corpus_pipeline.STAGES)
     model = quality.fit(docs, quality.graded(spark.read.parquet(f"{SMOKE}/labels.parquet")))
-    good = {r.doc_id for r in quality.score(docs, model).where("p_top >= 0.5").collect()}
+    good = {r.doc_id for r in quality.score(docs, model).where(f"p_top >= {quality.KEEP}").collect()}
     first = stage[names[0]](spark, docs, SMOKE)
     assert {r.doc_id for r in first.collect()} == good and 0 < len(good) < len(whole)
     classes = _brute_classes({k: whole[k].text for k in good})
