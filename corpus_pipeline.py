@@ -15,7 +15,7 @@ from sentier.llm.shared import stored
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that are likelier than not below the top grade."""
+    """Drop documents that are unlikely to be of the top grade."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.fit(docs.select("doc_id", "text"), quality.graded(labels))
     return quality.select_top(docs, model)
