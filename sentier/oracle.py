@@ -541,6 +541,12 @@ SELECT month, source, sentiment, count(*) AS n FROM (
   SELECT strftime(date, '%Y-%m') AS month, 'history' AS source, sentiment FROM v_feedback
   UNION ALL SELECT strftime(date, '%Y-%m'), 'ingest', sentiment FROM ing) GROUP BY 1, 2, 3"""
 
+ORACLE["feedback_newest"] = ORACLE["feedback_append"].rsplit("SELECT month, source, sentiment, count(*) AS n", 1)[0] + """
+SELECT fid, source, verbatim, rank, CAST(ceil(rank / 8) AS BIGINT) AS page FROM (
+  SELECT fid, source, verbatim, row_number() OVER (ORDER BY seq DESC, fid, verbatim NULLS FIRST) AS rank FROM (
+    SELECT fid, 'history' AS source, CAST(NULL AS VARCHAR) AS verbatim, 1 AS seq FROM v_feedback
+    UNION ALL SELECT fid, 'ingest', verbatim, 2 FROM ing))"""
+
 ORACLE["feedback_restore"] = W("v_feedback") + """
 SELECT fid, username, CAST(date AS VARCHAR) AS date, tsid, nom, theme, sentiment, feedback FROM v_feedback"""
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from sentier import constants as K
 from sentier.functions.text import capitalize_first
-from sentier.operators.ranking import rank_within_groups
+from sentier.operators.ranking import global_row_number, page_of, rank_within_groups
 
 
 def _as_of(as_of) -> F.Column:
@@ -231,9 +231,19 @@ def to_feedback_table(df: DataFrame, source: str) -> DataFrame:
             .withColumn("month", F.date_format("date", "yyyy-MM")))
 
 
-def append_feedback(table_path: str, batch: DataFrame) -> None:
-    """Partitioned append (month); earlier files are never rewritten."""
-    batch.write.mode("append").partitionBy("month").parquet(table_path)
+def append_feedback(table_path: str, batch: DataFrame, ingest_seq: int = 0) -> None:
+    """Partitioned append (month); earlier files are never rewritten.
+    ``ingest_seq`` (a batch number or time that grows) keeps the order of arrival."""
+    (batch.withColumn("ingest_seq", F.lit(ingest_seq).cast("long"))
+     .write.mode("append").partitionBy("month").parquet(table_path))
+
+
+def newest_first(log: DataFrame, per_page: int = K.FEEDBACK_PER_PAGE) -> DataFrame:
+    """The log as the app shows it, latest batch on top (then by comment,
+    verbatim), with rank and page; numbered by range partitions."""
+    order = [F.desc("ingest_seq"), F.asc("fid"), F.asc_nulls_first("verbatim")]
+    ranked = global_row_number(log, order)
+    return ranked.withColumn("page", page_of("rank", per_page))
 
 
 def restore_feedback(spark, backup_path: str, snapshot_path: str) -> DataFrame:

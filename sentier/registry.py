@@ -608,6 +608,14 @@ def _q_feedback_append(spark, sf):
     return t.groupBy("month", "source", "sentiment").agg(F.count(F.lit(1)).alias("n"))
 
 
+@register("feedback_newest")
+def _q_feedback_newest(spark, sf):
+    path = shared_path(spark, "feedback")
+    FB.append_feedback(path, FB.to_feedback_table(_fb(spark, sf), "history"), 1)
+    FB.append_feedback(path, FB.to_feedback_table(_ingested(spark, sf), "ingest"), 2)
+    return FB.newest_first(spark.read.parquet(path)).select("fid", "source", "verbatim", "rank", "page")
+
+
 @register("feedback_restore")
 def _q_feedback_restore(spark, sf):
     bak, cur, new = (shared_path(spark, f"feedback-{n}") for n in ("bak", "cur", "restored"))
