@@ -42,6 +42,7 @@ from sentier.llm import shared  # noqa: F401  (ships the kernels)
 from sentier.llm.textvec import (as_long, gram_hashes, merged, mix, small_batches, text_bytes, whole_windows,
                                  word_hashes, word_spans)
 
+CHUNK = 2 << 20  # bytes of text whose repeats are settled at once
 _SEEDS = "part long, key long, doc_id long"
 _KEYS = "part long, known boolean, doc_id long, checks array<long>"
 _SPANS = T.StructType([
@@ -104,7 +105,7 @@ def _seed_rows(window: int, k: int):
     holder's row goes its own way, and one row without a document tells the
     block about them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in merged(batches, "text"):
+        for b in merged(batches, "text", CHUNK):
             ids, ok = _ids(b)
             _, _, _, _, _, _, seeds, doc = _windows(b, window, k)
             new = np.ones(len(seeds), bool)
@@ -127,7 +128,7 @@ def _window_rows(window: int, k: int):
     holder in the chunk is an open question for the seed's block; the others
     are known to repeat it and go their own way."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in merged(batches, "text"):
+        for b in merged(batches, "text", CHUNK):
             b = b.filter(b.column("keys").is_valid())
             if not b.num_rows:
                 continue
@@ -164,7 +165,7 @@ def _listed(lists: pa.Array, values: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 def _spans(window: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in merged(batches, "text"):
+        for b in merged(batches, "text", CHUNK):
             _, _, _, first, w, at, seeds, doc = _windows(b, window, k)
             lists = b.column("keys")
             some = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) > 0
