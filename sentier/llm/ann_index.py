@@ -17,7 +17,8 @@ that holds a third of all vectors (equal ones can't be parted by distance) is
 searched by many tasks.
 
 *Queries* select the lists whose centroids are at most ``RATIO`` times as far as
-the nearest one, ``PROBES`` at most, and meet the blocks of those lists; each
+the nearest one, ``PROBES`` at most and ``LEAST_PROBES`` at least (a query may sit
+on a centroid of few vectors), and meet the blocks of those lists; each
 block returns its nearest vectors by the exact distance in double precision, and
 a ranked limit per query merges them. Queries of one list are cut into blocks
 alike.
@@ -46,7 +47,7 @@ MAX_LISTS = 8192
 BLOCK_ROWS = 4096
 DEGREE, BEAM = 16, 96
 REPLICAS, CLOSURE = 3, 1.05
-PROBES, RATIO = 48, 1.6
+LEAST_PROBES, PROBES, RATIO = 8, 48, 1.6
 
 
 class Centroids:
@@ -162,13 +163,13 @@ def build(vectors: DataFrame, list_rows: int = LIST_ROWS, sample_rows: int = SAM
     return Centroids(fit_centroids(_matrix(sample.column(0).combine_chunks()), lists))
 
 
-def _assign(index: Centroids, k: int, ratio: float, names: list[str]):
+def _assign(index: Centroids, k: int, ratio: float, names: list[str], least: int = 1):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             ids, dist = index.search(_matrix(b.column("embedding")), k)
-            take = (ids >= 0) & (dist <= ratio * dist[:, :1] + 1e-12)
+            take = (ids >= 0) & ((dist <= ratio * dist[:, :1] + 1e-12) | (np.arange(k) < least))
             row, at = np.nonzero(take)
             pick = pa.array(row)
             yield pa.RecordBatch.from_arrays(
@@ -212,7 +213,7 @@ def search(posted: DataFrame, queries: DataFrame, index: Centroids, top: int = 1
     nearest found among the posted vectors but the query's own id."""
     names = ["query_id", "embedding", "list"]
     asked = stored(queries.select("vec_id", "embedding").mapInArrow(
-        _assign(index, probes, ratio, names), "query_id long, embedding array<double>, list int"), "asked")
+        _assign(index, probes, ratio, names, LEAST_PROBES), "query_id long, embedding array<double>, list int"), "asked")
     # per list: how many blocks its vectors and its queries take (MAX_LISTS rows at most)
     sizes = posted.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("vb"))
     asks = asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("qb"))
