@@ -213,3 +213,12 @@ def test_the_rest_imports_without_the_subpackage(tmp_path):
     out = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True,
                          env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
     assert out.returncode == 0 and out.stdout.split()[1] == "False", out.stderr
+
+
+def test_a_query_on_a_small_cluster_finds_ten(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [100.0, 100.0, 0.0]) for i in range(3)] + [(100 + i, rng.normal(size=3).tolist()) for i in range(600)]
+    v = ann_index.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    index = ann_index.build(v, list_rows=10)
+    out = ann_index.search(ann_index.postings(v, index), v.where("vec_id = 0"), index).collect()
+    assert len(out) == 10 and {r.vec_id for r in out if r["rank"] <= 2} == {1, 2}
