@@ -114,12 +114,14 @@ def test_read_or_empty_and_compute_if_absent(spark, tmp_path):
 def test_unknown_station_gets_null_prediction(spark):
     import datetime as dt
     from sentier.plans import bikes as BK
-    hist = spark.createDataFrame([(s, dt.datetime(2024, 1, 1 + d, h), float(s + h)) for s in (1, 2, 3)
-                                  for d in range(3) for h in (8, 9)], "station_id long, ts timestamp, value double")
-    model = BK.availability_model(hist, num_trees=3)
-    req = spark.createDataFrame([("1", 0, 8), ("99", 0, 8)], "station_id string, weekday int, hour int")
-    got = {r.station_id: r.prediction for r in BK.predict_availability(model, req).collect()}
-    assert got["1"] is not None and got["99"] is None
+    hist = spark.createDataFrame([(s, dt.datetime(2024, 1, 1 + d, h), float(s + h), float(20 - s)) for s in (1, 2, 3)
+                                  for d in range(3) for h in (8, 9)],
+                                 "station_id long, ts timestamp, bikes double, docks double")
+    models = BK.availability_model(hist, num_trees=3)
+    req = spark.createDataFrame([(1, 0, 8), (99, 0, 8)], "station_id long, weekday int, hour int")
+    got = {r.station_id: r for r in BK.predict_availability(models, BK.station_means(hist), req).collect()}
+    assert 9.0 <= got[1].predicted_bikes <= 12.0 and 17.0 <= got[1].predicted_docks <= 19.0
+    assert got[99].predicted_bikes is None and got[99].predicted_docks is None
 
 
 def test_accents_beyond_latin1(spark):
