@@ -1,14 +1,16 @@
 """Approximate nearest neighbours over balanced posting lists.
 
-*Centroids* are fitted on at most ``SAMPLE_ROWS`` vectors (those whose ids have
-the least hash) by balanced bisection: a cluster is cut at the median of its
-main direction until there are as many leaves as lists are wanted, so each holds
-an equal share of the sample; a few rounds of k-means follow. There are at most
-``MAX_LISTS``, so centroids and their graph are bounded.
+*Centroids* are fitted on a sample of the vectors (those whose ids have the least
+hash; ``SAMPLE_ROWS``, or ``SAMPLE_PER_LIST`` a list if that is more) by balanced
+bisection: a cluster is cut at the median of its main direction until there are
+as many leaves as lists are wanted, so each holds an equal share of the sample; a
+few rounds of k-means follow. There are at most ``MAX_LISTS``, so centroids and
+their graph are bounded; beyond, lists grow, which costs time but no recall.
 
 *Centroid search* walks a neighbour graph kept in memory by every task: a beam of
 ``BEAM`` centroids, started from spread-out entry points, is expanded to the
-graph neighbours of its best members until nothing better turns up.
+graph neighbours of its best members until nothing better turns up. Where more
+centroids are wanted than the beam holds, all of them are compared.
 
 *Posting lists.* Every vector goes to its nearest list and, as a boundary vector,
 to others whose centroids are at most ``CLOSURE`` times as far, ``REPLICAS`` in
@@ -16,13 +18,18 @@ all. Lists are cut into blocks of about ``BLOCK_ROWS`` vectors by hash, so a lis
 that holds a third of all vectors (equal ones can't be parted by distance) is
 searched by many tasks.
 
-*Queries* select the lists whose centroids are at most ``RATIO`` times as far as
-the nearest one, ``PROBES`` at most and ``LEAST_PROBES`` at least (a query may sit
+*Queries* select the lists whose centroids are at most ``ratio`` times as far as
+the nearest one, ``probes`` at most and ``LEAST_PROBES`` at least (a query may sit
 on a centroid of few vectors), and meet the blocks of those lists; each
 block returns its nearest vectors by the exact distance in double precision, and
 a ranked limit per query merges them. Queries of one list are cut into blocks
 alike.
 
+*Probes and ratio* are tuned for each index: ``HELD`` of its queries are compared
+with every vector, and the cheapest pair is taken that finds ``TARGET`` of their
+true nearest, every list if need be. ``PROBES`` and ``RATIO`` are where it starts:
+no index searches by less.
+
 Defined results: vectors that are null, empty, zero, hold a null or non-finite
 component, or differ in length from most, take no part, nor do null ids; rows
 with equal id and vector count once; ties go to the smaller id; extra columns
@@ -31,6 +38,7 @@ are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,13 +49,23 @@ from pyspark.sql import functions as F
 
 from sentier.llm.shared import stored
 
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS, SAMPLE_PER_LIST = 20_000, 4
 LIST_ROWS = 400
-MAX_LISTS = 8192
+MAX_LISTS = 65_536
 BLOCK_ROWS = 4096
 DEGREE, BEAM = 16, 96
 REPLICAS, CLOSURE = 3, 1.05
 LEAST_PROBES, PROBES, RATIO = 8, 48, 1.6
+HELD, TARGET = 256, 0.95
+ASSIGNED = 1 << 16
+CELLS = 1 << 21
+
+
+def _least_columns(d: np.ndarray, k: int) -> np.ndarray:
+    """The columns of the k least values of each row, least first."""
+    at = np.argpartition(d, k - 1, axis=1)[:, :k] if k < d.shape[1] else np.tile(np.arange(k), (len(d), 1))
+    at.sort(axis=1)
+    return np.take_along_axis(at, np.argsort(np.take_along_axis(d, at, axis=1), axis=1, kind="stable"), axis=1)
 
 
 class Centroids:
@@ -58,10 +76,11 @@ class Centroids:
         n = len(points)
         self.squares = (points * points).sum(axis=1)
         near = np.empty((n, min(DEGREE, max(1, n - 1))), np.int32)
-        for i in range(0, n, 1024):
-            d = self.squares[None, :] - 2.0 * points[i:i + 1024] @ points.T
+        step = max(1, CELLS // n)
+        for i in range(0, n, step):
+            d = self.squares[None, :] - 2.0 * points[i:i + step] @ points.T
             d[np.arange(len(d)), np.arange(i, i + len(d))] = np.inf
-            near[i:i + 1024] = np.argsort(d, axis=1, kind="stable")[:, :near.shape[1]] if n > 1 else 0
+            near[i:i + step] = _least_columns(d, near.shape[1]) if n > 1 else 0
         self.near = near
         # entry points: farthest-first, about the square root of the centroids
         picks, far = [0], np.full(n, np.inf)
@@ -72,6 +91,8 @@ class Centroids:
 
     def search(self, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, distances), nearest first, of up to k centroids per row of x."""
+        if k > BEAM:
+            return self._scan(x, k)
         rows = [self._walk(v, k) for v in x]
         ids = np.full((len(x), k), -1, np.int32)
         dist = np.full((len(x), k), np.inf)
@@ -79,6 +100,20 @@ class Centroids:
             ids[r, :len(i)], dist[r, :len(d)] = i, d
         return ids, dist
 
+    def _scan(self, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.full((len(x), k), -1, np.int32)
+        dist = np.full((len(x), k), np.inf)
+        n = min(k, len(self.points))
+        step = max(1, CELLS // len(self.points))
+        for i in range(0, len(x), step):
+            y = x[i:i + step]
+            d = self.squares[None, :] - 2.0 * y @ self.points.T
+            at = _least_columns(d, n)
+            ids[i:i + step, :n] = at
+            dist[i:i + step, :n] = np.sqrt(np.maximum(
+                np.take_along_axis(d, at, axis=1) + (y * y).sum(axis=1)[:, None], 0.0))
+        return ids, dist
+
     def _walk(self, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         width = max(BEAM, 2 * k)
         seen = np.zeros(len(self.points), bool)
@@ -106,13 +141,10 @@ class Centroids:
 
 def fit_centroids(sample: np.ndarray, lists: int) -> np.ndarray:
     """Balanced bisection of the sample, then three rounds of k-means."""
-    parts = [np.arange(len(sample))]
-    while len(parts) < lists:
-        parts.sort(key=len, reverse=True)
-        big = parts.pop(0)
-        if len(big) < 2:
-            parts.append(big)
-            break
+    heap = [(-len(sample), 0, np.arange(len(sample)))]  # the largest first, then the oldest
+    made = 0
+    while len(heap) < lists and -heap[0][0] >= 2:
+        big = heapq.heappop(heap)[2]
         x = sample[big] - sample[big].mean(axis=0)
         way = x[np.argmax((x * x).sum(axis=1))]
         for _ in range(4):
@@ -122,12 +154,15 @@ def fit_centroids(sample: np.ndarray, lists: int) -> np.ndarray:
                 break
             way = way / size
         order = np.argsort(x @ way, kind="stable")
-        parts += [big[order[:len(big) // 2]], big[order[len(big) // 2:]]]
-    points = np.unique(np.array([sample[p].mean(axis=0) for p in parts]), axis=0)
+        for part in (big[order[:len(big) // 2]], big[order[len(big) // 2:]]):
+            made += 1
+            heapq.heappush(heap, (-len(part), made, part))
+    points = np.unique(np.array([sample[p].mean(axis=0) for _, _, p in heap]), axis=0)
     for _ in range(3):
+        step = max(1, CELLS // len(points))
         label = np.concatenate([
-            ((points * points).sum(axis=1)[None, :] - 2.0 * sample[i:i + 2048] @ points.T).argmin(axis=1)
-            for i in range(0, len(sample), 2048)])
+            ((points * points).sum(axis=1)[None, :] - 2.0 * sample[i:i + step] @ points.T).argmin(axis=1)
+            for i in range(0, len(sample), step)])
         n = np.bincount(label, minlength=len(points))
         total = np.zeros_like(points)
         np.add.at(total, label, sample)
@@ -156,33 +191,106 @@ def usable(vectors: DataFrame) -> DataFrame:
 def build(vectors: DataFrame, list_rows: int = LIST_ROWS, sample_rows: int = SAMPLE_ROWS) -> Centroids | None:
     """Centroids for usable vectors; None if there are none."""
     n = vectors.count()
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("embedding").toArrow()
     if not n:
         return None
     lists = int(min(MAX_LISTS, max(1, round(n / list_rows))))
+    sample_rows = max(sample_rows, SAMPLE_PER_LIST * lists)
+    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("embedding").toArrow()
     return Centroids(fit_centroids(_matrix(sample.column(0).combine_chunks()), lists))
 
 
 def _assign(index: Centroids, k: int, ratio: float, names: list[str], least: int = 1):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            ids, dist = index.search(_matrix(b.column("embedding")), k)
-            take = (ids >= 0) & ((dist <= ratio * dist[:, :1] + 1e-12) | (np.arange(k) < least))
-            row, at = np.nonzero(take)
-            pick = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("vec_id").take(pick), b.column("embedding").take(pick), pa.array(ids[row, at])], names=names)
+        step = max(1, ASSIGNED // k)
+        for whole in batches:
+            for i in range(0, whole.num_rows, step):
+                b = whole.slice(i, step)
+                ids, dist = index.search(_matrix(b.column("embedding")), k)
+                row, at = np.nonzero((ids >= 0) & _chosen(dist, np.arange(k), k, ratio, least))
+                pick = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("vec_id").take(pick), b.column("embedding").take(pick), pa.array(ids[row, at])], names=names)
     return run
 
 
+def _chosen(dist: np.ndarray, rank: np.ndarray, probes: int, ratio: float, least: int) -> np.ndarray:
+    """Which lists are searched, by centroid distance (nearest first) and rank."""
+    if np.isinf(ratio):
+        return (rank < probes) & (dist < np.inf)
+    return (rank < probes) & ((dist <= ratio * dist[:, :1] + 1e-12) | (rank < least))
+
+
 def postings(vectors: DataFrame, index: Centroids, replicas: int = REPLICAS, closure: float = CLOSURE) -> DataFrame:
     """(vec_id, embedding, list): every vector in all its lists."""
     names = ["vec_id", "embedding", "list"]
     return vectors.mapInArrow(_assign(index, replicas, closure, names), "vec_id long, embedding array<double>, list int")
 
 
+def _nearest_postings(qid: np.ndarray, q: np.ndarray, k: int):
+    """Each task's k nearest rows of the postings of every held query."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [np.zeros((len(q), 0)), np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0), np.int32)]
+        step = max(1, CELLS // len(q))
+        for whole in batches:
+            for i in range(0, whole.num_rows, step):
+                b = whole.slice(i, step)
+                x, xid = _matrix(b.column("embedding")), b.column("vec_id").to_numpy()
+                d = (q * q).sum(axis=1)[:, None] + (x * x).sum(axis=1)[None, :] - 2.0 * q @ x.T
+                d[qid[:, None] == xid[None, :]] = np.inf
+                rows = [np.concatenate([best[0], d], axis=1)] + [
+                    np.concatenate([old, np.broadcast_to(new, (len(q), len(new)))], axis=1)
+                    for old, new in ((best[1], xid), (best[2], b.column("list").to_numpy()))]
+                at = _least_columns(rows[0], min(k, rows[0].shape[1]))
+                best = [np.take_along_axis(r, at, axis=1) for r in rows]
+        held, at = np.nonzero(np.isfinite(best[0]))
+        yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32))] + [pa.array(c[held, at]) for c in best],
+                                         names=["held", "score", "vec_id", "list"])
+    return run
+
+
+def tuned(posted: DataFrame, queries: DataFrame, index: Centroids, top: int = 10, replicas: int = REPLICAS,
+          target: float = TARGET, held: int = HELD) -> tuple[int, float]:
+    """(probes, ratio) that find ``target`` of the true nearest of ``held``
+    queries (those whose ids have the least hash), compared with all vectors."""
+    n = len(index.points)
+    asked = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(held).select("vec_id", "embedding").toArrow()
+    if n <= LEAST_PROBES or not asked.num_rows:
+        return PROBES, RATIO
+    q = _matrix(asked.column("embedding").combine_chunks())
+    # a vector is in ``replicas`` lists at most, so these rows hold the nearest ``top`` with all their lists
+    k = top * replicas
+    order = Window.partitionBy("held").orderBy("score", "vec_id", "list")
+    found = (posted.mapInArrow(_nearest_postings(asked.column("vec_id").to_numpy(), q, k),
+                               "held int, score double, vec_id long, list int")
+             .withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
+             .groupBy("held", "vec_id").agg(F.min("score").alias("score"), F.collect_set("list").alias("lists")))
+    order = Window.partitionBy("held").orderBy("score", "vec_id")
+    found = (found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= top)
+             .select("held", "vec_id", F.explode("lists").alias("list")).toArrow())
+    if not found.num_rows:
+        return PROBES, RATIO
+    row, vec, own = (found.column(c).to_numpy() for c in ("held", "vec_id", "list"))
+    _, pair = np.unique(np.stack([row, vec]), axis=1, return_inverse=True)
+    pair = pair.reshape(-1)
+    ids, dist = index._scan(q, n)
+    rank = np.empty_like(ids)
+    np.put_along_axis(rank, ids, np.broadcast_to(np.arange(n, dtype=ids.dtype), ids.shape), axis=1)
+    at = rank[row, own]
+    best = None
+    for ratio in (RATIO, 1.5 * RATIO, np.inf):
+        ok = _chosen(dist, np.arange(n), n, ratio, LEAST_PROBES)
+        first = np.full(pair.max() + 1, n)
+        np.minimum.at(first, pair, np.where(ok[row, at], at, n))
+        need = int(np.sort(first)[int(np.ceil(target * len(first))) - 1])
+        if need >= n:
+            continue  # lists that this ratio leaves out are wanted
+        probes = max(PROBES, need + 1)
+        cost = ok[:, :probes].sum()
+        if best is None or cost < best[0]:
+            best = cost, probes, ratio
+    return best[1], float(best[2])
+
+
 def _search_block(top: int):
     def run(queries: pa.Table, block: pa.Table) -> pa.Table:
         out = [[], [], []]
@@ -239,4 +347,6 @@ def nearest(vectors: DataFrame, is_query, top: int = 10) -> DataFrame:
     if index is None:
         return good.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     posted = stored(postings(good, index), "postings")
-    return search(posted, good.where(is_query), index, top)
+    queries = good.where(is_query)
+    probes, ratio = tuned(posted, queries, index, top)
+    return search(posted, queries, index, top, probes, ratio)

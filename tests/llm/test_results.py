@@ -7,12 +7,14 @@ import sys
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 import corpus_pipeline
 from sentier.llm import ann_index, decontam, near_dedup, quality, sharding, token_counts
+from sentier.llm.shared import stored
 
 from conftest import ROOT, SF01, SMOKE
 
@@ -159,6 +161,35 @@ def test_nearest_recall(spark):
     assert hit / total >= 0.9
 
 
+def test_recall_holds_with_lists_far_beyond_the_probes(spark):
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(2, 64))
+    x = centres[rng.integers(0, 2, 24_000)] + 0.9 * rng.normal(size=(24_000, 64))
+    vectors = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": list(x)}),
+                                    "vec_id long, embedding array<double>")
+    good = stored(ann_index.usable(vectors), "vectors")
+    index = ann_index.build(good, list_rows=15)
+    assert len(index.points) >= 1500 > 30 * ann_index.PROBES
+    posted = stored(ann_index.postings(good, index), "postings")
+    asked = good.where("vec_id % 120 = 0")
+    held = good.where("vec_id % 120 = 60")  # tuned on others than those asked
+
+    def recall(probes, ratio):
+        got = defaultdict(set)
+        for r in ann_index.search(posted, asked, index, 10, probes, ratio).collect():
+            got[r.query_id].add(r.vec_id)
+        hit = 0
+        for q in range(0, len(x), 120):
+            d = ((x - x[q]) ** 2).sum(axis=1)
+            d[q] = np.inf
+            hit += len(set(np.argsort(d, kind="stable")[:10].tolist()) & got[q])
+        return hit / (10 * len(range(0, len(x), 120)))
+    probes, ratio = ann_index.tuned(posted, held, index)
+    fixed, own = recall(ann_index.PROBES, ann_index.RATIO), recall(probes, ratio)
+    print("lists", len(index.points), "probes", probes, "ratio", ratio, "recall fixed", fixed, "tuned", own)
+    assert probes > ann_index.PROBES and own >= 0.9 > fixed
+
+
 def test_graph_search_finds_the_nearest_centroids():
     rng = np.random.default_rng(1)
     c = ann_index.Centroids(rng.normal(size=(600, 16)))
