@@ -9,6 +9,19 @@ weighs at most as much as another one), so it is dropped before any join; the
 rest meet the templates in a join on terms. The best template at or above the
 threshold is the header's licence (ties: template id, then first line).
 
+Files that are still without a licence are searched for *wordings*: the notices
+inside longer lines or wrapped over several, usual headers, licences' titles,
+openings and whole texts (``license_texts``). A wording of n words meets the
+windows of n words (titles: the lines) of a file by the same cosine. A window at
+the threshold holds one of the wording's anchors, its heaviest terms that weigh
+more than the rest may lack, so only windows around anchors are formed, in files
+that hold enough of the wording's terms; windows of long wordings start at every
+sixteenth of their length. The match of most weight times cosine wins: a whole
+licence goes before its first sentence. An SPDX tag is a header of its own and goes before all
+wordings (the first tag of a file; known ids by their template, others and
+expressions as written). A file that reaches ``FILE_COSINE`` to a whole text, or
+opens as a licence does, is a licence file.
+
 A file whose whole text reaches ``FILE_COSINE``, or that is named like a licence
 file and has a licence of its own, states the licence of its directory. A file
 without a header takes that of the nearest ancestor directory: distinct
@@ -23,13 +36,23 @@ an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sentier.llm.license_texts import HEADERS, KEYS, OPENINGS, TEXTS, TITLES
+from sentier.llm.shared import stored
+
 COSINE = 0.8
 FILE_COSINE = 0.6
 LICENSE_NAME = r"(?i)^(licen[cs]e|copying|notice)(\.[a-z]+)?$"
 
+SPDX = (r"(?i:SPDX-License-Identifier):[ \t]*(\(?[A-Za-z0-9][A-Za-z0-9.+-]*\)?"
+        r"(?:[ \t]+(?:AND|OR|WITH)[ \t]+\(?[A-Za-z0-9][A-Za-z0-9.+-]*\)?)*)")
+OPENING_WORDS = 100
+
 # Usual one-line licence notices.
 NOTICES = {
     "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
@@ -58,6 +81,17 @@ def terms(text: Column) -> Column:
     return F.array_remove(F.array_distinct(F.split(F.lower(text), "[^a-z0-9]+")), "")
 
 
+def wordings() -> list[tuple[str, str, str, str]]:
+    """(template, kind, keys, text) of what is searched for in windows."""
+    return ([(k, "words", KEYS[k], v) for k, v in sorted(NOTICES.items())]
+            + [(k, kind, KEYS[k], v) for kind, listed in (("line", TITLES), ("words", HEADERS)) for k, v in listed]
+            + [(k, kind, "", v) for kind, listed in (("opening", OPENINGS), ("text", TEXTS)) for k, v in listed])
+
+
+def _words(text: str) -> list[str]:
+    return [w for w in re.split("[^a-z0-9]+", text.lower()) if w]
+
+
 def _vocabulary(model: DataFrame) -> list[str]:
     """The templates' terms; as bounded as the list of templates."""
     return [r[0] for r in model.select(F.explode(terms(F.col("text")))).distinct().orderBy("col").collect()]
@@ -104,6 +138,90 @@ def _own_licenses(files: DataFrame, model: DataFrame, cosine: float, file_cosine
                     F.col("b.line").alias("line")))
 
 
+def _spdx(files: DataFrame) -> DataFrame:
+    """(row, whole, template, cosine, line) of files with an SPDX tag."""
+    said = F.regexp_replace(F.element_at(F.regexp_extract_all("text", F.lit(SPDX), F.lit(1)), 1), r"\.+$", "")
+    said = F.when(said.rlike(r"\s"), said).otherwise(F.regexp_replace(said, r"[()]", ""))
+    plain = F.lower(F.regexp_replace(said, r"(?i)(-only|-or-later|\+)$", ""))
+    known = F.create_map(*[F.lit(x) for k in KEYS for x in (k.lower(), k)])
+    tagged = files.where(F.col("text").rlike(SPDX))
+    return tagged.select("row", F.lit(False).alias("whole"), F.coalesce(known[plain], said).alias("template"),
+                         F.lit(1.0).alias("cosine"), F.lit(0).alias("line"))
+
+
+def _worded(files: DataFrame, own: DataFrame, cosine: float, file_cosine: float,
+            listed: list[tuple[str, str, str, str]]) -> DataFrame:
+    """(row, whole, template, cosine, line) of files that are not in ``own``, by
+    SPDX tag or wording."""
+    spark = files.sparkSession
+    vocabulary = sorted({w for x in listed for w in _words(x[3])})
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    n = files.count()
+    counted = files.select(F.explode(F.array_intersect(terms(text), F.array(*[F.lit(t) for t in vocabulary]))).alias("term"))
+    df = {r[0]: r[1] for r in counted.groupBy("term").count().collect()}
+    w2 = {t: (math.log((1.0 + n) / (1.0 + df.get(t, 0))) + 1.0) ** 2 for t in vocabulary}
+    rare = (math.log(1.0 + n) + 1.0) ** 2
+    specs, cells, wanted = [], [], set()
+    for i, (template, kind, keys, said) in enumerate(listed):
+        words = _words(said)
+        own_terms = sorted(set(words), key=lambda t: (-w2[t], t))
+        m2 = math.fsum(w2[t] for t in own_terms)
+        least = min(cosine, file_cosine) if kind in ("opening", "text") else cosine
+        anchors, held = [], 0.0
+        while anchors != own_terms and held <= (1.0 - least * least) * m2 * (1 + 1e-9):
+            held += w2[own_terms[len(anchors)]]
+            anchors.append(own_terms[len(anchors)])
+        wanted.update(anchors)
+        specs.append((i, template, kind, keys.split(), len(words), max(1, len(words) // 16), m2, least, anchors))
+        cells += [(i, t, w2[t]) for t in own_terms]
+    specs = F.broadcast(spark.createDataFrame(specs, "id int, template string, kind string, keys array<string>, "
+                                              "size int, step int, m2 double, least double, anchors array<string>"))
+    cells = F.broadcast(spark.createDataFrame(cells, "id int, term string, w2 double"))
+    idf = F.broadcast(spark.createDataFrame(sorted(w2.items()), "term string, w2 double"))
+
+    open_files = files.withColumn("text", text).where(
+        F.arrays_overlap(terms(F.col("text")), F.array(*[F.lit(t) for t in sorted(wanted)]))
+        | F.col("text").rlike(SPDX))
+    left = stored(open_files.dropDuplicates(["row"]).join(own.select("row").distinct(), "row", "left_anti"), "unlicensed")
+    tags = _spdx(left)
+    rest = left.join(tags.select("row"), "row", "left_anti")
+    # a window reaches the cosine only in a file that holds enough of the wording's weight
+    able = (rest.select("row", F.explode(terms(F.col("text"))).alias("term")).join(cells, "term")
+            .groupBy("row", "id").agg(F.sum("w2").alias("held")).join(specs, "id")
+            .where("held * 1.000000001 >= least * least * m2"))
+    # tokens keep their order and repeats; lines are pieces of their own
+    tokens = lambda c: F.array_remove(F.split(F.lower(c), "[^a-z0-9]+"), "")
+    tried = able.drop("held").join(rest, "row").withColumn("w", tokens(F.col("text")))
+    # starts (from 1) of the windows that hold an anchor, on the wording's grid
+    at = F.expr("filter(transform(w, (x, i) -> if(array_contains(anchors, x), i, -1)), i -> i >= 0)")
+    starts = F.expr("array_distinct(flatten(transform(anchored, i -> transform(sequence("
+                    "cast(greatest(i - size + 1, 0) div step as int), cast(i div step as int)), k -> k * step + 1))))")
+    pieces = F.expr("transform(starts, s -> named_struct('line', s, 'whole', false, 't', array_distinct(slice(w, s, size))))")
+    lines = F.expr("transform(split(text, '\n'), (x, i) -> named_struct('line', cast(i as int), 'whole', false, "
+                   "'t', array_remove(array_distinct(split(lower(x), '[^a-z0-9]+')), '')))")
+    lines = F.filter(lines, lambda p: F.arrays_overlap(p["t"], F.col("anchors")))
+    full = F.expr("array(named_struct('line', 0, 'whole', true, 't', array_distinct(w)))")
+    got = ["row", "id", "template", "kind", "keys", "m2"]
+    windows = (tried.where("kind <> 'line'").withColumn("anchored", at).withColumn("starts", starts)
+               .select(*got, F.explode(pieces).alias("p")))
+    titles = tried.where("kind = 'line'").select(*got, F.explode(lines).alias("p"))
+    wholes = tried.where("kind = 'text'").select(*got, F.explode(full).alias("p"))
+    found = (windows.unionByName(titles).unionByName(wholes).select(*got, "p.*")
+             .where(F.size(F.array_except("keys", "t")) == 0))
+    weighed = (found.select(*got, "line", "whole", F.explode("t").alias("term"))
+               .join(idf.withColumnRenamed("w2", "all2"), "term", "left").join(cells, ["id", "term"], "left")
+               .groupBy("row", "id", "template", "kind", "m2", "line", "whole")
+               .agg(F.sum(F.coalesce("all2", F.lit(rare))).alias("n2"), F.sum(F.coalesce("w2", F.lit(0.0))).alias("dot")))
+    scored = weighed.withColumn("cosine", F.round(F.col("dot") / F.sqrt(F.col("n2") * F.col("m2")), 6))
+    scored = scored.where(F.col("cosine") >= F.when(F.col("whole"), file_cosine).otherwise(cosine))
+    scored = scored.withColumn("whole", F.col("whole") | ((F.col("kind") == "opening") & (F.col("line") <= OPENING_WORDS)))
+    best = F.min(F.struct(-F.round(F.col("dot") * F.col("cosine"), 6), -F.col("cosine"), F.col("template"), F.col("line")))
+    return tags.unionByName(
+        scored.groupBy("row", "whole").agg(best.alias("b"))
+        .select("row", "whole", F.col("b.template").alias("template"), (-F.col("b.col2")).alias("cosine"),
+                F.col("b.line").alias("line")))
+
+
 def scan_licenses(files: DataFrame, model: DataFrame, cosine: float = COSINE, file_cosine: float = FILE_COSINE) -> DataFrame:
     """``files`` (file_id, path, text) to (file_id, path, license, how, cosine,
     from_dir): how is header, file, inherited or none."""
@@ -113,7 +231,8 @@ def scan_licenses(files: DataFrame, model: DataFrame, cosine: float = COSINE, fi
                             F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))))
     files = files.select(F.col("file_id"), F.col("path"), F.col("text"), row.alias("row"),
                          F.regexp_replace(path, "/[^/]*$", "").alias("dir"), F.element_at(F.split(path, "/"), -1).alias("name"))
-    own = _own_licenses(files.select("row", "text"), model, cosine, file_cosine)
+    own = stored(_own_licenses(files.select("row", "text"), model, cosine, file_cosine), "notices")
+    own = own.unionByName(_worded(files.select("row", "text"), own, cosine, file_cosine, wordings()))
     best = own.groupBy("row").agg(
         F.min_by(F.struct("template", "cosine", "whole"), F.struct(F.col("whole"), -F.col("cosine"))).alias("h"),
         F.max("whole").alias("is_file"))

@@ -110,6 +110,40 @@ def test_licenses(spark, docs, none):
     assert license_scan.scan_licenses(files.where("false"), model).collect() == []
 
 
+def test_license_wordings(spark):
+    from sentier.llm.license_texts import HEADERS, OPENINGS, TEXTS
+    texts = {k: v for k, v in TEXTS}  # the longest of each licence stands last
+    gpl = dict(HEADERS)["GPL-3.0"].split()
+    wrapped = "\n".join(" * " + " ".join(gpl[i:i + 9]) for i in range(0, len(gpl), 9))
+    code = "\n" + "\n".join(f"x{i} = compute_{i}(y{i})" for i in range(60))
+    cases = [
+        ("// Released under the MIT License. See LICENSE in the project root for details." + code, "MIT", "header"),
+        ("All rights reserved. Released under the MIT License." + code, "MIT", "header"),
+        (WORDS + " Released under\n# the MIT License. " + WORDS, "MIT", "header"),
+        ("# MIT License" + code, "MIT", "header"),
+        ("# SPDX-License-Identifier: MIT" + code, "MIT", "header"),
+        ("/* SPDX-License-Identifier: GPL-2.0-or-later */" + code, "GPL-2.0", "header"),
+        ("// SPDX-License-Identifier: Zlib" + code, "Zlib", "header"),
+        ("// SPDX-License-Identifier: (MIT OR Apache-2.0)" + code, "(MIT OR Apache-2.0)", "header"),
+        ("# Permission is hereby granted, free of charge, to any person obtaining a copy" + code, "MIT", "header"),
+        ("/*\n" + wrapped + "\n */" + code, "GPL-3.0", "header"),
+        ("/* " + texts["MIT"] + " */" + code, "MIT", "header"),
+        ("Copyright (c) 2020 A. Person\n\n" + texts["BSD-3-Clause"], "BSD-3-Clause", "file"),
+        ("Copyright (c) 2020 A. Person\n\n" + texts["BSD-2-Clause"], "BSD-2-Clause", "file"),
+        ("MIT License\n\nCopyright (c) 2020 A. Person\n\n" + texts["MIT"], "MIT", "file"),
+        (dict(OPENINGS)["GPL-3.0"] + "\n" + LONG, "GPL-3.0", "file"),
+        ("nothing is licensed here, the version is 2.0" + code, None, "none"),
+        ("Released under the license." + WORDS, None, "none"),
+    ]
+    rows = [(i, f"/d{i}/x.py", t) for i, (t, _, _) in enumerate(cases)] + [
+        (1000 + i, f"/e{i}/y.py", f"the text of a file {i} under no terms is copy number {i}") for i in range(100)]
+    files = spark.createDataFrame(rows, "file_id long, path string, text string")
+    out = license_scan.scan_licenses(files, license_scan.templates(spark)).where("file_id < 1000").collect()
+    # a file found both ways reports its header's cosine and states its directory's licence
+    got = {r.file_id: (r.license, r.how) for r in out}
+    assert {i: got[i] for i in got} == {i: (k, how) for i, (_, k, how) in enumerate(cases)}
+
+
 def test_vectors(spark):
     rows = [(i, [float(i), 1.0], 0) for i in range(30)] + [
         (100, None, 0), (101, [], 0), (102, [0.0, 0.0], 0), (103, [1.0, None], 0), (104, [float("nan"), 1.0], 0),
