@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,6 +107,18 @@ def test_heavy_shingles_are_counted_exactly(spark):
     assert idf.docs == 300 and idf.floor == 300 * 11 / 64 and sorted(idf.df) == [300.0, 300.0, 300.0]
 
 
+def test_heavy_shingles_do_not_depend_on_the_split(spark):
+    rows = [(i, "common words in every text " + " ".join(f"u{i}x{j}" for j in range(60))) for i in range(24)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("text")
+    for parts in (df.coalesce(1), df.repartitionByRange(24, "text")):  # one document per partition
+        idf = near_dedup.corpus_idf(parts, slots=1000)
+        assert idf.docs == 24 and list(idf.df) == [24.0]
+    many = near_dedup._local_heavy(4)
+    batches = [pa.RecordBatch.from_pydict({"text": [t]}) for _, t in rows]
+    whole = {x: n for b in many(iter(batches)) for x, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
+    assert len(whole) <= 33 and whole[None] == 24 * 61
+
+
 def test_token_counts(spark, documents):
     import base64
 
