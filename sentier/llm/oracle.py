@@ -160,6 +160,31 @@ FROM p
 """
 
 
+ORACLE["op13_lexical_search"] = r"""
+WITH lowered AS (
+  SELECT item_id, translate(coalesce("text", ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM benchmark),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM lowered),
+d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce("text", ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+s AS (SELECT CAST(count(*) AS BIGINT) AS big_n, CAST(sum(len(w)) AS BIGINT) AS l FROM d WHERE len(w) > 0),
+m AS (SELECT rid, doc_id, 100 - 50 + ((50 * CAST(len(w) AS BIGINT) * big_n) // l) AS m, w FROM d, s WHERE len(w) > 0),
+p AS (
+  SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(w) AS term FROM m) WHERE term IN (SELECT term FROM asked)
+  GROUP BY rid, term),
+wt AS (
+  SELECT term, CAST(floor(1000 * ln((2 * CAST(any_value(big_n) AS DOUBLE) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM p, s GROUP BY term),
+sc AS (
+  SELECT item_id, rid, CAST(sum(wt.w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+  FROM asked JOIN p USING (term) JOIN wt USING (term) JOIN m USING (rid) GROUP BY item_id, rid)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score
+FROM sc JOIN m USING (rid) WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 50
+"""
+
+
 def _license_sql() -> str:
 
     rows = ", ".join(f"('{k}', '{v}')" for k, v in sorted(NOTICES.items()))

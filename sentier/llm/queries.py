@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentier.llm import (ann_index, chat_format, decontam, fill_middle, license_scan, mixing, near_dedup, quality,
-                         sharding, substring_dedup, token_counts)
+from sentier.llm import (ann_index, chat_format, decontam, fill_middle, lexical, license_scan, mixing, near_dedup,
+                         quality, sharding, substring_dedup, token_counts)
 from sentier.llm.shared import stored
 
 
@@ -84,6 +84,10 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digest(fill_middle.transform(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_near_dedup": op2_near_dedup,
@@ -96,4 +100,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_decontamination": op10_decontamination,
     "op11_fill_middle": op11_fill_middle,
+    "op13_lexical_search": op13_lexical_search,
 }
