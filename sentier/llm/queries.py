@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentier.llm import (ann_index, chat_format, decontam, fill_middle, lexical, license_scan, mixing, near_dedup,
-                         quality, sharding, substring_dedup, token_counts)
+                         quality, sharding, substring_dedup, token_counts, toxicity)
 from sentier.llm.shared import stored
 
 
@@ -84,6 +84,14 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digest(fill_middle.transform(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").where(~toxicity.held_out(F.col("doc_id")))
+    scored = toxicity.score(docs, toxicity.fit(docs, labels))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= toxicity.PREDICTED).cast("int").alias("predicted"), "spans")
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -100,5 +108,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_decontamination": op10_decontamination,
     "op11_fill_middle": op11_fill_middle,
+    "op12_toxicity": op12_toxicity,
     "op13_lexical_search": op13_lexical_search,
 }
