@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sentier import constants as K
 from sentier.functions.text import split_list
+from sentier.plans.ledger import ledger
 
 
 def tiers_dim(spark: SparkSession) -> DataFrame:
@@ -85,58 +86,19 @@ def tier_progress(wallet: DataFrame) -> DataFrame:
                     (nxt["min_nc"] - coins).alias("coins_needed"))
 
 
-LEDGER_SCHEMA = "user_id long, event_id long, cost int, accepted boolean, balance int"
-
-
-def _fold_partition(batches):
-    """Sequential ledger fold over rows sorted by (user_id, event_id).
-
-    Streams Arrow batches: state is one user's running balance, carried
-    across batch boundaries, so a hot user is never held in memory whole.
-    """
-    import pandas as pd
-    cur_user, bal = None, None
-    for pdf in batches:
-        if pdf.empty:
-            continue
-        users = pdf["user_id"].to_numpy()
-        costs = pdf["cost"].to_numpy()
-        starts = pdf["coins"].to_numpy()
-        acc = [False] * len(pdf)
-        out = [0] * len(pdf)
-        for i in range(len(pdf)):
-            u = users[i]
-            if u != cur_user:
-                cur_user, bal = u, int(starts[i])
-            c = costs[i]
-            if c is not None and c == c and c > 0 and bal >= c:
-                bal -= int(c)
-                acc[i] = True
-            out[i] = bal
-        yield pd.DataFrame({"user_id": pdf["user_id"], "event_id": pdf["event_id"], "cost": pdf["cost"],
-                            "accepted": acc, "balance": out})
-
-
 def wallet_ledger(wallet: DataFrame, spends: DataFrame) -> DataFrame:
-    """Every spend with its outcome and the balance after it.
-
-    A spend is accepted when its cost is positive and the balance covers it;
-    a rejected spend leaves the balance unchanged. Rows are hashed by user and
-    sorted by event id inside each partition, then folded in one streaming pass.
-    """
-    j = spends.select("event_id", "user_id", "cost").join(wallet.select("user_id", "coins"), "user_id")
-    ordered = j.repartition("user_id").sortWithinPartitions("user_id", "event_id")
-    return ordered.mapInPandas(_fold_partition, LEDGER_SCHEMA)
+    """Every spend with its outcome and the balance after it."""
+    return ledger(wallet, spends)
 
 
 def wallet_balances(wallet: DataFrame, spends: DataFrame) -> DataFrame:
     """R3 summary: final balance and accepted/rejected counts per user."""
     led = wallet_ledger(wallet, spends)
-    s = led.groupBy("user_id").agg(F.max_by("balance", "event_id").alias("last_balance"),
+    s = led.groupBy("user_id").agg(F.sum(F.when(F.col("accepted"), F.col("cost")).otherwise(0)).alias("spent"),
                                    F.count_if("accepted").alias("n_accepted"),
                                    F.count_if(~F.col("accepted")).alias("n_rejected"))
     return (wallet.select("user_id", "coins").join(s, "user_id", "left")
-            .select("user_id", F.coalesce("last_balance", "coins").alias("balance"),
+            .select("user_id", (F.col("coins") - F.coalesce("spent", F.lit(0))).cast("int").alias("balance"),
                     F.coalesce("n_accepted", F.lit(0)).alias("n_accepted"),
                     F.coalesce("n_rejected", F.lit(0)).alias("n_rejected")))
 

@@ -892,11 +892,19 @@ def _q_stream_sentiment_windows(spark, sf):
                                        shared_path(spark, "ckpt-windows"))
 
 
+def _landed_spends(spark, sf):
+    """The spends with their event time, landed in four slices of about a week."""
+    when = table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    sp = role(spark, sf, "v_spends").join(when, "event_id")
+    src = shared_path(spark, "spends-src")
+    SC.land_in_order(sp, src, "ts", 4)
+    SC.land_marker(spark, src, sp.schema, "ts", "2100-01-01")
+    return sp, src
+
+
 @register("stream_wallet")
 def _q_stream_wallet(spark, sf):
-    sp = role(spark, sf, "v_spends")
-    src = shared_path(spark, "spends-src")
-    SC.land_in_order(sp, src, "event_id", 4)
+    sp, src = _landed_spends(spark, sf)
     return SWA.wallet_stream(spark, src, sp.schema, _wallet(spark, sf), shared_path(spark, "wallet-sink"),
                              shared_path(spark, "ckpt-wallet"))
 
