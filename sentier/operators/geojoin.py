@@ -16,9 +16,10 @@ it is broadcast and the query side never shuffles; otherwise both sides
 shuffle on the cell key, the query side salted so one hot cell (a city centre
 holding a third of all rows) is spread over ``salt`` tasks.
 
-``nearest_k`` gives the exact k nearest points of every query by running the
-radius join for still-unresolved queries at growing radii; each round's
-result is checkpointed so lineage stays short.
+``nearest_k`` gives the exact k nearest points of every query: points of one
+coordinate count as one site, ``ring_search`` runs the radius join for
+still-unresolved queries at growing radii (each round's result is written, so
+lineage stays short) and ``far_pairs`` serves those far from everything.
 """
 
 from __future__ import annotations
@@ -280,13 +281,63 @@ def far_pairs(queries: DataFrame, points: DataFrame, k: int, *, q_key: str, p_ke
     return kept.select(q_key, q_lat, q_lon, *by, "_cube").join(at, [*by, "_cube"]).drop("_cube")
 
 
+def located(df: DataFrame, lat: str, lon: str) -> DataFrame:
+    """The rows with finite coordinates on the globe (NaN and infinity fail both tests)."""
+    return df.where(F.col(lat).between(-90.0, 90.0) & F.col(lon).between(-360.0, 360.0))
+
+
+def sites(points: DataFrame, key: str, lat: str, lon: str, most: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row per distinct coordinate (and ``by``): its least key under the name of
+    the key, and its ``most`` least keys as ``_keys``. However many points share a
+    coordinate, a task keeps ``most`` of them before the shuffle."""
+    place = [lat, lon, *by]
+    kept = top_k_per_group(points.select(key, *place), place, [F.col(key)], most)
+    return (kept.groupBy(*place).agg(F.array_sort(F.collect_list(key)).alias("_keys"))
+            .withColumn(key, F.element_at("_keys", 1)))
+
+
 def nearest_k(queries: DataFrame, points: DataFrame, k: int, *, q_key: str, p_key: str,
+              q_lat: str, q_lon: str, p_lat: str, p_lon: str, dist_col: str = "dist_km", rank_col: str = "rank",
+              exclude_self: bool = False, pair_filter=None, by: tuple[str, ...] = (), **how) -> DataFrame:
+    """Exact k nearest points of every query, unbounded distance, ties by the
+    point key: (q_key, p_key, dist_col, rank_col).
+
+    Rows of either side without a finite coordinate take no part. Points of one
+    coordinate are searched as one site and expanded after ranking, so a query
+    meets a bounded number of them however many there are (but with
+    ``pair_filter``, which looks at each point). ``exclude_self`` drops pairs
+    whose keys are equal; ``by`` names columns that both must share; ``how`` is
+    for ``ring_search``.
+    """
+    queries, points = located(queries, q_lat, q_lon), located(points, p_lat, p_lon)
+    names = dict(q_key=q_key, p_key=p_key, q_lat=q_lat, q_lon=q_lon, p_lat=p_lat, p_lon=p_lon, dist_col=dist_col,
+                 rank_col=rank_col, by=by)
+    if pair_filter is not None:
+        return ring_search(queries, points, k, exclude_self=exclude_self, pair_filter=pair_filter, **names, **how)
+    most = k + (1 if exclude_self else 0)  # a query's own site may hold nothing else
+    at = materialize(sites(points, p_key, p_lat, p_lon, most, by), "sites")
+    if (at.agg(F.max(F.size("_keys"))).first()[0] or 0) <= 1:
+        return ring_search(queries, at, k, exclude_self=exclude_self, **names, **how)
+    found = ring_search(queries, at, most, **names, **how)
+    # a site's least key names it, but for ``by``, where each query stays in its own
+    keys = at.select(p_key, "_keys", *by)
+    if by:
+        found = found.join(queries.select(q_key, *by), q_key).join(keys, [p_key, *by])
+    else:
+        found = found.join(keys, p_key)
+    out = found.select(q_key, F.explode("_keys").alias(p_key), dist_col)
+    if exclude_self:
+        out = out.where(F.col(q_key) != F.col(p_key))
+    return top_k_per_group(out, [q_key], [F.col(dist_col), F.col(p_key)], k, rank_col)
+
+
+def ring_search(queries: DataFrame, points: DataFrame, k: int, *, q_key: str, p_key: str,
               q_lat: str, q_lon: str, p_lat: str, p_lon: str, metric: str = "sphere",
               start_km: float | None = None, growth: float = 4.0, dist_col: str = "dist_km",
               rank_col: str = "rank", exclude_self: bool = False,
               broadcast: bool | None = None, max_km: float | None = None,
               pair_filter=None, by: tuple[str, ...] = ()) -> DataFrame:
-    """Exact k nearest points of every query, unbounded distance.
+    """Exact k nearest points of every query, all with finite coordinates.
 
     Round r joins the still-unresolved queries within radius ``start*growth^r``;
     a query is resolved once it has k points inside the radius (nothing outside
