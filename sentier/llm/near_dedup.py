@@ -50,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sentier.llm.shared import stored
+from sentier.llm.shared import free_names, stored
 from sentier.session import shared_path
 from sentier.llm.textvec import (as_long, gram_hashes, merged, mix, seed, small_batches, text_bytes, whole_windows,
                                  word_hashes, word_spans)
@@ -60,7 +60,7 @@ THRESHOLD = 0.8
 HEAVY_SHINGLES = 1 << 16
 PERMUTATIONS, BINS, BAND = 4, 16, 4
 EMPTY_DRAWS = 100_000
-PAIRS_PER_MEMBER = 4
+PAIRS_PER_MEMBER = 16
 PAIR_CHUNK_BYTES = 2 << 20
 
 
@@ -370,16 +370,17 @@ def similar_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def one_per_class(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with one row of each class: the least id (then digest; nulls
     last) and, of equal rows, one."""
-    tag = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), F.col("_node"))
-    rows = _classes(docs, threshold).withColumnRenamed("node", "_node")
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_node"))
-    best = rows.groupBy("root").agg(F.min(order).alias("b")).select("b.doc_id", "b._node").select(tag.alias("_tag"))
-    count = rows.select(tag.alias("_tag")).groupBy("_tag").agg(F.count(F.lit(1)).alias("_n"))
-    keep = stored(best.join(count, "_tag"), "kept")
-    found = docs.withColumn("_node", _node()).withColumn("_tag", tag).join(keep, "_tag")
+    node, tag, copies = free_names(docs, "node", "tag", "copies")
+    key = lambda n: F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), F.col(n))
+    rows = _classes(docs, threshold)
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("node"))
+    best = rows.groupBy("root").agg(F.min(order).alias("b")).select("b.doc_id", "b.node").select(key("node").alias(tag))
+    count = rows.select(key("node").alias(tag)).groupBy(tag).agg(F.count(F.lit(1)).alias(copies))
+    keep = stored(best.join(count, tag), "kept")
+    found = docs.withColumn(node, _node()).withColumn(tag, key(node)).join(keep, tag)
     own = [F.col(f"`{c}`") for c in docs.columns]
-    return (found.where("_n = 1").select(*own)
-            .unionByName(found.where("_n > 1").dropDuplicates(["_tag"]).select(*own)))
+    return (found.where(F.col(copies) == 1).select(*own)
+            .unionByName(found.where(F.col(copies) > 1).dropDuplicates([tag]).select(*own)))
 
 
 def _classes(docs: DataFrame, threshold: float) -> DataFrame:

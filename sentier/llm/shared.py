@@ -24,3 +24,14 @@ def stored(df: DataFrame, name: str, few: bool = False) -> DataFrame:
     path = shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for working columns that no column of ``df`` has (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
