@@ -576,6 +576,22 @@ SELECT 'routes' AS table_name, count(*) AS n_rows FROM v_routes
 UNION ALL SELECT 'shapes', count(*) FROM v_shapes UNION ALL SELECT 'stop_times', count(*) FROM v_stop_times
 UNION ALL SELECT 'stops', count(*) FROM v_stops UNION ALL SELECT 'trips', count(*) FROM v_trips"""
 
+ORACLE["csv_comma_roundtrip"] = W("v_access") + """
+SELECT name, ord, CAST(entree_pmr AS VARCHAR) AS entree_pmr, accueil_personnels FROM v_access"""
+
+ORACLE["feedback_or_empty"] = W("v_feedback") + """
+SELECT 'landed' AS feed, count(*) AS n_rows, count(theme) AS n_themes FROM v_feedback UNION ALL SELECT 'absent', 0, 0"""
+
+ORACLE["gtfs_feed_content"] = W("v_stops", "v_stop_times", "v_trips", "v_routes", "v_shapes") + """
+SELECT 'stops' AS table_name, count(*) FILTER (stop_id % 50 <> 0) AS n_rows, count(DISTINCT stop_id) FILTER (stop_id % 50 <> 0) AS n_keys,
+  coalesce(round(sum(stop_lat) FILTER (stop_id % 50 <> 0), 2), 0.0) AS total, count(*) FILTER (stop_id % 50 = 0) AS n_bad FROM v_stops
+UNION ALL SELECT 'stop_times', count(*) FILTER (trip_id % 50 <> 0), count(DISTINCT trip_id) FILTER (trip_id % 50 <> 0),
+  coalesce(round(CAST(sum(stop_sequence) FILTER (trip_id % 50 <> 0) AS DOUBLE), 2), 0.0), count(*) FILTER (trip_id % 50 = 0) FROM v_stop_times
+UNION ALL SELECT 'trips', count(*), count(DISTINCT shape_id), 0.0, 0 FROM v_trips
+UNION ALL SELECT 'routes', count(*), count(DISTINCT route_short_name), 0.0, 0 FROM v_routes
+UNION ALL SELECT 'shapes', count(*) FILTER (shape_id % 50 <> 0), count(DISTINCT shape_id) FILTER (shape_id % 50 <> 0),
+  coalesce(round(sum(lat) FILTER (shape_id % 50 <> 0), 2), 0.0), count(*) FILTER (shape_id % 50 = 0) FROM v_shapes"""
+
 ORACLE["json_stations_inline"] = W("v_stations") + """
 SELECT CAST(station_id AS VARCHAR) AS station_id, name, lat, lon FROM v_stations"""
 

@@ -652,10 +652,32 @@ def _q_accessibility_labels(spark, sf):
 def _q_csv_roundtrip(spark, sf):
     p = _places(spark, sf)
     path = shared_path(spark, "places-csv")
-    FI.write_csv(p, path, sep=";")
+    # columns land in another order, with one that nobody asked for
+    FI.write_csv(p.select(F.lit("x").alias("extra"), *reversed(p.columns)), path, sep=";")
     return FI.read_csv(spark, path, p.schema, sep=";")
 
 
+@register("csv_comma_roundtrip")
+def _q_csv_comma(spark, sf):
+    a = role(spark, sf, "v_access").select("name", "ord", "entree_pmr", "accueil_personnels")
+    path = shared_path(spark, "access-csv")
+    FI.write_csv(a.select(*reversed(a.columns)), path, sep=",")
+    back = FI.read_csv(spark, path, a.schema, sep=",")
+    return back.withColumn("entree_pmr", F.col("entree_pmr").cast("string"))
+
+
+@register("feedback_or_empty")
+def _q_feedback_or_empty(spark, sf):
+    """A feedback table that exists, and one that was never written."""
+    fb = _fb(spark, sf)
+    path = shared_path(spark, "feedback-table")
+    FI.write_snapshot(fb, path)
+    one = lambda name, df: df.agg(F.count(F.lit(1)).alias("n_rows"), F.count("theme").alias("n_themes")
+                                  ).select(F.lit(name).alias("feed"), "n_rows", "n_themes")
+    absent = FI.read_or_empty(spark, shared_path(spark, "no-feedback"), fb.schema)
+    return one("landed", FI.read_or_empty(spark, path, fb.schema)).unionByName(one("absent", absent))
+
+
 def _gtfs_frames(spark, sf):
     g = _gtfs(spark, sf)
     return {
@@ -669,12 +691,25 @@ def _gtfs_frames(spark, sf):
     }
 
 
-@register("gtfs_scan_counts")
-def _q_gtfs_scan_counts(spark, sf):
+def _landed_gtfs(spark, sf, broken: bool):
+    """The feed as real ones come: columns in another order and more of them. With
+    ``broken``, each 50th number is no number."""
     base = shared_path(spark, "gtfs")
+    number = {"stops": "stop_lat", "stop_times": "stop_sequence", "shapes": "shape_pt_lat"}
     for name, df in _gtfs_frames(spark, sf).items():
-        df.write.mode("errorifexists").option("header", True).csv(f"{base}/{name}.txt")
-    feed = FI.read_gtfs(spark, base)
+        if broken and name in number:
+            c = number[name]
+            own = [x for x in df.columns if x != c]
+            bad = F.pmod(F.col(own[0]).cast("long"), F.lit(50)) == 0
+            df = df.withColumn(c, F.when(bad, F.lit("n/a")).otherwise(F.col(c).cast("string")))
+        more = df.select(F.lit("agency 1").alias("agency_id"), *reversed(df.columns), F.lit('a "b", c').alias(f"{name}_desc"))
+        more.write.mode("errorifexists").options(header=True, escape='"').csv(f"{base}/{name}.txt")
+    return base
+
+
+@register("gtfs_scan_counts")
+def _q_gtfs_scan_counts(spark, sf):
+    feed = FI.read_gtfs(spark, _landed_gtfs(spark, sf, broken=False))
     out = None
     for name in sorted(feed):
         one = feed[name].agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows")
@@ -682,6 +717,25 @@ def _q_gtfs_scan_counts(spark, sf):
     return out
 
 
+@register("gtfs_feed_content")
+def _q_gtfs_feed_content(spark, sf):
+    """What the feed's tables hold (rows, keys, sum of one number) and what was
+    quarantined."""
+    feed = FI.read_gtfs_checked(spark, _landed_gtfs(spark, sf, broken=True))
+    asks = {"stops": ("stop_id", "stop_lat"), "stop_times": ("trip_id", "stop_sequence"), "trips": ("shape_id", None),
+            "routes": ("route_short_name", None), "shapes": ("shape_id", "shape_pt_lat")}
+    bad = FI.write_quarantine(feed, shared_path(spark, "gtfs-quarantine"))
+    n_bad = bad.groupBy(F.col("source").alias("table_name")).agg(F.count(F.lit(1)).alias("n_bad"))
+    out = None
+    for name, (key, number) in asks.items():
+        total = F.round(F.sum(number).cast("double"), 2) if number else F.lit(0.0)
+        one = feed[name].good.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(key).alias("n_keys"),
+                                  F.coalesce(total, F.lit(0.0)).alias("total"))
+        one = one.select(F.lit(name).alias("table_name"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out.join(F.broadcast(n_bad), "table_name", "left").withColumn("n_bad", F.coalesce("n_bad", F.lit(0)))
+
+
 def _landed_stations(spark, sf):
     """Station feeds landed as GBFS JSON documents of at most 1000 stations, one
     document per line."""
