@@ -349,6 +349,8 @@ SELECT qid, tsid, CAST(rn AS INTEGER) AS rank, round(d, 6) AS dist FROM (
     row_number() OVER (PARTITION BY q.qid ORDER BY pow(list_distance(CAST(q.vector AS DOUBLE[]), CAST(v.vector AS DOUBLE[])), 2), v.tsid) AS rn
   FROM v_queries q CROSS JOIN v_vectors v) WHERE rn <= 100"""
 
+ORACLE["vector_store_knn"] = ORACLE["vector_knn"].replace("rn <= 100", "rn <= 10")
+
 _COS = """CASE WHEN list_dot_product(a.v, a.v) = 0 OR list_dot_product(b.v, b.v) = 0 THEN 0.0
   ELSE list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) END"""
 

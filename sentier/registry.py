@@ -791,9 +791,17 @@ def _q_json_clean(spark, sf):
 
 @register("vector_store_roundtrip")
 def _q_vector_store(spark, sf):
-    v = role(spark, sf, "v_vectors").withColumn("norm", VE.norm("vector"))
-    back = FI.write_snapshot(v, shared_path(spark, "vectors"))
-    return back.select("tsid", F.size("vector").alias("dim"), F.round("norm", 6).alias("norm"))
+    v = role(spark, sf, "v_vectors")
+    store = VE.VectorStore.write(v, shared_path(spark, "vectors"), "tsid", "vector", block_rows=256)
+    return VE.VectorStore(spark, store.path).vectors().select("tsid", F.size("vector").alias("dim"), F.round("norm", 6).alias("norm"))
+
+
+@register("vector_store_knn")
+def _q_vector_store_knn(spark, sf):
+    """The questions' nearest places, from the store's partitions."""
+    store = VE.VectorStore.write(role(spark, sf, "v_vectors"), shared_path(spark, "vectors"), "tsid", "vector", block_rows=256)
+    nn = store.nearest(role(spark, sf, "v_queries"), 10, q_id="qid", q_vec="vector")
+    return nn.select("qid", "rank", F.col("vid").alias("tsid"), F.round("score", 6).alias("dist"))
 
 
 @register("embed_incremental")
