@@ -244,11 +244,3 @@ def newest_first(log: DataFrame, per_page: int = K.FEEDBACK_PER_PAGE) -> DataFra
     order = [F.desc("ingest_seq"), F.asc("fid"), F.asc_nulls_first("verbatim")]
     ranked = global_row_number(log, order)
     return ranked.withColumn("page", page_of("rank", per_page))
-
-
-def restore_feedback(spark, backup_path: str, snapshot_path: str) -> DataFrame:
-    """The backup as a new committed snapshot, which the caller then takes
-    as the current table. The live table is not touched, so a restore that fails
-    half way loses nothing."""
-    spark.read.parquet(backup_path).write.mode("errorifexists").partitionBy("month").parquet(snapshot_path)
-    return spark.read.parquet(snapshot_path)

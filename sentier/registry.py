@@ -519,9 +519,11 @@ def _q_users_insert_new(spark, sf):
 
 @register("users_snapshot")
 def _q_users_snapshot(spark, sf):
-    from sentier.sources import files as FI
-    users = LO.users_insert_new(_existing_users(spark, sf), _registrations(spark, sf))
-    return FI.write_snapshot(users, shared_path(spark, "users"))
+    from sentier.sources.snapshots import SnapshotTable
+    users = SnapshotTable(spark, shared_path(spark, "users"))
+    first = users.commit(_existing_users(spark, sf).select("username", "name"), 0)
+    users.commit(LO.users_insert_new(users.read(first), _registrations(spark, sf)), first)
+    return users.read()
 
 
 # ---------------------------------------------------------------- calendar
@@ -618,10 +620,12 @@ def _q_feedback_newest(spark, sf):
 
 @register("feedback_restore")
 def _q_feedback_restore(spark, sf):
-    bak, cur, new = (shared_path(spark, f"feedback-{n}") for n in ("bak", "cur", "restored"))
-    FB.append_feedback(bak, FB.to_feedback_table(_fb(spark, sf), "history"))
-    FB.append_feedback(cur, FB.to_feedback_table(_ingested(spark, sf), "ingest"))
-    t = FB.restore_feedback(spark, bak, new)
+    from sentier.sources.snapshots import SnapshotTable
+    table_ = SnapshotTable(spark, shared_path(spark, "feedback"))
+    backup = table_.commit(FB.to_feedback_table(_fb(spark, sf), "history"), 0)
+    table_.commit(FB.to_feedback_table(_ingested(spark, sf), "ingest"), backup)
+    table_.restore(backup)
+    t = table_.read()
     return _iso_date(t.select("fid", "username", "date", "tsid", "nom", "theme", "sentiment", "feedback"))
 
 

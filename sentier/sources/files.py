@@ -199,10 +199,14 @@ def flatten(df: DataFrame, sep: str = ".") -> DataFrame:
     return df.select(*walk(df.schema, []))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def _committed(spark: SparkSession, path: str) -> bool:
     """Whether a finished write stands at ``path`` (its success marker)."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/_SUCCESS")
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    return exists(spark, path.rstrip("/") + "/_SUCCESS")
 
 
 def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
