@@ -19,6 +19,7 @@ from sentier import constants as K
 from sentier.functions.geo import with_geodesic_m
 from sentier.functions.mobility import co2_grams, route_mode, trip_coins
 from sentier.operators.geojoin import fits_broadcast, nearest_within, radius_join
+from sentier.operators.polyline import nearest_vertex
 from sentier.operators.ranking import rank_within_groups, running_sum_within_groups
 from sentier.session import materialize
 
@@ -136,14 +137,6 @@ def shape_points(shapes: DataFrame) -> DataFrame:
     return running_sum_within_groups(pts, ["shape_id"], [F.col("idx")], "seg_km", "cum_km", exclusive=True)
 
 
-def nearest_vertex(combos: DataFrame, pts: DataFrame, stop_key: str, lat: str, lon: str, out: str) -> DataFrame:
-    """Position of the shape vertex nearest to a stop (first wins ties)."""
-    j = combos.select("shape_id", stop_key, lat, lon).distinct().join(
-        pts.select("shape_id", "idx", F.col("lat").alias("_plat"), F.col("lon").alias("_plon")), "shape_id")
-    j = with_geodesic_m(j, "_d", lat, lon, "_plat", "_plon")
-    return j.groupBy("shape_id", stop_key).agg(F.min_by("idx", F.struct("_d", "idx")).alias(out))
-
-
 def plan_transit_trips(requests: DataFrame, stops: DataFrame, stop_times: DataFrame, trips: DataFrame,
                        routes: DataFrame, shapes: DataFrame, with_path: bool = False) -> DataFrame:
     """One output row per request with a status column
