@@ -24,8 +24,9 @@ its own. Links missed that way are found in further rounds, for the buckets whos
 members are not of one class yet: members of a bucket's smallest classes become
 leaders and meet the members of other classes, then leave the bucket, until it
 holds one class. A round takes as many leaders a bucket as keep its pairs below
-``PAIRS_PER_MEMBER`` times the members of the first round, so no step grows
-faster than the corpus. Large families of edited copies are thinned out exactly: a text y of
+``PAIRS_PER_MEMBER`` times the members at the start, so no step grows faster than the
+corpus; the first such round merges most classes, the later ones take more leaders of
+the few members left. Large families of edited copies are thinned out exactly: a text y of
 weight W(y) whose shingles worth s stand in members of other classes overlaps any
 of these by s at most, so it can only be similar to a text of weight
 s (1 + t) / t - W(y) or less; if its bucket holds none, it leaves the bucket. No
@@ -60,7 +61,7 @@ THRESHOLD = 0.8
 HEAVY_SHINGLES = 1 << 16
 PERMUTATIONS, BINS, BAND = 4, 16, 4
 EMPTY_DRAWS = 100_000
-PAIRS_PER_MEMBER = 16
+PAIRS_PER_MEMBER = (6, 12)  # in the first round of leaders, and in later ones
 PAIR_CHUNK_BYTES = 2 << 20
 
 
@@ -432,7 +433,7 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
         sizes = active.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
         order = Window.partitionBy("bucket").orderBy("n", F.xxhash64("node"), "node")
         leaders = stored(active.join(sizes, ["bucket", "root"]).withColumn("r", F.row_number().over(order))
-                         .where(F.col("r") <= max(1, PAIRS_PER_MEMBER * budget // left))
+                         .where(F.col("r") <= max(1, PAIRS_PER_MEMBER[min(rounds, 1)] * budget // left))
                          .select("bucket", F.col("node").alias("leader"), F.col("root").alias("lead_root"),
                                  F.col("weight").alias("lead_weight"), F.col("limit").alias("lead_limit")), "leaders", few=True)
         fits = F.coalesce((F.col("weight") <= F.col("lead_limit")) & (F.col("lead_weight") <= F.col("limit")), F.lit(True))
