@@ -88,6 +88,7 @@ _EXPORT = W("v_places", "v_restaurants") + """
   FROM v_restaurants WHERE nom IS NOT NULL AND latitude IS NOT NULL AND longitude IS NOT NULL AND tsid IS NOT NULL)
 """
 ORACLE["map_export"] = _EXPORT + "SELECT * FROM ex"
+ORACLE["records_export"] = ORACLE["map_export"]
 ORACLE["map_markers"] = _EXPORT + """SELECT * FROM ex
 WHERE nom <> '' AND descriptif <> '' AND latitude <> 0 AND longitude <> 0"""
 
@@ -143,9 +144,9 @@ FROM v_places"""
 
 ORACLE["place_address"] = W("v_places") + f"SELECT tsid, {ADDR} AS addr FROM v_places"
 
-ORACLE["restaurant_address"] = W("v_places") + """
+ORACLE["restaurant_address"] = W("v_restaurants") + """
 SELECT tsid, coalesce(adresse1, '') || ' ' || coalesce(adresse2, '') || ' ' || coalesce(codepostal, '') || ' '
-  || coalesce(commune, '') AS addr FROM v_places"""
+  || coalesce(commune, '') AS addr FROM v_restaurants"""
 
 ORACLE["first_photo"] = W("v_places") + f"""
 SELECT tsid, {PHOTO} AS photo_url,
@@ -300,7 +301,8 @@ _PLAN = _GT + _NEAR + _PTS + f"""
 , tr AS (SELECT pr.req_id, min(a.trip_id) AS trip_id FROM pr JOIN v_stop_times a ON a.stop_id = pr.start_stop_id
    JOIN v_stop_times b ON b.trip_id = a.trip_id AND b.stop_id = pr.end_stop_id GROUP BY pr.req_id)
 , lg AS (SELECT pr.*, tr.trip_id, t.route_id, t.shape_id, ro.route_short_name,
-    ss.stop_lat AS s_lat, ss.stop_lon AS s_lon, es.stop_lat AS e_lat, es.stop_lon AS e_lon
+    ss.stop_lat AS s_lat, ss.stop_lon AS s_lon, es.stop_lat AS e_lat, es.stop_lon AS e_lon,
+    ss.stop_name AS start_stop_name, es.stop_name AS end_stop_name
   FROM pr JOIN tr USING (req_id) JOIN v_trips t ON t.trip_id = tr.trip_id LEFT JOIN v_routes ro ON ro.route_id = t.route_id
   JOIN v_stops ss ON ss.stop_id = pr.start_stop_id JOIN v_stops es ON es.stop_id = pr.end_stop_id)
 , vx AS (SELECT lg.req_id,
@@ -318,7 +320,8 @@ _PLAN = _GT + _NEAR + _PTS + f"""
     s.stop_id AS start_stop_id, e.end_stop_id, l.trip_id, l.route_id, l.transport_mode, l.shape_id,
     l.start_idx, l.end_idx, CAST(l.hi - l.lo + 1 AS INTEGER) AS n_points, l.transit_km,
     ({_geo_m('r.start_lat', 'r.start_lon', 'l.s_lat', 'l.s_lon')} + {_geo_m('l.e_lat', 'l.e_lon', 'r.end_lat', 'r.end_lon')}) / 1000 AS walk_km,
-    r.start_lat, r.start_lon, r.end_lat, r.end_lon, l.s_lat, l.s_lon, l.e_lat, l.e_lon, l.lo, l.hi
+    r.start_lat, r.start_lon, r.end_lat, r.end_lon, l.s_lat, l.s_lon, l.e_lat, l.e_lon, l.lo, l.hi,
+    l.start_stop_name, l.end_stop_name
   FROM v_requests r LEFT JOIN start_s s USING (req_id) LEFT JOIN end_s e USING (req_id) LEFT JOIN lg3 l USING (req_id))
 """
 ORACLE["plan_transit_trips"] = _PLAN + """
@@ -327,7 +330,8 @@ SELECT req_id, status, CAST(start_stop_id AS VARCHAR) AS start_stop_id, CAST(end
   CAST(start_idx AS DOUBLE) AS start_idx, CAST(end_idx AS DOUBLE) AS end_idx,
   CAST(n_points AS DOUBLE) AS n_points, round(transit_km, 6) AS transit_km, round(walk_km, 6) AS walk_km,
   round(transit_km * CASE transport_mode WHEN 'bus' THEN 55.9 WHEN 'tram' THEN 1.2 WHEN 'metro' THEN 1.42 ELSE 0.0 END, 6) AS co2_g,
-  floor((walk_km + transit_km) * 100) AS coins
+  floor((walk_km + transit_km) * 100) AS coins, start_stop_name, end_stop_name,
+  s_lat AS start_stop_lat, s_lon AS start_stop_lon, e_lat AS end_stop_lat, e_lon AS end_stop_lon
 FROM plan"""
 
 ORACLE["nearest_vertex"] = _PLAN + "SELECT req_id, shape_id, start_idx, end_idx FROM plan WHERE status = 'ok'"
@@ -569,6 +573,9 @@ SELECT tsid, CASE WHEN matched AND entree_pmr THEN 'Oui' ELSE 'Non disponible' E
        ELSE 'Non disponible' END AS accueil_personnels,
   'Non disponible' AS labels FROM j"""
 
+ORACLE["place_page"] = ("WITH pages AS (" + ORACLE["place_detail"] + "), shown AS (" + ORACLE["accessibility_labels"]
+                        + ") SELECT pages.*, entree_pmr, accueil_personnels FROM pages JOIN shown USING (tsid)")
+
 
 # ---------------------------------------------------------------- sources, bikes
 ORACLE["csv_semicolon_roundtrip"] = W("v_places") + "SELECT * FROM v_places"
@@ -630,8 +637,9 @@ SELECT station_id, weekday, hour, round(predicted_bikes, 6) AS predicted_bikes,
 ORACLE["availability_model"] = W("v_stations", "v_bike_history") + """
 , ids AS (SELECT station_id, EXISTS (SELECT 1 FROM v_bike_history h WHERE h.station_id = s.station_id) AS known FROM v_stations s
   UNION ALL SELECT -1, false)
-SELECT station_id, 0 AS weekday, CAST(hour AS INTEGER) AS hour, CASE WHEN known THEN true END AS bikes_in_range,
-  CASE WHEN known THEN true END AS docks_in_range FROM ids CROSS JOIN (SELECT unnest(range(24)) AS hour)"""
+SELECT station_id, CAST(weekday AS INTEGER) AS weekday, CAST(hour AS INTEGER) AS hour, CASE WHEN known THEN true END AS bikes_in_range,
+  CASE WHEN known THEN true END AS docks_in_range FROM ids CROSS JOIN (SELECT unnest(range(24)) AS hour)
+  CROSS JOIN (SELECT unnest(range(7)) AS weekday)"""
 
 _NS_TAIL = _HIST + f"""
 , d AS (SELECT r.*, s.station_id, s.num_bikes_available AS nb, s.num_docks_available AS nd, s.lat, s.lon,

@@ -138,9 +138,11 @@ def shape_points(shapes: DataFrame) -> DataFrame:
 
 
 def plan_transit_trips(requests: DataFrame, stops: DataFrame, stop_times: DataFrame, trips: DataFrame,
-                       routes: DataFrame, shapes: DataFrame, with_path: bool = False) -> DataFrame:
+                       routes: DataFrame, shapes: DataFrame, path: str | None = None) -> DataFrame:
     """One output row per request with a status column
-    (ok / no_stop / no_shared_stop / no_trip)."""
+    (ok / no_stop / no_shared_stop / no_trip), the stops' names and places included.
+    ``path``: instead the vertices of each planned trip, as rows: 'slice' of its
+    shape, or the 'whole' way."""
     stops_s = stops.select("stop_id", "stop_name", "stop_lat", "stop_lon")
     bc = fits_broadcast(stops_s)
     start = nearest_stop(requests.select("req_id", "start_lat", "start_lon"), stops_s,
@@ -159,11 +161,10 @@ def plan_transit_trips(requests: DataFrame, stops: DataFrame, stop_times: DataFr
             .join(trips.select("trip_id", "route_id", "shape_id"), "trip_id")
             .join(routes.select("route_id", "route_short_name"), "route_id", "left"))
 
-    st = stops_s.select("stop_id", "stop_lat", "stop_lon")
-    legs = (legs.join(st.select(F.col("stop_id").alias("start_stop_id"), F.col("stop_lat").alias("s_lat"),
-                                F.col("stop_lon").alias("s_lon")), "start_stop_id")
-            .join(st.select(F.col("stop_id").alias("end_stop_id"), F.col("stop_lat").alias("e_lat"),
-                            F.col("stop_lon").alias("e_lon")), "end_stop_id"))
+    legs = (legs.join(stops_s.select(F.col("stop_id").alias("start_stop_id"), F.col("stop_name").alias("start_stop_name"),
+                                     F.col("stop_lat").alias("s_lat"), F.col("stop_lon").alias("s_lon")), "start_stop_id")
+            .join(stops_s.select(F.col("stop_id").alias("end_stop_id"), F.col("stop_name").alias("end_stop_name"),
+                                 F.col("stop_lat").alias("e_lat"), F.col("stop_lon").alias("e_lon")), "end_stop_id"))
     pts = materialize(shape_points(shapes), "shape-points")
     # both ends in one pass: the nearest vertex per distinct (shape, stop)
     ends = legs.select("shape_id", F.col("start_stop_id").alias("stop_id"), F.col("s_lat").alias("lat0"),
@@ -188,7 +189,7 @@ def plan_transit_trips(requests: DataFrame, stops: DataFrame, stop_times: DataFr
     out = (requests.join(start, "req_id", "left").join(end, "req_id", "left")
            .join(legs.select("req_id", "trip_id", "route_id", "route_short_name", "shape_id", "start_idx",
                              "end_idx", "reversed", "n_points", "transit_km", "transport_mode", "s_lat", "s_lon",
-                             "e_lat", "e_lon"), "req_id", "left"))
+                             "e_lat", "e_lon", "start_stop_name", "end_stop_name"), "req_id", "left"))
     status = (F.when(F.col("start_stop_id").isNull(), F.lit("no_stop"))
               .when(F.col("end_stop_id").isNull(), F.lit("no_shared_stop"))
               .when(F.col("trip_id").isNull(), F.lit("no_trip"))
@@ -202,13 +203,14 @@ def plan_transit_trips(requests: DataFrame, stops: DataFrame, stop_times: DataFr
            .withColumn("coins", F.when(F.col("status") == "ok",
                                        trip_coins(F.col("walk_km") + F.col("transit_km"), F.lit("bus")))))
     cols = ["req_id", "status", "start_stop_id", "end_stop_id", "trip_id", "route_id", "transport_mode",
-            "shape_id", "start_idx", "end_idx", "n_points", "transit_km", "walk_km", "co2_g", "coins"]
-    res = out.select(*cols)
-    if with_path == "slice":
-        return shape_slices(out.where(F.col("status") == "ok"), pts)
-    if with_path:
-        res = res.join(trip_paths(out.where(F.col("status") == "ok"), pts), "req_id", "left")
-    return res
+            "shape_id", "start_idx", "end_idx", "n_points", "transit_km", "walk_km", "co2_g", "coins",
+            "start_stop_name", "end_stop_name"]
+    where = [F.col(a).alias(b) for a, b in (("s_lat", "start_stop_lat"), ("s_lon", "start_stop_lon"),
+                                            ("e_lat", "end_stop_lat"), ("e_lon", "end_stop_lon"))]
+    if path:
+        ok = out.where(F.col("status") == "ok")
+        return shape_slices(ok, pts) if path == "slice" else trip_paths(ok, pts)
+    return out.select(*cols, *where)
 
 
 def shape_slices(legs: DataFrame, pts: DataFrame) -> DataFrame:
@@ -225,20 +227,12 @@ def shape_slices(legs: DataFrame, pts: DataFrame) -> DataFrame:
 
 
 def trip_paths(legs: DataFrame, pts: DataFrame) -> DataFrame:
-    """F21 + U2: the full path of each planned trip: walk leg, shape slice
-    (reversed when the trip runs end to start), walk leg, as one array."""
-    combo = legs.select("shape_id", "start_idx", "end_idx").distinct()
-    sl = (combo.join(pts.select("shape_id", "idx", "lat", "lon"), "shape_id")
-          .where(F.col("idx").between(F.least("start_idx", "end_idx"), F.greatest("start_idx", "end_idx")))
-          .groupBy("shape_id", "start_idx", "end_idx")
-          .agg(F.array_sort(F.collect_list(F.struct("idx", "lat", "lon"))).alias("_pts")))
-    sl = sl.withColumn("transit_path", F.transform(
-        F.when(F.col("start_idx") >= F.col("end_idx"), F.reverse("_pts")).otherwise(F.col("_pts")),
-        lambda p: F.struct(p["lat"].alias("lat"), p["lon"].alias("lon")))).drop("_pts")
-    # a trip whose shape is missing keeps its two walking legs
-    j = legs.join(sl, ["shape_id", "start_idx", "end_idx"], "left")
-    pt = lambda a, b: F.struct(F.col(a).alias("lat"), F.col(b).alias("lon"))
-    path = F.concat(F.array(pt("start_lat", "start_lon"), pt("s_lat", "s_lon")),
-                    F.coalesce(F.col("transit_path"), F.array()),
-                    F.array(pt("e_lat", "e_lon"), pt("end_lat", "end_lon")))
-    return j.select("req_id", path.alias("path"))
+    """F21 + U2: the whole path of each planned trip, one row per point in travel
+    order: walk leg, shape slice, walk leg. A trip whose shape is missing keeps its
+    two walking legs. Rows, not arrays: a long shape never has to fit in one value."""
+    n = F.coalesce("n_points", F.lit(0))
+    ends = F.array(*[F.struct(at.cast("int").alias("pos"), F.col(a).alias("lat"), F.col(b).alias("lon")) for at, a, b in (
+        (F.lit(0), "start_lat", "start_lon"), (F.lit(1), "s_lat", "s_lon"), (n + 2, "e_lat", "e_lon"), (n + 3, "end_lat", "end_lon"))])
+    walks = legs.select("req_id", F.inline(ends))
+    ride = shape_slices(legs, pts).withColumn("pos", F.col("pos") + 2)
+    return walks.unionByName(ride)

@@ -116,6 +116,17 @@ def _q_map_export(spark, sf):
     return CA.map_export(_places(spark, sf), _restos(spark, sf))
 
 
+@register("records_export")
+def _q_records_export(spark, sf):
+    """Both catalogues as JSON records, written line by line and read back."""
+    path = shared_path(spark, "records")
+    out = CA.map_export(_places(spark, sf), _restos(spark, sf))
+    CA.export_records_json(out).write.mode("errorifexists").partitionBy("kind").text(path)
+    back = spark.read.schema("value string, kind string").text(path)
+    record = F.from_json("value", out.drop("kind").schema).alias("r")
+    return back.select(record, "kind").select("r.*", "kind")
+
+
 @register("map_markers")
 def _q_map_markers(spark, sf):
     return CA.map_markers(CA.map_export(_places(spark, sf), _restos(spark, sf)))
@@ -175,7 +186,7 @@ def _q_place_address(spark, sf):
 
 @register("restaurant_address")
 def _q_restaurant_address(spark, sf):
-    p = _places(spark, sf)
+    p = _restos(spark, sf)
     return p.select("tsid", T.restaurant_address("adresse1", "adresse2", "codepostal", "commune").alias("addr"))
 
 
@@ -359,10 +370,10 @@ def _q_path_bbox(spark, sf):
                                      F.min("lon").alias("min_lon"), F.max("lon").alias("max_lon"))
 
 
-def _plan(spark, sf, with_path=False):
+def _plan(spark, sf, path=None):
     g = _gtfs(spark, sf)
     return TR.plan_transit_trips(g["requests"], g["stops"], g["stop_times"], g["trips"], g["routes"],
-                                 g["shapes"], with_path=with_path)
+                                 g["shapes"], path=path)
 
 
 @register("plan_transit_trips")
@@ -370,7 +381,7 @@ def _q_plan_transit(spark, sf):
     p = _plan(spark, sf)
     p = p.select("req_id", "status", "start_stop_id", "end_stop_id", "trip_id", "route_id", "transport_mode",
                  "shape_id", "start_idx", "end_idx", "n_points", _r("transit_km"), _r("walk_km"), _r("co2_g"),
-                 "coins")
+                 "coins", "start_stop_name", "end_stop_name", "start_stop_lat", "start_stop_lon", "end_stop_lat", "end_stop_lon")
     p = _as_text(p, "start_stop_id", "end_stop_id", "trip_id", "route_id", "shape_id")
     return _as_double(p, "start_idx", "end_idx", "n_points")
 
@@ -383,9 +394,7 @@ def _q_nearest_vertex(spark, sf):
 
 @register("trip_path")
 def _q_trip_path(spark, sf):
-    p = _plan(spark, sf, with_path=True).where(F.col("status") == "ok")
-    return p.select("req_id", F.posexplode("path").alias("pos", "pt")).select(
-        "req_id", "pos", F.col("pt.lat").alias("lat"), F.col("pt.lon").alias("lon"))
+    return _plan(spark, sf, path="whole")
 
 
 # ---------------------------------------------------------------- vectors, recommendation, retrieval
@@ -645,6 +654,13 @@ def _q_accessibility_join(spark, sf):
     return _as_text(a, "entree_pmr", "stationnement_pmr")
 
 
+@register("place_page")
+def _q_place_page(spark, sf):
+    """P4 + J9 + P12: a place's page with its accessibility as the page shows it."""
+    pages = CA.place_detail(_places(spark, sf), _fb(spark, sf))
+    return pages.join(AC.accessibility_labels(_access(spark, sf)).select("tsid", "entree_pmr", "accueil_personnels"), "tsid")
+
+
 @register("accessibility_labels")
 def _q_accessibility_labels(spark, sf):
     return AC.accessibility_labels(_access(spark, sf)).select("tsid", "entree_pmr", "sanitaires_adaptes",
@@ -912,11 +928,11 @@ def _q_find_routes(spark, sf):
 
 @register("availability_model")
 def _q_availability_model(spark, sf):
-    """Every station at every hour of a Monday, and one that nobody knows; both
+    """Every station at every hour of the week, and one that nobody knows; both
     predictions lie in the range that history has."""
     h = _history(spark, sf)
     ids = _stations(spark, sf).select("station_id").union(spark.range(1).select(F.lit(-1).cast("long")))
-    slots = ids.withColumn("weekday", F.lit(0)).withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(23))))
+    slots = ids.withColumn("weekday", F.explode(F.sequence(F.lit(0), F.lit(6)))).withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(23))))
     p = BK.predict_availability(BK.availability_model(h), BK.station_means(h), slots)
     lim = h.agg(*[f(c).alias(f"{n}_{c}") for c in ("bikes", "docks") for n, f in (("lo", F.min), ("hi", F.max))])
     inside = lambda c: F.col(f"predicted_{c}").between(F.col(f"lo_{c}") - 1e-6, F.col(f"hi_{c}") + 1e-6)
@@ -977,7 +993,7 @@ def _q_stream_wallet(spark, sf):
 
 @register("shape_slice")
 def _q_shape_slice(spark, sf):
-    return _plan(spark, sf, with_path="slice")
+    return _plan(spark, sf, path="slice")
 
 
 @register("user_collection")
