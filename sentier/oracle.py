@@ -623,8 +623,8 @@ SELECT tsid, CAST(len(vector) AS INTEGER) AS dim,
   round(sqrt(list_dot_product(CAST(vector AS DOUBLE[]), CAST(vector AS DOUBLE[]))), 6) AS norm FROM v_vectors"""
 
 ORACLE["embed_incremental"] = W("v_places", "v_vectors") + """
-SELECT tsid, 'store' AS source, CAST(len(vector) AS INTEGER) AS dim FROM v_vectors
-UNION ALL SELECT tsid, 'new', 64 FROM v_places WHERE tsid NOT IN (SELECT tsid FROM v_vectors)"""
+SELECT tsid, CASE WHEN tsid IN (SELECT tsid FROM v_vectors) THEN 'store' ELSE 'new' END AS source, 64 AS dim,
+  true AS same_space FROM v_places"""
 
 _HIST = """
 , base AS (SELECT station_id, CAST(isodow(ts) - 1 AS INTEGER) AS weekday, CAST(hour(ts) AS INTEGER) AS hour,

@@ -824,13 +824,47 @@ def _q_vector_store_knn(spark, sf):
     return nn.select("qid", "rank", F.col("vid").alias("tsid"), F.round("score", 6).alias("dist"))
 
 
+def _place_texts(spark, sf):
+    return _places(spark, sf).select("tsid", T.feature_text("nom", "descriptif").alias("text"))
+
+
 @register("embed_incremental")
 def _q_embed_incremental(spark, sf):
-    from sentier.plans.ml import embed_incremental
-    store = FI.write_snapshot(role(spark, sf, "v_vectors"), shared_path(spark, "vectors"))
-    items = _places(spark, sf).select("tsid", T.feature_text("nom", "descriptif").alias("text"))
-    out = embed_incremental(store, items, "tsid", "text", 64)
-    return out.select("tsid", "source", F.size("vector").alias("dim"))
+    """The places with a given vector are embedded first, the others later, by the
+    saved model: every vector equals the one that the model gives the place today."""
+    from sentier.plans.ml import embed, embed_incremental, stored_embedder
+    items, path = _place_texts(spark, sf), shared_path(spark, "embedder")
+    first = items.join(role(spark, sf, "v_vectors").select("tsid"), "tsid", "left_semi")
+    store = FI.write_snapshot(embed(stored_embedder(spark, path, first, "text"), first, "text").select("tsid", "vector"),
+                              shared_path(spark, "vectors"))
+    model = stored_embedder(spark, path, items, "text")  # found, not fitted again
+    out = embed_incremental(store, items, "tsid", "text", model)
+    whole = embed(model, items, "text").select("tsid", F.col("vector").alias("own"))
+    return out.join(whole, "tsid").select("tsid", "source", F.size("vector").alias("dim"), (F.col("vector") == F.col("own")).alias("same_space"))
+
+
+def _text_vectors(spark, sf):
+    """A vector for every place, and the model that made them."""
+    from sentier.plans.ml import embed, stored_embedder
+    items = _place_texts(spark, sf)
+    model = stored_embedder(spark, shared_path(spark, "embedder"), items, "text")
+    return embed(model, items, "text").select("tsid", "vector"), model
+
+
+@register("recommend_by_text")
+def _q_recommend_by_text(spark, sf):
+    """C1 over every place, by vectors of the places' texts."""
+    vectors, _ = _text_vectors(spark, sf)
+    return RE.recommend_places(_places(spark, sf), vectors).select("ref_tsid", "rank", "tsid", _r("score", 9))
+
+
+@register("rag_by_text")
+def _q_rag_by_text(spark, sf):
+    """C5 over every place: questions and places embedded by one model."""
+    from sentier.plans.ml import embed
+    vectors, model = _text_vectors(spark, sf)
+    asked = embed(model, role(spark, sf, "v_queries").select("qid", "query"), "query")
+    return RG.rag_retrieve(asked, _places(spark, sf), vectors).select("qid", "rank", "tsid", _r("combined_score", 9))
 
 
 @register("embed_places")
