@@ -23,8 +23,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sentier.llm.shared import free_names
+
 WINDOW = 10
 BROADCAST_BYTES = 64 << 20
+_SIGN = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"  # what stands between words, in any case
 _OTHER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -123,21 +126,28 @@ def report(scanned: DataFrame) -> DataFrame:
 def clean_documents(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     """``docs`` without the documents in which any window was found. A row is
     known by its id and text, so equal rows share their verdict."""
-    tag = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    marked = docs.withColumn("_tag", F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), tag))
-    bad = (scan(marked.select(F.col("_tag").alias("doc_id"), "text"), benchmark, n)
-           .where(F.size("spans") > 0).select(F.col("doc_id").alias("_tag")).distinct())
-    return marked.join(bad, "_tag", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    tag, = free_names(docs, "_tag")
+    marked = docs.withColumn(tag, _row_tag())
+    bad = (scan(marked.select(F.col(tag).alias("doc_id"), "text"), benchmark, n)
+           .where(F.size("spans") > 0).select(F.col("doc_id").alias(tag)).distinct())
+    return marked.join(bad, tag, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _row_tag() -> Column:
+    return F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("~")),
+                       F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
 
 
 def clean_spans(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
-    """(doc_id, text): each document's normalised words outside all found
-    windows, joined by spaces."""
-    kept = docs.select("doc_id", "text")
-    tag = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), F.md5(F.coalesce(F.col("text"), F.lit(""))))
-    kept = kept.withColumn("_tag", tag)
-    spans = (scan(kept.select(F.col("_tag").alias("doc_id"), "text"), benchmark, n).where(F.size("spans") > 0)
-             .dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("_tag"), "spans"))
-    out = kept.join(spans, "_tag", "left")
-    left = F.filter(words(F.col("text")), lambda w, i: ~F.exists("spans", lambda s: (s["start"] <= i) & (i < s["start"] + s["size"])))
-    return out.select("doc_id", F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.array_join(left, " ")).alias("text"))
+    """``docs`` with the words inside found windows, and the signs before each of
+    them, cut out of the text; what is left stands as it was."""
+    tag, found = free_names(docs, "_tag", "_spans")
+    marked = docs.withColumn(tag, _row_tag())
+    spans = (scan(marked.select(F.col(tag).alias("doc_id"), "text"), benchmark, n).where(F.size("spans") > 0)
+             .dropDuplicates(["doc_id"]).select(F.col("doc_id").alias(tag), F.col("spans").alias(found)))
+    text = F.col("text").cast("string")
+    pieces = F.regexp_extract_all(text, F.lit(f"[{_SIGN}]*[^{_SIGN}]+"), F.lit(0))  # a word with the signs before it
+    inside = lambda w, i: F.exists(found, lambda s: (s["start"] <= i) & (i < s["start"] + s["size"]))
+    left = F.concat(F.array_join(F.filter(pieces, lambda w, i: ~inside(w, i)), ""), F.regexp_extract(text, rf"[{_SIGN}]*\z", 0))
+    out = marked.join(spans, tag, "left").withColumn("text", F.when(F.col(found).isNull(), F.col("text")).otherwise(left))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

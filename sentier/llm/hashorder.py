@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sentier.llm.shared import free_names
+
 DIGITS = 3
 
 
@@ -28,12 +30,13 @@ def sum_before(df: DataFrame, group: list[str], order: list[Column], hash_col: s
     """``df`` with ``out``: the sum of ``value`` (long) over the rows of the same
     group that come before it by (hash_col, order). Group columns are non-null.
     With value 1 this is a gapless rank from 0. ``df`` is read twice."""
-    df = df.withColumn("_range", F.substring(F.col(hash_col), 1, DIGITS)).withColumn("_v", value.cast("long"))
-    totals = df.groupBy(*group, "_range").agg(F.sum("_v").alias("_t"))
-    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*group, "_range", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_before"))
-    inside = (Window.partitionBy(*group, "_range").orderBy(F.col(hash_col), *order)
+    part, v, total, start = free_names(df, "_range", "_v", "_t", "_before")
+    df = df.withColumn(part, F.substring(F.col(hash_col), 1, DIGITS)).withColumn(v, value.cast("long"))
+    totals = df.groupBy(*group, part).agg(F.sum(v).alias(total))
+    before = Window.partitionBy(*group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*group, part, F.coalesce(F.sum(total).over(before), F.lit(0)).alias(start))
+    inside = (Window.partitionBy(*group, part).orderBy(F.col(hash_col), *order)
               .rowsBetween(Window.unboundedPreceding, -1))
-    return (df.join(totals, [*group, "_range"])
-            .withColumn(out, F.col("_before") + F.coalesce(F.sum("_v").over(inside), F.lit(0)))
-            .drop("_range", "_v", "_before"))
+    return (df.join(totals, [*group, part])
+            .withColumn(out, F.col(start) + F.coalesce(F.sum(v).over(inside), F.lit(0)))
+            .drop(part, v, start))

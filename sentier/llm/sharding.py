@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentier.llm.hashorder import hex_hash, sum_before, unit
+from sentier.llm.shared import free_names
 
 SEED = "shard"
 
@@ -76,10 +77,11 @@ def place(docs: DataFrame, tree: Tree, bigger: Tree | None = None) -> DataFrame:
     """``docs`` with size, shard, slot (gapless from 0 in each shard) and, if
     ``bigger`` is given, grown_shard."""
     key = F.col("doc_id")
-    out = docs.drop("size", "shard", "slot", "grown_shard", "_h")
+    out = docs.drop("size", "shard", "slot", "grown_shard")
+    h, = free_names(out, "_h")
     out = (out.withColumn("size", F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long") + 1)
            .withColumn("shard", shard_of(key, tree).cast("int"))
            .withColumn("grown_shard", (shard_of(key, bigger) if bigger else F.lit(None)).cast("int"))
-           .withColumn("_h", hex_hash(F.lit("slot"), key, F.md5(F.col("text").cast("string")))))
-    plain = [F.col(f"`{c}`") for c, t in out.dtypes if c not in ("shard", "grown_shard", "_h") and "map<" not in t]
-    return sum_before(out, ["shard"], [F.xxhash64(*plain)], "_h", F.lit(1), "slot").drop("_h")
+           .withColumn(h, hex_hash(F.lit("slot"), key, F.md5(F.col("text").cast("string")))))
+    plain = [F.col(f"`{c}`") for c, t in out.dtypes if c not in ("shard", "grown_shard", h) and "map<" not in t]
+    return sum_before(out, ["shard"], [F.xxhash64(*plain)], h, F.lit(1), "slot").drop(h)

@@ -267,3 +267,26 @@ def test_pipeline_stages(spark, docs, none, tmp_path):
             assert len(rows) >= 0 and (df is docs or rows == [])
             if i < len(corpus_pipeline.STAGES) - 1:
                 assert out.columns == docs.columns, name
+
+
+CLASH = ["_range", "_v", "_t", "_before", "_h", "_tag", "_node", "_n", "node", "tag", "copies", "_spans"]
+
+
+def test_columns_named_like_working_columns_pass_through(spark):
+    rows = [(i, f"text number {i % 3} of some words", "a", *[f"{c}{i}" for c in CLASH]) for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in CLASH))
+    bench = spark.createDataFrame([(1, "number 2 of")], "item_id long, text string")
+    own = {r.doc_id: tuple(r[c] for c in CLASH) for r in df.collect()}
+    tree = sharding.Tree.even(4, 2, 2)
+    for out, n in ((near_dedup.one_per_class(df), 3), (decontam.clean_documents(df, bench), 6),
+                   (decontam.clean_spans(df, bench), 9), (sharding.place(df, tree, tree.grown()), 9)):
+        got = out.collect()
+        assert len(got) == n and all(tuple(r[c] for c in CLASH) == own[r.doc_id] for r in got)
+
+
+def test_cut_spans_leave_the_rest_as_it_was(spark):
+    df = spark.createDataFrame([(1, "Hello, World! X Y. Stay; Hère? x y", 7), (2, "x, y", 8), (3, None, 9), (4, "No hit: X.\n", 1)],
+                               "doc_id long, text string, spans int")
+    bench = spark.createDataFrame([(1, "x y")], "item_id long, text string")
+    got = {r.doc_id: (r.text, r.spans) for r in decontam.clean_spans(df, bench).collect()}
+    assert got == {1: ("Hello, World. Stay; Hère", 7), 2: ("", 8), 3: (None, 9), 4: ("No hit: X.\n", 1)}
