@@ -8,14 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+ROWS_PER_FILE = 1 << 20
+
 
 def land_in_order(df: DataFrame, path: str, order_col: str, n_slices: int) -> None:
     """Land a table as ``n_slices`` writes in ``order_col`` order (NULLs first),
     so modification times follow the order (file sources pick files oldest
     first). The table is read twice: for the bounds and for one range shuffle that
-    puts each slice in files of its own. A slice has as many files as its size asks
-    for, and these have no order among themselves: a job that reads them one by one
-    must allow for a disorder of one slice (its watermark's delay)."""
+    puts each slice in files of its own. A slice has a file for every
+    ``ROWS_PER_FILE`` rows, however many tasks wrote it: a stream that takes a file at
+    a time has as many batches as there are files. These have no order among
+    themselves: a job that reads them one by one must allow for a disorder of one
+    slice (its watermark's delay)."""
     bounds = df.select(F.percentile_approx(order_col, [i / n_slices for i in range(1, n_slices)], 10000)
                        .alias("q")).first()["q"] if n_slices > 1 else []
     part = F.lit(0)
@@ -27,8 +31,10 @@ def land_in_order(df: DataFrame, path: str, order_col: str, n_slices: int) -> No
     (df.withColumn("_slice", part).repartitionByRange(max(n, n_slices), "_slice", order_col)
      .write.partitionBy("_slice").parquet(staged))
     slices = df.sparkSession.read.schema(T.StructType([*df.schema.fields, T.StructField("_slice", T.IntegerType())])).parquet(staged)
+    sizes = dict(slices.groupBy("_slice").count().collect())  # a row a slice
     for i in range(len(bounds or []) + 1):
-        slices.where(F.col("_slice") == i).drop("_slice").write.mode("append").parquet(path)
+        files = -(-sizes.get(i, 0) // ROWS_PER_FILE) or 1
+        slices.where(F.col("_slice") == i).drop("_slice").coalesce(files).write.mode("append").parquet(path)
 
 
 def land_marker(spark: SparkSession, path: str, schema: T.StructType, time_col: str, at) -> None:

@@ -35,3 +35,15 @@ def test_stops_of_other_routes_are_no_candidates(spark):
     refs = spark.createDataFrame([(1,)], "ref_stop_id long")
     sr = spark.createDataFrame([(1, 7), (2, 7), (1, None), (3, None)] + [(i, 8) for i in range(10, 200)], "stop_id long, route_id long")
     assert sorted(r.cand_id for r in TR.route_neighbours(refs, sr).collect()) == [1, 2]
+
+
+def test_a_slice_lands_in_as_many_files_as_its_rows_ask_for(spark, tmp_path, monkeypatch):
+    """Not in as many as the session has tasks: each file is a batch of the stream."""
+    import glob
+
+    from sentier.streaming import common as SC
+    monkeypatch.setattr(SC, "ROWS_PER_FILE", 400)
+    with SC.session_setting(spark, "spark.sql.shuffle.partitions", "64"):
+        SC.land_in_order(spark.range(2000).repartition(16), str(tmp_path / "src"), "id", 4)
+    assert spark.read.parquet(str(tmp_path / "src")).count() == 2000
+    assert 4 <= len(glob.glob(str(tmp_path / "src" / "*.parquet"))) <= 8
