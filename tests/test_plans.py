@@ -66,6 +66,16 @@ def test_top_k_per_group_uses_group_limit(spark):
     assert "WindowGroupLimit" in p
 
 
+def test_exploded_slots_are_not_broadcast(spark):
+    from sentier.plans import bikes as BK
+    hist = spark.createDataFrame([(i, 5.0, 6.0) for i in range(4)], "station_id long, bikes double, docks double")
+    slots = spark.range(4).select(F.col("id").alias("station_id"), F.explode(F.sequence(F.lit(0), F.lit(6))).alias("weekday"))
+    slots = slots.withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(23))))
+    keyed = BK.with_means(slots, BK.station_means(hist)).where("mean_bikes IS NOT NULL")
+    assert keyed.count() == 4 * 168
+    assert "Broadcast" not in plan(keyed)
+
+
 def test_native_operators_run_no_python(spark, stages):
     for key in ("op1_chat_format", "op5_license_scan", "op9_mixing", "op10_decontamination"):
         if key in E.queries():
