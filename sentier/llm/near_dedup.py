@@ -111,14 +111,16 @@ def distinct_shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 def _local_heavy(slots: int):
     """Each task's frequent shingles and (shingle null) its number of pairs and
-    documents. At most 8 slots counters are kept; where there would be more, the
+    documents. At most 16 slots counters are kept; where there would be more, the
     greatest count beyond is taken off all of them. Each pair taken off a counter
-    goes with 8 slots others, so a count loses at most 1 / (8 slots) of the pairs,
-    however the table is split."""
-    most = 8 * slots
+    goes with 16 slots others, so a count loses at most 1 / (16 slots) of the task's
+    pairs. At the end counts go that are no greater than what is left of a loss of
+    1 / (8 slots) in all: so a count loses at most that share of the pairs, however the
+    table is split, and the many shingles seen once are not reported."""
+    most = 16 * slots
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, n, pairs, docs = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0, 0
+        ids, n, pairs, docs, lost = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0, 0, 0
         for b in merged(batches, "text", 2 << 20):
             h, _, _ = distinct_shingles(b.column("text"))
             pairs, docs = pairs + len(h), docs + b.num_rows
@@ -128,10 +130,13 @@ def _local_heavy(slots: int):
             n[at[old]] += c[old]
             ids, n = np.concatenate([ids, v[~old]]), np.concatenate([n, c[~old]])
             if len(ids) > most:
-                n = n - np.partition(n, len(n) - most - 1)[len(n) - most - 1]
+                off = np.partition(n, len(n) - most - 1)[len(n) - most - 1]
+                n, lost = n - off, lost + off
                 ids, n = ids[n > 0], n[n > 0]
             order = np.argsort(ids)
             ids, n = ids[order], n[order]
+        some = n > pairs / (8 * slots) - lost
+        ids, n = ids[some], n[some]
         none = np.zeros(len(ids), np.int64)
         yield pa.RecordBatch.from_arrays(
             [pa.concat_arrays([pa.array(as_long(ids)), pa.nulls(1, pa.int64())]),

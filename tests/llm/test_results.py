@@ -266,3 +266,17 @@ def test_a_query_on_a_small_cluster_finds_ten(spark):
     index = ann_index.build(v, list_rows=10)
     out = ann_index.search(ann_index.postings(v, index), v.where("vec_id = 0"), index).collect()
     assert len(out) == 10 and {r.vec_id for r in out if r["rank"] <= 2} == {1, 2}
+
+
+def test_shingles_seen_once_are_not_reported():
+    rng = np.random.default_rng(0)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 1 << 30, 400)) + " one two three four five" for _ in range(50)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    slots = 64                                  # at most 16 * 64 counters, about 20,000 shingles
+    (out,) = near_dedup._local_heavy(slots)(iter([batch]))
+    rows = {r["shingle"]: r for r in out.to_pylist()}
+    pairs = rows[None]["n"]
+    assert rows[None]["docs"] == 50 and pairs > 19_000
+    assert len(rows) < 100
+    heavy = np.uint64(near_dedup.distinct_shingles(pa.array(["one two three four five"]))[0][0]).astype(np.int64)
+    assert rows[int(heavy)]["n"] >= 50 - pairs / (8 * slots)
