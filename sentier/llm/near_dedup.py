@@ -29,8 +29,9 @@ corpus; the first such round merges most classes, the later ones take more leade
 the few members left. Large families of edited copies are thinned out exactly: a text y of
 weight W(y) whose shingles worth s stand in members of other classes overlaps any
 of these by s at most, so it can only be similar to a text of weight
-s (1 + t) / t - W(y) or less; if its bucket holds none, it leaves the bucket. No
-bucket is cut, and no link between classes is lost.
+s (1 + t) / t - W(y) or less; if its bucket holds none, it leaves the bucket. That is
+done before every round of leaders, the first one included, as classes and with them s
+have changed by then. No bucket is cut, and no link between classes is lost.
 
 *Verification* computes the weighted Jaccard similarity of the two whole texts.
 Classes are the connected components of the verified links.
@@ -410,7 +411,7 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     leader = F.min(F.struct(F.xxhash64("node", "bucket"), F.col("node")))["node"].alias("leader")
     ask = active.join(active.groupBy("bucket").agg(leader), "bucket").where("node <> leader")
     paths: list[str] = []
-    roots = bounds = None
+    roots = None
     rounds = 0
     while True:
         ask = stored(ask.select("node", "leader").distinct(), "asked", few=rounds > 0)
@@ -423,14 +424,10 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
         elif not fresh.isEmpty():
             roots = _merged_roots(roots, fresh)
         active = stored(_unsettled(_rooted(active.select("bucket", "node"), roots)), "members", few=True)
-        if rounds:
-            # support only shrinks as classes merge, so the first bounds hold on
-            bounds = stored(_bounds(active, texts, idf, threshold), "bounds", few=True) if bounds is None else bounds
-            active = _unsettled(_able(active.join(bounds, "node")))
-            active = stored(_merged_buckets(active) if rounds == 1 else active, "members", few=True)
-        else:
-            unknown = F.lit(None).cast("double")
-            active = active.withColumns({"weight": unknown, "limit": unknown})
+        # as classes merge, support shrinks: the bounds of a round are tighter than the last one's
+        bounds = stored(_bounds(active, texts, idf, threshold), "bounds", few=True)
+        active = _unsettled(_able(active.join(bounds, "node")))
+        active = stored(_merged_buckets(active) if rounds == 1 else active, "members", few=True)
         left = active.count()
         if not left:
             break
@@ -441,7 +438,7 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
                          .where(F.col("r") <= max(1, PAIRS_PER_MEMBER[min(rounds, 1)] * budget // left))
                          .select("bucket", F.col("node").alias("leader"), F.col("root").alias("lead_root"),
                                  F.col("weight").alias("lead_weight"), F.col("limit").alias("lead_limit")), "leaders", few=True)
-        fits = F.coalesce((F.col("weight") <= F.col("lead_limit")) & (F.col("lead_weight") <= F.col("limit")), F.lit(True))
+        fits = (F.col("weight") <= F.col("lead_limit")) & (F.col("lead_weight") <= F.col("limit"))
         pair = active.join(leaders, "bucket").where((F.col("root") != F.col("lead_root")) & fits)
         ask = pair.select(F.greatest("node", "leader").alias("node"), F.least("node", "leader").alias("leader")).distinct()
         done = read.parquet(*paths)  # one plan however many rounds there were

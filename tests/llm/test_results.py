@@ -85,6 +85,18 @@ def test_near_dedup_of_a_family_without_a_common_leader(spark):
     assert {got[i] for i in range(20)} == {0}
 
 
+def test_near_dedup_asks_no_pair_that_shared_weight_rules_out(spark, monkeypatch):
+    """Texts at similarity 0.6 that share buckets: after the first leaders nothing is asked."""
+    common = " ".join(f"w{i}" for i in range(120))
+    texts = {i: common + " " + " ".join(f"o{i}x{j}" for j in range(6)) for i in range(60)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    asked, verify = [], near_dedup._verify
+    monkeypatch.setattr(near_dedup, "_verify", lambda pairs, *a: (asked.append(pairs.count()), verify(pairs, *a))[1])
+    got = {r.doc_id: r.class_id for r in near_dedup.similar_classes(df).collect()}
+    assert got == _brute_classes(texts) == {i: i for i in texts}
+    assert asked[0] > 0 and sum(asked[1:]) == 0
+
+
 def test_consistent_samples_estimate_weighted_jaccard():
     rng = np.random.default_rng(3)
     h = np.unique(rng.integers(0, 2**63, 400).astype(np.uint64))[:300]
