@@ -64,6 +64,7 @@ PERMUTATIONS, BINS, BAND = 4, 16, 4
 EMPTY_DRAWS = 100_000
 PAIRS_PER_MEMBER = (6, 12)  # in the first round of leaders, and in later ones
 PAIR_CHUNK_BYTES = 2 << 20
+TASK_BYTES = 8 << 20   # least text of a task in the first scan for heavy shingles
 
 
 def shingles(texts: pa.Array, k: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -185,7 +186,9 @@ def _idf(parts: tuple, h: np.ndarray) -> np.ndarray:
 
 def corpus_idf(texts: DataFrame, slots: int = HEAVY_SHINGLES) -> Idf:
     """Document frequencies of the heavy shingles of all texts, exactly."""
-    first = stored(texts.mapInArrow(_local_heavy(slots), "shingle long, n long, docs long")
+    # a task of few pairs can spare none of its counts: small splits are read together
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    first = stored(texts.coalesce(max(1, size // TASK_BYTES)).mapInArrow(_local_heavy(slots), "shingle long, n long, docs long")
                    .groupBy("shingle").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
                    .where("shingle IS NULL OR n > 1"), "heavy")
     total = first.where("shingle IS NULL").agg(F.sum("n"), F.sum("docs")).first()

@@ -292,3 +292,14 @@ def test_shingles_seen_once_are_not_reported():
     assert len(rows) < 100
     heavy = np.uint64(near_dedup.distinct_shingles(pa.array(["one two three four five"]))[0][0]).astype(np.int64)
     assert rows[int(heavy)]["n"] >= 50 - pairs / (8 * slots)
+
+
+def test_small_splits_are_read_together(spark, monkeypatch):
+    """Every shingle stands in two texts, and each text in a split of its own."""
+    texts = [" ".join(f"t{i // 2}x{j}" for j in range(200)) for i in range(40)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(40)
+    kept, stored = [], near_dedup.stored
+    monkeypatch.setattr(near_dedup, "stored", lambda *a, **k: kept.append(stored(*a, **k)) or kept[-1])
+    idf = near_dedup.corpus_idf(df, slots=64)
+    assert idf.docs == 40 and idf.floor == 40 * 196 / 64 and not len(idf.df)
+    assert kept[0].count() == 1
