@@ -47,3 +47,21 @@ def test_a_slice_lands_in_as_many_files_as_its_rows_ask_for(spark, tmp_path, mon
         SC.land_in_order(spark.range(2000).repartition(16), str(tmp_path / "src"), "id", 4)
     assert spark.read.parquet(str(tmp_path / "src")).count() == 2000
     assert 4 <= len(glob.glob(str(tmp_path / "src" / "*.parquet"))) <= 8
+
+
+@pytest.mark.parametrize("metric", ["sphere", "geodesic"])
+def test_a_batch_of_lists_is_searched_at_once(monkeypatch, metric):
+    """Arrays, not an interpreted loop per point: empty and missing lists, fewer points
+    than asked for, equal places (by key), a query's own key, points out of the radius."""
+    import pyarrow as pa
+    monkeypatch.setattr(GJ, "BATCH_QUERIES", 3)
+    near = [{"key": k, "lat": 49.4 + d, "lon": 1.1} for k, d in (("e", 0.003), ("b", 0.001), ("a", 0.001), ("c", 0.0), ("d", 0.5))]
+    rows = pa.RecordBatch.from_pylist([
+        {"q": "c", "qa": 49.4, "qo": 1.1, "_list": near}, {"q": "x", "qa": 49.4, "qo": 1.1, "_list": None},
+        {"q": "y", "qa": 49.4, "qo": 1.1, "_list": []}, {"q": "z", "qa": 49.4, "qo": 1.1, "_list": near[:1]},
+        {"q": "b", "qa": 49.4, "qo": 1.1, "_list": near}])
+    out = [r for b in GJ._k_best(3, "q", "qa", "qo", metric, True, 5.0)(iter([rows])) for r in b.to_pylist()]
+    assert {r["q"]: [p["key"] for p in r["_best"]] for r in out} == {
+        "c": ["a", "b", "e"], "x": [], "y": [], "z": ["e"], "b": ["c", "a", "e"]}
+    km = {p["key"]: p["dist"] for r in out for p in r["_best"]}
+    assert km["c"] == 0.0 and km["a"] == km["b"] and abs(km["a"] - 0.1112) < 0.0003
