@@ -31,7 +31,10 @@ weight W(y) whose shingles worth s stand in members of other classes overlaps an
 of these by s at most, so it can only be similar to a text of weight
 s (1 + t) / t - W(y) or less; if its bucket holds none, it leaves the bucket. That is
 done before every round of leaders, the first one included, as classes and with them s
-have changed by then. No bucket is cut, and no link between classes is lost.
+have changed by then. The pairs of a round are thinned out likewise: shingles are dealt into
+``PARTS`` parts by hash, two texts overlap in a part by no more than the lesser of what s
+is in it for either, and a pair whose parts sum to less than t / (1 + t) of both weights is
+not asked for. No bucket is cut, and no link between classes is lost.
 
 *Verification* computes the weighted Jaccard similarity of the two whole texts.
 Classes are the connected components of the verified links.
@@ -63,6 +66,7 @@ HEAVY_SHINGLES = 1 << 16
 PERMUTATIONS, BINS, BAND = 4, 16, 4
 EMPTY_DRAWS = 100_000
 PAIRS_PER_MEMBER = (6, 12)  # in the first round of leaders, and in later ones
+PARTS = 64             # of a text's shared weight, in the bound of a pair
 PAIR_CHUNK_BYTES = 2 << 20
 TASK_BYTES = 8 << 20   # least text of a task in the first scan for heavy shingles
 
@@ -429,7 +433,7 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
         active = stored(_unsettled(_rooted(active.select("bucket", "node"), roots)), "members", few=True)
         # as classes merge, support shrinks: the bounds of a round are tighter than the last one's
         bounds = stored(_bounds(active, texts, idf, threshold), "bounds", few=True)
-        active = _unsettled(_able(active.join(bounds, "node")))
+        active = _unsettled(_able(active.join(bounds.drop("parts"), "node")))
         active = stored(_merged_buckets(active) if rounds == 1 else active, "members", few=True)
         left = active.count()
         if not left:
@@ -439,10 +443,14 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
         order = Window.partitionBy("bucket").orderBy("n", F.xxhash64("node"), "node")
         leaders = stored(active.join(sizes, ["bucket", "root"]).withColumn("r", F.row_number().over(order))
                          .where(F.col("r") <= max(1, PAIRS_PER_MEMBER[min(rounds, 1)] * budget // left))
+                         .join(bounds.select("node", "parts"), "node")
                          .select("bucket", F.col("node").alias("leader"), F.col("root").alias("lead_root"),
-                                 F.col("weight").alias("lead_weight"), F.col("limit").alias("lead_limit")), "leaders", few=True)
+                                 F.col("weight").alias("lead_weight"), F.col("limit").alias("lead_limit"),
+                                 F.col("parts").alias("lead_parts")), "leaders", few=True)
         fits = (F.col("weight") <= F.col("lead_limit")) & (F.col("lead_weight") <= F.col("limit"))
-        pair = active.join(leaders, "bucket").where((F.col("root") != F.col("lead_root")) & fits)
+        least = threshold / (1.0 + threshold) * (1.0 - 1e-9) * (F.col("weight") + F.col("lead_weight"))
+        pair = (active.join(bounds.select("node", "parts"), "node").join(leaders, "bucket")
+                .where((F.col("root") != F.col("lead_root")) & fits & (_overlap("parts", "lead_parts") >= least)))
         ask = pair.select(F.greatest("node", "leader").alias("node"), F.least("node", "leader").alias("leader")).distinct()
         done = read.parquet(*paths)  # one plan however many rounds there were
         done = done.select(F.greatest("node", "leader").alias("node"), F.least("node", "leader").alias("leader"))
@@ -504,19 +512,29 @@ def _cells(idf: tuple):
 
 
 def _bounds(active: DataFrame, texts: DataFrame, idf: tuple, threshold: float) -> DataFrame:
-    """(node, weight, limit): each member's weight, and the limit of the weight of
-    a member of another class that shared shingles allow it to be similar to.
-    Members and classes go by 64-bit hashes."""
+    """(node, weight, limit, parts): each member's weight, the limit of the weight of
+    a member of another class that shared shingles allow it to be similar to, and
+    what the shared shingles of each part weigh. Members and classes go by 64-bit hashes."""
     nodes = active.select("node", "root").distinct()
     cells = (texts.join(nodes, "node").select(F.xxhash64("node").alias("member"), F.xxhash64("root").alias("class"), "text")
              .mapInArrow(_cells(idf), "member long, class long, shingle long, w double"))
     held = Window.partitionBy("shingle")
     other = (F.min("class").over(held) != F.col("class")) | (F.max("class").over(held) != F.col("class"))
-    support = (cells.withColumn("s", F.when(other, F.col("w")).otherwise(0.0)).groupBy("member")
-               .agg(F.sum("w").alias("weight"), F.sum("s").alias("s")))
+    part = F.pmod("shingle", F.lit(PARTS)).cast("int").alias("part")
+    support = (cells.withColumn("s", F.when(other, F.col("w")).otherwise(0.0)).groupBy("member", part)
+               .agg(F.sum("w").alias("w"), F.sum("s").alias("s"))
+               .groupBy("member").agg(F.sum("w").alias("weight"), F.sum("s").alias("s"),
+                                      F.map_from_entries(F.collect_list(F.struct("part", "s"))).alias("by_part")))
     limit = F.col("s") * ((1.0 + threshold) / threshold + 1e-9) - F.col("weight")
+    parts = F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)),
+                        lambda i: F.coalesce(F.try_element_at("by_part", i), F.lit(0.0)))
     return (nodes.select("node", F.xxhash64("node").alias("member")).join(support, "member")
-            .select("node", "weight", limit.alias("limit")))
+            .select("node", "weight", limit.alias("limit"), parts.alias("parts")))
+
+
+def _overlap(a: str, b: str) -> Column:
+    """The most that two texts of different classes overlap by, from their parts."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0.0), lambda x, y: x + y)
 
 
 def _able(members: DataFrame) -> DataFrame:

@@ -97,6 +97,20 @@ def test_near_dedup_asks_no_pair_that_shared_weight_rules_out(spark, monkeypatch
     assert asked[0] > 0 and sum(asked[1:]) == 0
 
 
+def test_near_dedup_asks_few_pairs_of_a_family_that_shares_all_its_shingles(spark, monkeypatch):
+    """No text has a shingle of its own, so only bounds on pairs tell that none are similar."""
+    rng = np.random.default_rng(1)
+    blocks = [[" ".join(f"{v}{b}x{j}" for j in range(10)) for v in "ab"] for b in range(16)]
+    picks = {tuple(sorted(rng.choice(16, 3, replace=False).tolist())) for _ in range(80)}
+    texts = {i: " ".join(blocks[b][b in p] for b in range(16)) for i, p in enumerate(sorted(picks))}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    asked, verify = [], near_dedup._verify
+    monkeypatch.setattr(near_dedup, "_verify", lambda pairs, *a: (asked.append(pairs.count()), verify(pairs, *a))[1])
+    got = {r.doc_id: r.class_id for r in near_dedup.similar_classes(df).collect()}
+    assert got == _brute_classes(texts) == {i: i for i in texts}
+    assert asked[0] > 0 and sum(asked[1:]) < len(texts)
+
+
 def test_consistent_samples_estimate_weighted_jaccard():
     rng = np.random.default_rng(3)
     h = np.unique(rng.integers(0, 2**63, 400).astype(np.uint64))[:300]
